@@ -136,7 +136,17 @@ def _ordered_mean(order: Column, value: Column) -> Column:
 
 def acf(panel: DataFrame, max_lag: int = rules.ACF_LAGS) -> DataFrame:
     """O-8.4: biased autocorrelation r_k for k = 0..max_lag (k < n) and the
-    Bartlett 95 % band, per series.  Each row meets at most ``max_lag + 1``
+    Bartlett 95 % band, per series."""
+    r = acf_raw(panel, max_lag)
+    cum = F.sum(F.when(F.col("k") > 0, F.col("r") * F.col("r")).otherwise(0.0)).over(
+        Window.partitionBy("series").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    band = F.lit(1.96) * F.sqrt((F.lit(1.0) + 2.0 * F.coalesce(cum, F.lit(0.0))) / F.col("n").cast("double"))
+    return r.select("series", "k", F.round("r", 9).alias("acf"),
+                    F.round(F.when(F.col("k") > 0, band), 9).alias("band"))
+
+
+def acf_raw(panel: DataFrame, max_lag: int = rules.ACF_LAGS) -> DataFrame:
+    """(series, k, n, r) unrounded.  Each row meets at most ``max_lag + 1``
     lagged partners (an equi-join on (series, i - k)), never all pairs."""
     p = indexed(panel)
     stats = p.groupBy("series").agg((F.sum("y").cast("double") / F.count("y").cast("double")).alias("_m"),
@@ -151,8 +161,4 @@ def acf(panel: DataFrame, max_lag: int = rules.ACF_LAGS) -> DataFrame:
     r = num.join(den, "series").join(stats.select("series", "n"), "series") \
         .filter(F.col("k") < F.col("n")) \
         .select("series", "k", "n", (F.col("_c") / F.col("_c0")).alias("r"))
-    cum = F.sum(F.when(F.col("k") > 0, F.col("r") * F.col("r")).otherwise(0.0)).over(
-        Window.partitionBy("series").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-    band = F.lit(1.96) * F.sqrt((F.lit(1.0) + 2.0 * F.coalesce(cum, F.lit(0.0))) / F.col("n").cast("double"))
-    return r.select("series", "k", F.round("r", 9).alias("acf"),
-                    F.round(F.when(F.col("k") > 0, band), 9).alias("band"))
+    return r

@@ -281,3 +281,29 @@ def fc_final(spark, sf):
     sel = FC.select_model(FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval"))))
     fin = FC.forecasts(FC.fit_frame(arr, "final"))
     return FC.final_forecast(fin, sel)
+
+
+@register("adf")
+def adf(spark, sf):
+    """O-8.3 on the monthly series (rows-only; unit tests check the statistic)."""
+    from ..operators import stationarity as ST
+    return ST.adf_panel(FC.series_arrays(panel(spark, sf)))
+
+
+@register("adf_log_diff")
+def adf_log_diff(spark, sf):
+    from ..operators import stationarity as ST
+    return ST.adf_panel(FC.series_arrays(panel(spark, sf)), log_diff=True)
+
+
+@register("adf_by_region")
+def adf_by_region(spark, sf):
+    from ..operators import stationarity as ST
+    return ST.adf_panel(FC.series_arrays(panel(spark, sf, "region")))
+
+
+@register("pacf")
+def pacf(spark, sf):
+    """O-8.5: Yule-Walker PACF (Levinson-Durbin over the ACF, lags < n/2)."""
+    from ..operators import stationarity as ST
+    return ST.pacf(TS.acf_raw(panel(spark, sf), 24), 20)
