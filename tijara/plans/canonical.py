@@ -201,7 +201,14 @@ def raw_catalogue(t: Tables) -> DataFrame:
         F.concat(F.col("p_name"), F.lit(" size "), F.col("p_size").cast("string")).alias("short_desc"),
         p.alias("_key"),
     )
-    return base.unionByName(base.filter(_pmod(F.col("_key"), 50) == 0)).drop("_key")
+    return _with_copies(base)
+
+
+def _with_copies(base: DataFrame) -> DataFrame:
+    """Exact duplicate rows for keys that are multiples of 50, emitted in the
+    same pass (``explode`` of 1 or 2 copies) rather than a second scan."""
+    n = F.when(_pmod(F.col("_key"), 50) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return base.withColumn("_copy", F.explode(n)).drop("_key", "_copy")
 
 
 def raw_transactions(t: Tables) -> DataFrame:
@@ -257,7 +264,7 @@ def raw_transactions(t: Tables) -> DataFrame:
         F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(" kg")).alias("Poids total"),
         k.alias("_key"),
     )
-    return base.unionByName(base.filter(_pmod(F.col("_key"), 50) == 0)).drop("_key")
+    return _with_copies(base)
 
 
 def raw_orders(t: Tables) -> DataFrame:
@@ -282,6 +289,31 @@ def raw_orders(t: Tables) -> DataFrame:
     return base.unionByName(dup).drop("_key")
 
 
+# Raw exports are landed once per session as Parquet in the shared checkpoint
+# folder (the raw zone): many jobs read them, lineage is cut, and a lost
+# executor never forces the derivation joins to rerun.
+MATERIALIZED = {"raw_transactions", "raw_catalogue", "raw_orders"}
+_landed: dict[tuple[int, str, str], str] = {}
+
+
+def raw_zone_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    import hashlib
+    import os
+
+    from ..session import ensure_checkpoint_dir
+    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    return os.path.join(ensure_checkpoint_dir(spark), "tijara-raw", tag, name)
+
+
+def landed(t: Tables, name: str) -> DataFrame:
+    key = (id(t.spark), t.sf_dir, name)
+    if key not in _landed:
+        path = raw_zone_path(t.spark, t.sf_dir, name)
+        globals()[name](t).write.mode("overwrite").parquet(path)
+        _landed[key] = path
+    return t.spark.read.parquet(_landed[key])
+
+
 @dataclass
 class Canon:
     """Lazily built canonical frames for one input folder."""
@@ -290,7 +322,7 @@ class Canon:
 
     def get(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = globals()[name](self.t)
+            self._cache[name] = landed(self.t, name) if name in MATERIALIZED else globals()[name](self.t)
         return self._cache[name]
 
 
