@@ -31,10 +31,13 @@ def months_before(ts: Column, months: int) -> Column:
     return ts - F.make_interval(F.lit(0), F.lit(months))
 
 
-def region_decline(orders_geo: DataFrame, months: int = 3) -> DataFrame:
+def region_decline(orders_geo: DataFrame, months: int = 3, dates: DataFrame | None = None) -> DataFrame:
     """O-4.4 + O-7.4: revenue in the last ``months`` before the latest order
-    vs the ``months`` before that, per region; growth and a decline flag."""
-    d_max = orders_geo.agg(F.max("order_date")).scalar()
+    vs the ``months`` before that, per region; growth and a decline flag.
+
+    ``dates``: the order facts before the customer join; the reference date is
+    taken from them (one pruned column) instead of re-running the join."""
+    d_max = (orders_geo if dates is None else dates).agg(F.max("order_date")).scalar()
     recent_start = months_before(d_max, months)
     previous_start = months_before(d_max, 2 * months)
     d = F.col("order_date")
@@ -53,22 +56,22 @@ def complete_month_cutoff(max_date: Column) -> Column:
     return F.add_months(F.trunc(F.date_add(max_date.cast("date"), 1), "MM"), -1)
 
 
-def region_page(orders_geo: DataFrame) -> DataFrame:
+def region_page(orders_geo: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """O-12.6: per region revenue, orders, clients, share of the valid-region
-    total, growth of
-    the last complete month vs the month before, and geography fields."""
-    cutoff = complete_month_cutoff(orders_geo.agg(F.max("order_date")).scalar())
+    total, growth of the last complete month vs the month before, and
+    geography fields.  The share's total is summed from the per-region result
+    (its exchange is reused), the cutoff from the pre-join order dates."""
+    cutoff = complete_month_cutoff((orders_geo if dates is None else dates).agg(F.max("order_date")).scalar())
     prev = F.add_months(cutoff, -1)
     m = C.month_start("order_date")
     amt = F.col("order_total_amount")
-    total = (orders_geo.filter(F.col("geography_status") == "valid_wilaya")
-             .agg(F.sum("order_total_amount")).scalar())
     g = (orders_geo.groupBy("region_id", "region_code", "region", "geography_status", "latitude", "longitude")
          .agg(F.sum(amt).alias("_rev"),
               F.count("order_id").alias("orders"),
               F.countDistinct("customer_id").alias("clients"),
               F.sum(F.when(m == cutoff, amt)).alias("_cur"),
               F.sum(F.when(m == prev, amt)).alias("_prev")))
+    total = g.filter(F.col("geography_status") == "valid_wilaya").agg(F.sum("_rev")).scalar()
     return g.select(
         F.col("region_code").alias("id"), F.col("region").alias("label"),
         F.col("_rev").cast("double").alias("revenue"), "orders", "clients",

@@ -8,9 +8,15 @@ from .registry import register
 
 
 def _orders_geo(spark, sf, realized: bool):
+    return _orders_geo_dates(spark, sf, realized)[0]
+
+
+def _orders_geo_dates(spark, sf, realized: bool):
+    """(orders joined to geography, the same orders before the join)."""
     c = K.canon(spark, sf)
     o = c.get("orders")
-    return K.orders_with_customer(c.t, K.realized(o) if realized else o)
+    o = K.realized(o) if realized else o
+    return K.orders_with_customer(c.t, o), o
 
 
 @register("region_ranking", """
@@ -34,7 +40,8 @@ def region_ranking(spark, sf):
            recent_revenue < previous_revenue AS is_declining
     FROM g""", "orders_cust_c")
 def region_decline(spark, sf):
-    return R.region_decline(_orders_geo(spark, sf, realized=False))
+    og, o = _orders_geo_dates(spark, sf, realized=False)
+    return R.region_decline(og, dates=o)
 
 
 REGION_PAGE_SQL = """
@@ -55,7 +62,8 @@ REGION_PAGE_SQL = """
 
 @register("region_page", REGION_PAGE_SQL, "orders_cust_c")
 def region_page(spark, sf):
-    return R.region_page(_orders_geo(spark, sf, realized=True))
+    og, o = _orders_geo_dates(spark, sf, realized=True)
+    return R.region_page(og, dates=o)
 
 
 @register("valid_geography", f"""
@@ -68,7 +76,8 @@ def region_page(spark, sf):
            round(least(38.0 + 2.25 * share, 88.0), 9) AS shade
     FROM v, mx""", "orders_cust_c")
 def valid_geography(spark, sf):
-    return R.valid_geography(R.region_page(_orders_geo(spark, sf, realized=True)))
+    og, o = _orders_geo_dates(spark, sf, realized=True)
+    return R.valid_geography(R.region_page(og, dates=o))
 
 
 @register("active_regions", f"""
@@ -76,4 +85,5 @@ def valid_geography(spark, sf):
     SELECT count_if(orders > 0 AND geography_status = 'valid_wilaya') AS active_wilayas, count(*) AS regions
     FROM p""", "orders_cust_c")
 def active_regions(spark, sf):
-    return R.active_regions(R.region_page(_orders_geo(spark, sf, realized=True)))
+    og, o = _orders_geo_dates(spark, sf, realized=True)
+    return R.active_regions(R.region_page(og, dates=o))
