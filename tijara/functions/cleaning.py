@@ -61,11 +61,13 @@ def free_shipping(c) -> Column:
 
 
 def shipping_class(c) -> Column:
-    """Ordered multilingual regex classes, first match wins, rest -> Unknown (O-3.11)."""
+    """Ordered multilingual regex classes, first match wins; text that already
+    is a valid class is kept; the rest and null -> Unknown (O-3.11)."""
     out = None
     for pattern, label in rules.SHIPPING_RULES:
         cond = _col(c).rlike("(?iu)" + pattern)
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
+    out = out.when(_col(c).isin(*rules.SHIPPING_VALID), _col(c))
     return out.otherwise(F.lit(rules.SHIPPING_UNKNOWN))
 
 

@@ -38,6 +38,8 @@ SHIPPING_RULES: list[tuple[str, str]] = [
     ("International", "EMS International"),
 ]
 SHIPPING_UNKNOWN = "Unknown"
+# --- FIXED VALUES: labels kept as they are when no rule rewrote them ---
+SHIPPING_VALID = ["Home Delivery", "Pickup Point", "Collection Point", "E-commerce Office", "EMS International"]
 
 # --- FIXED VALUES: order status groups; unmapped statuses give null ---
 STATUS_GROUPS: dict[str, str] = {

@@ -25,7 +25,9 @@ def pick(xs, idx_expr: str) -> str:
 
 def shipping_class_sql(col: str) -> str:
     parts = [f"WHEN regexp_matches({col}, {q(p)}, 'i') THEN {q(label)}" for p, label in rules.SHIPPING_RULES]
-    return "CASE " + " ".join(parts) + f" ELSE {q(rules.SHIPPING_UNKNOWN)} END"
+    valid = ", ".join(q(v) for v in rules.SHIPPING_VALID)
+    return ("CASE " + " ".join(parts) + f" WHEN {col} IN ({valid}) THEN {col}"
+            f" ELSE {q(rules.SHIPPING_UNKNOWN)} END")
 
 
 def free_shipping_sql(col: str) -> str:
