@@ -51,7 +51,9 @@ def sales_page(valid_orders: DataFrame, valid_orders_cust: DataFrame, lines: Dat
     ]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     w = Window.partitionBy("breakdown").orderBy(F.col("revenue").desc(), F.col("label"))
-    return u.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    share = F.col("revenue") / F.sum("revenue").over(Window.partitionBy("breakdown"))  # O-6.23 bar share
+    return (u.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("bar_share", share)
+            .filter(F.col("rank") <= k))
 
 
 def scope(orders: DataFrame, valid_orders: DataFrame, lines: DataFrame, customers: DataFrame) -> DataFrame:
@@ -84,3 +86,22 @@ def readiness(issue_counts: DataFrame) -> DataFrame:
     status = (F.when(F.col("errors") > 0, "needs_attention")
               .when(F.col("warnings") > 0, "ready_with_warnings").otherwise("ready"))
     return agg.select(status.alias("status"), "errors", "warnings")
+
+
+def preview_redacted(df, order_cols: list[str], personal: list[str], n: int = 10) -> DataFrame:
+    """O-2.16: first ``n`` rows in a fixed order with personal fields masked
+    (letters -> X/x, digits -> n); internal ids kept."""
+    out = df.orderBy(*order_cols).limit(n)
+    return out.withColumns({c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(f"`{c}`"), "[A-Z]", "X"),
+                                                                 "[a-z]", "x"), "[0-9]", "n") for c in personal})
+
+
+def trend_meta(valid_orders: DataFrame, granularity: str = "monthly") -> DataFrame:
+    """O-12.2 envelope fields: available range, data_through and how many
+    periods of the trend are partial."""
+    from .timeseries import revenue_trend
+    t = revenue_trend(valid_orders, granularity)
+    d = valid_orders.agg(F.min("order_date").cast("date").alias("available_start"),
+                         F.max("order_date").cast("date").alias("available_end"))
+    p = t.agg(F.count_if("is_partial").alias("partial_periods"), F.count("*").alias("periods"))
+    return d.crossJoin(p).withColumn("data_through", F.col("available_end"))  # two 1-row aggregates

@@ -72,7 +72,7 @@ def status_mix(orders: DataFrame) -> DataFrame:
     mapped = (orders.select("order_id", C.status_group("order_status").alias("sales_status"))
               .filter(F.col("sales_status").isNotNull()))
     per = mapped.groupBy("sales_status").agg(F.count("order_id").alias("orders_count"))
-    total = mapped.agg(F.count("order_id")).scalar()
+    total = per.agg(F.sum("orders_count")).scalar()  # over the grouped result: its exchange is reused
     return per.withColumn("percentage",
                           F.round(F.col("orders_count").cast("double") / total.cast("double") * 100.0, 2))
 

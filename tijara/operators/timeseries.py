@@ -46,6 +46,25 @@ def fill_gaps(panel: DataFrame) -> DataFrame:
             .withColumn("orders", F.coalesce(F.col("orders"), F.lit(0))))
 
 
+def validate_range(orders: DataFrame, start: str, end: str) -> None:
+    """O-4.9 checks before the job: start <= end and both inside the
+    available range (one 1-row aggregate reaches the driver)."""
+    import datetime as dt
+    s, e = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    if s > e:
+        raise ValueError(f"start {s} after end {e}")
+    lo, hi = orders.agg(F.min("order_date").cast("date"), F.max("order_date").cast("date")).first()
+    if lo is None or s < lo or e > hi:
+        raise ValueError(f"range {s}..{e} outside available {lo}..{hi}")
+
+
+def partial_months(panel_all: DataFrame, orders: DataFrame) -> DataFrame:
+    """O-8.16 report: the months excluded as incomplete."""
+    cutoff = complete_month_cutoff(orders.agg(F.max("order_date")).scalar())
+    return panel_all.filter(F.col("period") > cutoff).select(
+        "series", "period", F.col("y").cast("double").alias("revenue"), "orders")
+
+
 def revenue_trend(orders: DataFrame, granularity: str = "monthly", start=None, end=None) -> DataFrame:
     """O-12.2 (+ O-4.9): revenue and orders per day / ISO week (Monday) /
     month, with ``is_partial`` when the period ends after the last order."""

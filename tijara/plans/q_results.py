@@ -76,12 +76,14 @@ def CL_reliable(df):
              sum(o.order_total_amount)::DOUBLE / count(o.order_total_amount)::DOUBLE
       FROM realized_c o LEFT JOIN (SELECT DISTINCT order_id, shipping_method FROM lines_c) m USING (order_id)
       WHERE m.shipping_method IS NOT NULL GROUP BY 2)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY breakdown ORDER BY revenue DESC, label) AS rank FROM u)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY breakdown ORDER BY revenue DESC, label) AS rank,
+                          round(revenue / sum(revenue) OVER (PARTITION BY breakdown), 9) AS bar_share FROM u)
     WHERE rank <= 8""", "orders_cust_c", "realized_c", "lines_c")
 def sales_page(spark, sf):
     c = K.canon(spark, sf)
     v = K.realized(c.get("orders"))
-    return RS.sales_page(v, K.orders_with_customer(c.t, v), c.get("lines"))
+    return RS.sales_page(v, K.orders_with_customer(c.t, v), c.get("lines")).withColumn(
+        "bar_share", F.round("bar_share", 9))
 
 
 @register("scope", """

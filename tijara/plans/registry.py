@@ -27,5 +27,5 @@ def register(name: str, sql: str | None = None, *ctes: str):
 
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # Importing the query modules fills REGISTRY.
-    from . import q_sales, q_products, q_regions, q_clients, q_cleaning, q_profile, q_time, q_traffic, q_results, q_files, q_streaming  # noqa: F401
+    from . import q_sales, q_products, q_regions, q_clients, q_cleaning, q_profile, q_time, q_traffic, q_results, q_files, q_streaming, q_more  # noqa: F401
     return REGISTRY
