@@ -294,6 +294,7 @@ def raw_orders(t: Tables) -> DataFrame:
 # executor never forces the derivation joins to rerun.
 MATERIALIZED = {"raw_transactions", "raw_catalogue", "raw_orders"}
 _landed: dict[tuple[int, str, str], str] = {}
+_land_lock = __import__("threading").Lock()
 
 
 def raw_zone_path(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -307,10 +308,11 @@ def raw_zone_path(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 def landed(t: Tables, name: str) -> DataFrame:
     key = (id(t.spark), t.sf_dir, name)
-    if key not in _landed:
-        path = raw_zone_path(t.spark, t.sf_dir, name)
-        globals()[name](t).write.mode("overwrite").parquet(path)
-        _landed[key] = path
+    with _land_lock:
+        if key not in _landed:
+            path = raw_zone_path(t.spark, t.sf_dir, name)
+            globals()[name](t).write.mode("overwrite").parquet(path)
+            _landed[key] = path
     return t.spark.read.parquet(_landed[key])
 
 

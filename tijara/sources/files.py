@@ -200,6 +200,7 @@ def write_web_export(df: DataFrame, path: str, title: str, preamble: int = rules
 
 
 _landing: dict[tuple[int, str], str] = {}
+_lock = __import__("threading").Lock()
 
 
 def landing_folder(spark: SparkSession, sf_dir: str) -> str:
@@ -213,9 +214,10 @@ def landing_folder(spark: SparkSession, sf_dir: str) -> str:
 def ensure_landing(spark: SparkSession, sf_dir: str, frames: dict[str, tuple[DataFrame, str]]) -> str:
     """Write each raw export once per session (dataset -> (frame, sep))."""
     key = (id(spark), sf_dir)
-    if key not in _landing:
-        folder = landing_folder(spark, sf_dir)
-        for name, (df, sep) in frames.items():
-            write_csv(df, os.path.join(folder, name), sep)
-        _landing[key] = folder
+    with _lock:
+        if key not in _landing:
+            folder = landing_folder(spark, sf_dir)
+            for name, (df, sep) in frames.items():
+                write_csv(df, os.path.join(folder, name), sep)
+            _landing[key] = folder
     return _landing[key]

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..operators import cleaning as CL
 from ..operators import ingest as IN
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, path_exists
 
 
 def stream_root(spark: SparkSession, name: str, tag: str) -> str:
@@ -82,9 +82,9 @@ def ingest_stream(spark: SparkSession, landing: str, snapshot_dir: str, log_dir:
                      F.col("order_total_amount").try_cast("decimal(12,2)").alias("order_total_amount"))
         bs = batch.sparkSession
         current = os.path.join(snapshot_dir, "current")
-        try:
+        if path_exists(bs, current):
             stored = bs.read.parquet(current)
-        except Exception:  # noqa: BLE001 - first load: empty store
+        else:  # first load: empty store
             stored = bs.createDataFrame([], b.schema)
         cols = [c for c in b.columns if c != "order_id_stage"]
         actions = IN.classify_upsert(stored, b, "order_id_stage", cols)
