@@ -15,23 +15,32 @@ QUINTILES = [0.2, 0.4, 0.6, 0.8]
 THRESHOLD_ACCURACY = 100000
 
 
-def with_recency(customers: DataFrame) -> DataFrame:
+def reference_date(customers: DataFrame, orders: DataFrame | None = None) -> Column:
+    """Latest last-order date over all customers.  With the order facts at
+    hand it is read from one pruned column of ``orders`` (equal under the
+    order -> customer key) instead of re-deriving the customer table."""
+    if orders is not None:
+        return orders.agg(F.max("order_date").cast("date")).scalar()
+    return customers.agg(F.max("last_order_date")).scalar()
+
+
+def with_recency(customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """O-7.1: days from each customer's last order to the latest last order
     over all customers (a scalar subquery, not a global window)."""
-    ref = customers.agg(F.max("last_order_date")).scalar()
+    ref = reference_date(customers, orders)
     return customers.withColumn("recency_days", F.datediff(ref, F.col("last_order_date")))
 
 
-def rfm_inputs(customers: DataFrame) -> DataFrame:
+def rfm_inputs(customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """O-7.2: recency, frequency = orders_count, monetary = total_amount."""
-    return with_recency(customers).select(
+    return with_recency(customers, orders).select(
         "customer_id", "recency_days", F.col("orders_count").alias("frequency"),
         F.col("total_amount").cast("double").alias("monetary"))
 
 
-def rfm_readiness(customers: DataFrame) -> DataFrame:
+def rfm_readiness(customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """O-12.5: reference date, recency range and the fields used."""
-    r = with_recency(customers)
+    r = with_recency(customers, orders)
     return r.agg(F.max("last_order_date").alias("reference_date"),
                  F.min("recency_days").alias("recency_days_min"),
                  F.max("recency_days").alias("recency_days_max"),
@@ -47,11 +56,11 @@ def _bucket(x: Column, th: Column) -> Column:
     return F.when(x.isNotNull(), below)
 
 
-def rfm_segments(customers: DataFrame) -> DataFrame:
+def rfm_segments(customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """O-7.3 (declared; thresholds ours, SURVEY §7.6): quintile scores from
     one pass of bounded-memory quantile sketches, then a ``when`` chain.
     Champions R>=4,F>=4,M>=4; At Risk R<=2,F>=3; Lost R=1,F<=2; else Others."""
-    x = rfm_inputs(customers)
+    x = rfm_inputs(customers, orders)
     th = x.agg(F.struct(F.percentile_approx("recency_days", QUINTILES, THRESHOLD_ACCURACY).alias("r"),
                         F.percentile_approx("frequency", QUINTILES, THRESHOLD_ACCURACY).alias("f"),
                         F.percentile_approx("monetary", QUINTILES, THRESHOLD_ACCURACY).alias("m"))).scalar()

@@ -15,7 +15,8 @@ _RECENCY = """
     WITH r AS ({_RECENCY})
     SELECT customer_id, last_order_date, recency_days FROM r""", "customers_c")
 def recency(spark, sf):
-    return CL.with_recency(K.canon(spark, sf).get("customers")).select(
+    c = K.canon(spark, sf)
+    return CL.with_recency(c.get("customers"), c.get("orders")).select(
         "customer_id", "last_order_date", "recency_days")
 
 
@@ -24,7 +25,8 @@ def recency(spark, sf):
     SELECT customer_id, recency_days, orders_count AS frequency, total_amount::DOUBLE AS monetary FROM r""",
           "customers_c")
 def rfm_inputs(spark, sf):
-    return CL.rfm_inputs(K.canon(spark, sf).get("customers"))
+    c = K.canon(spark, sf)
+    return CL.rfm_inputs(c.get("customers"), c.get("orders"))
 
 
 @register("rfm_readiness", f"""
@@ -33,7 +35,8 @@ def rfm_inputs(spark, sf):
            max(recency_days) AS recency_days_max, 'orders_count' AS frequency_field,
            'total_amount' AS monetary_field FROM r""", "customers_c")
 def rfm_readiness(spark, sf):
-    return CL.rfm_readiness(K.canon(spark, sf).get("customers"))
+    c = K.canon(spark, sf)
+    return CL.rfm_readiness(c.get("customers"), c.get("orders"))
 
 
 def _bucket_sql(x: str, th: str) -> str:
@@ -57,7 +60,8 @@ RFM_SQL = f"""
 
 @register("rfm_segments", RFM_SQL, "customers_c")
 def rfm_segments(spark, sf):
-    return CL.rfm_segments(K.canon(spark, sf).get("customers"))
+    c = K.canon(spark, sf)
+    return CL.rfm_segments(c.get("customers"), c.get("orders"))
 
 
 @register("rfm_segment_summary", f"""
@@ -65,8 +69,9 @@ def rfm_segments(spark, sf):
     SELECT segment, count(*) AS customers, sum(c.total_amount)::DOUBLE AS monetary
     FROM seg JOIN customers_c c USING (customer_id) GROUP BY 1""", "customers_c")
 def rfm_segment_summary(spark, sf):
-    cust = K.canon(spark, sf).get("customers")
-    return CL.rfm_segment_summary(CL.rfm_segments(cust), cust)
+    c = K.canon(spark, sf)
+    cust = c.get("customers")
+    return CL.rfm_segment_summary(CL.rfm_segments(cust, c.get("orders")), cust)
 
 
 def _valid_geo(spark, sf):
