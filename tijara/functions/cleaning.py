@@ -16,7 +16,8 @@ def _col(c) -> Column:
 
 
 def literal_map(mapping: dict[str, str]) -> Column:
-    """A map literal; folded to a constant by Catalyst."""
+    """A map literal; folded to a constant by Catalyst (O-5.8 map lookup by
+    key without a join)."""
     kv = []
     for k, v in mapping.items():
         kv += [F.lit(k), F.lit(v)]
@@ -77,6 +78,7 @@ def status_group(c) -> Column:
 
 
 def is_realized(c) -> Column:
+    """O-4.7: null-safe membership (null -> false)."""
     return F.coalesce(_col(c).isin(*rules.REALIZED_STATUSES), F.lit(False))
 
 
@@ -107,4 +109,5 @@ def growth_pct(cur, prev) -> Column:
 
 
 def month_start(c) -> Column:
+    """O-3.22: month bucket (first day of the month, a DATE)."""
     return F.trunc(_col(c).cast("date"), "MM")

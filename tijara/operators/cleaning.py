@@ -123,7 +123,7 @@ def recovered_prices(catalogue: DataFrame, lines: DataFrame, exact: bool = True,
 
 
 def enrich_lines(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """O-5.1: fill product_name / subcategory from the catalogue (deduplicated
+    """O-5.1 + O-3.13: fill product_name / subcategory from the catalogue (deduplicated
     by key first, D1; null keys never match, D2), then has_negative_price and
     'Unknown' fills."""
     cat = (dedupe_keys(catalogue.filter(F.col("sku").isNotNull()).select("sku", "product_name", "subcategory"),

@@ -22,7 +22,7 @@ def _revenue():
 
 
 def rank_products(lines: DataFrame, n: int = 10, ascending: bool = False) -> DataFrame:
-    """O-6.8 / O-6.9 + O-9.1: top (or bottom) n products by revenue.
+    """O-6.8 / O-6.9 + O-9.1 / O-4.10: top (or bottom) n products by revenue.
 
     ``line_count`` counts lines (D10).  Ties break on the product name.  The
     limit is the feature (a top-n report): Spark plans it as a per-partition
@@ -34,7 +34,8 @@ def rank_products(lines: DataFrame, n: int = 10, ascending: bool = False) -> Dat
 
 
 def by_category(lines: DataFrame, key: str = "category") -> DataFrame:
-    """O-6.10: revenue and distinct orders per category, revenue descending."""
+    """O-6.10 + O-9.2: revenue and distinct orders per category, fully sorted
+    by revenue (a small result)."""
     return (reliable(lines).filter(F.col(key).isNotNull())
             .groupBy(key).agg(_revenue(), F.countDistinct("order_id").alias("orders"))
             .orderBy(F.col("revenue").desc(), F.col(key)))

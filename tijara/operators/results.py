@@ -105,3 +105,19 @@ def trend_meta(valid_orders: DataFrame, granularity: str = "monthly") -> DataFra
                          F.max("order_date").cast("date").alias("available_end"))
     p = t.agg(F.count_if("is_partial").alias("partial_periods"), F.count("*").alias("periods"))
     return d.crossJoin(p).withColumn("data_through", F.col("available_end"))  # two 1-row aggregates
+
+
+def subset_violations(df: DataFrame, col: str, allowed: list[str]) -> DataFrame:
+    """O-10.4 / O-4.1 assertion: rows whose value is outside the allowed set
+    (0 means the assertion holds); one aggregation, no collect of rows."""
+    return df.agg(F.count_if(~F.coalesce(F.col(col).isin(*allowed), F.lit(False)) & F.col(col).isNotNull())
+                  .alias("violations"), F.count("*").alias("rows"))
+
+
+def drill_down(result: DataFrame, **selection) -> DataFrame:
+    """O-12.18: approved aggregate metrics for one selection (a filter on a
+    result table, never raw rows)."""
+    out = result
+    for k, v in selection.items():
+        out = out.filter(F.col(k) == F.lit(v))
+    return out

@@ -67,7 +67,7 @@ def sales_by_customer_type(valid_orders_cust: DataFrame) -> DataFrame:
 
 
 def status_mix(orders: DataFrame) -> DataFrame:
-    """O-3.12 + O-6.5: orders per status group and share (rounded 2) of the
+    """O-3.12 + O-6.5 (+ O-3.24 rounding): orders per status group and share (rounded 2) of the
     mapped total; unmapped statuses are reported by ``status_unmapped``."""
     mapped = (orders.select("order_id", C.status_group("order_status").alias("sales_status"))
               .filter(F.col("sales_status").isNotNull()))
@@ -90,7 +90,7 @@ def order_flag(lines: DataFrame, flag: str, name: str) -> DataFrame:
 
 
 def flag_impact(valid_orders: DataFrame, lines: DataFrame, flag: str) -> DataFrame:
-    """O-6.7: revenue, orders and mean order value split by an order-level flag.
+    """O-5.4 + O-6.7: revenue, orders and mean order value split by an order-level flag.
 
     Lines are reduced to one row per order *before* the join (aggregate before
     join), so only |orders| rows cross the shuffle."""

@@ -105,7 +105,7 @@ def growth(panel: DataFrame) -> DataFrame:
 
 
 def log_diff(panel: DataFrame) -> DataFrame:
-    """O-8.2 / O-7.6: ln(y) and its first difference per series (y <= 0 -> null)."""
+    """O-8.2 / O-7.6 / O-3.23: ln(y) and its first difference per series (y <= 0 -> null)."""
     ly = F.when(F.col("y") > 0, F.log(F.col("y").cast("double")))
     p = panel.select("series", "period", ly.alias("log_y"))
     return p.withColumn("diff_log_y", F.col("log_y") - F.lag("log_y").over(_w()))

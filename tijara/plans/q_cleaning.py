@@ -243,7 +243,7 @@ def referential_check_repaired(spark, sf):
 
 @register("distinct_shipping_methods", "SELECT DISTINCT shipping_method FROM clean_tx_c", "clean_tx_c")
 def distinct_shipping_methods(spark, sf):
-    """O-1.12: distinct delivery classes (the export writes this frame)."""
+    """O-1.12 / O-10.1: distinct delivery classes (the export writes this frame)."""
     return clean_tx(K.canon(spark, sf)).select("shipping_method").distinct()
 
 

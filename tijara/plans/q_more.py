@@ -20,6 +20,8 @@ from .q_profile import prep_metrics as _prep_metrics_q
 from .q_profile import date_coverage as _coverage_q
 from .q_results import _checks, readiness as _readiness_q  # noqa: F401
 from .q_time import panel
+from ..functions import rules
+from .oracle import q as oq
 from .registry import REGISTRY, register
 
 _CUT = "CAST(date_trunc('month', CAST(max(order_date) AS DATE) + 1) - INTERVAL 1 MONTH AS DATE)"
@@ -167,3 +169,35 @@ def region_revenue_sql(spark, sf):
 
 
 _ = (R, hashlib, os)
+
+
+@register("realized_status_check", f"""
+    SELECT count_if(order_status IS NOT NULL AND order_status NOT IN ({", ".join(oq(x) for x in rules.REALIZED_STATUSES)}))
+             AS violations, count(*) AS rows
+    FROM realized_c""", "realized_c")
+def realized_status_check(spark, sf):
+    """O-10.4: the realized population holds only realized statuses."""
+    v = K.realized(K.canon(spark, sf).get("orders"))
+    return RS.subset_violations(v, "order_status", rules.REALIZED_STATUSES)
+
+
+@register("drilldown_region_types", """
+    SELECT c.region, c.customer_type AS label, count(DISTINCT c.customer_id) AS customers,
+           sum(c.order_total_amount)::DOUBLE AS revenue, count(c.order_id) AS orders
+    FROM orders_cust_c c
+    WHERE c.status_code IN ('F', 'P') AND c.customer_type IS NOT NULL
+      AND c.region = (SELECT min(region) FROM orders_cust_c WHERE status_code IN ('F', 'P'))
+    GROUP BY 1, 2""", "orders_cust_c")
+def drilldown_region_types(spark, sf):
+    """O-12.18: customer-type metrics for one selected region (the first
+    region by name), computed as an aggregate result then filtered."""
+    from ..operators import clients as CLI
+    c = K.canon(spark, sf)
+    og = K.orders_with_customer(c.t, K.realized(c.get("orders")))
+    per = (og.filter(F.col("customer_type").isNotNull())
+           .groupBy("region", F.col("customer_type").alias("label"))
+           .agg(F.countDistinct("customer_id").alias("customers"),
+                F.sum("order_total_amount").cast("double").alias("revenue"), F.count("order_id").alias("orders")))
+    first = og.agg(F.min("region")).scalar()
+    _ = CLI
+    return per.filter(F.col("region") == first)
