@@ -27,6 +27,26 @@ CTES["panel_region_c"] = (["orders_cust_c"], f"""
     GROUP BY 1, 2""")
 
 
+CTES["panel_category_c"] = (["lines_prod_c", "realized_c"], f"""
+    WITH j AS (SELECT l.category, o.order_date, l.line_total FROM lines_prod_c l JOIN realized_c o USING (order_id)
+               WHERE l.category IS NOT NULL)
+    SELECT CAST(category AS VARCHAR) AS series, CAST(date_trunc('month', order_date) AS DATE) AS period,
+           sum(line_total) AS y, count(*) AS orders
+    FROM j WHERE order_date IS NOT NULL
+      AND CAST(date_trunc('month', order_date) AS DATE) <= (SELECT {_CUT} FROM realized_c)
+    GROUP BY 1, 2""")
+
+
+def category_panel(spark, sf):
+    """Product-category panel: realized line revenue per category and month
+    (lines meet order dates by a join on order id; categories by sku)."""
+    c = K.canon(spark, sf)
+    o = K.realized(c.get("orders"))
+    ln = K.lines_with_product(c.t).join(o.select("order_id", "order_date"), "order_id")
+    p = TS.monthly_panel(ln.filter(F.col("category").isNotNull()), "category", value="line_total")
+    return TS.complete_months(p, o)
+
+
 def _valid(spark, sf):
     return K.realized(K.canon(spark, sf).get("orders"))
 
@@ -232,7 +252,8 @@ def _metrics_sql(panel_cte: str) -> str:
 
 
 def _eval_frame(spark, sf, key=None):
-    return FC.fit_frame(FC.series_arrays(panel(spark, sf, key)), "eval")
+    p = category_panel(spark, sf) if key == "category" else panel(spark, sf, key)
+    return FC.fit_frame(FC.series_arrays(p), "eval")
 
 
 @register("fc_baseline", _fc_sql("panel_all_c"), "panel_all_c")
@@ -307,3 +328,23 @@ def pacf(spark, sf):
     """O-8.5: Yule-Walker PACF (Levinson-Durbin over the ACF, lags < n/2)."""
     from ..operators import stationarity as ST
     return ST.pacf(TS.acf_raw(panel(spark, sf), 24), 20)
+
+
+@register("monthly_revenue_by_category", """
+    SELECT series, period, y::DOUBLE AS revenue, orders FROM panel_category_c""", "panel_category_c")
+def monthly_revenue_by_category(spark, sf):
+    return category_panel(spark, sf).select("series", "period", F.col("y").cast("double").alias("revenue"), "orders")
+
+
+@register("fc_baseline_metrics_by_category", _metrics_sql("panel_category_c"), "panel_category_c")
+def fc_baseline_metrics_by_category(spark, sf):
+    """Declared product forecast, per category: holdout metrics of the fold models."""
+    return FC.metrics(FC.forecasts(_eval_frame(spark, sf, "category"), BASELINE))
+
+
+@register("fc_final_by_category")
+def fc_final_by_category(spark, sf):
+    """Declared 3-month product forecast, per category, with model selection."""
+    arr = FC.series_arrays(category_panel(spark, sf))
+    sel = FC.select_model(FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval"))))
+    return FC.final_forecast(FC.forecasts(FC.fit_frame(arr, "final")), sel)
