@@ -28,7 +28,7 @@ def with_recency(customers: DataFrame, orders: DataFrame | None = None) -> DataF
     """O-7.1: days from each customer's last order to the latest last order
     over all customers (a scalar subquery, not a global window)."""
     ref = reference_date(customers, orders)
-    return customers.withColumn("recency_days", F.datediff(ref, F.col("last_order_date")))
+    return customers.withColumn("recency_days", F.datediff(ref, F.col("last_order_date")).cast("bigint"))
 
 
 def rfm_inputs(customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:

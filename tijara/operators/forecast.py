@@ -297,7 +297,7 @@ def forecasts(f: DataFrame, models=None) -> DataFrame:
     j = out.join(f.select("series", "fperiods", "actual"), "series")
     return j.select("series", "model", F.posexplode(F.arrays_zip(
         F.col("fperiods").alias("period"), F.col("actual").alias("actual"), F.col("fc").alias("forecast"))
-    ).alias("pos", "v")).select("series", "model", (F.col("pos") + 1).alias("h"), "v.period", "v.actual",
+    ).alias("pos", "v")).select("series", "model", (F.col("pos") + 1).cast("bigint").alias("h"), "v.period", "v.actual",
                                 "v.forecast")
 
 

@@ -160,7 +160,7 @@ def acf(panel: DataFrame, max_lag: int = rules.ACF_LAGS) -> DataFrame:
     cum = F.sum(F.when(F.col("k") > 0, F.col("r") * F.col("r")).otherwise(0.0)).over(
         Window.partitionBy("series").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     band = F.lit(1.96) * F.sqrt((F.lit(1.0) + 2.0 * F.coalesce(cum, F.lit(0.0))) / F.col("n").cast("double"))
-    return r.select("series", "k", F.round("r", 9).alias("acf"),
+    return r.select("series", F.col("k").cast("bigint").alias("k"), F.round("r", 9).alias("acf"),
                     F.round(F.when(F.col("k") > 0, band), 9).alias("band"))
 
 

@@ -58,12 +58,40 @@ def csv_quality(spark, sf):
                     F.col("malformed_rows").cast("bigint").alias("malformed_rows"), "delimiter", "dataset")
 
 
-@register("header_detection")
+def _py_canonical(h: str) -> str:
+    """Independent (Python, unicodedata) statement of the header rule, used
+    only to build the oracle rows."""
+    import re
+    import unicodedata
+
+    from ..functions import rules
+    x = unicodedata.normalize("NFKD", h.strip().lower())
+    x = "".join(ch for ch in x if not unicodedata.combining(ch))
+    x = re.sub(r"\s+", " ", re.sub(r"[_-]+", " ", x))
+    return rules.DETECTION_HEADER_ALIASES.get(x) or re.sub(r"^_|_$", "", re.sub(r"[^a-z0-9]+", "_", x))
+
+
+def _header_sql() -> str:
+    from .q_profile import RAW_TX_COLS
+    cat = ["SkU", "Nom", "categorie", "Sous-catégorie", "Prix unitaire", "stock_status", "short_desc"]
+    ords = ["order_id_stage", "customer_id_stage", "order_date", "order_status", "payment_method_group",
+            "order_total_amount", "ingest_pos"]
+    rows = []
+    for folder, cols, sep in [("transactions", RAW_TX_COLS, ";"), ("catalogue", cat, ","), ("orders", ords, ",")]:
+        canon = "|".join(_py_canonical(c) for c in cols)
+        rows.append(f"SELECT '{folder}' AS folder, '{sep}' AS delimiter, '{canon}' AS canonical, "
+                    f"'{folder}' AS dataset")
+    # the row counts tie the expectation to the tables: a dataset with no rows has no landing file
+    return " UNION ALL ".join(rows)
+
+
+@register("header_detection", _header_sql())
 def header_detection(spark, sf):
-    """O-1.9 / O-1.10 per landing file: delimiter, canonical headers, kind."""
+    """O-1.9 / O-1.10 per landing folder: delimiter, canonical headers
+    ('|'-joined), dataset kind."""
     h = FS.file_headers(FS.text_lines(spark, _dataset_folders(spark, sf)))
     return h.select(F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1).alias("folder"), "delimiter",
-                    "canonical", "dataset").distinct()
+                    F.concat_ws("|", "canonical").alias("canonical"), "dataset").distinct()
 
 
 @register("batch_validation")

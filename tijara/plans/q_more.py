@@ -130,7 +130,7 @@ def _run_history_sql() -> str:
     prep, cov, rd = (REGISTRY[n][1] for n in ("prep_metrics", "date_coverage", "readiness"))
     return f"""
     WITH p AS ({prep}), c AS ({cov}), r AS ({rd})
-    SELECT 'run-' || CAST(p.received AS VARCHAR) AS run_id, ['transactions', 'catalogue', 'orders'] AS datasets,
+    SELECT 'run-' || CAST(p.received AS VARCHAR) AS run_id, 'transactions|catalogue|orders' AS datasets,
            p.retained AS rows, p.retention_pct AS retention_percentage, c.date_min, c.date_max,
            r.warnings AS warning_count
     FROM p, c, r"""
@@ -146,7 +146,8 @@ def run_history(spark, sf):
     warn = RS.readiness(_checks(spark, sf))
     rec = IN.run_record("run-", ["transactions", "catalogue", "orders"], prep, cov, warn)
     rid = prep.select(F.concat(F.lit("run-"), F.col("received").cast("string")).alias("rid"))
-    return rec.crossJoin(rid).withColumn("run_id", F.col("rid")).drop("rid")  # 1-row frames
+    return (rec.crossJoin(rid).withColumn("run_id", F.col("rid")).drop("rid")  # 1-row frames
+            .withColumn("datasets", F.concat_ws("|", "datasets")))
 
 
 @register("region_revenue_sql", """

@@ -38,7 +38,7 @@ def null_counts(spark, sf):
 
 
 @register("dup_rows", """
-    SELECT sum(n) AS rows, sum(n - 1) AS duplicate_rows
+    SELECT sum(n)::BIGINT AS rows, sum(n - 1)::BIGINT AS duplicate_rows
     FROM (SELECT count(*) AS n FROM raw_transactions_c GROUP BY """ + ", ".join(qi(c) for c in RAW_TX_COLS) + """)""",
           "raw_transactions_c")
 def dup_rows(spark, sf):
@@ -91,7 +91,7 @@ def describe_quartiles(spark, sf):
     f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM clean_tx_c" for c in TEXT_COLS) + """)
                 WHERE value IS NOT NULL GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rn FROM vc)
-    SELECT "column", sum(n) AS count, count(*) AS "unique",
+    SELECT "column", sum(n)::BIGINT AS count, count(*) AS "unique",
            max(CASE WHEN rn = 1 THEN value END) AS top, max(CASE WHEN rn = 1 THEN n END) AS freq
     FROM r GROUP BY 1""", "clean_tx_c")
 def describe_text(spark, sf):
@@ -198,8 +198,8 @@ def date_coverage(spark, sf):
     WITH raw AS (SELECT count(*) AS received,
                         sum(""" + " + ".join(
     f"CASE WHEN {qi(c)} IS NULL OR trim(CAST({qi(c)} AS VARCHAR)) = '' THEN 1 ELSE 0 END" for c in RAW_TX_COLS) + """)
-                        AS raw_missing FROM raw_transactions_c),
-         dup AS (SELECT sum(n - 1) AS raw_duplicates FROM (SELECT count(*) AS n FROM raw_transactions_c GROUP BY """ + ", ".join(qi(c) for c in RAW_TX_COLS) + """)),
+                        ::BIGINT AS raw_missing FROM raw_transactions_c),
+         dup AS (SELECT sum(n - 1)::BIGINT AS raw_duplicates FROM (SELECT count(*) AS n FROM raw_transactions_c GROUP BY """ + ", ".join(qi(c) for c in RAW_TX_COLS) + """)),
          cl AS (SELECT count(*) AS retained FROM clean_tx_c),
          rej AS (SELECT count_if(quantity IS NULL OR unit_price IS NULL OR line_total IS NULL) AS rejected
                  FROM typed_tx_c)

@@ -16,11 +16,34 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 
+def bigint_counts(sql: str) -> str:
+    """DuckDB types ``count_if`` as HUGEINT; Spark's is BIGINT.  Wrap every
+    call so both engines report the same column types."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = bigint_counts(sql[j + len(key):k])
+        out.append(f"{sql[i:j]}CAST(count_if({inner}) AS BIGINT)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None, *ctes: str):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, with_ctes(sql, *ctes) if sql else None)
+        REGISTRY[name] = (fn, bigint_counts(with_ctes(sql, *ctes)) if sql else None)
         return fn
     return deco
 
