@@ -53,3 +53,14 @@ def test_raw_exports_carry_the_defects(spark):
     assert rt.filter(F.col("quantity").isNull()).count() > 0
     assert rt.count() > rt.distinct().count()
     assert rt.filter(F.col("Code Client").rlike(r"^CLT_S\d{5}$")).count() > 0
+
+
+def test_duplicate_occurrences_hot_group(spark):
+    from tijara.operators import profile as PR
+    # one identical row holds a third of the table, spread over many partitions
+    rows = [("hot", 1)] * 3000 + [(f"r{i}", i) for i in range(6000)] + [("twice", 7), ("twice", 7)]
+    df = spark.createDataFrame(rows, "a string, b int").repartition(16)
+    occ = PR.duplicate_occurrences(df)
+    got = {(r.a, r.occurrence) for r in occ.collect()}
+    assert got == {("hot", k) for k in range(2, 3001)} | {("twice", 2)}
+    assert occ.count() == len(got)
