@@ -5,20 +5,16 @@ O-4.9, O-5.10, O-8.16, O-12.2, O-12.9, O-12.17)."""
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import functions as F
 
 from ..operators import forecast as FC
-from ..operators import regions as R
 from ..operators import results as RS
 from ..operators import timeseries as TS
 from . import canonical as K
 from .q_cleaning import clean_tx
 from .q_profile import prep_metrics as _prep_metrics_q
 from .q_profile import date_coverage as _coverage_q
-from .q_results import _checks, readiness as _readiness_q  # noqa: F401
+from .q_results import _checks
 from .q_time import panel
 from ..functions import rules
 from .oracle import q as oq
@@ -169,7 +165,7 @@ def region_revenue_sql(spark, sf):
         GROUP BY c.region""")
 
 
-_ = (R, hashlib, os)
+
 
 
 @register("realized_status_check", f"""
@@ -192,7 +188,6 @@ def realized_status_check(spark, sf):
 def drilldown_region_types(spark, sf):
     """O-12.18: customer-type metrics for one selected region (the first
     region by name), computed as an aggregate result then filtered."""
-    from ..operators import clients as CLI
     c = K.canon(spark, sf)
     og = K.orders_with_customer(c.t, K.realized(c.get("orders")))
     per = (og.filter(F.col("customer_type").isNotNull())
@@ -200,5 +195,4 @@ def drilldown_region_types(spark, sf):
            .agg(F.countDistinct("customer_id").alias("customers"),
                 F.sum("order_total_amount").cast("double").alias("revenue"), F.count("order_id").alias("orders")))
     first = og.agg(F.min("region")).scalar()
-    _ = CLI
-    return per.filter(F.col("region") == first)
+    return RS.drill_down(per.withColumn("_sel", F.col("region") == first), _sel=True).drop("_sel")

@@ -25,7 +25,17 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DRIVER_TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(table_path(self.sf_dir, name))
+        # One relation per (session, path): the file listing of a large table
+        # happens once per session instead of once per query.
+        key = (id(self.spark), table_path(self.sf_dir, name))
+        df = _relations.get(key)
+        if df is None:
+            df = self.spark.read.parquet(key[1])
+            _relations[key] = df
+        return df
+
+
+_relations: dict[tuple[int, str], DataFrame] = {}
 
 
 _bound_checked: dict[tuple[int, str], bool] = {}
