@@ -152,8 +152,13 @@ def validate_batch(headers: DataFrame, quality: DataFrame) -> DataFrame:
     return j.select((err.isNull()).alias("valid"), err.alias("error"), "files")
 
 
+# FIXED VALUES: the text tokens pandas' CSV reader treats as missing by default.
+PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def read_raw_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",",
-                 null_tokens=("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None")) -> DataFrame:
+                 null_tokens=PANDAS_NA_TOKENS) -> DataFrame:
     """O-1.1: all-string CSV scan with header, quotes, permissive mode and a
     corrupt-record column; pandas-like null tokens become null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
@@ -162,7 +167,8 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[str], sep: str =
           .option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    return df.withColumns({c: F.when(F.trim(F.col(f"`{c}`")).isin(*null_tokens), F.lit(None))
+    # pandas compares the whole cell (no trimming) with the token list
+    return df.withColumns({c: F.when(F.col(f"`{c}`").isin(*null_tokens), F.lit(None))
                            .otherwise(F.col(f"`{c}`")) for c in columns})
 
 
