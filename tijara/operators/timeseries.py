@@ -69,16 +69,11 @@ def revenue_trend(orders: DataFrame, granularity: str = "monthly", start=None, e
     """O-12.2 (+ O-4.9): revenue and orders per day / ISO week (Monday) /
     month, with ``is_partial`` when the period ends after the last order."""
     d = F.col("order_date").cast("date")
-    if granularity == "daily":
-        period, last_day = d, d
-    elif granularity == "weekly":
-        period = F.date_trunc("week", F.col("order_date")).cast("date")
-        last_day = F.date_add(period, 6)
-    elif granularity == "monthly":
-        period = F.trunc(d, "MM")
-        last_day = F.last_day(period)
-    else:
+    periods = {"daily": d, "weekly": F.date_trunc("week", F.col("order_date")).cast("date"),
+               "monthly": F.trunc(d, "MM")}
+    if granularity not in periods:
         raise ValueError(f"granularity {granularity!r}")
+    period = periods[granularity]
     o = orders
     if start is not None:
         o = o.filter(d >= F.lit(start).cast("date"))
@@ -89,7 +84,6 @@ def revenue_trend(orders: DataFrame, granularity: str = "monthly", start=None, e
                                               F.count("*").alias("orders"))
     pend = {"daily": F.col("period"), "weekly": F.date_add("period", 6),
             "monthly": F.last_day("period")}[granularity]
-    _ = last_day
     return g.withColumn("is_partial", pend > through)
 
 

@@ -8,7 +8,7 @@ from ..functions import cleaning as C
 from ..functions import rules
 from ..operators import cleaning as CL
 from . import canonical as K
-from .oracle import CTES, free_shipping_sql, payment_label_sql, q, shipping_class_sql
+from .oracle import CTES, free_shipping_sql, payment_label_sql, shipping_class_sql
 from .q_products import norm_sql
 from .registry import register
 
@@ -258,5 +258,3 @@ def enrich_lines(spark, sf):
                  F.count_if(F.col("subcategory") == "Unknown").alias("unknown_subcategory"),
                  F.count_if("has_negative_price").alias("has_negative_price"))
 
-
-_ = q  # re-exported helper kept for query modules
