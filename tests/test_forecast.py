@@ -118,3 +118,21 @@ def test_quantile_sketch_rank_error(spark, n):
     for p, got in zip(PR.QUARTILES, (q.p25, q.p50, q.p75)):
         rank = np.searchsorted(s, got, side="right")
         assert abs(rank - math.ceil(p * n)) <= max(1, n / PR.QUANTILE_ACCURACY) + 1
+
+
+def test_ses_initial_level_is_the_sse_minimizer(spark):
+    ys = [10.0, 12.0, 9.0, 14.0, 13.0, 15.0, 11.0, 16.0]
+    df = spark.createDataFrame([(ys,)], "ys array<double>")
+
+    def sse(alpha, l0):
+        lev, s = l0, 0.0
+        for y in ys:
+            s += (y - lev) ** 2
+            lev = alpha * y + (1 - alpha) * lev
+        return s, lev
+    for a in (0.2, 0.6):
+        st = df.select(FC.ses_fit(F.col("ys"), F.lit(a)).alias("s")).first().s
+        grid = np.linspace(0, 30, 30001)
+        best = min(grid, key=lambda l0: sse(a, l0)[0])
+        assert st.sse <= sse(a, best)[0] + 1e-9
+        assert math.isclose(st.sse, sse(a, best)[0], rel_tol=1e-6)

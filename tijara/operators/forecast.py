@@ -8,8 +8,9 @@ row runs one sequential fold (``aggregate``) over its series.  Folds are
 sequential, so sums do not depend on partitioning.
 
 Deviations from the source's library fits, by design (SURVEY §7.9):
-SES searches alpha on a 0.01 grid with l_1 = y_1; ARIMA minimizes the
-conditional sum of squares on a grid plus one refinement round.
+SES searches alpha on a 0.01 grid refined to 0.001 (the initial level is
+estimated exactly for every alpha); ARIMA minimizes the conditional sum of
+squares on a grid plus one refinement round.
 """
 
 from __future__ import annotations
@@ -85,21 +86,56 @@ def fc_drift(f: DataFrame) -> DataFrame:
 
 
 def ses_level(ys: Column, alpha: Column) -> Column:
-    """Fold: l_1 = y_1; e_t = y_t - l_{t-1}; l_t = a*y_t + (1-a)*l_{t-1}."""
+    """Fold with l_1 = y_1 (kept for reference and tests):
+    e_t = y_t - l_{t-1}; l_t = a*y_t + (1-a)*l_{t-1}."""
     init = F.struct(F.element_at(ys, 1).alias("l"), F.lit(0.0).alias("sse"))
     return F.aggregate(F.slice(ys, 2, F.size(ys) - 1), init, lambda acc, y: F.struct(
         (alpha * y + (F.lit(1.0) - alpha) * acc["l"]).alias("l"),
         (acc["sse"] + (y - acc["l"]) * (y - acc["l"])).alias("sse")))
 
 
-def fc_ses(f: DataFrame) -> DataFrame:
-    """O-8.11: alpha in {0.01 .. 0.99} minimizing the one-step squared error
-    (smallest alpha on ties); flat forecast at the final level."""
-    g = f.select("series", "H", "train", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("k"))
-    g = g.withColumn("alpha", F.col("k").cast("double") / 100.0)
-    g = g.withColumn("st", ses_level(F.col("train"), F.col("alpha")))
-    best = g.groupBy("series", "H").agg(F.min_by(F.struct("alpha", F.col("st.l").alias("l")),
+def ses_fit(ys: Column, alpha: Column) -> Column:
+    """SES with an estimated initial level, in one fold.
+
+    With l_0 free, every level is linear in it: l_{t-1} = a_t + b_t * l_0
+    (a_1 = 0, b_1 = 1; a_{t+1} = alpha*y_t + (1-alpha)*a_t, b_{t+1} = (1-alpha)*b_t).
+    The one-step errors e_t = y_t - l_{t-1} give an SSE quadratic in l_0, so
+    the fold carries sum (y-a)^2, sum b*(y-a), sum b^2 and the optimum is closed
+    form: l_0 = Sby / Sbb, SSE = Syy - Sby^2 / Sbb, final level a + b*l_0."""
+    one = F.lit(1.0)
+    init = F.struct(F.lit(0.0).alias("a"), one.alias("b"), F.lit(0.0).alias("syy"),
+                    F.lit(0.0).alias("sby"), F.lit(0.0).alias("sbb"))
+
+    def step(acc, y):
+        d = y - acc["a"]
+        return F.struct((alpha * y + (one - alpha) * acc["a"]).alias("a"), ((one - alpha) * acc["b"]).alias("b"),
+                        (acc["syy"] + d * d).alias("syy"), (acc["sby"] + acc["b"] * d).alias("sby"),
+                        (acc["sbb"] + acc["b"] * acc["b"]).alias("sbb"))
+    st = F.aggregate(ys, init, step)
+    l0 = st["sby"] / st["sbb"]
+    return F.struct((st["syy"] - st["sby"] * st["sby"] / st["sbb"]).alias("sse"),
+                    (st["a"] + st["b"] * l0).alias("l"))
+
+
+def _ses_best(frame: DataFrame) -> DataFrame:
+    g = frame.withColumn("st", ses_fit(F.col("train"), F.col("alpha")))
+    return g.groupBy("series", "H").agg(F.min_by(F.struct("k", "alpha", F.col("st.l").alias("l"), F.col("st.sse").alias("sse")),
                                                  F.struct(F.col("st.sse"), F.col("alpha"))).alias("b"))
+
+
+def fc_ses(f: DataFrame) -> DataFrame:
+    """O-8.11: alpha on a 0.01 grid, then a 0.001 refinement round around the
+    best, with the initial level estimated in closed form for every alpha;
+    smallest SSE wins (smaller alpha on ties); flat forecast at the final level."""
+    base = f.select("series", "H", "train")
+    coarse = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("k")) \
+        .withColumn("alpha", F.col("k").cast("double") / 100.0)
+    best_c = _ses_best(coarse)
+    fine = (base.join(best_c.select("series", F.col("b.k").alias("kc")), "series")
+            .select("series", "H", "train", F.explode(F.sequence(F.col("kc") * 10 - 9, F.col("kc") * 10 + 9)).alias("k"))
+            .filter((F.col("k") >= 1) & (F.col("k") <= 999))
+            .withColumn("alpha", F.col("k").cast("double") / 1000.0))
+    best = _ses_best(fine)
     return best.select("series", F.lit("SES").alias("model"), F.array_repeat(F.col("b.l"), F.col("H")).alias("fc"))
 
 

@@ -136,9 +136,9 @@ def _decomp_sql(panel_cte: str, model: str) -> str:
                      + lead(y, 6) OVER w)::DOUBLE / 24.0 AS trend, (i - 1) % 12 AS pos
           FROM p WHERE n >= 24 WINDOW w AS (PARTITION BY series ORDER BY i)),
     d AS (SELECT *, {d} AS dd FROM t),
-    sp AS (SELECT series, pos, list_reduce(list(dd ORDER BY i), lambda a, x: a + x, 0.0) / count(*)::DOUBLE AS s
+    sp AS (SELECT series, pos, list_reduce(list(dd ORDER BY i), lambda a, x: a + x, 0.0::DOUBLE) / count(*)::DOUBLE AS s
            FROM d WHERE dd IS NOT NULL GROUP BY 1, 2),
-    sm AS (SELECT series, list_reduce(list(s ORDER BY pos), lambda a, x: a + x, 0.0) / count(*)::DOUBLE AS m
+    sm AS (SELECT series, list_reduce(list(s ORDER BY pos), lambda a, x: a + x, 0.0::DOUBLE) / count(*)::DOUBLE AS m
            FROM sp GROUP BY 1),
     ss AS (SELECT series, pos, {s} AS seasonal FROM sp JOIN sm USING (series))
     SELECT series, period, y::DOUBLE AS y, trend, seasonal, {r} AS resid
@@ -201,27 +201,38 @@ def _fit_sql(panel_cte: str) -> str:
                  list_transform(s[fit_len + 1:fit_len + n_test], lambda x: x.y) AS actual
           FROM f0 WHERE n_test > 0 AND fit_len >= 2),
     fh AS (SELECT *, unnest(range(1, n_test + 1)) AS h FROM f),
-    ses AS (SELECT series, arg_min(l, struct_pack(sse := sse, alpha := alpha)) AS l FROM (
-              SELECT series, alpha, st.l AS l, st.sse AS sse FROM (
-                SELECT series, alpha, list_reduce(train[2:], lambda acc, y: struct_pack(
-                         l := alpha * y + (1.0 - alpha) * acc.l, sse := acc.sse + (y - acc.l) * (y - acc.l)),
-                       struct_pack(l := train[1], sse := 0.0)) AS st
-                FROM (SELECT series, train, unnest(range(1, 100))::DOUBLE / 100.0 AS alpha FROM f)))
-            GROUP BY 1),
+    sesg AS (SELECT series, train, k, alpha, list_reduce(train, lambda acc, y: struct_pack(
+                 a := alpha * y + (1.0 - alpha) * acc.a, b := (1.0 - alpha) * acc.b,
+                 syy := acc.syy + (y - acc.a) * (y - acc.a), sby := acc.sby + acc.b * (y - acc.a),
+                 sbb := acc.sbb + acc.b * acc.b),
+               struct_pack(a := 0.0::DOUBLE, b := 1.0::DOUBLE, syy := 0.0::DOUBLE, sby := 0.0::DOUBLE, sbb := 0.0::DOUBLE)) AS st
+             FROM (SELECT series, train, k, k::DOUBLE / 100.0 AS alpha FROM f, range(1, 100) r(k))),
+    sesc AS (SELECT series, arg_min(k, struct_pack(sse := st.syy - st.sby * st.sby / st.sbb, alpha := alpha)) AS kc
+             FROM sesg GROUP BY 1),
+    sesf AS (SELECT series, alpha, list_reduce(train, lambda acc, y: struct_pack(
+                 a := alpha * y + (1.0 - alpha) * acc.a, b := (1.0 - alpha) * acc.b,
+                 syy := acc.syy + (y - acc.a) * (y - acc.a), sby := acc.sby + acc.b * (y - acc.a),
+                 sbb := acc.sbb + acc.b * acc.b),
+               struct_pack(a := 0.0::DOUBLE, b := 1.0::DOUBLE, syy := 0.0::DOUBLE, sby := 0.0::DOUBLE, sbb := 0.0::DOUBLE)) AS st
+             FROM (SELECT series, train, k::DOUBLE / 1000.0 AS alpha
+                   FROM f JOIN sesc USING (series), range(1, 1000) r(k) WHERE k BETWEEN kc * 10 - 9 AND kc * 10 + 9)),
+    ses AS (SELECT series, arg_min(st.a + st.b * (st.sby / st.sbb),
+                                   struct_pack(sse := st.syy - st.sby * st.sby / st.sbb, alpha := alpha)) AS l
+            FROM sesf GROUP BY 1),
     z AS (SELECT series, n_test, ln(train[-1]) AS x_n,
                  list_transform(range(2, fit_len + 1), lambda t: ln(train[t]) - ln(train[t - 1])) AS z
           FROM f WHERE list_bool_and(list_transform(train, lambda y: y > 0))),
     a110 AS (SELECT series, n_test, x_n, z, sums.num / nullif(sums.den, 0.0) AS phi FROM (
                SELECT *, list_reduce(range(2, len(z) + 1), lambda a, t: struct_pack(
                         num := a.num + z[t] * z[t - 1], den := a.den + z[t - 1] * z[t - 1]),
-                      struct_pack(num := 0.0, den := 0.0)) AS sums FROM z WHERE len(z) >= 2)),
+                      struct_pack(num := 0.0::DOUBLE, den := 0.0::DOUBLE)) AS sums FROM z WHERE len(z) >= 2)),
     a110f AS (SELECT series, list_reduce(range(1, n_test + 1), lambda s, h: struct_pack(
                    z1 := phi * s.z1, x := s.x + phi * s.z1, out := list_append(s.out, exp(s.x + phi * s.z1))),
                  struct_pack(z1 := z[-1], x := x_n, out := []::DOUBLE[])).out AS fc
               FROM a110 WHERE phi IS NOT NULL),
     fc AS (
       SELECT series, 'Average' AS model, h, fperiods[h] AS period, actual[h] AS actual,
-             list_reduce(train, lambda a, y: a + y, 0.0) / fit_len::DOUBLE AS forecast FROM fh
+             list_reduce(train, lambda a, y: a + y, 0.0::DOUBLE) / fit_len::DOUBLE AS forecast FROM fh
       UNION ALL
       SELECT series, 'Naive', h, fperiods[h], actual[h], train[-1] FROM fh
       UNION ALL
