@@ -278,16 +278,19 @@ _ARIMA_SPECS = {"ARIMA(1,1,1)": (1, 19, 20.0, 100.0), "ARIMA(2,1,1)": (2, 9, 10.
 
 def _arima_batches(names: list[str]):
     def run(batches):
+        import math
+
         import numpy as np
         import pandas as pd
         for pdf in batches:
             rows = []
             for series, h, train in zip(pdf["series"], pdf["H"], pdf["train"]):
-                y = np.asarray(train, dtype=float)
-                if len(y) < 2 or not np.all(y > 0):
+                y = [float(v) for v in train]
+                if len(y) < 2 or not all(v > 0 for v in y):
                     continue
-                x = np.log(y)
-                z = np.diff(x)
+                # scalar C-library log per value (same rounding as SQL engines)
+                x = np.array([math.log(v) for v in y])
+                z = np.array([x[t] - x[t - 1] for t in range(1, len(x))])
                 for name in names:
                     p, half, div, fine = _ARIMA_SPECS[name]
                     if len(z) <= p:

@@ -107,10 +107,20 @@ def region_map(spark, sf):
                     "geography_status"))
 
 
-@register("forecast_history")
+def _history_sql() -> str:
+    from .q_time import _fit_sql, _metrics_cte
+    return f"""WITH {_fit_sql('panel_all_c', 'eval', 'e_')},{_metrics_cte('e_')},{_fit_sql('panel_all_c', 'final', 'f_')},
+    fin AS (SELECT fc.series, fc.model, fc.period, round(fc.forecast, 4) AS forecast
+            FROM f_fc fc JOIN e_sel USING (series, model))
+    SELECT u.*, 'lowest holdout MAE: ' || s.model AS reason FROM (
+      SELECT series, period, 'actual' AS kind, NULL::VARCHAR AS model, y::DOUBLE AS value FROM panel_all_c
+      UNION ALL SELECT series, period, 'forecast', model, forecast FROM fin) u LEFT JOIN e_sel s USING (series)"""
+
+
+@register("forecast_history", _history_sql(), "panel_all_c")
 def forecast_history(spark, sf):
     """O-12.9: monthly history plus the selected model's 3-month forecast, with
-    the selection reason (rows-only: depends on the ARIMA grid models)."""
+    the selection reason."""
     p = panel(spark, sf)
     arr = FC.series_arrays(p)
     sel = FC.select_model(FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import forecast as FC
 from ..operators import timeseries as TS
 from . import canonical as K
@@ -189,77 +190,172 @@ def acf_by_region(spark, sf):
 
 # ---------------------------------------------------------------- forecasts
 
-def _fit_sql(panel_cte: str) -> str:
+_SES_FOLD = """list_reduce(train, lambda acc, y: struct_pack(
+                 a := alpha * y + (1.0 - alpha) * acc.a, b := (1.0 - alpha) * acc.b,
+                 syy := acc.syy + (y - acc.a) * (y - acc.a), sby := acc.sby + acc.b * (y - acc.a),
+                 sbb := acc.sbb + acc.b * acc.b),
+               struct_pack(a := 0.0::DOUBLE, b := 1.0::DOUBLE, syy := 0.0::DOUBLE, sby := 0.0::DOUBLE,
+                           sbb := 0.0::DOUBLE))"""
+
+# (p, coarse half-range, coarse divisor, fine divisor) -- same grids as operators/forecast.py
+_MA = {"ARIMA(1,1,1)": ("a111", 1, 19, 20.0, 100.0), "ARIMA(2,1,1)": ("a211", 2, 9, 10.0, 50.0)}
+
+
+def _ma_sql(px: str, model: str) -> str:
+    tag, p, half, div, fine = _MA[model]
+    ratio, lim = int(round(fine / div)), int(round(fine)) - 1
+    lag2 = "phi2 * z[t - 2]" if p >= 2 else "0.0"
+    err = f"(z[t] - phi1 * z[t - 1] - {lag2} - theta * acc.e)"
+    fold = (f"list_reduce(range({p + 1}, len(z) + 1), lambda acc, t: struct_pack(e := {err}, "
+            f"sse := acc.sse + {err} * {err}), struct_pack(e := 0.0::DOUBLE, sse := 0.0::DOUBLE))")
+    cons = "(phi2 + phi1) < 1 AND (phi2 - phi1) < 1 AND phi2 > -1" if p >= 2 else "TRUE"
+    k2 = f"range(-{half}, {half + 1})" if p >= 2 else "range(0, 1)"
+    j2 = f"range(-{ratio - 1}, {ratio})" if p >= 2 else "range(0, 1)"
+    key = "struct_pack(sse := st.sse, phi1 := phi1, phi2 := phi2, theta := theta)"
     return f"""
-    arr AS (SELECT series, list(struct_pack(period := period, y := y::DOUBLE) ORDER BY period) AS s,
-                   count(*)::INT AS n FROM {panel_cte} GROUP BY 1),
-    f0 AS (SELECT series, s, n - CAST(floor(n::DOUBLE * 0.2) AS INT) AS fit_len,
-                  CAST(floor(n::DOUBLE * 0.2) AS INT) AS n_test FROM arr),
-    f AS (SELECT series, fit_len, n_test, s[1:fit_len] AS train_s,
+    {px}{tag}g AS (SELECT * FROM (SELECT series, z, k1, k2, kt, k1::DOUBLE / {div} AS phi1, k2::DOUBLE / {div} AS phi2,
+                                         kt::DOUBLE / {div} AS theta
+                                  FROM {px}z, range(-{half}, {half + 1}) a(k1), {k2} b(k2), range(-{half}, {half + 1}) c(kt)
+                                  WHERE len(z) > {p}) WHERE {cons}),
+    {px}{tag}c AS (SELECT series, arg_min(struct_pack(k1 := k1, k2 := k2, kt := kt), {key}) AS kb
+                   FROM (SELECT *, {fold} AS st FROM {px}{tag}g) GROUP BY 1),
+    {px}{tag}fg AS (SELECT * FROM (
+                     SELECT series, z, k1, k2, kt, k1::DOUBLE / {fine} AS phi1, k2::DOUBLE / {fine} AS phi2,
+                            kt::DOUBLE / {fine} AS theta
+                     FROM (SELECT z0.series, z0.z, kb.k1 * {ratio} + j1 AS k1, kb.k2 * {ratio} + j2 AS k2,
+                                  kb.kt * {ratio} + jt AS kt
+                           FROM {px}z z0 JOIN {px}{tag}c USING (series), range(-{ratio - 1}, {ratio}) a(j1), {j2} b(j2),
+                                range(-{ratio - 1}, {ratio}) c(jt))
+                     WHERE abs(k1) <= {lim} AND abs(k2) <= {lim} AND abs(kt) <= {lim}) WHERE {cons}),
+    {px}{tag}b AS (SELECT series, arg_min(struct_pack(phi1 := phi1, phi2 := phi2, theta := theta, e_n := st.e), {key}) AS b
+                   FROM (SELECT series, phi1, phi2, theta, {fold} AS st FROM {px}{tag}g
+                         UNION ALL SELECT series, phi1, phi2, theta, {fold} AS st FROM {px}{tag}fg) GROUP BY 1),
+    {px}{tag}f AS (SELECT series, list_reduce(range(1, n_test + 1), lambda s, h: struct_pack(
+                       z1 := b.phi1 * s.z1 + b.phi2 * s.z2 + CASE WHEN h = 1 THEN b.theta * b.e_n ELSE 0.0 END,
+                       z2 := s.z1,
+                       x := s.x + (b.phi1 * s.z1 + b.phi2 * s.z2 + CASE WHEN h = 1 THEN b.theta * b.e_n ELSE 0.0 END),
+                       out := list_append(s.out, exp(s.x + (b.phi1 * s.z1 + b.phi2 * s.z2
+                                                             + CASE WHEN h = 1 THEN b.theta * b.e_n ELSE 0.0 END)))),
+                     struct_pack(z1 := z[-1], z2 := CASE WHEN len(z) >= 2 THEN z[-2] ELSE 0.0::DOUBLE END,
+                                 x := x_n, out := []::DOUBLE[])).out AS fc
+                   FROM {px}z JOIN {px}{tag}b USING (series)),"""
+
+
+def _fit_sql(panel_cte: str, mode: str = "eval", px: str = "", models=None) -> str:
+    """CTEs (prefixed by ``px``) computing the long forecast table ``{px}fc``
+    of ``models`` for holdout evaluation (``eval``) or the 3-month refit
+    (``final``); the same folds, grids and tie-breaks as the Spark jobs."""
+    models = list(models or rules.MODEL_ORDER)
+    if mode == "eval":
+        frame = f"""
+    {px}f0 AS (SELECT series, s, n - CAST(floor(n::DOUBLE * 0.2) AS INT) AS fit_len,
+                  CAST(floor(n::DOUBLE * 0.2) AS INT) AS n_test FROM {px}arr),
+    {px}f AS (SELECT series, fit_len, n_test, s[1:fit_len] AS train_s,
                  list_transform(s[1:fit_len], lambda x: x.y) AS train,
                  list_transform(s[fit_len + 1:fit_len + n_test], lambda x: x.period) AS fperiods,
                  list_transform(s[fit_len + 1:fit_len + n_test], lambda x: x.y) AS actual
-          FROM f0 WHERE n_test > 0 AND fit_len >= 2),
-    fh AS (SELECT *, unnest(range(1, n_test + 1)) AS h FROM f),
-    sesg AS (SELECT series, train, k, alpha, list_reduce(train, lambda acc, y: struct_pack(
-                 a := alpha * y + (1.0 - alpha) * acc.a, b := (1.0 - alpha) * acc.b,
-                 syy := acc.syy + (y - acc.a) * (y - acc.a), sby := acc.sby + acc.b * (y - acc.a),
-                 sbb := acc.sbb + acc.b * acc.b),
-               struct_pack(a := 0.0::DOUBLE, b := 1.0::DOUBLE, syy := 0.0::DOUBLE, sby := 0.0::DOUBLE, sbb := 0.0::DOUBLE)) AS st
-             FROM (SELECT series, train, k, k::DOUBLE / 100.0 AS alpha FROM f, range(1, 100) r(k))),
-    sesc AS (SELECT series, arg_min(k, struct_pack(sse := st.syy - st.sby * st.sby / st.sbb, alpha := alpha)) AS kc
-             FROM sesg GROUP BY 1),
-    sesf AS (SELECT series, alpha, list_reduce(train, lambda acc, y: struct_pack(
-                 a := alpha * y + (1.0 - alpha) * acc.a, b := (1.0 - alpha) * acc.b,
-                 syy := acc.syy + (y - acc.a) * (y - acc.a), sby := acc.sby + acc.b * (y - acc.a),
-                 sbb := acc.sbb + acc.b * acc.b),
-               struct_pack(a := 0.0::DOUBLE, b := 1.0::DOUBLE, syy := 0.0::DOUBLE, sby := 0.0::DOUBLE, sbb := 0.0::DOUBLE)) AS st
-             FROM (SELECT series, train, k::DOUBLE / 1000.0 AS alpha
-                   FROM f JOIN sesc USING (series), range(1, 1000) r(k) WHERE k BETWEEN kc * 10 - 9 AND kc * 10 + 9)),
-    ses AS (SELECT series, arg_min(st.a + st.b * (st.sby / st.sbb),
+          FROM {px}f0 WHERE n_test > 0 AND fit_len >= 2),"""
+    else:
+        frame = f"""
+    {px}f0 AS (SELECT series, s, n AS fit_len, {rules.FORECAST_HORIZON} AS n_test FROM {px}arr),
+    {px}f AS (SELECT series, fit_len, n_test, s[1:fit_len] AS train_s,
+                 list_transform(s[1:fit_len], lambda x: x.y) AS train,
+                 list_transform(range(1, n_test + 1), lambda h: CAST(s[fit_len].period + to_months(h) AS DATE))
+                   AS fperiods,
+                 list_transform(range(1, n_test + 1), lambda h: NULL::DOUBLE) AS actual
+          FROM {px}f0 WHERE n_test > 0 AND fit_len >= 2),"""
+    parts = {
+        "Average": f"""SELECT series, 'Average' AS model, h, fperiods[h] AS period, actual[h] AS actual,
+             list_reduce(train, lambda a, y: a + y, 0.0::DOUBLE) / fit_len::DOUBLE AS forecast FROM {px}fh""",
+        "Naive": f"""SELECT series, 'Naive' AS model, h, fperiods[h] AS period, actual[h] AS actual,
+             train[-1] AS forecast FROM {px}fh""",
+        "Seasonal Naive": f"""SELECT series, 'Seasonal Naive' AS model, h, fperiods[h] AS period, actual[h] AS actual,
+             list_filter(train_s, lambda x: month(x.period) = month(fperiods[h]))[-1].y AS forecast FROM {px}fh""",
+        "Drift": f"""SELECT series, 'Drift' AS model, h, fperiods[h] AS period, actual[h] AS actual,
+             train[-1] + h::DOUBLE * ((train[-1] - train[1]) / (fit_len - 1)::DOUBLE) AS forecast FROM {px}fh""",
+        "SES": f"""SELECT series, 'SES' AS model, h, fperiods[h] AS period, actual[h] AS actual, {px}ses.l AS forecast
+             FROM {px}fh JOIN {px}ses USING (series)""",
+        "ARIMA(1,1,0)": f"""SELECT series, 'ARIMA(1,1,0)' AS model, h, fperiods[h] AS period, actual[h] AS actual,
+             {px}a110f.fc[h] AS forecast
+             FROM {px}fh JOIN {px}a110f USING (series)""",
+        "ARIMA(1,1,1)": f"""SELECT series, 'ARIMA(1,1,1)' AS model, h, fperiods[h] AS period, actual[h] AS actual,
+             {px}a111f.fc[h] AS forecast
+             FROM {px}fh JOIN {px}a111f USING (series)""",
+        "ARIMA(2,1,1)": f"""SELECT series, 'ARIMA(2,1,1)' AS model, h, fperiods[h] AS period, actual[h] AS actual,
+             {px}a211f.fc[h] AS forecast
+             FROM {px}fh JOIN {px}a211f USING (series)""",
+    }
+    ma = "".join(_ma_sql(px, m) for m in models if m in _MA)
+    union = "\n      UNION ALL\n      ".join(parts[m] for m in models)
+    return f"""
+    {px}arr AS (SELECT series, list(struct_pack(period := period, y := y::DOUBLE) ORDER BY period) AS s,
+                   count(*)::INT AS n FROM {panel_cte} GROUP BY 1),{frame}
+    {px}fh AS (SELECT *, unnest(range(1, n_test + 1)) AS h FROM {px}f),
+    {px}sesc AS (SELECT series, arg_min(k, struct_pack(sse := st.syy - st.sby * st.sby / st.sbb, alpha := alpha)) AS kc
+             FROM (SELECT series, k, alpha, {_SES_FOLD} AS st
+                   FROM (SELECT series, train, k, k::DOUBLE / 100.0 AS alpha FROM {px}f, range(1, 100) r(k)))
+             GROUP BY 1),
+    {px}ses AS (SELECT series, arg_min(st.a + st.b * (st.sby / st.sbb),
                                    struct_pack(sse := st.syy - st.sby * st.sby / st.sbb, alpha := alpha)) AS l
-            FROM sesf GROUP BY 1),
-    z AS (SELECT series, n_test, ln(train[-1]) AS x_n,
+            FROM (SELECT series, alpha, {_SES_FOLD} AS st
+                  FROM (SELECT series, train, k::DOUBLE / 1000.0 AS alpha
+                        FROM {px}f JOIN {px}sesc USING (series), range(1, 1000) r(k)
+                        WHERE k BETWEEN kc * 10 - 9 AND kc * 10 + 9))
+            GROUP BY 1),
+    {px}z AS (SELECT series, n_test, ln(train[-1]) AS x_n,
                  list_transform(range(2, fit_len + 1), lambda t: ln(train[t]) - ln(train[t - 1])) AS z
-          FROM f WHERE list_bool_and(list_transform(train, lambda y: y > 0))),
-    a110 AS (SELECT series, n_test, x_n, z, sums.num / nullif(sums.den, 0.0) AS phi FROM (
+          FROM {px}f WHERE list_bool_and(list_transform(train, lambda y: y > 0))),
+    {px}a110 AS (SELECT series, n_test, x_n, z, sums.num / nullif(sums.den, 0.0) AS phi FROM (
                SELECT *, list_reduce(range(2, len(z) + 1), lambda a, t: struct_pack(
                         num := a.num + z[t] * z[t - 1], den := a.den + z[t - 1] * z[t - 1]),
-                      struct_pack(num := 0.0::DOUBLE, den := 0.0::DOUBLE)) AS sums FROM z WHERE len(z) >= 2)),
-    a110f AS (SELECT series, list_reduce(range(1, n_test + 1), lambda s, h: struct_pack(
+                      struct_pack(num := 0.0::DOUBLE, den := 0.0::DOUBLE)) AS sums FROM {px}z WHERE len(z) >= 2)),
+    {px}a110f AS (SELECT series, list_reduce(range(1, n_test + 1), lambda s, h: struct_pack(
                    z1 := phi * s.z1, x := s.x + phi * s.z1, out := list_append(s.out, exp(s.x + phi * s.z1))),
                  struct_pack(z1 := z[-1], x := x_n, out := []::DOUBLE[])).out AS fc
-              FROM a110 WHERE phi IS NOT NULL),
-    fc AS (
-      SELECT series, 'Average' AS model, h, fperiods[h] AS period, actual[h] AS actual,
-             list_reduce(train, lambda a, y: a + y, 0.0::DOUBLE) / fit_len::DOUBLE AS forecast FROM fh
-      UNION ALL
-      SELECT series, 'Naive', h, fperiods[h], actual[h], train[-1] FROM fh
-      UNION ALL
-      SELECT series, 'Seasonal Naive', h, fperiods[h], actual[h],
-             list_filter(train_s, lambda x: month(x.period) = month(fperiods[h]))[-1].y FROM fh
-      UNION ALL
-      SELECT series, 'Drift', h, fperiods[h], actual[h],
-             train[-1] + h::DOUBLE * ((train[-1] - train[1]) / (fit_len - 1)::DOUBLE) FROM fh
-      UNION ALL
-      SELECT series, 'SES', h, fperiods[h], actual[h], ses.l FROM fh JOIN ses USING (series)
-      UNION ALL
-      SELECT series, 'ARIMA(1,1,0)', h, fperiods[h], actual[h], a110f.fc[h] FROM fh JOIN a110f USING (series))"""
+              FROM {px}a110 WHERE phi IS NOT NULL),{ma}
+    {px}fc AS (
+      {union})"""
+
+
+def _rank_sql(col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{m}' THEN {i}" for i, m in enumerate(rules.MODEL_ORDER)) + \
+        f" ELSE {len(rules.MODEL_ORDER)} END"
+
+
+def _metrics_cte(px: str) -> str:
+    return f"""
+    {px}m AS (SELECT series, model, round(avg(abs(actual - forecast)), 4) AS mae,
+                     round(sqrt(avg((actual - forecast) * (actual - forecast))), 4) AS rmse
+              FROM {px}fc GROUP BY 1, 2 HAVING count(forecast) = count(*)),
+    {px}sel AS (SELECT series, b.model AS model, b.mae AS mae, b.rmse AS rmse FROM (
+                  SELECT series, arg_min(struct_pack(model := model, mae := mae, rmse := rmse),
+                                         struct_pack(mae := mae, r := {_rank_sql('model')})) AS b
+                  FROM {px}m GROUP BY 1))"""
+
+
+def _final_sql(panel_cte: str) -> str:
+    """Selected model per series (holdout) joined to the refit forecasts."""
+    return f"""WITH {_fit_sql(panel_cte, 'eval', 'e_')},{_metrics_cte('e_')},{_fit_sql(panel_cte, 'final', 'f_')}
+    SELECT fc.series, fc.model, fc.h, fc.period, round(fc.forecast, 4) AS forecast
+    FROM f_fc fc JOIN e_sel USING (series, model)"""
 
 
 BASELINE = ["Average", "Naive", "Seasonal Naive", "Drift", "SES", "ARIMA(1,1,0)"]
 
 
-def _fc_sql(panel_cte: str) -> str:
-    return f"""WITH {_fit_sql(panel_cte)}
+def _fc_sql(panel_cte: str, models=None) -> str:
+    return f"""WITH {_fit_sql(panel_cte, models=models or BASELINE)}
     SELECT series, model, h, period, actual, round(forecast, 4) AS forecast FROM fc"""
 
 
-def _metrics_sql(panel_cte: str) -> str:
-    return f"""WITH {_fit_sql(panel_cte)}
-    SELECT series, model, round(avg(abs(actual - forecast)), 4) AS mae,
-           round(sqrt(avg((actual - forecast) * (actual - forecast))), 4) AS rmse
-    FROM fc GROUP BY 1, 2 HAVING count(forecast) = count(*)"""
+def _metrics_sql(panel_cte: str, models=None) -> str:
+    return f"""WITH {_fit_sql(panel_cte, models=models or BASELINE)},{_metrics_cte('')}
+    SELECT * FROM m"""
+
+
+def _select_sql(panel_cte: str) -> str:
+    return f"""WITH {_fit_sql(panel_cte)},{_metrics_cte('')}
+    SELECT * FROM sel"""
 
 
 def _eval_frame(spark, sf, key=None):
@@ -283,30 +379,30 @@ def fc_baseline_metrics_by_region(spark, sf):
     return FC.metrics(FC.forecasts(_eval_frame(spark, sf, "region"), BASELINE))
 
 
-@register("fc_arima_ma")
+@register("fc_arima_ma", _fc_sql("panel_all_c", ["ARIMA(1,1,1)", "ARIMA(2,1,1)"]), "panel_all_c")
 def fc_arima_ma(spark, sf):
     """ARIMA(1,1,1) and (2,1,1) holdout forecasts (CSS grid; NumPy per series)."""
     return FC.round_fc(FC.forecasts(_eval_frame(spark, sf), ["ARIMA(1,1,1)", "ARIMA(2,1,1)"]))
 
 
-@register("fc_metrics")
+@register("fc_metrics", _metrics_sql("panel_all_c", rules.MODEL_ORDER), "panel_all_c")
 def fc_metrics(spark, sf):
     """O-8.13 over all eight models."""
     return FC.metrics(FC.forecasts(_eval_frame(spark, sf)))
 
 
-@register("fc_select")
+@register("fc_select", _select_sql("panel_all_c"), "panel_all_c")
 def fc_select(spark, sf):
     """O-8.14: best model per series."""
     return FC.select_model(FC.metrics(FC.forecasts(_eval_frame(spark, sf))))
 
 
-@register("fc_select_by_region")
+@register("fc_select_by_region", _select_sql("panel_region_c"), "panel_region_c")
 def fc_select_by_region(spark, sf):
     return FC.select_model(FC.metrics(FC.forecasts(_eval_frame(spark, sf, "region"))))
 
 
-@register("fc_final")
+@register("fc_final", _final_sql("panel_all_c"), "panel_all_c")
 def fc_final(spark, sf):
     """O-8.15: the selected model refit on all complete months, 3 months ahead."""
     arr = FC.series_arrays(panel(spark, sf))
@@ -353,7 +449,7 @@ def fc_baseline_metrics_by_category(spark, sf):
     return FC.metrics(FC.forecasts(_eval_frame(spark, sf, "category"), BASELINE))
 
 
-@register("fc_final_by_category")
+@register("fc_final_by_category", _final_sql("panel_category_c"), "panel_category_c")
 def fc_final_by_category(spark, sf):
     """Declared 3-month product forecast, per category, with model selection."""
     arr = FC.series_arrays(category_panel(spark, sf))
