@@ -430,11 +430,28 @@ def adf_by_region(spark, sf):
     return ST.adf_panel(FC.series_arrays(panel(spark, sf, "region")))
 
 
-@register("pacf")
+def _pacf_sql(panel_cte: str, max_lag: int = 20) -> str:
+    acf_src = _acf_sql(panel_cte)
+    raw = acf_src[:acf_src.index("    cu AS (")].rstrip().rstrip(",")
+    num = "(r[k + 1] - list_reduce(range(1, k), lambda a, j: a + s.phi[j] * r[k - j + 1], 0.0::DOUBLE))"
+    den = "(1.0 - list_reduce(range(1, k), lambda a, j: a + s.phi[j] * r[j + 1], 0.0::DOUBLE))"
+    kk = f"({num} / {den})"
+    return f"""{raw},
+    rl AS (SELECT series, list(r ORDER BY k) AS r, max(n) AS n, max(k) AS kmax FROM r GROUP BY 1),
+    lim AS (SELECT series, r, least({max_lag}, n // 2 - 1, kmax) AS kk FROM rl),
+    ld AS (SELECT series, list_reduce(range(1, kk + 1), lambda s, k: struct_pack(
+               phi := list_concat(list_transform(range(1, k), lambda j: s.phi[j] - {kk} * s.phi[k - j]), [{kk}]),
+               pacf := list_append(s.pacf, {kk})),
+             struct_pack(phi := []::DOUBLE[], pacf := [1.0::DOUBLE])).pacf AS p FROM lim)
+    SELECT series, (i - 1)::BIGINT AS k, round(p[i], 9) AS pacf FROM ld, range(1, len(p) + 1) t(i)"""
+
+
+@register("pacf", _pacf_sql("panel_all_c"), "panel_all_c")
 def pacf(spark, sf):
     """O-8.5: Yule-Walker PACF (Levinson-Durbin over the ACF, lags < n/2)."""
     from ..operators import stationarity as ST
-    return ST.pacf(TS.acf_raw(panel(spark, sf), 24), 20)
+    out = ST.pacf(TS.acf_raw(panel(spark, sf), 24), 20)
+    return out.select("series", F.col("k").cast("bigint").alias("k"), F.round("pacf", 9).alias("pacf"))
 
 
 @register("monthly_revenue_by_category", """
@@ -455,3 +472,10 @@ def fc_final_by_category(spark, sf):
     arr = FC.series_arrays(category_panel(spark, sf))
     sel = FC.select_model(FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval"))))
     return FC.final_forecast(FC.forecasts(FC.fit_frame(arr, "final")), sel)
+
+
+@register("pacf_by_region", _pacf_sql("panel_region_c"), "panel_region_c")
+def pacf_by_region(spark, sf):
+    from ..operators import stationarity as ST
+    out = ST.pacf(TS.acf_raw(panel(spark, sf, "region"), 24), 20)
+    return out.select("series", F.col("k").cast("bigint").alias("k"), F.round("pacf", 9).alias("pacf"))
