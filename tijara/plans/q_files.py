@@ -94,7 +94,21 @@ def header_detection(spark, sf):
                     F.concat_ws("|", "canonical").alias("canonical"), "dataset").distinct()
 
 
-@register("batch_validation")
+def _batch_sql() -> str:
+    h, q = _header_sql(), _quality_sql()
+    return f"""
+    WITH h AS ({h}), q AS ({q}),
+    a AS (SELECT (SELECT count(*) FROM h) AS files,
+                 (SELECT count_if(dataset = 'needs_identification') FROM h) AS unidentified,
+                 (SELECT count(*) - count(DISTINCT dataset) FROM h) AS repeated_kinds,
+                 (SELECT coalesce(sum(malformed_rows), 0) FROM q) AS malformed),
+    e AS (SELECT files, CASE WHEN files = 0 THEN 'no_file' WHEN unidentified > 0 THEN 'unidentified_file'
+                            WHEN repeated_kinds > 0 THEN 'duplicate_dataset' WHEN malformed > 0 THEN 'malformed_file'
+                       END AS error FROM a)
+    SELECT error IS NULL AS valid, error, files FROM e"""
+
+
+@register("batch_validation", _batch_sql(), "raw_transactions_c", "raw_catalogue_c", "raw_orders_c")
 def batch_validation(spark, sf):
     """O-1.11 over one folder per dataset kind."""
     lines = FS.text_lines(spark, _dataset_folders(spark, sf))
