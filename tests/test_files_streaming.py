@@ -1,4 +1,4 @@
-"""File pipeline and streaming jobs on small fixtures (tmp folders are fine in tests)."""
+"""File landing, detection and streaming jobs on small fixtures (tmp folders are fine in tests)."""
 import os
 import tempfile
 

@@ -1,6 +1,6 @@
 """Rule tables.
 
-FIXED VALUES — these must equal the source pipeline's rules for the results
+FIXED VALUES — these must equal the source's cleaning rules for the results
 to match.  They are kept here as plain data, in their natural order.
 """
 

@@ -1,4 +1,4 @@
-"""Registered file-pipeline queries: landing CSVs written by Spark from the
+"""Registered file-landing queries: landing CSVs written by Spark from the
 raw exports, then scanned, detected and profiled (SURVEY §7.4 step 13)."""
 
 from __future__ import annotations
