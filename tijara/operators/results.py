@@ -58,10 +58,10 @@ def sales_page(valid_orders: DataFrame, valid_orders_cust: DataFrame, lines: Dat
 
 def scope(orders: DataFrame, valid_orders: DataFrame, lines: DataFrame, customers: DataFrame) -> DataFrame:
     """O-12.11: rows used per dataset (1-row lineage table)."""
-    return (orders.agg(F.count("*").alias("orders"))
-            .crossJoin(valid_orders.agg(F.count("*").alias("realized_orders")))
-            .crossJoin(lines.agg(F.count("*").alias("transactions")))
-            .crossJoin(customers.agg(F.count("*").alias("customers"))))
+    return orders.agg(F.count("*").alias("orders")).select(
+        "orders", valid_orders.agg(F.count("*")).scalar().alias("realized_orders"),
+        lines.agg(F.count("*")).scalar().alias("transactions"),
+        customers.agg(F.count("*")).scalar().alias("customers"))
 
 
 def no_data_status(valid_orders: DataFrame) -> DataFrame:
@@ -103,8 +103,9 @@ def trend_meta(valid_orders: DataFrame, granularity: str = "monthly") -> DataFra
     t = revenue_trend(valid_orders, granularity)
     d = valid_orders.agg(F.min("order_date").cast("date").alias("available_start"),
                          F.max("order_date").cast("date").alias("available_end"))
-    p = t.agg(F.count_if("is_partial").alias("partial_periods"), F.count("*").alias("periods"))
-    return d.crossJoin(p).withColumn("data_through", F.col("available_end"))  # two 1-row aggregates
+    p = t.agg(F.struct(F.count_if("is_partial").alias("partial_periods"), F.count("*").alias("periods"))).scalar()
+    return d.select("*", p["partial_periods"].alias("partial_periods"), p["periods"].alias("periods"),
+                    F.col("available_end").alias("data_through"))
 
 
 def subset_violations(df: DataFrame, col: str, allowed: list[str]) -> DataFrame:

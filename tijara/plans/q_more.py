@@ -151,9 +151,8 @@ def run_history(spark, sf):
     cov = _coverage_q(spark, sf)
     warn = RS.readiness(_checks(spark, sf))
     rec = IN.run_record("run-", ["transactions", "catalogue", "orders"], prep, cov, warn)
-    rid = prep.select(F.concat(F.lit("run-"), F.col("received").cast("string")).alias("rid"))
-    return (rec.crossJoin(rid).withColumn("run_id", F.col("rid")).drop("rid")  # 1-row frames
-            .withColumn("datasets", F.concat_ws("|", "datasets")))
+    rid = prep.select(F.concat(F.lit("run-"), F.col("received").cast("string"))).scalar()
+    return rec.withColumn("run_id", rid).withColumn("datasets", F.concat_ws("|", "datasets"))
 
 
 @register("region_revenue_sql", """

@@ -158,9 +158,8 @@ def cleaning_summary_df(spark, sf):
     ]
     out = None
     for name, raw, clean in parts:
-        row = (raw.agg(F.count("*").alias("rows_raw"))
-               .crossJoin(clean.agg(F.count("*").alias("rows_clean")))  # two 1-row aggregates
-               .select(F.lit(name).alias("dataset"), "rows_raw", "rows_clean"))
+        row = raw.agg(F.count("*").alias("rows_raw")).select(
+            F.lit(name).alias("dataset"), "rows_raw", clean.agg(F.count("*")).scalar().alias("rows_clean"))
         out = row if out is None else out.unionByName(row)
     removed = F.col("rows_raw") - F.col("rows_clean")
     return out.select("dataset", "rows_raw", "rows_clean", removed.alias("rows_removed"),
@@ -212,13 +211,14 @@ def prep_metrics(spark, sf):
     rejected rows of a preparation run; percentages to one decimal."""
     c = K.canon(spark, sf)
     raw = c.get("raw_transactions")
-    a = raw.agg(F.count("*").alias("received"), F.sum(PR.missing_cells(raw)).alias("raw_missing"))
-    d = PR.duplicate_rows(raw).select("duplicate_rows").withColumnRenamed("duplicate_rows", "raw_duplicates")
-    r = clean_tx(c).agg(F.count("*").alias("retained"))
     t = typed_tx(c)
-    rej = t.agg(F.count_if(F.col("quantity").isNull() | F.col("unit_price").isNull()
-                           | F.col("line_total").isNull()).alias("rejected"))
-    j = a.crossJoin(d).crossJoin(r).crossJoin(rej)  # 1-row aggregates only
+    # one aggregate row; the other counts join it as scalar subqueries
+    j = raw.agg(F.count("*").alias("received"), F.sum(PR.missing_cells(raw)).alias("raw_missing")).select(
+        "received", "raw_missing",
+        PR.duplicate_rows(raw).select("duplicate_rows").scalar().alias("raw_duplicates"),
+        clean_tx(c).agg(F.count("*")).scalar().alias("retained"),
+        t.agg(F.count_if(F.col("quantity").isNull() | F.col("unit_price").isNull()
+                         | F.col("line_total").isNull())).scalar().alias("rejected"))
     removed = F.greatest(F.lit(0), F.col("received") - F.col("retained"))
     return j.select("received", "retained", removed.alias("removed"), "raw_missing", "raw_duplicates", "rejected",
                     PR.percentage(F.col("retained"), F.col("received")).alias("retention_pct"),

@@ -209,10 +209,10 @@ def cleaning_actions(spark, sf):
         CL.changed_count(ship, C.shipping_class(ship)).alias("ship"),
         F.count("*").alias("raw_rows"))
     t = typed_tx(c)
-    tt = t.agg(F.count("*").alias("typed_rows"),
-               F.count_if(F.col("quantity").isNull() | F.col("unit_price").isNull()
-                          | F.col("line_total").isNull()).alias("incomplete"))
-    j = wide.crossJoin(tt)  # two 1-row aggregates
+    tt = t.agg(F.struct(F.count("*").alias("typed_rows"),
+                        F.count_if(F.col("quantity").isNull() | F.col("unit_price").isNull()
+                                   | F.col("line_total").isNull()).alias("incomplete"))).scalar()
+    j = wide.select("*", tt["typed_rows"].alias("typed_rows"), tt["incomplete"].alias("incomplete"))
     st = F.stack(F.lit(6),
                  F.lit("money_text"), F.col("money_rows"), F.col("money_cells"),
                  F.lit("whitespace"), F.col("ws"), F.col("ws"),

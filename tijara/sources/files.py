@@ -145,8 +145,7 @@ def validate_batch(headers: DataFrame, quality: DataFrame) -> DataFrame:
     h = headers.agg(F.count("*").alias("files"),
                     F.count_if(F.col("dataset") == rules.NEEDS_IDENTIFICATION).alias("unidentified"),
                     (F.count("*") - F.countDistinct("dataset")).alias("repeated_kinds"))
-    q = quality.agg(F.coalesce(F.sum("malformed_rows"), F.lit(0)).alias("malformed"))
-    j = h.crossJoin(q)  # two 1-row aggregates
+    j = h.select("*", quality.agg(F.coalesce(F.sum("malformed_rows"), F.lit(0))).scalar().alias("malformed"))
     err = (F.when(F.col("files") == 0, "no_file").when(F.col("unidentified") > 0, "unidentified_file")
            .when(F.col("repeated_kinds") > 0, "duplicate_dataset").when(F.col("malformed") > 0, "malformed_file"))
     return j.select((err.isNull()).alias("valid"), err.alias("error"), "files")
