@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import customer_rollup
+
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
 # Rank accuracy of the threshold sketch: rank error <= n / ACCURACY, bounded memory.
 THRESHOLD_ACCURACY = 100000
@@ -84,19 +86,22 @@ def rfm_segment_summary(segments: DataFrame, customers: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("customers"), F.sum("total_amount").cast("double").alias("monetary")))
 
 
-def clients_by_region(valid_orders_geo: DataFrame) -> DataFrame:
-    """O-12.4 wilaya_distribution: distinct realized customers per region."""
-    return (valid_orders_geo.filter(F.col("region").isNotNull()).groupBy(F.col("region").alias("label"))
-            .agg(F.countDistinct("customer_id").alias("customers")))
+def clients_by_region(valid_orders: DataFrame, customer_dim: DataFrame) -> DataFrame:
+    """O-12.4 wilaya_distribution: distinct realized customers per region
+    (orders rolled up per customer before the join)."""
+    r = customer_rollup(valid_orders, customer_dim, _n=F.count("order_id"))
+    return (r.filter(F.col("region").isNotNull()).groupBy(F.col("region").alias("label"))
+            .agg(F.count("customer_id").alias("customers")))
 
 
-def clients_by_type(valid_orders_geo: DataFrame) -> DataFrame:
+def clients_by_type(valid_orders: DataFrame, customer_dim: DataFrame) -> DataFrame:
     """O-12.4 customer_types: customers, revenue and orders per type."""
-    return (valid_orders_geo.filter(F.col("customer_type").isNotNull())
+    r = customer_rollup(valid_orders, customer_dim, _rev=F.sum("order_total_amount"), _n=F.count("order_id"))
+    return (r.filter(F.col("customer_type").isNotNull())
             .groupBy(F.col("customer_type").alias("label"))
-            .agg(F.countDistinct("customer_id").alias("customers"),
-                 F.sum("order_total_amount").cast("double").alias("revenue"),
-                 F.count("order_id").alias("orders")))
+            .agg(F.count("customer_id").alias("customers"),
+                 F.sum("_rev").cast("double").alias("revenue"),
+                 F.sum("_n").alias("orders")))
 
 
 def clients_total(valid_orders: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sku_rollup
+
 
 def reliable(lines: DataFrame) -> DataFrame:
     """O-4.2."""
@@ -21,14 +23,17 @@ def _revenue():
     return F.sum("line_total").cast("double").alias("revenue")
 
 
-def rank_products(lines: DataFrame, n: int = 10, ascending: bool = False) -> DataFrame:
+def rank_products(lines: DataFrame, products: DataFrame, n: int = 10, ascending: bool = False) -> DataFrame:
     """O-6.8 / O-6.9 + O-9.1 / O-4.10: top (or bottom) n products by revenue.
 
-    ``line_count`` counts lines (D10).  Ties break on the product name.  The
-    limit is the feature (a top-n report): Spark plans it as a per-partition
-    top-n followed by a merge (TakeOrderedAndProject), not a full sort."""
-    agg = (reliable(lines).filter(F.col("product_name").isNotNull())
-           .groupBy("product_name").agg(_revenue(), F.count("order_id").alias("line_count")))
+    ``line_count`` counts lines (D10).  Lines are rolled up per SKU before the
+    product join.  Ties break on the product name.  The limit is the feature
+    (a top-n report): Spark plans it as a per-partition top-n followed by a
+    merge (TakeOrderedAndProject), not a full sort."""
+    r = sku_rollup(reliable(lines), products, _rev=F.sum("line_total"), _n=F.count("order_id"))
+    agg = (r.filter(F.col("product_name").isNotNull())
+           .groupBy("product_name").agg(F.sum("_rev").cast("double").alias("revenue"),
+                                        F.sum("_n").alias("line_count")))
     rev = F.col("revenue").asc() if ascending else F.col("revenue").desc()
     return agg.orderBy(rev, F.col("product_name").asc()).limit(n)
 
@@ -62,24 +67,28 @@ def product_quantity(lines: DataFrame) -> DataFrame:
                  F.countDistinct("order_id").alias("number_of_orders")))
 
 
-def price_volume(lines: DataFrame) -> DataFrame:
-    """O-6.13: units, mean unit price (exact decimal sum / count) and revenue."""
-    return (reliable(lines).filter(F.col("product_name").isNotNull())
+def price_volume(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """O-6.13: units, mean unit price (exact decimal sum / count) and revenue;
+    lines rolled up per SKU before the product join."""
+    r = sku_rollup(reliable(lines), products, _q=F.sum("quantity"), _p=F.sum("unit_price"),
+                   _c=F.count("unit_price"), _rev=F.sum("line_total"))
+    return (r.filter(F.col("product_name").isNotNull())
             .groupBy("product_name")
-            .agg(F.sum("quantity").alias("total_units_sold"),
-                 (F.sum("unit_price").cast("double") / F.count("unit_price").cast("double")).alias("avg_price"),
-                 _revenue()))
+            .agg(F.sum("_q").alias("total_units_sold"),
+                 (F.sum("_p").cast("double") / F.sum("_c").cast("double")).alias("avg_price"),
+                 F.sum("_rev").cast("double").alias("revenue")))
 
 
-def price_volume_corr(lines: DataFrame) -> DataFrame:
+def price_volume_corr(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Summary of O-6.13: correlation of mean price and units across products."""
-    return price_volume(lines).agg(F.round(F.corr("avg_price", "total_units_sold"), 9).alias("price_units_corr"),
+    return price_volume(lines, products).agg(F.round(F.corr("avg_price", "total_units_sold"), 9).alias("price_units_corr"),
                                    F.count("*").alias("products"))
 
 
-def return_rate(lines: DataFrame) -> DataFrame:
+def return_rate(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Declared (△) return rate per product: returned lines / lines."""
-    return (reliable(lines).filter(F.col("product_name").isNotNull())
+    r = sku_rollup(reliable(lines), products, _r=F.count_if("returned"), _n=F.count("*"))
+    return (r.filter(F.col("product_name").isNotNull())
             .groupBy("product_name")
-            .agg(F.count_if("returned").alias("returned_lines"), F.count("*").alias("lines"))
+            .agg(F.sum("_r").alias("returned_lines"), F.sum("_n").alias("lines"))
             .withColumn("return_rate", F.col("returned_lines").cast("double") / F.col("lines").cast("double")))

@@ -1,8 +1,9 @@
 """Region (wilaya) analytics (O-4.4, O-4.8, O-5.5, O-6.14 .. O-6.16, O-7.4, O-12.6).
 
-Input: orders joined with the customer geography (``region_id``, ``region``,
-``region_code``, ``geography_status``, ``latitude``, ``longitude``).  Every
-result is one fused aggregation per region; totals and reference dates are
+Input: order facts and the customer dimension with its geography
+(``region_id``, ``region``, ``region_code``, ``geography_status``,
+``latitude``, ``longitude``).  Orders are rolled up per customer before the
+join; every result is one fused aggregation per region; totals and reference dates are
 scalar subqueries (computed once, broadcast as a value) -- never an
 unpartitioned window.
 """
@@ -14,14 +15,17 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import rules
+from .common import customer_rollup
 
 
-def region_ranking(orders_geo: DataFrame) -> DataFrame:
-    """O-6.14 + O-6.15 + O-6.16 fused into one groupBy (O-5.5: no join)."""
-    return (orders_geo.filter(F.col("region").isNotNull())
+def region_ranking(orders: DataFrame, customer_dim: DataFrame) -> DataFrame:
+    """O-6.14 + O-6.15 + O-6.16 fused into one groupBy (O-5.5: no join of two
+    results); orders are rolled up per customer before meeting the customer
+    dimension, so active customers are the rollup rows per region."""
+    r = customer_rollup(orders, customer_dim, _rev=F.sum("order_total_amount"))
+    return (r.filter(F.col("region").isNotNull())
             .groupBy("region")
-            .agg(F.sum("order_total_amount").cast("double").alias("revenue"),
-                 F.countDistinct("customer_id").alias("active_customers"))
+            .agg(F.sum("_rev").cast("double").alias("revenue"), F.count("customer_id").alias("active_customers"))
             .withColumn("avg_revenue_per_customer", C.ratio("revenue", "active_customers"))
             .orderBy(F.col("revenue").desc(), "region"))
 
@@ -31,22 +35,21 @@ def months_before(ts: Column, months: int) -> Column:
     return ts - F.make_interval(F.lit(0), F.lit(months))
 
 
-def region_decline(orders_geo: DataFrame, months: int = 3, dates: DataFrame | None = None) -> DataFrame:
+def region_decline(orders: DataFrame, customer_dim: DataFrame, months: int = 3) -> DataFrame:
     """O-4.4 + O-7.4: revenue in the last ``months`` before the latest order
     vs the ``months`` before that, per region; growth and a decline flag.
-
-    ``dates``: the order facts before the customer join; the reference date is
-    taken from them (one pruned column) instead of re-running the join."""
-    d_max = (orders_geo if dates is None else dates).agg(F.max("order_date")).scalar()
+    The reference date is one pruned column of the order facts."""
+    d_max = orders.agg(F.max("order_date")).scalar()
     recent_start = months_before(d_max, months)
     previous_start = months_before(d_max, 2 * months)
     d = F.col("order_date")
     amt = F.col("order_total_amount")
-    recent = F.sum(F.when(d >= recent_start, amt))
-    previous = F.sum(F.when((d >= previous_start) & (d < recent_start), amt))
-    out = (orders_geo.filter(F.col("region").isNotNull()).groupBy("region")
-           .agg(F.coalesce(recent, F.lit(0)).cast("double").alias("recent_revenue"),
-                F.coalesce(previous, F.lit(0)).cast("double").alias("previous_revenue")))
+    r = customer_rollup(orders, customer_dim,
+                        _r=F.sum(F.when(d >= recent_start, amt)),
+                        _p=F.sum(F.when((d >= previous_start) & (d < recent_start), amt)))
+    out = (r.filter(F.col("region").isNotNull()).groupBy("region")
+           .agg(F.coalesce(F.sum("_r"), F.lit(0)).cast("double").alias("recent_revenue"),
+                F.coalesce(F.sum("_p"), F.lit(0)).cast("double").alias("previous_revenue")))
     return (out.withColumn("growth_pct", C.growth_pct("recent_revenue", "previous_revenue"))
             .withColumn("is_declining", F.col("recent_revenue") < F.col("previous_revenue")))
 
@@ -56,21 +59,24 @@ def complete_month_cutoff(max_date: Column) -> Column:
     return F.add_months(F.trunc(F.date_add(max_date.cast("date"), 1), "MM"), -1)
 
 
-def region_page(orders_geo: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+GEO_COLS = ["region_id", "region_code", "region", "geography_status", "latitude", "longitude"]
+
+
+def region_page(orders: DataFrame, customer_dim: DataFrame) -> DataFrame:
     """O-12.6: per region revenue, orders, clients, share of the valid-region
     total, growth of the last complete month vs the month before, and
-    geography fields.  The share's total is summed from the per-region result
-    (its exchange is reused), the cutoff from the pre-join order dates."""
-    cutoff = complete_month_cutoff((orders_geo if dates is None else dates).agg(F.max("order_date")).scalar())
+    geography fields.  Orders are rolled up per customer before the join; the
+    share's total is summed from the per-region result (its exchange is
+    reused) and the cutoff comes from the order dates alone."""
+    cutoff = complete_month_cutoff(orders.agg(F.max("order_date")).scalar())
     prev = F.add_months(cutoff, -1)
     m = C.month_start("order_date")
     amt = F.col("order_total_amount")
-    g = (orders_geo.groupBy("region_id", "region_code", "region", "geography_status", "latitude", "longitude")
-         .agg(F.sum(amt).alias("_rev"),
-              F.count("order_id").alias("orders"),
-              F.countDistinct("customer_id").alias("clients"),
-              F.sum(F.when(m == cutoff, amt)).alias("_cur"),
-              F.sum(F.when(m == prev, amt)).alias("_prev")))
+    r = customer_rollup(orders, customer_dim, _rev=F.sum(amt), _n=F.count("order_id"),
+                        _cur=F.sum(F.when(m == cutoff, amt)), _prev=F.sum(F.when(m == prev, amt)))
+    g = (r.groupBy(*GEO_COLS)
+         .agg(F.sum("_rev").alias("_rev"), F.sum("_n").alias("orders"), F.count("customer_id").alias("clients"),
+              F.sum("_cur").alias("_cur"), F.sum("_prev").alias("_prev")))
     total = g.filter(F.col("geography_status") == "valid_wilaya").agg(F.sum("_rev")).scalar()
     return g.select(
         F.col("region_code").alias("id"), F.col("region").alias("label"),

@@ -39,13 +39,14 @@ def top_products_realized(valid_lines: DataFrame, n: int = 1) -> DataFrame:
     return g.orderBy(F.col("revenue").desc(), F.col("label")).limit(n)
 
 
-def sales_page(valid_orders: DataFrame, valid_orders_cust: DataFrame, lines: DataFrame, k: int = 8) -> DataFrame:
+def sales_page(valid_orders: DataFrame, customer_dim: DataFrame, lines: DataFrame, k: int = 8) -> DataFrame:
     """O-12.3 + O-9.3: breakdowns (customer type, payment, delivery) stacked
     with a ``breakdown`` column, each cut to its top k by revenue.  The rank
     window runs over the tiny aggregated table, partitioned by breakdown."""
     from pyspark.sql import Window
     parts = [
-        S.sales_by_customer_type(valid_orders_cust).drop("customers").withColumn("breakdown", F.lit("customer_types")),
+        S.sales_by_customer_type(valid_orders, customer_dim).drop("customers")
+        .withColumn("breakdown", F.lit("customer_types")),
         S.kpis_by(valid_orders, "payment_method_group").withColumn("breakdown", F.lit("payment_methods")),
         S.sales_by_delivery(valid_orders, lines).withColumn("breakdown", F.lit("delivery_methods")),
     ]

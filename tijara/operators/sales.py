@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from .common import customer_rollup
 
 
 def _money_kpis(amount: str = "order_total_amount", order: str = "order_id",
@@ -56,13 +57,15 @@ def sales_by_delivery(valid_orders: DataFrame, lines: DataFrame) -> DataFrame:
     return fan.groupBy(F.col("shipping_method").alias("label")).agg(*_money_kpis(distinct_orders=False))
 
 
-def sales_by_customer_type(valid_orders_cust: DataFrame) -> DataFrame:
-    """O-6.4: distinct customers, revenue, orders and revenue/orders per type."""
-    return (valid_orders_cust.filter(F.col("customer_type").isNotNull())
+def sales_by_customer_type(valid_orders: DataFrame, customer_dim: DataFrame) -> DataFrame:
+    """O-6.4: distinct customers, revenue, orders and revenue/orders per type
+    (orders rolled up per customer before the join)."""
+    r = customer_rollup(valid_orders, customer_dim, _rev=F.sum("order_total_amount"), _n=F.count("order_id"))
+    return (r.filter(F.col("customer_type").isNotNull())
             .groupBy(F.col("customer_type").alias("label"))
-            .agg(F.countDistinct("customer_id").alias("customers"),
-                 F.sum("order_total_amount").cast("double").alias("revenue"),
-                 F.count("order_id").alias("orders"))
+            .agg(F.count("customer_id").alias("customers"),
+                 F.sum("_rev").cast("double").alias("revenue"),
+                 F.sum("_n").alias("orders"))
             .withColumn("average_basket", C.ratio("revenue", "orders")))
 
 

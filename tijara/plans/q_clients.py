@@ -74,16 +74,16 @@ def rfm_segment_summary(spark, sf):
     return CL.rfm_segment_summary(CL.rfm_segments(cust, c.get("orders")), cust)
 
 
-def _valid_geo(spark, sf):
+def _valid_dim(spark, sf):
     c = K.canon(spark, sf)
-    return K.orders_with_customer(c.t, K.realized(c.get("orders")))
+    return K.realized(c.get("orders")), K.customer_dim(c.t)
 
 
 @register("clients_by_region", """
     SELECT region AS label, count(DISTINCT customer_id) AS customers
     FROM orders_cust_c WHERE status_code IN ('F', 'P') AND region IS NOT NULL GROUP BY 1""", "orders_cust_c")
 def clients_by_region(spark, sf):
-    return CL.clients_by_region(_valid_geo(spark, sf))
+    return CL.clients_by_region(*_valid_dim(spark, sf))
 
 
 @register("clients_by_type", """
@@ -92,7 +92,7 @@ def clients_by_region(spark, sf):
     FROM orders_cust_c WHERE status_code IN ('F', 'P') AND customer_type IS NOT NULL GROUP BY 1""",
           "orders_cust_c")
 def clients_by_type(spark, sf):
-    return CL.clients_by_type(_valid_geo(spark, sf))
+    return CL.clients_by_type(*_valid_dim(spark, sf))
 
 
 @register("clients_total", """

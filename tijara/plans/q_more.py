@@ -96,10 +96,11 @@ def partial_months(spark, sf):
     FROM geo_c g LEFT JOIN m USING (region_code)""", "orders_cust_c", "geo_c")
 def region_map(spark, sf):
     """O-5.10: every region boundary (``DZ<code>``) left-joined to its metrics."""
+    from ..operators.common import customer_rollup
     c = K.canon(spark, sf)
     v = K.realized(c.get("orders"))
-    m = (K.orders_with_customer(c.t, v).groupBy("region_code")
-         .agg(F.sum("order_total_amount").cast("double").alias("revenue"), F.count("*").alias("orders")))
+    r = customer_rollup(v, K.customer_dim(c.t), _rev=F.sum("order_total_amount"), _n=F.count("*"))
+    m = r.groupBy("region_code").agg(F.sum("_rev").cast("double").alias("revenue"), F.sum("_n").alias("orders"))
     g = K.geography(c.t)
     return (g.join(m, "region_code", "left")
             .select(F.concat(F.lit("DZ"), F.col("region_code")).alias("path_id"), F.col("region").alias("label"),
@@ -197,11 +198,13 @@ def realized_status_check(spark, sf):
 def drilldown_region_types(spark, sf):
     """O-12.18: customer-type metrics for one selected region (the first
     region by name), computed as an aggregate result then filtered."""
+    from ..operators.common import customer_rollup
     c = K.canon(spark, sf)
-    og = K.orders_with_customer(c.t, K.realized(c.get("orders")))
-    per = (og.filter(F.col("customer_type").isNotNull())
+    r = customer_rollup(K.realized(c.get("orders")), K.customer_dim(c.t),
+                        _rev=F.sum("order_total_amount"), _n=F.count("order_id"))
+    per = (r.filter(F.col("customer_type").isNotNull())
            .groupBy("region", F.col("customer_type").alias("label"))
-           .agg(F.countDistinct("customer_id").alias("customers"),
-                F.sum("order_total_amount").cast("double").alias("revenue"), F.count("order_id").alias("orders")))
-    first = og.agg(F.min("region")).scalar()
+           .agg(F.count("customer_id").alias("customers"),
+                F.sum("_rev").cast("double").alias("revenue"), F.sum("_n").alias("orders")))
+    first = r.agg(F.min("region")).scalar()
     return RS.drill_down(per.withColumn("_sel", F.col("region") == first), _sel=True).drop("_sel")

@@ -38,12 +38,14 @@ _TOP_SQL = """
 
 @register("top_products", _TOP_SQL.format(dir="DESC"), "lines_prod_c")
 def top_products(spark, sf):
-    return P.rank_products(K.lines_with_product(K.canon(spark, sf).t), 10, ascending=False)
+    c = K.canon(spark, sf)
+    return P.rank_products(c.get("lines"), K.products(c.t), 10, ascending=False)
 
 
 @register("low_products", _TOP_SQL.format(dir="ASC"), "lines_prod_c")
 def low_products(spark, sf):
-    return P.rank_products(K.lines_with_product(K.canon(spark, sf).t), 10, ascending=True)
+    c = K.canon(spark, sf)
+    return P.rank_products(c.get("lines"), K.products(c.t), 10, ascending=True)
 
 
 @register("by_category", """
@@ -80,7 +82,8 @@ def product_quantity(spark, sf):
            sum(line_total)::DOUBLE AS revenue
     FROM lines_prod_c WHERE sku_quality = 'ok' AND product_name IS NOT NULL GROUP BY 1""", "lines_prod_c")
 def price_volume(spark, sf):
-    return P.price_volume(K.lines_with_product(K.canon(spark, sf).t))
+    c = K.canon(spark, sf)
+    return P.price_volume(c.get("lines"), K.products(c.t))
 
 
 @register("price_volume_corr", """
@@ -90,7 +93,8 @@ def price_volume(spark, sf):
     SELECT round(corr(avg_price, total_units_sold), 9) AS price_units_corr, count(*) AS products FROM pv""",
           "lines_prod_c")
 def price_volume_corr(spark, sf):
-    return P.price_volume_corr(K.lines_with_product(K.canon(spark, sf).t))
+    c = K.canon(spark, sf)
+    return P.price_volume_corr(c.get("lines"), K.products(c.t))
 
 
 @register("median_price_recovery", """
@@ -119,7 +123,8 @@ def ever_sold(spark, sf):
            count_if(returned)::DOUBLE / count(*)::DOUBLE AS return_rate
     FROM lines_prod_c WHERE sku_quality = 'ok' AND product_name IS NOT NULL GROUP BY 1""", "lines_prod_c")
 def return_rate(spark, sf):
-    return P.return_rate(K.lines_with_product(K.canon(spark, sf).t))
+    c = K.canon(spark, sf)
+    return P.return_rate(c.get("lines"), K.products(c.t))
 
 
 @register("clean_catalogue", f"""

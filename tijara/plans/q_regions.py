@@ -7,16 +7,11 @@ from . import canonical as K
 from .registry import register
 
 
-def _orders_geo(spark, sf, realized: bool):
-    return _orders_geo_dates(spark, sf, realized)[0]
-
-
-def _orders_geo_dates(spark, sf, realized: bool):
-    """(orders joined to geography, the same orders before the join)."""
+def _orders_dim(spark, sf, realized: bool):
+    """(order facts, customer dimension with geography)."""
     c = K.canon(spark, sf)
     o = c.get("orders")
-    o = K.realized(o) if realized else o
-    return K.orders_with_customer(c.t, o), o
+    return (K.realized(o) if realized else o), K.customer_dim(c.t)
 
 
 @register("region_ranking", """
@@ -24,7 +19,7 @@ def _orders_geo_dates(spark, sf, realized: bool):
            sum(order_total_amount)::DOUBLE / nullif(count(DISTINCT customer_id), 0)::DOUBLE AS avg_revenue_per_customer
     FROM orders_cust_c WHERE region IS NOT NULL GROUP BY 1""", "orders_cust_c")
 def region_ranking(spark, sf):
-    return R.region_ranking(_orders_geo(spark, sf, realized=False))
+    return R.region_ranking(*_orders_dim(spark, sf, realized=False))
 
 
 @register("region_decline", """
@@ -40,8 +35,7 @@ def region_ranking(spark, sf):
            recent_revenue < previous_revenue AS is_declining
     FROM g""", "orders_cust_c")
 def region_decline(spark, sf):
-    og, o = _orders_geo_dates(spark, sf, realized=False)
-    return R.region_decline(og, dates=o)
+    return R.region_decline(*_orders_dim(spark, sf, realized=False))
 
 
 REGION_PAGE_SQL = """
@@ -62,8 +56,7 @@ REGION_PAGE_SQL = """
 
 @register("region_page", REGION_PAGE_SQL, "orders_cust_c")
 def region_page(spark, sf):
-    og, o = _orders_geo_dates(spark, sf, realized=True)
-    return R.region_page(og, dates=o)
+    return R.region_page(*_orders_dim(spark, sf, realized=True))
 
 
 @register("valid_geography", f"""
@@ -76,8 +69,7 @@ def region_page(spark, sf):
            round(least(38.0 + 2.25 * share, 88.0), 9) AS shade
     FROM v, mx""", "orders_cust_c")
 def valid_geography(spark, sf):
-    og, o = _orders_geo_dates(spark, sf, realized=True)
-    return R.valid_geography(R.region_page(og, dates=o))
+    return R.valid_geography(R.region_page(*_orders_dim(spark, sf, realized=True)))
 
 
 @register("active_regions", f"""
@@ -85,5 +77,4 @@ def valid_geography(spark, sf):
     SELECT count_if(orders > 0 AND geography_status = 'valid_wilaya') AS active_wilayas, count(*) AS regions
     FROM p""", "orders_cust_c")
 def active_regions(spark, sf):
-    og, o = _orders_geo_dates(spark, sf, realized=True)
-    return R.active_regions(R.region_page(og, dates=o))
+    return R.active_regions(R.region_page(*_orders_dim(spark, sf, realized=True)))

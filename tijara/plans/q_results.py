@@ -82,7 +82,7 @@ def CL_reliable(df):
 def sales_page(spark, sf):
     c = K.canon(spark, sf)
     v = K.realized(c.get("orders"))
-    return RS.sales_page(v, K.orders_with_customer(c.t, v), c.get("lines")).withColumn(
+    return RS.sales_page(v, K.customer_dim(c.t), c.get("lines")).withColumn(
         "bar_share", F.round("bar_share", 9))
 
 
@@ -109,7 +109,7 @@ def _checks(spark, sf):
     ct = clean_tx(c)
     t = typed_tx(c)
     ref = CL.key_overlap(c.get("raw_orders"), c.get("customers"), "customer_id_stage", "customer_code")
-    dec = R.region_decline(K.orders_with_customer(c.t, c.get("orders")))
+    dec = R.region_decline(c.get("orders"), K.customer_dim(c.t))
     sess = TR.sessions(c.t.events, c.t.nation)
     low = TR.by_country(sess).filter(F.col("engagement_rate") < 10.0)
 

@@ -46,7 +46,7 @@ def sales_by_delivery(spark, sf):
           "orders_cust_c")
 def sales_by_customer_type(spark, sf):
     c = K.canon(spark, sf)
-    return S.sales_by_customer_type(K.orders_with_customer(c.t, K.realized(c.get("orders"))))
+    return S.sales_by_customer_type(K.realized(c.get("orders")), K.customer_dim(c.t))
 
 
 @register("status_mix", f"""
