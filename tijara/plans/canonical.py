@@ -1,8 +1,9 @@
 """Canonical retail tables derived from the driver tables.
 
-The analytics run on four clean tables (``orders``, ``lines``, ``customers``,
-``catalogue``) plus a ``geography`` dimension; the cleaning operators run on
-``raw_*`` text exports that carry the defects the cleaning rules exist for.
+The analytics run on clean tables (``orders``, ``lines``, ``customers``,
+``products``) plus a ``geography`` dimension; the cleaning operators run on
+``raw_*`` text exports that carry the defects the cleaning rules exist for
+(the clean catalogue is produced from ``raw_catalogue`` by those operators).
 Both are pure projections/joins of the driver tables, so their size grows
 with the input.  Dirty values are placed by deterministic key arithmetic
 (never by dropping rows).
