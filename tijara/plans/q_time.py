@@ -28,26 +28,35 @@ CTES["panel_region_c"] = (["orders_cust_c"], f"""
     GROUP BY 1, 2""")
 
 
-CTES["panel_category_c"] = (["lines_prod_c", "realized_c"], f"""
-    WITH j AS (SELECT l.category, o.order_date, l.line_total FROM lines_prod_c l JOIN realized_c o USING (order_id)
-               WHERE l.category IS NOT NULL)
-    SELECT CAST(category AS VARCHAR) AS series, CAST(date_trunc('month', order_date) AS DATE) AS period,
+def _line_panel_sql(key: str) -> str:
+    return f"""
+    WITH j AS (SELECT l.{key} AS k, o.order_date, l.line_total FROM lines_prod_c l JOIN realized_c o USING (order_id)
+               WHERE l.{key} IS NOT NULL)
+    SELECT CAST(k AS VARCHAR) AS series, CAST(date_trunc('month', order_date) AS DATE) AS period,
            sum(line_total) AS y, count(*) AS orders
     FROM j WHERE order_date IS NOT NULL
       AND CAST(date_trunc('month', order_date) AS DATE) <= (SELECT {_CUT} FROM realized_c)
-    GROUP BY 1, 2""")
+    GROUP BY 1, 2"""
 
 
-def category_panel(spark, sf):
-    """Product-category panel: realized line revenue per category and month
-    (lines meet order dates by a join on order id; categories by sku)."""
+CTES["panel_category_c"] = (["lines_prod_c", "realized_c"], _line_panel_sql("category"))
+CTES["panel_product_c"] = (["lines_prod_c", "realized_c"], _line_panel_sql("product_name"))
+
+
+def line_panel(spark, sf, key: str = "category"):
+    """Product panel: realized line revenue per ``key`` (category or product
+    name) and month (lines meet order dates by a join on order id)."""
     c = K.canon(spark, sf)
     o = K.realized(c.get("orders"))
     ln = K.lines_with_product(c.t).join(o.select("order_id", "order_date"), "order_id")
-    p = TS.monthly_panel(ln.filter(F.col("category").isNotNull()), "category", value="line_total")
+    p = TS.monthly_panel(ln.filter(F.col(key).isNotNull()), key, value="line_total")
     return TS.complete_months(p, o)
 
 
+def category_panel(spark, sf):
+    return line_panel(spark, sf, "category")
+
+
 def _valid(spark, sf):
     return K.realized(K.canon(spark, sf).get("orders"))
 
@@ -359,7 +368,7 @@ def _select_sql(panel_cte: str) -> str:
 
 
 def _eval_frame(spark, sf, key=None):
-    p = category_panel(spark, sf) if key == "category" else panel(spark, sf, key)
+    p = line_panel(spark, sf, key) if key in ("category", "product_name") else panel(spark, sf, key)
     return FC.fit_frame(FC.series_arrays(p), "eval")
 
 
@@ -479,3 +488,17 @@ def pacf_by_region(spark, sf):
     from ..operators import stationarity as ST
     out = ST.pacf(TS.acf_raw(panel(spark, sf, "region"), 24), 20)
     return out.select("series", F.col("k").cast("bigint").alias("k"), F.round("pacf", 9).alias("pacf"))
+
+
+@register("fc_baseline_metrics_by_product", _metrics_sql("panel_product_c"), "panel_product_c")
+def fc_baseline_metrics_by_product(spark, sf):
+    """Declared product forecast: holdout metrics per product (fold models)."""
+    return FC.metrics(FC.forecasts(_eval_frame(spark, sf, "product_name"), BASELINE))
+
+
+@register("fc_final_by_product", _final_sql("panel_product_c"), "panel_product_c")
+def fc_final_by_product(spark, sf):
+    """Declared 3-month forecast per product, with model selection over all eight models."""
+    arr = FC.series_arrays(line_panel(spark, sf, "product_name"))
+    sel = FC.select_model(FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval"))))
+    return FC.final_forecast(FC.forecasts(FC.fit_frame(arr, "final")), sel)
