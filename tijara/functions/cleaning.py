@@ -108,6 +108,16 @@ def growth_pct(cur, prev) -> Column:
     return F.try_divide(cur - prev, prev) * F.lit(100.0)
 
 
+def round_dp(c, digits: int) -> Column:
+    """Round half away from zero at ``digits`` decimals as ``round(x * 10^d) / 10^d``.
+
+    The scaling multiply and divide are single IEEE operations, so every
+    engine that rounds the scaled value half away from zero (the oracle SQL
+    uses the same form) breaks exact ties identically."""
+    scale = float(10 ** digits)
+    return F.round(_col(c) * F.lit(scale), 0) / F.lit(scale)
+
+
 def month_start(c) -> Column:
     """O-3.22: month bucket (first day of the month, a DATE)."""
     return F.trunc(_col(c).cast("date"), "MM")

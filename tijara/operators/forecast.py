@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import round_dp
+
 from ..functions import rules
 
 DOUBLE_ARRAY = "array<double>"
@@ -344,11 +346,17 @@ def metrics(fc: DataFrame) -> DataFrame:
     """O-8.13: MAE and RMSE per (series, model); models with a missing
     forecast in the horizon are not scored."""
     e = F.col("actual") - F.col("forecast")
-    m = fc.groupBy("series", "model").agg(
-        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.count("forecast").alias("_k"), F.count("*").alias("_n"))
+    # Sums are folds over the horizon-sorted errors (bounded by the test
+    # length), so the metrics do not depend on partitioning and round the same
+    # way everywhere.
+    errs = F.array_sort(F.collect_list(F.struct(F.col("h"), F.abs(e).alias("ae"), (e * e).alias("se"))))
+    m = fc.groupBy("series", "model").agg(errs.alias("_e"), F.count("forecast").alias("_k"),
+                                          F.count("*").alias("_n"))
+    n = F.col("_n").cast("double")
+    mae = F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x["ae"]) / n
+    rmse = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x["se"]) / n)
     return m.filter(F.col("_k") == F.col("_n")).select(
-        "series", "model", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
+        "series", "model", round_dp(mae, 4).alias("mae"), round_dp(rmse, 4).alias("rmse"))
 
 
 def model_rank(name: Column) -> Column:
@@ -369,9 +377,9 @@ def select_model(m: DataFrame) -> DataFrame:
 def final_forecast(final_fc: DataFrame, selected: DataFrame) -> DataFrame:
     """O-8.15: the selected model's forecast, refit on all complete months."""
     return (final_fc.join(selected.select("series", "model"), ["series", "model"])
-            .select("series", "model", "h", "period", F.round("forecast", 4).alias("forecast")))
+            .select("series", "model", "h", "period", round_dp("forecast", 4).alias("forecast")))
 
 
 def round_fc(fc: DataFrame) -> DataFrame:
-    return fc.withColumn("forecast", F.round("forecast", 4))
+    return fc.withColumn("forecast", round_dp("forecast", 4))
 

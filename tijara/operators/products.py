@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import round_dp
+
 from .common import sku_rollup
 
 
@@ -81,7 +83,7 @@ def price_volume(lines: DataFrame, products: DataFrame) -> DataFrame:
 
 def price_volume_corr(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Summary of O-6.13: correlation of mean price and units across products."""
-    return price_volume(lines, products).agg(F.round(F.corr("avg_price", "total_units_sold"), 9).alias("price_units_corr"),
+    return price_volume(lines, products).agg(round_dp(F.corr("avg_price", "total_units_sold"), 9).alias("price_units_corr"),
                                    F.count("*").alias("products"))
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import round_dp
+
 from ..functions import cleaning as C
 from ..functions import rules
 from .common import customer_rollup
@@ -97,8 +99,8 @@ def valid_geography(page: DataFrame) -> DataFrame:
         F.lit(rules.BUBBLE_MIN_RADIUS) + F.lit(rules.BUBBLE_RADIUS_RANGE)
         * F.least(F.sqrt(F.col("revenue") / mx), F.lit(1.0)))
     shade = F.least(F.lit(rules.SHADE_BASE) + F.lit(rules.SHADE_PER_SHARE) * F.col("share"), F.lit(rules.SHADE_MAX))
-    return v.select("id", "label", "revenue", "share", F.round(radius, 9).alias("radius"),
-                    F.round(shade, 9).alias("shade"))
+    return v.select("id", "label", "revenue", "share", round_dp(radius, 9).alias("radius"),
+                    round_dp(shade, 9).alias("shade"))
 
 
 def active_regions(page: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import round_dp
+
 from ..functions import cleaning as C
 from .common import customer_rollup
 
@@ -77,7 +79,7 @@ def status_mix(orders: DataFrame) -> DataFrame:
     per = mapped.groupBy("sales_status").agg(F.count("order_id").alias("orders_count"))
     total = per.agg(F.sum("orders_count")).scalar()  # over the grouped result: its exchange is reused
     return per.withColumn("percentage",
-                          F.round(F.col("orders_count").cast("double") / total.cast("double") * 100.0, 2))
+                          round_dp(F.col("orders_count").cast("double") / total.cast("double") * 100.0, 2))
 
 
 def status_unmapped(orders: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import round_dp
+
 from ..functions import cleaning as C
 from ..functions import rules
 from .regions import complete_month_cutoff
@@ -101,8 +103,10 @@ def growth(panel: DataFrame) -> DataFrame:
 def log_diff(panel: DataFrame) -> DataFrame:
     """O-8.2 / O-7.6 / O-3.23: ln(y) and its first difference per series (y <= 0 -> null)."""
     ly = F.when(F.col("y") > 0, F.log(F.col("y").cast("double")))
-    p = panel.select("series", "period", ly.alias("log_y"))
-    return p.withColumn("diff_log_y", F.col("log_y") - F.lag("log_y").over(_w()))
+    p = panel.select("series", "period", ly.alias("_l"))
+    # 9 decimals: logs from different math libraries may differ in the last ulp
+    return p.select("series", "period", round_dp("_l", 9).alias("log_y"),
+                    round_dp(F.col("_l") - F.lag("_l").over(_w()), 9).alias("diff_log_y"))
 
 
 def indexed(panel: DataFrame) -> DataFrame:
@@ -154,8 +158,8 @@ def acf(panel: DataFrame, max_lag: int = rules.ACF_LAGS) -> DataFrame:
     cum = F.sum(F.when(F.col("k") > 0, F.col("r") * F.col("r")).otherwise(0.0)).over(
         Window.partitionBy("series").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     band = F.lit(1.96) * F.sqrt((F.lit(1.0) + 2.0 * F.coalesce(cum, F.lit(0.0))) / F.col("n").cast("double"))
-    return r.select("series", F.col("k").cast("bigint").alias("k"), F.round("r", 9).alias("acf"),
-                    F.round(F.when(F.col("k") > 0, band), 9).alias("band"))
+    return r.select("series", F.col("k").cast("bigint").alias("k"), round_dp("r", 9).alias("acf"),
+                    round_dp(F.when(F.col("k") > 0, band), 9).alias("band"))
 
 
 def acf_raw(panel: DataFrame, max_lag: int = rules.ACF_LAGS) -> DataFrame:

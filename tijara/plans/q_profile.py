@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import round_dp
+
 from ..operators import profile as PR
 from . import canonical as K
 from .oracle import CTES
@@ -163,7 +165,7 @@ def cleaning_summary_df(spark, sf):
         out = row if out is None else out.unionByName(row)
     removed = F.col("rows_raw") - F.col("rows_clean")
     return out.select("dataset", "rows_raw", "rows_clean", removed.alias("rows_removed"),
-                      F.round(F.try_divide(removed.cast("double"), F.col("rows_raw").cast("double")) * 100.0, 2)
+                      round_dp(F.try_divide(removed.cast("double"), F.col("rows_raw").cast("double")) * 100.0, 2)
                       .alias("pct_removed"))
 
 

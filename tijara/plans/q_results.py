@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import round_dp
+
 from ..functions import cleaning as C
 from ..operators import cleaning as CL
 from ..operators import ingest as IN
@@ -83,7 +85,7 @@ def sales_page(spark, sf):
     c = K.canon(spark, sf)
     v = K.realized(c.get("orders"))
     return RS.sales_page(v, K.customer_dim(c.t), c.get("lines")).withColumn(
-        "bar_share", F.round("bar_share", 9))
+        "bar_share", round_dp("bar_share", 9))
 
 
 @register("scope", """

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import round_dp
+
 from ..functions import rules
 from ..operators import forecast as FC
 from ..operators import timeseries as TS
@@ -126,9 +128,9 @@ def growth_by_region(spark, sf):
 
 
 @register("log_diff", """
-    SELECT series, period, CASE WHEN y > 0 THEN ln(y::DOUBLE) END AS log_y,
-           CASE WHEN y > 0 THEN ln(y::DOUBLE) END
-             - lag(CASE WHEN y > 0 THEN ln(y::DOUBLE) END) OVER (PARTITION BY series ORDER BY period) AS diff_log_y
+    SELECT series, period, round(CASE WHEN y > 0 THEN ln(y::DOUBLE) END, 9) AS log_y,
+           round(CASE WHEN y > 0 THEN ln(y::DOUBLE) END
+             - lag(CASE WHEN y > 0 THEN ln(y::DOUBLE) END) OVER (PARTITION BY series ORDER BY period), 9) AS diff_log_y
     FROM panel_all_c""", "panel_all_c")
 def log_diff(spark, sf):
     return TS.log_diff(panel(spark, sf))
@@ -333,8 +335,11 @@ def _rank_sql(col: str) -> str:
 
 def _metrics_cte(px: str) -> str:
     return f"""
-    {px}m AS (SELECT series, model, round(avg(abs(actual - forecast)), 4) AS mae,
-                     round(sqrt(avg((actual - forecast) * (actual - forecast))), 4) AS rmse
+    {px}m AS (SELECT series, model,
+                     round(list_reduce(list(abs(actual - forecast) ORDER BY h), lambda a, x: a + x, 0.0::DOUBLE)
+                           / count(*)::DOUBLE, 4) AS mae,
+                     round(sqrt(list_reduce(list((actual - forecast) * (actual - forecast) ORDER BY h),
+                                            lambda a, x: a + x, 0.0::DOUBLE) / count(*)::DOUBLE), 4) AS rmse
               FROM {px}fc GROUP BY 1, 2 HAVING count(forecast) = count(*)),
     {px}sel AS (SELECT series, b.model AS model, b.mae AS mae, b.rmse AS rmse FROM (
                   SELECT series, arg_min(struct_pack(model := model, mae := mae, rmse := rmse),
@@ -460,7 +465,7 @@ def pacf(spark, sf):
     """O-8.5: Yule-Walker PACF (Levinson-Durbin over the ACF, lags < n/2)."""
     from ..operators import stationarity as ST
     out = ST.pacf(TS.acf_raw(panel(spark, sf), 24), 20)
-    return out.select("series", F.col("k").cast("bigint").alias("k"), F.round("pacf", 9).alias("pacf"))
+    return out.select("series", F.col("k").cast("bigint").alias("k"), round_dp("pacf", 9).alias("pacf"))
 
 
 @register("monthly_revenue_by_category", """
@@ -487,7 +492,7 @@ def fc_final_by_category(spark, sf):
 def pacf_by_region(spark, sf):
     from ..operators import stationarity as ST
     out = ST.pacf(TS.acf_raw(panel(spark, sf, "region"), 24), 20)
-    return out.select("series", F.col("k").cast("bigint").alias("k"), F.round("pacf", 9).alias("pacf"))
+    return out.select("series", F.col("k").cast("bigint").alias("k"), round_dp("pacf", 9).alias("pacf"))
 
 
 @register("fc_baseline_metrics_by_product", _metrics_sql("panel_product_c"), "panel_product_c")
