@@ -294,7 +294,7 @@ def raw_orders(t: Tables) -> DataFrame:
 # folder (the raw zone): many jobs read them, lineage is cut, and a lost
 # executor never forces the derivation joins to rerun.
 MATERIALIZED = {"raw_transactions", "raw_catalogue", "raw_orders"}
-_landed: dict[tuple[int, str, str], str] = {}
+_landed: dict[tuple[str, str, str], str] = {}
 _land_lock = __import__("threading").Lock()
 
 
@@ -302,13 +302,13 @@ def raw_zone_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     import hashlib
     import os
 
-    from ..session import ensure_checkpoint_dir
+    from ..session import shared_path
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    return os.path.join(ensure_checkpoint_dir(spark), "tijara-raw", tag, name)
+    return shared_path(spark, "raw", tag, name)
 
 
 def landed(t: Tables, name: str) -> DataFrame:
-    key = (id(t.spark), t.sf_dir, name)
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
     with _land_lock:
         if key not in _landed:
             path = raw_zone_path(t.spark, t.sf_dir, name)

@@ -8,8 +8,10 @@ partition coalescing and skew-join splitting, UTC session time, no UI.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,11 +48,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (a bare local test session) do we pick a scratch folder of our own.
+    ``spark.checkpoint.dir`` is read from the session.  Only a purely local
+    session (``local[...]``, where driver and executors are one process) may
+    leave it unset; then a scratch folder is picked.  On a cluster an unset
+    folder is an error: a machine-local folder would not be shared.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tijara-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     # RDD-level checkpointing (DataFrame.checkpoint) reads the context setting.
@@ -59,13 +66,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def shared_path(spark: SparkSession, *parts: str) -> str:
+    """A path below the shared folder that belongs to this application alone."""
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "tijara", spark.sparkContext.applicationId, *parts])
+
+
+def write_shared(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet into the application's shared folder and read it
+    back: cuts lineage, survives executor loss, and each call gets its own path."""
+    spark = df.sparkSession
+    path = shared_path(spark, "tables", f"{label}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``tijara`` importable on executors (grouped-map / mapInPandas
-    functions reference it): zip the package once per application into the
-    shared checkpoint folder and register it with ``addPyFile``."""
+    functions reference it).  The zip goes to the shared folder through the
+    Hadoop file system, so a folder given as URI works, and every executor
+    fetches it from there (``addPyFile``)."""
     import zipfile
 
     sc = spark.sparkContext
@@ -73,25 +95,22 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    folder = os.path.join(ensure_checkpoint_dir(spark), "tijara-pyfiles", app)
-    os.makedirs(folder, exist_ok=True)
-    target = os.path.join(folder, "tijara.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _dirs, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     zf.write(full, os.path.join("tijara", os.path.relpath(full, pkg)))
-    sc.addPyFile(target)
+    path = sc._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "pyfiles", "tijara.zip"))
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
     _shipped.add(app)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system of ``path`` (works for
     local, HDFS and object-store paths alike)."""

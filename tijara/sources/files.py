@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import cleaning as C
 from ..functions import rules
-from ..session import ensure_checkpoint_dir
+from ..session import shared_path
 
 BOM = "﻿"
 QUOTED = r'"(?:[^"]|"")*"'
@@ -204,21 +204,20 @@ def write_web_export(df: DataFrame, path: str, title: str, preamble: int = rules
     allrows.coalesce(1).sortWithinPartitions("_o", "_k").select("value").write.mode("overwrite").text(path)
 
 
-_landing: dict[tuple[int, str], str] = {}
+_landing: dict[tuple[str, str], str] = {}
 _lock = __import__("threading").Lock()
 
 
 def landing_folder(spark: SparkSession, sf_dir: str) -> str:
     """Shared folder for derived landing files: under the cluster's
     checkpoint directory (never a machine-local temp folder)."""
-    base = ensure_checkpoint_dir(spark)
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    return os.path.join(base, "tijara-landing", tag)
+    return shared_path(spark, "landing", tag)
 
 
 def ensure_landing(spark: SparkSession, sf_dir: str, frames: dict[str, tuple[DataFrame, str]]) -> str:
     """Write each raw export once per session (dataset -> (frame, sep))."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     with _lock:
         if key not in _landing:
             folder = landing_folder(spark, sf_dir)

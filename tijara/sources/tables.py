@@ -27,7 +27,7 @@ class Tables:
             raise AttributeError(name)
         # One relation per (session, path): the file listing of a large table
         # happens once per session instead of once per query.
-        key = (id(self.spark), table_path(self.sf_dir, name))
+        key = (self.spark.sparkContext.applicationId, table_path(self.sf_dir, name))
         df = _relations.get(key)
         if df is None:
             df = self.spark.read.parquet(key[1])
@@ -35,10 +35,10 @@ class Tables:
         return df
 
 
-_relations: dict[tuple[int, str], DataFrame] = {}
+_relations: dict[tuple[str, str], DataFrame] = {}
 
 
-_bound_checked: dict[tuple[int, str], bool] = {}
+_bound_checked: dict[tuple[str, str], bool] = {}
 
 
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -48,7 +48,7 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     when the bound is exceeded the frame is returned unhinted and AQE picks
     the join strategy from runtime statistics instead.
     """
-    key = (id(df.sparkSession), df.semanticHash().__str__())
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash().__str__())
     ok = _bound_checked.get(key)
     if ok is None:
         ok = df.limit(max_rows + 1).count() <= max_rows

@@ -21,11 +21,11 @@ from pyspark.sql import types as T
 
 from ..operators import cleaning as CL
 from ..operators import ingest as IN
-from ..session import ensure_checkpoint_dir, path_exists
+from ..session import path_exists, shared_path
 
 
 def stream_root(spark: SparkSession, name: str, tag: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "tijara-streams", name, tag)
+    return shared_path(spark, "streams", name, tag)
 
 
 def daily_revenue_stream(spark: SparkSession, events_path: str, out: str, checkpoint: str,
