@@ -100,3 +100,25 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     end = word & np.concatenate((~word[1:] | first[1:n], [True]))
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
     return s, e, np.searchsorted(offs, s, side="right") - 1
+
+
+def keep_decided(docs: DataFrame, decided: DataFrame, key) -> DataFrame:
+    """``docs`` without the rows decided against, all columns kept.
+
+    ``decided``: doc_id, key, kept for the rows of groups larger than one, with
+    exactly one kept row a group; ``key(text)`` makes the key of a document.
+    Only dropped (id, key) pairs meet the documents; pairs of a kept row that
+    occur on several rows (repeated rows) are reduced apart.
+    """
+    pairs = decided.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = pairs.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
+    many = pairs.filter("kept and n > 1").select(F.col("doc_id").alias("many_id"), F.col("key").alias("many_key"))
+    p, names = positional(docs)
+    p = p.withColumn("key", key(at(names, "text")))
+    ident = at(names, "doc_id")
+    left = p.join(gone, ident.eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    if not many.isEmpty():
+        on = ident.eqNullSafe(F.col("many_id")) & (F.col("key") == F.col("many_key"))
+        once = left.join(many, on, "left_semi").dropDuplicates([f"_c{names.index('doc_id')}", "key"])
+        left = left.join(many, on, "left_anti").unionByName(once)
+    return restore(left, names)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, at, positional, restore, take, write_shared
+from .common import SPACE, keep_decided, take, write_shared
 
 SUPPORT = 0.001
 
@@ -58,22 +58,6 @@ def decide(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept.
-
-    Only the dropped (id, digest) pairs meet the documents again; pairs of a
-    winner that occur on several rows (repeated rows) are reduced apart.
-    """
-    d = write_shared(decide(docs, support).filter("group_size > 1").select("doc_id", "digest", "kept"), "decided")
-    pairs = d.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = pairs.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
-    many = pairs.filter("kept and n > 1").select(F.col("doc_id").alias("many_id"), F.col("digest").alias("many_digest"))
-
-    p, names = positional(docs)
-    p = p.withColumn("digest", digest(at(names, "text")))
-    key = at(names, "doc_id")
-    left = p.join(gone, key.eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
-    if not many.isEmpty():
-        on = key.eqNullSafe(F.col("many_id")) & (F.col("digest") == F.col("many_digest"))
-        once = left.join(many, on, "left_semi").dropDuplicates([f"_c{names.index('doc_id')}", "digest"])
-        left = left.join(many, on, "left_anti").unionByName(once)
-    return restore(left, names)
+    """``docs`` with one row of each group of equal texts, all columns kept."""
+    d = decide(docs, support).filter("group_size > 1").select("doc_id", F.col("digest").alias("key"), "kept")
+    return keep_decided(docs, write_shared(d, "decided"), digest)

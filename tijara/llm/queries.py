@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, simhash
 from .common import SPACE, WORD, read
 
 
@@ -62,3 +62,14 @@ WITH n AS (
 SELECT doc_id, MIN(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size, r = MIN(r) OVER g AS kept, text_sha256
 FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token piece with its sequence and its place there."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    g = simhash.near_groups(read(spark, sf_dir, "documents"))
+    return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")

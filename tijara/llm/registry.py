@@ -10,6 +10,8 @@ from . import queries as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": Q.op2_mix_sources,
+    "op4_best_fit_packing": Q.op4_best_fit_packing,
+    "op5_simhash_near_dedup": Q.op5_simhash_near_dedup,
     "op6_exact_dedup": Q.op6_exact_dedup,
 }
 ORACLES: dict[str, str] = {
