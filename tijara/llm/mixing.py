@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, at, positional, take, write_shared
+from .common import WORD, at, positional, take, write_shared
 
 #: Weight shapes over training time, each with integral 1: (time, factor) knots.
 EARLY = [(0.0, 1.5), (1.0, 0.5)]
@@ -86,28 +86,42 @@ def targets(sizes: DataFrame, share: float = 1.5, max_repeats: float = 2.0, cycl
     return s.withColumn("target", want).drop("limit")
 
 
-def assign(rows: DataFrame, share: float = 1.5, max_repeats: int = 2, cycle=CYCLE, seed: str = SEED) -> DataFrame:
-    """``rows`` needs doc_id, source, size, tie (long); other columns pass through.
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and a tie-break of every row, in a written table."""
+    return write_shared(take(docs, "doc_id", "source", "text").select(
+        "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "measured")
+
+
+def _keyed(rows: DataFrame, seed: str, buckets: int | None = None) -> DataFrame:
+    rows = rows.withColumn("h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    if buckets is None:
+        return rows
+    return rows.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(2.0 ** 32)))
+
+
+def assign(rows: DataFrame, slim: DataFrame, share: float = 1.5, max_repeats: int = 2, cycle=CYCLE,
+           seed: str = SEED) -> DataFrame:
+    """``rows``: doc_id, source, size, tie (long); other columns pass through.
+    ``slim``: the same rows without those, for the counts (:func:`measured`).
 
     Adds source_size, target, taken (words, repeats counted) and copies: an
     array of (position, words), one for each time the document is taken.
     """
-    rows = rows.withColumn("h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    slim = rows.select("source", "size", "h")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     src = write_shared(targets(sizes, share, max_repeats, cycle), "targets")
     n = src.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.isqrt(n))
-    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(2.0 ** 32)))
     # Bucket totals, then where each bucket begins in its source's order.
-    tot = (rows.select("source", "bucket", "size").groupBy("source", "bucket").agg(F.sum("size").alias("b"))
-           .withColumn("begin", F.sum("b").over(Window.partitionBy("source").orderBy("bucket")) - F.col("b")))
-    tot = write_shared(tot.join(src.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src")))
-                       .select(F.col("source").alias("src"), F.col("bucket").alias("bkt"), "begin", "source_size",
-                               "target", "s"), "buckets")
+    tot = write_shared(
+        _keyed(slim, seed, buckets).groupBy("source", "bucket").agg(F.sum("size").alias("b"))
+        .withColumn("begin", F.sum("b").over(Window.partitionBy("source").orderBy("bucket")) - F.col("b"))
+        .select(F.col("source").alias("src"), F.col("bucket").alias("bkt"), "begin"), "buckets")
+    src = src.select(F.col("source").alias("of"), "source_size", "target", "s")
     local = Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last(), "size", "tie")
-    r = rows.withColumn("run", F.sum("size").over(local.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    r = _keyed(rows, seed, buckets)
+    r = r.withColumn("run", F.sum("size").over(local.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     r = r.join(tot, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("bkt")))
+    r = r.join(src, F.col("source").eqNullSafe(F.col("of")))
     at0 = F.col("begin") + F.col("run")
     whole = F.floor("target")
 
@@ -115,13 +129,13 @@ def assign(rows: DataFrame, share: float = 1.5, max_repeats: int = 2, cycle=CYCL
         return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), whole - (e * F.col("source_size") + at0)))
 
     def copy(e: Column) -> Column:
-        mid = (e * F.col("source_size") + at0 + got(e) / 2.0) / F.col("target")
+        mid = (e * F.col("source_size") + at0 + got(e) / 2.0) / F.greatest(F.col("target"), F.lit(1.0))
         return F.struct(invert(F.col("s"), mid).alias("position"), got(e).alias("words"))
 
     epochs = F.array(*[F.lit(e).cast("long") for e in range(max_repeats)])
     return (r.withColumn("copies", F.filter(F.transform(epochs, copy), lambda c: c["words"] > 0))
             .withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]))
-            .drop("h", "bucket", "run", "src", "bkt", "begin", "s"))
+            .drop("h", "bucket", "run", "src", "bkt", "begin", "s", "of"))
 
 
 def invert(s: Column, share: Column) -> Column:
@@ -136,24 +150,17 @@ def invert(s: Column, share: Column) -> Column:
     return F.least(t1, F.when(r <= 0, t0).otherwise(t0 + 2 * r / (w0 + root)))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and a tie-break, the texts left behind."""
-    return take(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-
-
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents themselves, one row per copy, sorted by position;
     columns as in ``docs`` (a copy cut by the end of its source's demand keeps
-    its first words, and ``n_chars`` follows where there is one)."""
+    its first words, one space apart, and ``n_chars`` follows where there is one)."""
     p, names = positional(docs)
     text = at(names, "text")
     p = p.select("*", at(names, "doc_id").alias("doc_id"), at(names, "source").alias("source"),
                  words(text).alias("size"), F.xxhash64(text).alias("tie"))
-    m = assign(p, **how).withColumn("copy", F.explode("copies"))
+    m = assign(p, measured(docs), **how).withColumn("copy", F.explode("copies"))
     cut = F.col("copy.words") < F.col("size")
-    head = F.regexp_extract(text, F.concat(F.lit("^(?s:" + SPACE[:-1] + "*(?:" + WORD + SPACE + "){"),
-                                           (F.col("copy.words") - 1).cast("string"), F.lit("}" + WORD + ")")), 0)
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int")), " ")
     cols = []
     for i, name in enumerate(names):
         c = F.col(f"_c{i}")

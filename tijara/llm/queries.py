@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash
+from . import exact_dedup, lcp, mixing, packing, pii, secrets_scan, simhash, suffix_dedup, toxicity, url_filters
 from .common import SPACE, WORD, read
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix, by the order of training."""
-    m = mixing.assign(mixing.measured(read(spark, sf_dir, "documents")))
+    slim = mixing.measured(read(spark, sf_dir, "documents"))
+    m = mixing.assign(slim, slim)
     m = m.withColumn("position", F.get("copies", F.lit(0))["position"])
     order = [F.col("position").asc_nulls_last(), F.xxhash64("doc_id")]  # documents not taken spread out at the end
     m = m.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -73,3 +74,94 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     g = simhash.near_groups(read(spark, sf_dir, "documents"))
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is toxic, and its significant passages."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    s = toxicity.score_documents(docs, model)
+    return s.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base spans and all spans of every document, as text."""
+    s = secrets_scan.scan(read(spark, sf_dir, "documents"))
+    order = F.array_sort(F.transform("spans", lambda x: F.struct(
+        x["start"].alias("start"), F.array_position(F.array(*[F.lit(k) for k in secrets_scan.KINDS]), x["kind"]).alias("rank"),
+        x["end"].alias("end"), x["kind"].alias("kind"))))
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    s = s.withColumn("o", order)
+
+    def n(kind: str):
+        return F.size(F.filter("o", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return s.select("doc_id", n("assign"), n("access"), n("hex"), n("novel"),
+                    F.sha2(text(F.filter("o", lambda x: x["kind"] != "novel")), 256).alias("base_sha256"),
+                    text(F.col("o")).alias("spans"))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and of its edited text, and their likeness."""
+    return lcp.compare_edited(read(spark, sf_dir, "documents"))
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that other documents have too."""
+    return suffix_dedup.passages(read(spark, sf_dir, "documents"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that each page's URL was on when it was fetched."""
+    captures = url_filters.derived_captures(read(spark, sf_dir, "pages"))
+    j = url_filters.judge(captures, url_filters.derived_entries(captures))
+    return j.select("page_id", "url", "host", "fetched", "lists", "n_entries", (F.col("n_entries") > 0).alias("blocked"))
+
+
+def _sql_day(text: str, first: str, days: int) -> str:
+    return f"(DATE '{first}' + (('0x' || substr(md5({text}), 1, 6))::BIGINT % {days})::INTEGER)"
+
+
+_SQL_HOST = r"lower(regexp_extract(COALESCE(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+_SQL_PATH = r"regexp_extract(COALESCE(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_SQL_TOPIC = " ".join(f"WHEN regexp_matches(site, '{w}') THEN '{n}'" for n, w in url_filters.TOPICS)
+OP3_SQL = f"""
+WITH c AS (
+  SELECT ROW_NUMBER() OVER () AS capture, page_id, url, {_sql_day("'f' || COALESCE(page_id::VARCHAR, '')", "2024-01-01", 366)} AS fetched,
+         {_SQL_HOST} AS host, {_SQL_PATH} AS path FROM pages),
+h AS (SELECT DISTINCT regexp_replace(host, '^(?:www|m|blog)[.]', '') AS site FROM c WHERE host <> ''),
+named AS (
+  SELECT CASE {_SQL_TOPIC} WHEN ('0x' || substr(md5('r' || site), 1, 2))::INT < {url_filters.REVIEWED} THEN 'review' END AS list,
+         'domain:' || site AS pattern FROM h
+  UNION ALL
+  SELECT 'review', pattern FROM (
+    SELECT DISTINCT 'path:' || host || '/' || regexp_extract(path, '^/([^/]+)', 1) AS pattern FROM c
+    WHERE host <> '' AND regexp_extract(path, '^/([^/]+)', 1) <> '')
+  WHERE ('0x' || substr(md5('p' || pattern), 1, 2))::INT < {url_filters.REVIEWED}),
+log AS (
+  SELECT list, pattern, {_sql_day("'a' || list || '|' || pattern", "2023-10-01", 270)} AS day, 'add' AS action FROM named WHERE list IS NOT NULL
+  UNION ALL SELECT list, pattern, {_sql_day("'b' || list || '|' || pattern", "2024-06-30", 120)}, 'remove' FROM named WHERE list IS NOT NULL
+  UNION ALL SELECT list, pattern, {_sql_day("'c' || list || '|' || pattern", "2024-11-01", 200)}, 'add' FROM named WHERE list IS NOT NULL),
+a AS (
+  SELECT c.capture, l.list, l.pattern, l.action,
+         ROW_NUMBER() OVER (PARTITION BY c.capture, l.list, l.pattern ORDER BY l.day DESC, l.action DESC) AS latest
+  FROM c JOIN log l ON l.day <= c.fetched AND (
+    (l.pattern LIKE 'domain:%' AND (c.host = substr(l.pattern, 8) OR ends_with(c.host, '.' || substr(l.pattern, 8))))
+    OR (l.pattern LIKE 'path:%' AND starts_with(c.host || c.path || '/', substr(l.pattern, 6) || '/')))),
+hit AS (
+  SELECT capture, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, COUNT(*) AS n_entries
+  FROM a WHERE latest = 1 AND action = 'add' GROUP BY capture)
+SELECT page_id, url, host, fetched, COALESCE(lists, '') AS lists, COALESCE(n_entries, 0) AS n_entries,
+       COALESCE(n_entries, 0) > 0 AS blocked
+FROM c LEFT JOIN hit USING (capture)
+"""
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data, and what was replaced."""
+    r = pii.replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return r
