@@ -122,3 +122,46 @@ def keep_decided(docs: DataFrame, decided: DataFrame, key) -> DataFrame:
         once = left.join(many, on, "left_semi").dropDuplicates([f"_c{names.index('doc_id')}", "key"])
         left = left.join(many, on, "left_anti").unionByName(once)
     return restore(left, names)
+
+
+_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_STEP, _STRIDE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: dict[int, np.ndarray] = {}
+
+
+def mixed64(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+def inverse(odd: int) -> int:
+    return pow(odd, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1, modulo 2 ** 64; the longest so far is kept."""
+    if base not in _powers or len(_powers[base]) < n:
+        out = np.full(max(n, 1 << 16), np.uint64(base))
+        out[0] = 1
+        _powers[base] = np.multiply.accumulate(out)
+    return _powers[base][:n]
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word, from running sums over the bytes."""
+    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * powers(_STEP, len(buf)))))
+    back = powers(inverse(_STEP), len(buf) + 1)
+    return mixed64((run[end] - run[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+class Stretches:
+    """Hash of any stretch of words (first, count) in constant time."""
+
+    def __init__(self, words: np.ndarray):
+        self.run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers(_STRIDE, len(words)))))
+        self.back = powers(inverse(_STRIDE), len(words) + 1)
+
+    def of(self, first: np.ndarray, count) -> np.ndarray:
+        return mixed64((self.run[first + count] - self.run[first]) * self.back[first] + np.uint64(1))

@@ -3,7 +3,8 @@
 Tokens: every document is encoded by a public tokenizer and gets one end id;
 documents longer than ``cap`` are cut into pieces of ``cap`` ids.  Encoding
 works word by word (white space always ends a token of that tokenizer), and
-each worker remembers the ids of up to ``CACHE`` words.
+each worker remembers the ids of up to ``CACHE`` words.  Any other tokenizer
+whose tokens end at white space and which ignores ASCII case will do.
 
 Packing: a piece longer than half a sequence opens one.  The others are placed
 in waves of falling length; in each wave the open gaps and the wave's pieces
@@ -40,11 +41,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_parts, take, write_shared
+from .common import n_parts, take, text_chunks, word_bounds, word_hashes, write_shared
 
 CAP = 2048
 END_ID = 0
-CACHE = 500_000
+CACHE = 200_000
+LOT = 500  # letter runs encoded in one call
+CHUNK = 2 << 20  # bytes of text encoded at a time
+#: Marks that, behind a run of letters, are a token run of their own.
+MARKS = b".,!?;:*#$%&()-"
 PER_TASK = 20_000
 SMALLEST_WAVE = 64
 
@@ -55,63 +60,126 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class _Words(dict):
-    """word (bytes) -> number of its ids; unknown words queue up for encoding."""
+    """word (bytes) -> its number; a word is one or two units with known ids.
+
+    A unit is a run of letters (ASCII in lower case), marks after such a run, or
+    a word of any other kind as a whole: the tokenizer never joins across these
+    and ignores case.  Letter runs are encoded many at a time, one space apart;
+    their last id, and no other, ends a word.
+    """
 
     def __init__(self, path: str | None):
         super().__init__()
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path or tokenizer_path())
-        self.queue: list[bytes] = []
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)  # of word k's ids in flat
-        self.known = 0
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.first = np.zeros(1 << 14, np.int64)  # units of every word; the second is -1 if there is none
+        self.second = np.zeros(1 << 14, np.int64)
+        self.units: dict[bytes, int] = {}
+        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.fresh: list[bytes] = []  # words met in this batch
 
     def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self)
-        self.queue.append(word)
+        self.fresh.append(word)
         return k
 
-    def encode_queue(self) -> None:
-        if not self.queue:
+    def learn(self) -> None:
+        """Units of the fresh words, and the ids of units not met before."""
+        n, new = len(self.fresh), len(self.units)
+        if not n:
             return
-        enc = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in self.queue], add_special_tokens=False)
-        ids = [e.ids for e in enc]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = int(self.ends[self.known - 1]) if self.known else 0
-        n = at + int(lens.sum())
+        stems = [w.rstrip(MARKS).lower() for w in self.fresh]
+        texts = b"\n".join(stems).decode("utf-8", "replace")
+        run = [t.isalpha() for t in texts.split("\n")]
+        if not texts.isascii():  # lower case of some letters is more than letters
+            run = [a and t.isalpha() for a, t in zip(run, texts.lower().split("\n"))]
+        units = self.units
+        first = [units.setdefault(s if a else w, len(units)) for w, s, a in zip(self.fresh, stems, run)]
+        second = [units.setdefault(w[len(s):], len(units)) if a and len(s) < len(w) else -1
+                  for w, s, a in zip(self.fresh, stems, run)]
+        end = len(self)
+        if end > len(self.first):
+            more = np.zeros(max(end - len(self.first), len(self.first) // 2), np.int64)
+            self.first, self.second = np.concatenate([self.first, more]), np.concatenate([self.second, more])
+        self.first[end - n:end], self.second[end - n:end] = first, second
+        if len(units) > len(self.begin):
+            more = np.zeros(max(len(units) - len(self.begin), len(self.begin) // 2), np.int64)
+            self.begin, self.length = np.concatenate([self.begin, more]), np.concatenate([self.length, more])
+        letters, others = [], []
+        for k, u in enumerate(itertools.islice(reversed(units), len(units) - new), start=1):
+            t = u.decode("utf-8", "replace")
+            (letters if t.isalpha() and t.lower().isalpha() else others).append((len(units) - k, t))
+        for i in range(0, len(letters), LOT):
+            self._runs(letters[i:i + LOT])
+        if others:
+            self._plain(others)
+
+    def _store(self, units: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = self.used + len(ids)
         if n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(n, len(self.flat)), np.uint32)])
-        if self.known + len(ids) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(ids), len(self.ends)), np.int64)])
-        self.flat[at:n] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, n - at)
-        self.ends[self.known:self.known + len(ids)] = at + np.cumsum(lens)
-        self.known += len(ids)
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat) // 2), np.uint32)])
+        self.flat[self.used:n] = ids
+        self.begin[units] = self.used + np.cumsum(lengths) - lengths
+        self.length[units] = lengths
+        self.used = n
+
+    def _runs(self, lot: list[tuple[int, str]]) -> None:
+        ids = np.array(self.tok.encode(" ".join(t for _, t in lot), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(lot) and ends[-1] == len(ids):
+            self._store([k for k, _ in lot], ids, np.diff(ends, prepend=0))
+        else:
+            self._plain(lot)
+
+    def _plain(self, lot: list[tuple[int, str]]) -> None:
+        ids = [e.ids for e in self.tok.encode_batch_fast([t for _, t in lot], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._store([k for k, _ in lot], np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
 
     def trim(self) -> None:
-        """Beyond ``CACHE`` words, forget the newest."""
+        """Beyond ``CACHE`` words, forget the newest and the units only they have.
+
+        The first CACHE words have at most 2 * CACHE units, which stay."""
         excess = len(self) - CACHE
         if excess > 0:
-            for w in self.queue[-excess:]:
+            for w in self.fresh[-excess:]:
                 del self[w]
-            self.known = CACHE
-        self.queue = []
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        numbers = [np.fromiter(map(self.__getitem__, ws), np.int64, len(ws)) for ws in map(bytes.split, texts)]
-        self.encode_queue()
-        out = []
-        for r in numbers:
-            ends = self.ends[r]
-            begins = np.where(r > 0, self.ends[r - 1], 0)
-            lens = ends - begins
-            total = np.cumsum(lens)
-            n = int(total[-1]) if len(total) else 0
-            ids = np.empty(n + 1, np.uint32)
-            ids[:n] = self.flat[np.arange(n) + np.repeat(begins - (total - lens), lens)]
-            ids[n] = END_ID
-            out.append(ids)
+        excess = len(self.units) - 2 * CACHE
+        if excess > 0:
+            for u in list(itertools.islice(reversed(self.units), excess)):
+                del self.units[u]
+            stay = slice(0, 2 * CACHE)  # units of one batch are not stored in the order of their numbers
+            self.used = int((self.begin[stay] + self.length[stay]).max())
+        self.fresh = []
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts laid out in ``buf`` at ``offs``, each with its end id, and where each text's ids end."""
+        docs = len(offs) - 1
+        start, end, row = word_bounds(buf, offs)
+        # One look-up for each different word of the chunk; equal 64-bit hashes stand for equal words.
+        _, one, which = np.unique(word_hashes(buf, start, end), return_index=True, return_inverse=True)
+        data = buf.tobytes()
+        words = [data[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())]
+        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.learn()
+        r = number[which]
+        units = np.column_stack((self.first[r], self.second[r]))
+        lens = np.where(units >= 0, self.length[units], 0)
+        # Every text's words, then its end id.
+        per_doc = np.bincount(row, weights=lens.sum(axis=1), minlength=docs).astype(np.int64) + 1
+        ends = np.cumsum(per_doc)
+        ids = np.full(int(ends[-1]) if docs else 0, END_ID, np.uint32)
+        lens = lens.ravel()
+        to = np.cumsum(lens) - lens + np.repeat(row, 2)  # an end id for every text before
+        n = int(lens.sum())
+        at = np.arange(n) - np.repeat(np.cumsum(lens) - lens, lens)
+        ids[at + np.repeat(to, lens)] = self.flat[at + np.repeat(self.begin[units.ravel()], lens)]
         self.trim()
-        return out
+        return ids, ends
 
 
 _encoders: dict[str | None, _Words] = {}
@@ -135,20 +203,21 @@ def token_pieces(docs: DataFrame, cap: int = CAP, path: str | None = None, keep_
         import pyarrow as pa
         enc = encoder(path)
         for b in batches:
-            doc = b.column(0).to_pylist()
-            texts = b.column(1).cast(pa.large_binary()).fill_null(b"")
-            for i in range(0, len(doc), 200):
-                rows: list[tuple] = []
-                for d, ids in zip(doc[i:i + 200], enc.encode(texts[i:i + 200].to_pylist())):
-                    for k in range(0, len(ids), cap):
-                        part = ids[k:k + cap]
-                        rows.append((d, k // cap, k, len(part), zlib.crc32(part.astype("<u4").tobytes()),
-                                     part.astype(np.int32) if keep_ids else None))
-                cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                        *[pa.array([r[j] for r in rows], pa.int64()) for j in (2, 3, 4)]]
+            doc = b.column(0)
+            for i, j, buf, offs in text_chunks(b.column(1), CHUNK):
+                ids, ends = enc.encode(buf, offs)
+                n = np.diff(ends, prepend=0)
+                pieces = -(-n // cap)
+                row = np.repeat(np.arange(j - i), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = (ends - n)[row] + piece * cap
+                last = np.minimum(first + cap, ends[row])
+                parts = [ids[x:y] for x, y in zip(first.tolist(), last.tolist())]
+                cols = [doc.slice(i, j - i).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * cap),
+                        pa.array(last - first), pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    cols.append(pa.array([r[5] for r in rows], pa.list_(pa.int32())))
+                    cols.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 

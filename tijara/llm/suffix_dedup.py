@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import take, text_chunks, word_bounds, write_shared
+from .common import Stretches, mixed64, take, text_chunks, word_bounds, word_hashes, write_shared
 from .mixing import words as n_words
 
 LENGTH = 50
@@ -48,53 +48,7 @@ PREFIX = LENGTH - WINDOW + 1
 LEFT, RIGHT = WINDOW - 1, LENGTH - PREFIX  # context beyond the prefix
 RUN_ROWS = 50_000
 NO_ID = (1 << 63) - 1  # stands for a null id
-
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xD6E8FEB86659FD93)
-_B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
-_known: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n - 1, modulo 2 ** 64; the longest so far is kept."""
-    if len(_known.get(base, ())) < n:
-        out = np.full(max(n, 1 << 16), np.uint64(base))
-        out[0] = 1
-        _known[base] = np.multiply.accumulate(out)
-    return _known[base][:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word, from running sums over the bytes."""
-    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * _powers(int(_P), len(buf)))))
-    back = _powers(_inverse(int(_P)), len(buf) + 1)
-    return _mixed((run[end] - run[start]) * back[start] + (end - start).astype(np.uint64))
-
-
-class _Runs:
-    """Hash of any stretch of words (first, count) in constant time."""
-
-    def __init__(self, words: np.ndarray):
-        self.run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _powers(int(_Q), len(words)))))
-        self.back = _powers(_inverse(int(_Q)), len(words) + 1)
-
-    def of(self, first: np.ndarray, count: int) -> np.ndarray:
-        return _mixed((self.run[first + count] - self.run[first]) * self.back[first] + np.uint64(count))
-
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 def minimisers(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Word numbers (in the chunk) at which suffixes are kept."""
@@ -106,7 +60,7 @@ def minimisers(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     at = np.arange(len(words))
     gram = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
     ok = at <= last_gram
-    gram[ok] = _Runs(words).of(at[ok], GRAM)
+    gram[ok] = Stretches(words).of(at[ok], GRAM)
     # Least gram of each stretch of WINDOW grams: leftmost of equal ones, by doubling.
     best, width = at.copy(), 1
     while width < WINDOW:
@@ -135,7 +89,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 if not len(m):
                     continue
                 first = np.searchsorted(row, np.arange(j - i))
-                h = _Runs(w).of(m, PREFIX)
+                h = Stretches(w).of(m, PREFIX)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(dk[i:j][row[m]]), pa.array((m - first[row[m]]).astype(np.int32))],
                     ["h", "dk", "pos"])
@@ -203,7 +157,7 @@ def contexts(docs: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
                 ok = p + PREFIX <= n[who]
                 who, p = who[ok], p[ok]
                 m = first[who] + p
-                h = _Runs(w).of(m, PREFIX)
+                h = Stretches(w).of(m, PREFIX)
                 small = np.append((w >> np.uint64(32)).astype(">u4"), np.zeros(1, ">u4"))
                 right = m[:, None] + PREFIX + np.arange(RIGHT)
                 left = m[:, None] - 1 - np.arange(LEFT)
@@ -240,7 +194,7 @@ def _cumulated(a: np.ndarray) -> np.ndarray:
     """(n, k) word hashes -> (n, k + 1) hashes of the first 0..k of them."""
     out = np.zeros((a.shape[0], a.shape[1] + 1), np.uint64)
     for i in range(a.shape[1]):
-        out[:, i + 1] = _mixed(out[:, i] * _Q + a[:, i].astype(np.uint64) + _P)
+        out[:, i + 1] = mixed64(out[:, i] * _ODD + a[:, i].astype(np.uint64) + np.uint64(i + 1))
     return out
 
 
@@ -266,7 +220,7 @@ def matches(e: pd.DataFrame, rim: np.ndarray) -> pd.DataFrame:
     out: list[tuple] = []  # settled, row, window, key, other
 
     def keys(rows: np.ndarray, w: int) -> np.ndarray:
-        return _mixed(h[rows] + _mixed(lc[rows, w] * _B + rc[rows, RIGHT - w]) + np.uint64(w))
+        return mixed64(h[rows] + mixed64(lc[rows, w] * _ODD + rc[rows, RIGHT - w]) + np.uint64(w))
 
     for w in range(LEFT + 1):  # the window that begins w words before the minimiser
         need = RIGHT - w  # words beyond the prefix
