@@ -1,21 +1,24 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Learning (only from rows outside the held-out fold, at most ``FIT_ROWS`` of
-them, taken in the order of a hash of the id): every word, and every word
+them, taken in the order of a hash of the id, one of each group of copies and
+near copies by least hashes of five-word shingles): every word, and every word
 beginning of 4, 5 and 6 letters, gets the log-odds of its document counts in
 toxic against other rows under a Dirichlet prior, and the z-value of these
 odds.  Features whose z and odds are both clear make the lexicon; a word scores
 by its clearest feature.
 
-Scoring a text: each word adds its log-odds less a small drift.  One linear
+Scoring a text: each word adds its log-odds, where it occurs first, less a small
+drift.  One linear
 pass (Ruzzo and Tompa) finds all maximal scoring segments.  Their scores are
 put on one scale by extreme-value statistics: lambda solves the sum of
 p(word) * exp(lambda * score) = 1 over the background of other rows, K is
 counted on them, and a segment of score S in a text of n words has
-E = K n exp(-lambda S) expected equals by chance.  Segments with E up to
-``E_MAX`` are reported as toxic passages.  The document's statistic is its
-best segment's -ln E; a logistic curve fitted on the learning rows turns it into
-the probability returned.
+E = K n exp(-lambda S) expected equals by chance, so that the chance of one at
+all is P = 1 - exp(-E).  Segments with P up to ``P_MAX`` are reported as toxic
+passages.  The document's statistic is its best segment's -ln P (0 without a
+segment); a logistic curve fitted on the learning rows turns it into the
+probability returned.
 
 Cases: null and empty texts have no segment and get the score of a text
 without evidence; a label without an id or value is ignored; if an id has
@@ -32,10 +35,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at, positional, restore, take, write_shared
+from .common import Stretches, at, mixed64, positional, restore, take, text_chunks, word_bounds, word_hashes, write_shared
 
 FIT_ROWS = 50_000
 FOLDS = 5
@@ -45,8 +48,9 @@ MIN_ODDS = 0.7
 MAX_ODDS = 8.0
 PREFIXES = (6, 5, 4)
 DRIFT = 0.05
-E_MAX = 0.01
+P_MAX = 0.01
 BACKGROUND_SCORE = 2.0
+SHINGLE = 5
 SCORED_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -72,6 +76,16 @@ class _Scores(dict):
         return s
 
 
+def scored(words: list[str], scores: _Scores) -> list[tuple[int, float]]:
+    """(word number, score) of the words that have a score; as the odds are of
+    documents, a word scores where it occurs first."""
+    hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s]
+    if len(hits) < 2:
+        return hits
+    seen: set[str] = set()
+    return [h for h in hits if not ((w := words[h[0]].lower()) in seen or seen.add(w))]
+
+
 def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first word, last word).
 
@@ -111,39 +125,76 @@ class Model:
     share: float
 
     def statistic(self, best: float, words: int) -> float:
-        """-ln E of the best segment, kept within what the curve was fitted for."""
-        return max(-20.0, min(40.0, self.lam * best - math.log(self.k * max(words, 1))))
+        """-ln of the chance that a text of so many words has such a segment; 0 without one."""
+        if best <= 0:
+            return 0.0
+        minus_ln_e = self.lam * best - math.log(self.k * words)
+        return min(40.0, minus_ln_e if minus_ln_e > 25 else -math.log(-math.expm1(-math.exp(-minus_ln_e))))
 
     def probability(self, x: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * x))))
 
     def score(self, texts, scores: _Scores | None = None):
-        """(probability, passages) of each text; a passage is (start, end, -ln E)."""
+        """(probability, passages) of each text; a passage is (start, end, -ln P)."""
         scores = _Scores(self.lexicon) if scores is None else scores
         for text in texts:
             words = _WORD.findall(text) if text else []
-            hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s]
             if not self.lexicon:
                 yield self.share, []
                 continue
-            found = segments(hits) if hits else []
+            found = segments(scored(words, scores))
             best = max((s for s, _, _ in found), default=0.0)
             spans = []
             clear = [(self.statistic(s, len(words)), a, b) for s, a, b in found]
-            clear = [c for c in clear if c[0] >= -math.log(E_MAX)]
+            clear = [c for c in clear if c[0] >= -math.log(P_MAX)]
             if clear:
                 places = [m.span() for m in _WORD.finditer(text)]
                 spans = [(places[a][0], places[b][1], x) for x, a, b in clear]
             yield self.probability(self.statistic(best, len(words))), spans
 
 
+def _sketch(batches):
+    """(id, toxic, m0 .. m3): least hashes of the five-word shingles of a text."""
+    import pyarrow as pa
+    for b in batches:
+        for i, j, buf, offs in text_chunks(b.column(1), 2 << 20):
+            start, end, row = word_bounds(buf, offs)
+            least = np.zeros((4, j - i), np.uint64)
+            if len(start):
+                n = np.bincount(row, minlength=j - i)
+                first = np.cumsum(n) - n
+                at = np.arange(len(start))
+                stop = np.minimum(at + SHINGLE, np.repeat(first + n, n))
+                whole = (stop - at == SHINGLE) | (at == np.repeat(first, n))  # a short text is one shingle
+                at, stop, row = at[whole], stop[whole], row[whole]
+                h = Stretches(word_hashes(buf, start, end)).of(at, stop - at)
+                begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                for k in range(4):
+                    least[k, row[begin]] = np.minimum.reduceat(mixed64(h ^ np.uint64(k * 7919 + 1)), begin)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *[pa.array(x.view(np.int64)) for x in least]],
+                ["id", "toxic", "m0", "m1", "m2", "m3"])
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """Texts and labels to learn from, one of each group of copies and near copies."""
+    def with_text(lab: DataFrame) -> DataFrame:
+        # At most fit_rows rows of a few bytes: the documents themselves are never shuffled.
+        return take(docs, "doc_id", "text").join(F.broadcast(lab), F.col("doc_id") == F.col("lab_id"))
+
     lab = (take(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null")
            .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumnRenamed("doc_id", "lab_id"))
     lab = write_shared(lab, "fit-labels")
-    # At most fit_rows rows of 12 bytes: the documents themselves are never shuffled.
-    return take(docs, "doc_id", "text").join(F.broadcast(lab), F.col("doc_id") == F.col("lab_id")).select("text", "toxic")
+    kind = lab.schema["lab_id"].dataType.simpleString()
+    sketched = with_text(lab).select("lab_id", "text", "toxic").mapInArrow(
+        _sketch, f"id {kind}, toxic int, m0 long, m1 long, m2 long, m3 long")
+    # A text that shares a least hash with one of a smaller id is a copy or near copy of it.
+    for k in range(4):
+        sketched = sketched.withColumn(f"f{k}", F.min("id").over(Window.partitionBy(f"m{k}")))
+    lab = write_shared(sketched.filter(" and ".join(f"f{k} = id" for k in range(4)))
+                       .select(F.col("id").alias("lab_id"), "toxic").distinct(), "fit-rows")
+    return with_text(lab).select("text", "toxic")
 
 
 def _count_words(batches):
@@ -198,8 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             out = []
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = _WORD.findall(text or "")
-                hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, ws)) if s]
-                out.append((max((s for s, _, _ in segments(hits)), default=0.0), len(ws), toxic))
+                out.append((max((s for s, _, _ in segments(scored(ws, scores))), default=0.0), len(ws), toxic))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.float64()),
                                               pa.array([o[1] for o in out], pa.int64()),
                                               pa.array([o[2] for o in out], pa.int32())], ["best", "n", "toxic"])
@@ -232,7 +282,7 @@ def _lambda(own: list[tuple[float, float]]) -> float:
     return (lo + hi) / 2
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
     """Bias and slope of a one-variable logistic curve (Newton steps)."""
     a = np.column_stack([np.ones_like(x), x])
     w = np.zeros(2)
@@ -248,21 +298,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, passages: array of (start, end, minus_ln_e) by code point, end exclusive."""
+    """doc_id, score, passages: array of (start, end, minus_ln_p) by code point, end exclusive."""
     def run(batches):
         import pyarrow as pa
         scores = _Scores(model.lexicon)
-        span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("minus_ln_e", pa.float64())])
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("minus_ln_p", pa.float64())])
         for b in batches:
             got = list(model.score(b.column(1).to_pylist(), scores))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([g[0] for g in got], pa.float64()),
-                 pa.array([[dict(zip(("start", "end", "minus_ln_e"), s)) for s in g[1]] for g in got], pa.list_(span))],
+                 pa.array([[dict(zip(("start", "end", "minus_ln_p"), s)) for s in g[1]] for g in got], pa.list_(span))],
                 ["doc_id", "score", "passages"])
 
     src = take(docs, "doc_id", "text")
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<start:int,end:int,minus_ln_e:double>>")
+    return src.mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<start:int,end:int,minus_ln_p:double>>")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
