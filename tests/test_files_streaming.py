@@ -2,6 +2,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -44,40 +46,57 @@ def test_landing_queries(spark, duck):
         assert s == d, name
 
 
-def test_ingest_stream_restart_is_idempotent(spark):
-    """A second availableNow run on the same checkpoint finds no new files:
-    the snapshot and the action log are unchanged (exactly-once)."""
-    from tijara.plans import canonical as K
+def _loaded(spark, land, d, files, ck="ck"):
+    from pyspark.sql import functions as F
+
     from tijara.streaming import jobs as SJ
+    snap, log = os.path.join(d, "snap"), os.path.join(d, "log")
+    SJ.ingest_stream(spark, land, snap, log, os.path.join(d, ck), files_per_batch=files)
+    acts = spark.read.parquet(log)
+    return (sorted(tuple(map(str, r)) for r in SJ.snapshot(spark, snap).collect()),
+            sorted(tuple(r) for r in acts.groupBy("action").agg(F.sum("records")).collect()),
+            acts.select("batch").distinct().count())
+
+
+def _orders_landing(spark):
+    from tijara.plans import canonical as K
     d = tempfile.mkdtemp(prefix="tijara-test-")
     land = os.path.join(d, "landing")
-    FS.write_csv(K.canon(spark, SF_SMALL).get("raw_orders"), land)
-    args = (land, os.path.join(d, "snap"), os.path.join(d, "log"), os.path.join(d, "ck"))
-    SJ.ingest_stream(spark, *args, files_per_batch=1)
-    first = spark.read.parquet(os.path.join(d, "snap", "current")).count()
-    batches = spark.read.parquet(os.path.join(d, "log")).select("batch_id").distinct().count()
-    SJ.ingest_stream(spark, *args, files_per_batch=1)  # restart on the same checkpoint
-    assert spark.read.parquet(os.path.join(d, "snap", "current")).count() == first
-    assert spark.read.parquet(os.path.join(d, "log")).select("batch_id").distinct().count() == batches
+    FS.write_csv(K.canon(spark, SF_SMALL).get("raw_orders").repartition(5), land)
+    return d, land
+
+
+def test_ingest_stream_does_not_depend_on_files_per_batch(spark):
+    d, land = _orders_landing(spark)
+    one, many = _loaded(spark, land, os.path.join(d, "a"), 1), _loaded(spark, land, os.path.join(d, "b"), 64)
+    assert one[:2] == many[:2] and one[2] == 5 and many[2] == 1
+    assert dict(one[1])["inserted"] == len(one[0]) and dict(one[1])["rejected"] > 0
+
+
+def test_ingest_stream_restart_is_idempotent(spark):
+    """A second availableNow run on the same checkpoint finds no new files:
+    the snapshot and the action log are unchanged (exactly-once)."""
+    d, land = _orders_landing(spark)
+    first = _loaded(spark, land, d, 1)
+    assert _loaded(spark, land, d, 1) == first
 
 
 def test_ingest_batch_replay_is_deterministic(spark):
     """Replaying a batch id (as after a failure before the offset commit)
-    rebuilds the same snapshot version and the same action log."""
-    from pyspark.sql import functions as F
+    rebuilds the same folders and the same action log."""
+    d, land = _orders_landing(spark)
+    first = _loaded(spark, land, d, 1)
+    # a fresh checkpoint replays every batch id against the same folders
+    assert _loaded(spark, land, d, 1, "ck2") == first
 
-    from tijara.plans import canonical as K
-    from tijara.streaming import jobs as SJ
-    d = tempfile.mkdtemp(prefix="tijara-test-")
-    land = os.path.join(d, "landing")
-    FS.write_csv(K.canon(spark, SF_SMALL).get("raw_orders"), land)
-    args = (land, os.path.join(d, "snap"), os.path.join(d, "log"), os.path.join(d, "ck"))
-    SJ.ingest_stream(spark, *args, files_per_batch=1)
-    log1 = sorted(tuple(r) for r in spark.read.parquet(os.path.join(d, "log")).groupBy("batch_id", "action")
-                  .agg(F.count("*")).collect())
-    # a fresh checkpoint replays every batch id against the same version folders
-    SJ.ingest_stream(spark, land, os.path.join(d, "snap"), os.path.join(d, "log"), os.path.join(d, "ck2"),
-                     files_per_batch=1)
-    log2 = sorted(tuple(r) for r in spark.read.parquet(os.path.join(d, "log")).groupBy("batch_id", "action")
-                  .agg(F.count("*")).collect())
-    assert log1 == log2
+
+def test_ingest_stream_refuses_a_missing_batch(spark):
+    import shutil
+
+    from pyspark.errors import StreamingQueryException
+    d, land = _orders_landing(spark)
+    _loaded(spark, land, d, 4)
+    os.rename(os.path.join(d, "snap", "batch=1"), os.path.join(d, "gone"))
+    shutil.copy(os.path.join(land, [f for f in os.listdir(land) if f.endswith(".csv")][0]), os.path.join(land, "more.csv"))
+    with pytest.raises(StreamingQueryException):
+        _loaded(spark, land, d, 4)

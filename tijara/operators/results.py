@@ -39,10 +39,11 @@ def top_products_realized(valid_lines: DataFrame, n: int = 1) -> DataFrame:
     return g.orderBy(F.col("revenue").desc(), F.col("label")).limit(n)
 
 
-def sales_page(valid_orders: DataFrame, customer_dim: DataFrame, lines: DataFrame, k: int = 8) -> DataFrame:
+def sales_page(valid_orders: DataFrame, customer_dim: DataFrame, lines: DataFrame) -> DataFrame:
     """O-12.3 + O-9.3: breakdowns (customer type, payment, delivery) stacked
-    with a ``breakdown`` column, each cut to its top k by revenue.  The rank
-    window runs over the tiny aggregated table, partitioned by breakdown."""
+    with a ``breakdown`` column and the rank by revenue; every label is there, a
+    page that draws fewer filters by rank.  The rank window runs over the
+    aggregated table, partitioned by breakdown."""
     from pyspark.sql import Window
     parts = [
         S.sales_by_customer_type(valid_orders, customer_dim).drop("customers")
@@ -53,8 +54,7 @@ def sales_page(valid_orders: DataFrame, customer_dim: DataFrame, lines: DataFram
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     w = Window.partitionBy("breakdown").orderBy(F.col("revenue").desc(), F.col("label"))
     share = F.col("revenue") / F.sum("revenue").over(Window.partitionBy("breakdown"))  # O-6.23 bar share
-    return (u.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("bar_share", share)
-            .filter(F.col("rank") <= k))
+    return u.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("bar_share", share)
 
 
 def scope(orders: DataFrame, valid_orders: DataFrame, lines: DataFrame, customers: DataFrame) -> DataFrame:

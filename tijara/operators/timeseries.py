@@ -69,19 +69,20 @@ def partial_months(panel_all: DataFrame, orders: DataFrame) -> DataFrame:
 
 def revenue_trend(orders: DataFrame, granularity: str = "monthly", start=None, end=None) -> DataFrame:
     """O-12.2 (+ O-4.9): revenue and orders per day / ISO week (Monday) /
-    month, with ``is_partial`` when the period ends after the last order."""
+    month, with ``is_partial`` when the period ends after the last order of the
+    whole data (a range narrows the periods, not what is known)."""
     d = F.col("order_date").cast("date")
     periods = {"daily": d, "weekly": F.date_trunc("week", F.col("order_date")).cast("date"),
                "monthly": F.trunc(d, "MM")}
     if granularity not in periods:
         raise ValueError(f"granularity {granularity!r}")
     period = periods[granularity]
+    through = orders.agg(F.max("order_date")).scalar().cast("date")
     o = orders
     if start is not None:
         o = o.filter(d >= F.lit(start).cast("date"))
     if end is not None:
         o = o.filter(d <= F.lit(end).cast("date"))
-    through = o.agg(F.max("order_date")).scalar().cast("date")
     g = o.groupBy(period.alias("period")).agg(F.sum("order_total_amount").cast("double").alias("revenue"),
                                               F.count("*").alias("orders"))
     pend = {"daily": F.col("period"), "weekly": F.date_add("period", 6),

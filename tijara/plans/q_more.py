@@ -52,7 +52,7 @@ RANGE = ("1998-01-01", "1998-12-31")
 
 @register("revenue_trend_range", f"""
     WITH o AS (SELECT * FROM realized_c WHERE CAST(order_date AS DATE) BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'),
-    t AS (SELECT CAST(max(order_date) AS DATE) AS through FROM o),
+    t AS (SELECT CAST(max(order_date) AS DATE) AS through FROM realized_c),
     g AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS period, sum(order_total_amount)::DOUBLE AS revenue,
                  count(*) AS orders FROM o GROUP BY 1)
     SELECT period, revenue, orders, last_day(period) > through AS is_partial FROM g, t""", "realized_c")

@@ -78,9 +78,8 @@ def CL_reliable(df):
              sum(o.order_total_amount)::DOUBLE / count(o.order_total_amount)::DOUBLE
       FROM realized_c o LEFT JOIN (SELECT DISTINCT order_id, shipping_method FROM lines_c) m USING (order_id)
       WHERE m.shipping_method IS NOT NULL GROUP BY 2)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY breakdown ORDER BY revenue DESC, label) AS rank,
-                          round(revenue / sum(revenue) OVER (PARTITION BY breakdown), 9) AS bar_share FROM u)
-    WHERE rank <= 8""", "orders_cust_c", "realized_c", "lines_c")
+    SELECT *, row_number() OVER (PARTITION BY breakdown ORDER BY revenue DESC, label) AS rank,
+           round(revenue / sum(revenue) OVER (PARTITION BY breakdown), 9) AS bar_share FROM u""", "orders_cust_c", "realized_c", "lines_c")
 def sales_page(spark, sf):
     c = K.canon(spark, sf)
     v = K.realized(c.get("orders"))
@@ -228,76 +227,97 @@ def cleaning_actions(spark, sf):
 # ------------------------------------------------------------------ incremental load
 
 def _upsert_frames(c: K.Canon):
-    """Fixture: the store holds orders whose key is not 0 mod 4; the batch
-    carries every order not 1 mod 4, with changed amounts on keys 0 mod 9."""
+    """Fixture over all orders.  The store lacks the keys 0 mod 4.  In the
+    batch, amounts change on keys 0 mod 9, a value moves from the status to the
+    payment column on keys 0 mod 11 (null against value both ways), keys 0 mod
+    31 come as null, and keys 0 mod 50 come twice with different amounts."""
+    k = F.col("order_id")
     o = c.get("orders").select("order_id", "customer_id", "order_date", "order_status", "payment_method_group",
                                "order_total_amount")
-    stored = o.filter(F.pmod("order_id", F.lit(4)) != 0)
-    batch = (o.filter(F.pmod("order_id", F.lit(4)) != 1)
-             .withColumn("order_total_amount",
-                         F.when(F.pmod("order_id", F.lit(9)) == 0, F.col("order_total_amount") + 1)
-                         .otherwise(F.col("order_total_amount")).cast("decimal(12,2)")))
-    return stored, batch
+    moved = F.pmod(k, F.lit(11)) == 0
+    none = F.lit(None).cast("string")
+    stored = o.filter(F.pmod(k, F.lit(4)) != 0).withColumns({
+        "order_status": F.when(moved, F.lit("x")).otherwise(F.col("order_status")),
+        "payment_method_group": F.when(moved, none).otherwise(F.col("payment_method_group"))})
+    copies = F.when(F.pmod(k, F.lit(50)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    change = F.when(F.pmod(k, F.lit(9)) == 0, 1).otherwise(0) + F.col("pos") * 2
+    batch = o.withColumn("pos", F.explode(copies)).withColumns({
+        "order_status": F.when(moved, none).otherwise(F.col("order_status")),
+        "payment_method_group": F.when(moved, F.lit("x")).otherwise(F.col("payment_method_group")),
+        "order_total_amount": (F.col("order_total_amount") + change).cast("decimal(12,2)")})
+    return stored, batch.withColumn("order_id", F.when(F.pmod(k, F.lit(31)) != 0, k))
 
 
 UPSERT_COLS = ["customer_id", "order_date", "order_status", "payment_method_group", "order_total_amount"]
-
-CTES["upsert_c"] = (["orders_c"], """
-    WITH s AS (SELECT * FROM orders_c WHERE order_id % 4 <> 0),
-    b AS (SELECT order_id, customer_id, order_date, order_status, payment_method_group,
-                 CAST(CASE WHEN order_id % 9 = 0 THEN order_total_amount + 1 ELSE order_total_amount END AS DECIMAL(12,2))
-                   AS order_total_amount FROM orders_c WHERE order_id % 4 <> 1)
+CTES["upsert_s"] = (["orders_c"], """
+    SELECT order_id, customer_id, order_date, CASE WHEN order_id % 11 = 0 THEN 'x' ELSE order_status END AS order_status,
+           CASE WHEN order_id % 11 <> 0 THEN payment_method_group END AS payment_method_group, order_total_amount
+    FROM orders_c WHERE order_id % 4 <> 0""")
+CTES["upsert_b"] = (["orders_c"], """
+    SELECT CASE WHEN order_id % 31 <> 0 THEN order_id END AS order_id, customer_id, order_date,
+           CASE WHEN order_id % 11 <> 0 THEN order_status END AS order_status,
+           CASE WHEN order_id % 11 = 0 THEN 'x' ELSE payment_method_group END AS payment_method_group,
+           CAST(order_total_amount + CASE WHEN order_id % 9 = 0 THEN 1 ELSE 0 END + pos * 2 AS DECIMAL(12,2)) AS order_total_amount,
+           pos
+    FROM orders_c JOIN (VALUES (0), (1)) v(pos) ON pos = 0 OR order_id % 50 = 0""")
+CTES["upsert_c"] = (["upsert_s", "upsert_b"], """
+    WITH s AS (SELECT * FROM upsert_s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY pos) AS nth FROM upsert_b),
+    b AS (SELECT * FROM r WHERE order_id IS NOT NULL AND nth = 1)
     SELECT coalesce(b.order_id, s.order_id) AS order_id,
            CASE WHEN s.order_id IS NULL THEN 'inserted' WHEN b.order_id IS NULL THEN 'stored_only'
                 WHEN (b.customer_id, b.order_date, b.order_status, b.payment_method_group, b.order_total_amount)
                      IS DISTINCT FROM (s.customer_id, s.order_date, s.order_status, s.payment_method_group,
                                        s.order_total_amount) THEN 'updated'
                 ELSE 'unchanged' END AS action
-    FROM b FULL JOIN s ON b.order_id = s.order_id""")
+    FROM b FULL JOIN s ON b.order_id = s.order_id
+    UNION ALL SELECT order_id, 'rejected' FROM r WHERE order_id IS NULL OR nth > 1""")
 
 
 @register("upsert_actions", "SELECT order_id, action FROM upsert_c", "upsert_c")
 def upsert_actions(spark, sf):
-    """O-12.16: inserted / updated / unchanged / stored_only per order key."""
+    """O-12.16: inserted / updated / unchanged / stored_only per order key, and rejected batch rows."""
     stored, batch = _upsert_frames(K.canon(spark, sf))
-    return IN.classify_upsert(stored, batch, "order_id", UPSERT_COLS)
+    return IN.classify_upsert(stored, batch, "order_id", UPSERT_COLS, ["pos"])
 
 
 @register("import_summary", "SELECT action, count(*) AS records FROM upsert_c GROUP BY 1", "upsert_c")
 def import_summary(spark, sf):
     """O-12.15."""
     stored, batch = _upsert_frames(K.canon(spark, sf))
-    return IN.import_summary(IN.classify_upsert(stored, batch, "order_id", UPSERT_COLS))
+    return IN.import_summary(IN.classify_upsert(stored, batch, "order_id", UPSERT_COLS, ["pos"]))
 
 
 @register("upsert_snapshot", """
-    WITH s AS (SELECT order_id, order_total_amount FROM orders_c WHERE order_id % 4 <> 0),
-    b AS (SELECT order_id, CAST(CASE WHEN order_id % 9 = 0 THEN order_total_amount + 1 ELSE order_total_amount END
-                 AS DECIMAL(12,2)) AS order_total_amount FROM orders_c WHERE order_id % 4 <> 1)
-    SELECT order_id, order_total_amount::DOUBLE AS order_total_amount FROM s WHERE order_id NOT IN (SELECT order_id FROM b)
-    UNION ALL SELECT order_id, order_total_amount::DOUBLE FROM b""", "orders_c")
+    WITH b AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY pos) AS nth FROM upsert_b WHERE order_id IS NOT NULL)
+    SELECT order_id, order_status, order_total_amount::DOUBLE AS order_total_amount FROM upsert_s
+    WHERE order_id NOT IN (SELECT order_id FROM b)
+    UNION ALL SELECT order_id, order_status, order_total_amount::DOUBLE FROM b WHERE nth = 1""", "upsert_s", "upsert_b")
 def upsert_snapshot(spark, sf):
-    """O-12.16 result: the next snapshot version (batch wins by key)."""
+    """O-12.16 result: the next snapshot version (batch wins by key, every key once)."""
     stored, batch = _upsert_frames(K.canon(spark, sf))
-    snap = IN.apply_upsert(stored, batch, "order_id")
-    return snap.select("order_id", F.col("order_total_amount").cast("double").alias("order_total_amount"))
+    snap = IN.apply_upsert(stored, batch, "order_id", ["pos"])
+    return snap.select("order_id", "order_status", F.col("order_total_amount").cast("double").alias("order_total_amount"))
 
 
 @register("transaction_accounting", """
-    WITH j AS (SELECT l.order_id, (l.order_id % 4 <> 0) AS st, p.p_partkey IS NULL AS unk
-               FROM lines_c l LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 23 <> 0) p ON l.sku = p.p_partkey
-               WHERE l.order_id % 4 <> 1),
-    po AS (SELECT order_id, bool_or(st) AS st, bool_or(unk) AS rv, count(*) AS n FROM j GROUP BY 1)
+    WITH po AS (SELECT l.order_id, bool_or(p.p_partkey IS NULL) AS unk, count(*) AS n
+                FROM lines_c l LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 23 <> 0) p ON l.sku = p.p_partkey
+                GROUP BY 1),
+    j AS (SELECT po.n, o.order_id % 4 <> 0 AS st, po.unk OR c.c_custkey IS NULL AS rv
+          FROM po JOIN orders_c o USING (order_id)
+          LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 29 <> 0) c ON o.customer_id = c.c_custkey)
     SELECT count_if(NOT st AND NOT rv) AS new_orders,
            coalesce(sum(CASE WHEN NOT st AND NOT rv THEN n END), 0)::BIGINT AS new_transaction_rows,
            count_if(st) AS existing_orders_skipped, count_if(NOT st AND rv) AS review_orders,
            coalesce(sum(CASE WHEN NOT st AND rv THEN n END), 0)::BIGINT AS review_transaction_rows
-    FROM po""", "lines_c")
+    FROM j""", "lines_c", "orders_c")
 def transaction_accounting(spark, sf):
-    """O-12.15 (transactions): new / skipped / review lines of a batch."""
+    """O-12.15 (transactions): new / skipped / review lines of a batch of all
+    lines; the store lacks some orders, skus and customers."""
     c = K.canon(spark, sf)
     stored, _ = _upsert_frames(c)
-    batch_lines = c.get("lines").filter(F.pmod("order_id", F.lit(4)) != 1)
-    known = c.t.part.filter(F.pmod("p_partkey", F.lit(23)) != 0).select(F.col("p_partkey").alias("sku"))
-    out = IN.transaction_accounting(batch_lines, stored, known)
+    skus = c.t.part.filter(F.pmod("p_partkey", F.lit(23)) != 0).select(F.col("p_partkey").alias("sku"))
+    known = c.t.customer.filter(F.pmod("c_custkey", F.lit(29)) != 0).select(F.col("c_custkey").alias("customer_id"))
+    out = IN.transaction_accounting(c.get("lines"), c.get("orders"), stored, skus, known)
     return out.select(*[F.col(x).cast("bigint").alias(x) for x in out.columns])

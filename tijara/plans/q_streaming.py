@@ -34,13 +34,16 @@ def stream_daily_revenue(spark, sf):
 
 
 @register("stream_ingest_orders", """
-    SELECT 'inserted' AS action, count(DISTINCT order_id_stage) AS records FROM raw_orders_c""", "raw_orders_c")
+    SELECT 'inserted' AS action, count(DISTINCT order_id_stage)::BIGINT AS records FROM raw_orders_c
+    UNION ALL SELECT 'rejected', (count(*) - count(DISTINCT order_id_stage))::BIGINT FROM raw_orders_c
+    UNION ALL SELECT 'stored', count(DISTINCT order_id_stage)::BIGINT FROM raw_orders_c""", "raw_orders_c")
 def stream_ingest_orders(spark, sf):
-    """Landing order files loaded micro-batch by micro-batch into snapshot
-    versions; the action log summed over batches."""
+    """Landing order files loaded micro-batch by micro-batch: the action log
+    summed over batches, and the number of keys in the merged snapshot."""
     landing = os.path.join(_landing(spark, sf), "orders")
     root = SJ.stream_root(spark, "ingest_orders", _tag(sf))
-    SJ.ingest_stream(spark, landing, os.path.join(root, "snapshot"), os.path.join(root, "log"),
-                     os.path.join(root, "checkpoint"))
-    snap = spark.read.parquet(os.path.join(root, "snapshot", "current"))
-    return snap.agg(F.lit("inserted").alias("action"), F.count("*").alias("records"))
+    snap, log = os.path.join(root, "snapshot"), os.path.join(root, "log")
+    SJ.ingest_stream(spark, landing, snap, log, os.path.join(root, "checkpoint"))
+    acts = spark.read.parquet(log).groupBy("action").agg(F.sum("records").cast("bigint").alias("records"))
+    stored = SJ.snapshot(spark, snap).agg(F.lit("stored").alias("action"), F.count("*").alias("records"))
+    return acts.unionByName(stored)

@@ -81,16 +81,12 @@ def top_pages(spark, sf):
 
 
 @register("funnel", """
-    WITH f AS (SELECT user_id,
-                      min(CASE WHEN event_type = 'view' THEN epoch_us(ts) END) AS t0,
-                      min(CASE WHEN event_type = 'click' THEN epoch_us(ts) END) AS t1,
-                      min(CASE WHEN event_type = 'signup' THEN epoch_us(ts) END) AS t2,
-                      min(CASE WHEN event_type = 'purchase' THEN epoch_us(ts) END) AS t3
-               FROM events GROUP BY 1)
-    SELECT * FROM (SELECT count_if(t0 IS NOT NULL) AS "view",
-                          count_if(t0 IS NOT NULL AND t1 >= t0) AS click,
-                          count_if(t0 IS NOT NULL AND t1 >= t0 AND t2 >= t1) AS signup,
-                          count_if(t0 IS NOT NULL AND t1 >= t0 AND t2 >= t1 AND t3 >= t2) AS purchase FROM f)
-    UNPIVOT (users FOR step IN ("view", click, signup, purchase))""")
+    WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS t FROM events WHERE user_id IS NOT NULL),
+    f0 AS (SELECT user_id, min(t) AS t FROM e WHERE event_type = 'view' GROUP BY 1),
+    f1 AS (SELECT user_id, min(e.t) AS t FROM e JOIN f0 USING (user_id) WHERE event_type = 'click' AND e.t >= f0.t GROUP BY 1),
+    f2 AS (SELECT user_id, min(e.t) AS t FROM e JOIN f1 USING (user_id) WHERE event_type = 'signup' AND e.t >= f1.t GROUP BY 1),
+    f3 AS (SELECT user_id, min(e.t) AS t FROM e JOIN f2 USING (user_id) WHERE event_type = 'purchase' AND e.t >= f2.t GROUP BY 1)
+    SELECT 'view' AS step, count(*) AS users FROM f0 UNION ALL SELECT 'click', count(*) FROM f1
+    UNION ALL SELECT 'signup', count(*) FROM f2 UNION ALL SELECT 'purchase', count(*) FROM f3""")
 def funnel(spark, sf):
     return TR.funnel(K.canon(spark, sf).t.events)

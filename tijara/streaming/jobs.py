@@ -3,9 +3,9 @@
 * ``daily_revenue_stream``: events -> watermark -> 1-day tumbling windows per
   event type (append mode, state bounded by the watermark).
 * ``ingest_stream``: a landing folder of order CSVs processed with
-  ``trigger(availableNow=True)`` and ``foreachBatch``: each micro-batch is
-  deduplicated by key, classified against the current snapshot and the new
-  snapshot version plus an action log are written (idempotent per batch id).
+  ``trigger(availableNow=True)`` and ``foreachBatch``: each micro-batch writes
+  its first row per key and an action log (idempotent per batch id); the
+  snapshot is their merge.
 
 Sinks and checkpoints live under the session's ``spark.checkpoint.dir``, so
 a restarted query resumes from its offsets (exactly-once file sinks).
@@ -73,34 +73,50 @@ ORDER_FIELDS = ["order_id_stage", "customer_id_stage", "order_date", "order_stat
 def ingest_stream(spark: SparkSession, landing: str, snapshot_dir: str, log_dir: str, checkpoint: str,
                   files_per_batch: int = 64) -> None:
     """Incremental order loads from CSV files in ``landing``; each micro-batch
-    takes up to ``files_per_batch`` new files and writes one snapshot version."""
+    takes up to ``files_per_batch`` new files.
+
+    Keep-first per key over the whole load: of all rows of a key the one with
+    the smallest ``ingest_pos`` (then the smallest content) is the stored one,
+    the others are rejected.  That minimum does not depend on how files fall
+    into micro-batches, nor does the log: the first row of a key to arrive is
+    logged as inserted, every other one (and each null key) as rejected.
+
+    A micro-batch writes its own rows only, one per key, into a folder of its
+    own (``batch=n``); nothing stored before is rewritten.  :func:`snapshot`
+    merges the folders.  A replayed batch rebuilds its folder from the folders
+    before it, which must all be there.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ORDER_FIELDS])
     src = (spark.readStream.schema(schema).option("header", True)
            .option("maxFilesPerTrigger", files_per_batch).csv(landing))
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        b = CL.dedupe_keys(CL.repair_ids(batch), ["order_id_stage"], ["ingest_pos"])
-        b = b.select("order_id_stage", "customer_id_stage", "order_date", "order_status", "payment_method_group",
-                     F.col("order_total_amount").try_cast("decimal(12,2)").alias("order_total_amount"))
         bs = batch.sparkSession
-        current = os.path.join(snapshot_dir, "current")
-        # Versions are immutable and derived from the previous version, so a
-        # batch replayed after a failure rebuilds exactly the same version and
-        # action log (idempotent per batch id).
-        previous = os.path.join(snapshot_dir, f"v{batch_id - 1}")
-        if batch_id > 0 and path_exists(bs, previous):
-            stored = bs.read.parquet(previous)
-        else:  # first load: empty store
-            stored = bs.createDataFrame([], b.schema)
-        cols = [c for c in b.columns if c != "order_id_stage"]
-        actions = IN.classify_upsert(stored, b, "order_id_stage", cols)
-        (actions.withColumn("batch_id", F.lit(batch_id))
+        b = CL.repair_ids(batch).select(
+            "order_id_stage", "customer_id_stage", "order_date", "order_status", "payment_method_group",
+            F.col("order_total_amount").try_cast("decimal(12,2)").alias("order_total_amount"),
+            F.col("ingest_pos").try_cast("int").alias("ingest_pos"))
+        before = [os.path.join(snapshot_dir, f"batch={i}") for i in range(batch_id)]
+        if before and not path_exists(bs, before[-1]):
+            raise FileNotFoundError(f"{before[-1]}: the snapshot lacks the batch before {batch_id}")
+        rows = b.groupBy("order_id_stage").agg(F.count("*").alias("n"))
+        if before:
+            seen = bs.read.schema(b.schema).parquet(*before).select("order_id_stage").distinct().withColumn("seen", F.lit(1))
+            rows = rows.join(seen, "order_id_stage", "left")
+        else:
+            rows = rows.withColumn("seen", F.lit(None).cast("int"))
+        new = F.when(F.col("order_id_stage").isNotNull() & F.col("seen").isNull(), 1).otherwise(0)
+        log = rows.agg(F.coalesce(F.sum(new), F.lit(0)).alias("inserted"), F.coalesce(F.sum(F.col("n") - new), F.lit(0)).alias("rejected"))
+        (log.unpivot([], ["inserted", "rejected"], "action", "records")
          .write.mode("overwrite").parquet(os.path.join(log_dir, f"batch={batch_id}")))
-        snap = IN.apply_upsert(stored, b, "order_id_stage")
-        version = os.path.join(snapshot_dir, f"v{batch_id}")
-        snap.write.mode("overwrite").parquet(version)
-        bs.read.parquet(version).write.mode("overwrite").parquet(current)
+        IN.accepted(b, "order_id_stage", ["ingest_pos"]).write.mode("overwrite").parquet(
+            os.path.join(snapshot_dir, f"batch={batch_id}"))
 
     q = (src.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def snapshot(spark: SparkSession, snapshot_dir: str) -> DataFrame:
+    """The stored orders: per key the first row over all batches."""
+    return IN.accepted(spark.read.parquet(snapshot_dir).drop("batch"), "order_id_stage", ["ingest_pos"])
