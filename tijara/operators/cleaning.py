@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import rules
+from .quantiles import quantiles
 
 MONEY_COLUMNS = {"unit_price", "line_total", "order_total_amount", "shipping_cost", "Prix unitaire"}
 
@@ -109,17 +110,13 @@ def with_ever_sold(catalogue: DataFrame, lines: DataFrame) -> DataFrame:
             .withColumn("ever_sold", F.coalesce(F.col("ever_sold"), F.lit(False))))
 
 
-def recovered_prices(catalogue: DataFrame, lines: DataFrame, exact: bool = True,
-                     accuracy: int = 100000) -> DataFrame:
-    """O-5.7 + O-6.17: median sold unit price for catalogue keys with no price.
-
-    ``exact`` uses the exact median; for very large per-key groups pass
-    ``exact=False`` (bounded-memory ``percentile_approx`` sketch)."""
+def recovered_prices(catalogue: DataFrame, lines: DataFrame) -> DataFrame:
+    """O-5.7 + O-6.17: exact median sold unit price for catalogue keys with no
+    price (distributed ranks: a hot key's prices are never one task's)."""
     missing = catalogue.filter(F.col("unit_price").isNull() & F.col("sku").isNotNull()).select("sku").distinct()
     sold = lines.join(missing, "sku", "left_semi")
-    price = F.col("unit_price").cast("double")
-    med = F.median(price) if exact else F.percentile_approx(price, 0.5, accuracy)
-    return sold.groupBy("sku").agg(med.alias("recovered_unit_price"))
+    med = quantiles(sold, ["sku"], F.col("unit_price").cast("double"), [0.5], linear=True)
+    return med.select("sku", F.col("q")[0].alias("recovered_unit_price"))
 
 
 def enrich_lines(lines: DataFrame, catalogue: DataFrame) -> DataFrame:

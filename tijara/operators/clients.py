@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import customer_rollup
+from .quantiles import quantiles
 
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
-# Rank accuracy of the threshold sketch: rank error <= n / ACCURACY, bounded memory.
-THRESHOLD_ACCURACY = 100000
 
 
 def reference_date(customers: DataFrame, orders: DataFrame | None = None) -> Column:
@@ -60,12 +59,13 @@ def _bucket(x: Column, th: Column) -> Column:
 
 def rfm_segments(customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """O-7.3 (declared; thresholds ours, SURVEY §7.6): quintile scores from
-    one pass of bounded-memory quantile sketches, then a ``when`` chain.
+    exact thresholds (distributed ranks), then a ``when`` chain.
     Champions R>=4,F>=4,M>=4; At Risk R<=2,F>=3; Lost R=1,F<=2; else Others."""
     x = rfm_inputs(customers, orders)
-    th = x.agg(F.struct(F.percentile_approx("recency_days", QUINTILES, THRESHOLD_ACCURACY).alias("r"),
-                        F.percentile_approx("frequency", QUINTILES, THRESHOLD_ACCURACY).alias("f"),
-                        F.percentile_approx("monetary", QUINTILES, THRESHOLD_ACCURACY).alias("m"))).scalar()
+    fields = ["recency_days", "frequency", "monetary"]
+    q = quantiles(x.select(*[F.col(c).cast("double") for c in fields]).unpivot([], fields, "field", "value"),
+                  ["field"], F.col("value"), QUINTILES, linear=False)
+    th = q.agg(F.struct(*[F.max(F.when(F.col("field") == c, F.col("q"))).alias(c[0]) for c in fields])).scalar()
     r_th, f_th, m_th = th["r"], th["f"], th["m"]
     s = x.select("customer_id",
                  (F.lit(6) - _bucket(F.col("recency_days"), r_th)).alias("r_score"),

@@ -2,9 +2,9 @@
 the final 3-month forecast (O-8.6 .. O-8.15).
 
 Every series is one row holding its (bounded, one value per month) history
-as an array.  Parameter searches (SES alpha, ARIMA CSS grids) are exploded
-into rows -- series x grid points -- so the work spreads across tasks; each
-row runs one sequential fold (``aggregate``) over its series.  Folds are
+as an array.  Models without a search are folds (``aggregate``) over it;
+parameter searches (SES alpha, ARIMA CSS grids) run all grid points of a series
+together in NumPy, series by series inside ``mapInPandas``.  Folds are
 sequential, so sums do not depend on partitioning.
 
 Deviations from the source's library fits, by design (SURVEY §7.9):
@@ -119,26 +119,33 @@ def ses_fit(ys: Column, alpha: Column) -> Column:
                     (st["a"] + st["b"] * l0).alias("l"))
 
 
-def _ses_best(frame: DataFrame) -> DataFrame:
-    g = frame.withColumn("st", ses_fit(F.col("train"), F.col("alpha")))
-    return g.groupBy("series", "H").agg(F.min_by(F.struct("k", "alpha", F.col("st.l").alias("l"), F.col("st.sse").alias("sse")),
-                                                 F.struct(F.col("st.sse"), F.col("alpha"))).alias("b"))
+def ses_search(ys) -> float:
+    """Final level of the best SES fit (NumPy, all alphas together): alpha on a
+    0.01 grid, then 0.001 steps around the best; smallest SSE wins, smaller
+    alpha on ties.  The same fold as :func:`ses_fit`."""
+    import numpy as np
+
+    def grid(ks, div):
+        alpha = ks / div
+        a, b = np.zeros(len(ks)), np.ones(len(ks))
+        syy, sby, sbb = np.zeros(len(ks)), np.zeros(len(ks)), np.zeros(len(ks))
+        for y in ys:
+            d = y - a
+            syy, sby, sbb = syy + d * d, sby + b * d, sbb + b * b
+            a, b = alpha * y + (1.0 - alpha) * a, (1.0 - alpha) * b
+        l0 = sby / sbb
+        sse = syy - sby * sby / sbb
+        i = np.lexsort((alpha, sse))[0]
+        return ks[i], a[i] + b[i] * l0[i]
+
+    k, _ = grid(np.arange(1, 100), 100.0)
+    fine = np.arange(k * 10 - 9, k * 10 + 10)
+    return float(grid(fine[(fine >= 1) & (fine <= 999)], 1000.0)[1])
 
 
 def fc_ses(f: DataFrame) -> DataFrame:
-    """O-8.11: alpha on a 0.01 grid, then a 0.001 refinement round around the
-    best, with the initial level estimated in closed form for every alpha;
-    smallest SSE wins (smaller alpha on ties); flat forecast at the final level."""
-    base = f.select("series", "H", "train")
-    coarse = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("k")) \
-        .withColumn("alpha", F.col("k").cast("double") / 100.0)
-    best_c = _ses_best(coarse)
-    fine = (base.join(best_c.select("series", F.col("b.k").alias("kc")), "series")
-            .select("series", "H", "train", F.explode(F.sequence(F.col("kc") * 10 - 9, F.col("kc") * 10 + 9)).alias("k"))
-            .filter((F.col("k") >= 1) & (F.col("k") <= 999))
-            .withColumn("alpha", F.col("k").cast("double") / 1000.0))
-    best = _ses_best(fine)
-    return best.select("series", F.lit("SES").alias("model"), F.array_repeat(F.col("b.l"), F.col("H")).alias("fc"))
+    """O-8.11: see :func:`ses_search`; flat forecast at the final level."""
+    return fc_numpy(f, ("SES",))
 
 
 # ------------------------------------------------------------------ ARIMA(p,1,q) by CSS
@@ -200,7 +207,7 @@ def fc_arima110(f: DataFrame) -> DataFrame:
     return _arima_forecast(d.filter(F.col("phi1").isNotNull()), "ARIMA(1,1,0)")
 
 
-# ARIMA with a moving-average term: the CSS grid is evaluated per series with
+# SES and ARIMA with a moving-average term: the grid is evaluated per series with
 # NumPy (all grid points advance together through the series), inside
 # ``mapInPandas`` over the one-row-per-series frame -- no shuffle, one Arrow
 # batch of series per task.
@@ -278,7 +285,7 @@ def arima_forecast(x_n: float, z, phi1: float, phi2: float, theta: float, e_n: f
 _ARIMA_SPECS = {"ARIMA(1,1,1)": (1, 19, 20.0, 100.0), "ARIMA(2,1,1)": (2, 9, 10.0, 50.0)}
 
 
-def _arima_batches(names: list[str]):
+def _numpy_batches(names: list[str]):
     def run(batches):
         import math
 
@@ -288,12 +295,16 @@ def _arima_batches(names: list[str]):
             rows = []
             for series, h, train in zip(pdf["series"], pdf["H"], pdf["train"]):
                 y = [float(v) for v in train]
+                if "SES" in names:
+                    rows.append((series, "SES", [ses_search(y)] * int(h)))
                 if len(y) < 2 or not all(v > 0 for v in y):
                     continue
                 # scalar C-library log per value (same rounding as SQL engines)
                 x = np.array([math.log(v) for v in y])
                 z = np.array([x[t] - x[t - 1] for t in range(1, len(x))])
                 for name in names:
+                    if name == "SES":
+                        continue
                     p, half, div, fine = _ARIMA_SPECS[name]
                     if len(z) <= p:
                         continue
@@ -303,19 +314,20 @@ def _arima_batches(names: list[str]):
     return run
 
 
-def fc_arima_ma(f: DataFrame, names=("ARIMA(1,1,1)", "ARIMA(2,1,1)")) -> DataFrame:
-    """O-8.12 (1,1,1) and (2,1,1): CSS grid (step 0.05 / 0.1 inside the AR(2)
-    stationarity triangle), one refinement at 1/5 of the step."""
+def fc_numpy(f: DataFrame, names) -> DataFrame:
+    """The models with a parameter grid: SES, and O-8.12 (1,1,1) and (2,1,1) by a
+    CSS grid (step 0.05 / 0.1 inside the AR(2) stationarity triangle) with one
+    refinement at 1/5 of the step."""
     return f.select("series", "H", "train").mapInPandas(
-        _arima_batches(list(names)), "series string, model string, fc array<double>")
+        _numpy_batches(list(names)), "series string, model string, fc array<double>")
 
 
 def fc_arima111(f: DataFrame) -> DataFrame:
-    return fc_arima_ma(f, ("ARIMA(1,1,1)",))
+    return fc_numpy(f, ("ARIMA(1,1,1)",))
 
 
 def fc_arima211(f: DataFrame) -> DataFrame:
-    return fc_arima_ma(f, ("ARIMA(2,1,1)",))
+    return fc_numpy(f, ("ARIMA(2,1,1)",))
 
 
 MODELS = {
@@ -328,10 +340,10 @@ BASELINE_MODELS = ["Average", "Naive", "Seasonal Naive", "Drift", "SES"]
 def forecasts(f: DataFrame, models=None) -> DataFrame:
     """Long table (series, model, h, period, actual, forecast)."""
     names = list(models or rules.MODEL_ORDER)
-    ma = [n for n in names if n in _ARIMA_SPECS]
-    parts = [MODELS[n](f) for n in names if n not in _ARIMA_SPECS]
-    if ma:
-        parts.append(fc_arima_ma(f, tuple(ma)))
+    grid = [n for n in names if n in _ARIMA_SPECS or n == "SES"]
+    parts = [MODELS[n](f) for n in names if n not in grid]
+    if grid:
+        parts.append(fc_numpy(f, tuple(grid)))
     out = None
     for part in parts:
         out = part if out is None else out.unionByName(part)
@@ -374,10 +386,33 @@ def select_model(m: DataFrame) -> DataFrame:
         .select("series", "b.model", "b.mae", "b.rmse")
 
 
-def final_forecast(final_fc: DataFrame, selected: DataFrame) -> DataFrame:
-    """O-8.15: the selected model's forecast, refit on all complete months."""
-    return (final_fc.join(selected.select("series", "model"), ["series", "model"])
-            .select("series", "model", "h", "period", round_dp("forecast", 4).alias("forecast")))
+def usable(m: DataFrame, final_fc: DataFrame) -> DataFrame:
+    """The best scored model of each series that the refit could fit too."""
+    ok = (final_fc.groupBy("series", "model").agg((F.count("forecast") == F.count("*")).alias("_ok")).filter("_ok"))
+    return select_model(m.join(ok, ["series", "model"], "left_semi"))
+
+
+def final_forecast(final_fc: DataFrame, m: DataFrame) -> DataFrame:
+    """O-8.15: the selected model's forecast, refit on all complete months.  If
+    the best model by holdout metrics ``m`` cannot be refit (a later month is
+    not positive, say), the next scored one is used and ``fallback`` is true."""
+    best = select_model(m).select("series", F.col("model").alias("_best"))
+    return (final_fc.join(usable(m, final_fc).select("series", "model"), ["series", "model"]).join(best, "series")
+            .select("series", "model", "h", "period", round_dp("forecast", 4).alias("forecast"),
+                    (F.col("model") != F.col("_best")).alias("fallback")))
+
+
+def exclusions(arrays: DataFrame) -> DataFrame:
+    """One row per series and model that cannot be scored or refit, with the reason."""
+    model = F.col("model")
+    test = F.floor(F.col("n").cast("double") * rules.TEST_SHARE).cast("int")
+    arima = model.startswith("ARIMA")
+    reason = (F.when(F.col("n") < 5, "fewer than 5 months")
+              .when((model == "Seasonal Naive") & (F.col("n") - test < rules.SEASON_LENGTH), "a month without an earlier one of its name")
+              .when(arima & F.exists("ys", lambda y: y <= 0), "a month is not positive")
+              .when(arima & (F.size(F.array_distinct("ys")) == 1), "constant"))
+    return (arrays.select("series", "n", "ys", F.explode(F.array(*[F.lit(m) for m in rules.MODEL_ORDER])).alias("model"))
+            .select("series", "model", reason.alias("reason")).filter("reason IS NOT NULL"))
 
 
 def round_fc(fc: DataFrame) -> DataFrame:

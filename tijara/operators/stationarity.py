@@ -65,24 +65,27 @@ def _design(x, lags: int, max_lag: int | None = None):
     return dx[m:], np.column_stack(cols), nobs
 
 
-def adf(x, max_lag: int | None = None) -> dict | None:
+def adf(x, max_lag: int | None = None) -> dict:
     """Augmented Dickey-Fuller with constant; lag order by AIC on a common
-    sample, then refit on all usable rows."""
+    sample, then refit on all usable rows.  A series without a statistic (too
+    short, or fitted without residual) has only a ``reason``."""
     import numpy as np
     x = np.asarray(x, dtype=float)
     n = len(x)
     if n < 6:
-        return None
+        return {"reason": "fewer than 6 values"}
     if max_lag is None:
         max_lag = int(math.ceil(12.0 * (n / 100.0) ** 0.25))
     max_lag = min(n // 2 - 2, max_lag)
     if max_lag < 0:
-        return None
+        return {"reason": "fewer than 6 values"}
     best = None
     for lags in range(0, max_lag + 1):
         y, X, nobs = _design(x, lags, max_lag)
         _, ssr = _ols(y, X)
         k = X.shape[1]
+        if ssr <= EXACT * float(y @ y) or not ssr > 0:
+            return {"reason": "exact fit"}
         llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1.0)
         aic = -2.0 * llf + 2.0 * k
         if best is None or aic < best[0]:
@@ -91,16 +94,20 @@ def adf(x, max_lag: int | None = None) -> dict | None:
     y, X, nobs = _design(x, lags)
     beta, ssr = _ols(y, X)
     k = X.shape[1]
-    sigma2 = ssr / (nobs - k)
+    sigma2 = ssr / max(nobs - k, 1)
+    if nobs <= k or np.linalg.matrix_rank(X) < k or ssr <= EXACT * float(y @ y):
+        return {"reason": "exact fit"}
     cov = sigma2 * np.linalg.inv(X.T @ X)
     stat = float(beta[0] / math.sqrt(cov[0, 0]))
     crit = adf_crit(nobs)
     return {"adf_stat": stat, "p_value": adf_pvalue(stat), "used_lag": lags, "nobs": nobs,
-            "crit_1pct": crit["1%"], "crit_5pct": crit["5%"], "crit_10pct": crit["10%"]}
+            "crit_1pct": crit["1%"], "crit_5pct": crit["5%"], "crit_10pct": crit["10%"], "reason": None}
 
 
+# A residual sum of squares below this share of the target's counts as an exact fit.
+EXACT = 1e-20
 ADF_SCHEMA = ("series string, adf_stat double, p_value double, used_lag int, nobs int, "
-              "crit_1pct double, crit_5pct double, crit_10pct double")
+              "crit_1pct double, crit_5pct double, crit_10pct double, reason string")
 
 
 def adf_panel(arrays: DataFrame, column: str = "ys", log_diff: bool = False) -> DataFrame:
@@ -114,12 +121,12 @@ def adf_panel(arrays: DataFrame, column: str = "ys", log_diff: bool = False) ->
                 x = np.asarray(ys, dtype=float)
                 if log_diff:
                     if not np.all(x > 0):
+                        out.append({"series": s, "reason": "a value is not positive"})
                         continue
                     x = np.diff(np.log(x))
-                r = adf(x)
-                if r is not None:
-                    out.append({"series": s, **r})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ADF_SCHEMA.split(", ")])
+                out.append({"series": s, **adf(x)})
+            cols = [c.split()[0] for c in ADF_SCHEMA.split(", ")]
+            yield pd.DataFrame(out, columns=cols).astype({"used_lag": "Int32", "nobs": "Int32"})
     return arrays.select("series", column).mapInPandas(run, ADF_SCHEMA)
 
 

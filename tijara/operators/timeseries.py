@@ -38,10 +38,14 @@ def complete_months(panel: DataFrame, orders: DataFrame) -> DataFrame:
     return panel.filter(F.col("period") <= cutoff)
 
 
-def fill_gaps(panel: DataFrame) -> DataFrame:
-    """Optional zero-fill of missing months between each series' first and
-    last month (``sequence`` + ``explode``; one row per series to expand)."""
-    bounds = panel.groupBy("series").agg(F.min("period").alias("a"), F.max("period").alias("b"))
+def fill_gaps(panel: DataFrame, until: Column | None = None) -> DataFrame:
+    """Zero-fill of missing months from each series' first month to ``until``
+    (the last complete month of the data; default: the series' last month), by
+    ``sequence`` + ``explode`` of one row per series.  Seasons, lags and
+    month-on-month growth need it: they count rows as months (SURVEY §7.9).
+    A filled month has revenue 0, so its logarithm is undefined."""
+    last = F.max("period") if until is None else until
+    bounds = panel.groupBy("series").agg(F.min("period").alias("a"), last.alias("b"))
     grid = bounds.select("series", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("period"))
     return (grid.join(panel, ["series", "period"], "left")
             .withColumn("y", F.coalesce(F.col("y"), F.lit(0).cast(panel.schema["y"].dataType)))
@@ -152,6 +156,16 @@ def _ordered_mean(order: Column, value: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x["v"]) / F.size(arr).cast("double")
 
 
+def exclusions(panel: DataFrame, period: int = rules.SEASON_LENGTH) -> DataFrame:
+    """One row per series and analysis that leaves it out, with the reason."""
+    s = panel.groupBy("series").agg(F.count("*").alias("n"), F.bool_and(F.col("y") > 0).alias("positive"))
+    checks = [("decomposition", f"fewer than {2 * period} months", F.col("n") < 2 * period),
+              ("logarithm", "a month is not positive", ~F.col("positive")), ("stationarity", "fewer than 6 months", F.col("n") < 6)]
+    rows = F.filter(F.array(*[F.when(out, F.struct(F.lit(a).alias("analysis"), F.lit(r).alias("reason"))) for a, r, out in checks]),
+                    lambda x: x.isNotNull())
+    return s.select("series", F.explode(rows).alias("x")).select("series", "x.analysis", "x.reason")
+
+
 def acf(panel: DataFrame, max_lag: int = rules.ACF_LAGS) -> DataFrame:
     """O-8.4: biased autocorrelation r_k for k = 0..max_lag (k < n) and the
     Bartlett 95 % band, per series."""

@@ -15,7 +15,7 @@ from .q_cleaning import clean_tx
 from .q_profile import prep_metrics as _prep_metrics_q
 from .q_profile import date_coverage as _coverage_q
 from .q_results import _checks
-from .q_time import panel
+from .q_time import regular
 from ..functions import rules
 from .oracle import q as oq
 from .registry import REGISTRY, register
@@ -109,23 +109,24 @@ def region_map(spark, sf):
 
 
 def _history_sql() -> str:
-    from .q_time import _fit_sql, _metrics_cte
-    return f"""WITH {_fit_sql('panel_all_c', 'eval', 'e_')},{_metrics_cte('e_')},{_fit_sql('panel_all_c', 'final', 'f_')},
+    from .q_time import _chosen_ctes
+    return f"""WITH {_chosen_ctes('panel_all_f')},
     fin AS (SELECT fc.series, fc.model, fc.period, round(fc.forecast, 4) AS forecast
-            FROM f_fc fc JOIN e_sel USING (series, model))
+            FROM f_fc fc JOIN used USING (series, model))
     SELECT u.*, 'lowest holdout MAE: ' || s.model AS reason FROM (
-      SELECT series, period, 'actual' AS kind, NULL::VARCHAR AS model, y::DOUBLE AS value FROM panel_all_c
-      UNION ALL SELECT series, period, 'forecast', model, forecast FROM fin) u LEFT JOIN e_sel s USING (series)"""
+      SELECT series, period, 'actual' AS kind, NULL::VARCHAR AS model, y::DOUBLE AS value FROM panel_all_f
+      UNION ALL SELECT series, period, 'forecast', model, forecast FROM fin) u LEFT JOIN used s USING (series)"""
 
 
-@register("forecast_history", _history_sql(), "panel_all_c")
+@register("forecast_history", _history_sql(), "panel_all_f")
 def forecast_history(spark, sf):
     """O-12.9: monthly history plus the selected model's 3-month forecast, with
     the selection reason."""
-    p = panel(spark, sf)
+    p = regular(spark, sf)
     arr = FC.series_arrays(p)
-    sel = FC.select_model(FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval"))))
-    fin = FC.final_forecast(FC.forecasts(FC.fit_frame(arr, "final")), sel)
+    m = FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval")))
+    refit = FC.forecasts(FC.fit_frame(arr, "final"))
+    sel, fin = FC.usable(m, refit), FC.final_forecast(refit, m)
     hist = p.select("series", "period", F.lit("actual").alias("kind"), F.lit(None).cast("string").alias("model"),
                     F.col("y").cast("double").alias("value"))
     fc = fin.select("series", "period", F.lit("forecast").alias("kind"), "model", F.col("forecast").alias("value"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import round_dp
-
 from ..functions import rules
+from ..functions.cleaning import round_dp
 from ..operators import forecast as FC
 from ..operators import timeseries as TS
+from ..operators.regions import complete_month_cutoff
+from ..session import write_shared
 from . import canonical as K
 from .oracle import CTES
 from .registry import register
@@ -42,23 +43,50 @@ def _line_panel_sql(key: str) -> str:
 
 
 CTES["panel_category_c"] = (["lines_prod_c", "realized_c"], _line_panel_sql("category"))
-CTES["panel_product_c"] = (["lines_prod_c", "realized_c"], _line_panel_sql("product_name"))
+CTES["panel_product_c"] = (["lines_prod_c", "realized_c"], _line_panel_sql("sku"))
+
+
+def _regular_sql(cte: str) -> str:
+    """The month grid of every series, from its first month to the last complete month."""
+    return f"""
+    SELECT g.series, g.period, coalesce(p.y, 0) AS y, coalesce(p.orders, 0) AS orders
+    FROM (SELECT series, CAST(unnest(generate_series(a, CAST((SELECT {_CUT} FROM realized_c) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS period
+          FROM (SELECT series, CAST(min(period) AS TIMESTAMP) AS a FROM {cte} GROUP BY 1)) g
+    LEFT JOIN {cte} p ON p.series = g.series AND p.period = g.period"""
+
+
+for _p in ("all", "region", "category", "product"):
+    CTES[f"panel_{_p}_f"] = ([f"panel_{_p}_c", "realized_c"], _regular_sql(f"panel_{_p}_c"))
 
 
 def line_panel(spark, sf, key: str = "category"):
-    """Product panel: realized line revenue per ``key`` (category or product
-    name) and month (lines meet order dates by a join on order id)."""
+    """Product panel: realized line revenue per ``key`` (sku or a product
+    attribute) and month.  Lines meet order dates by order id and are rolled up
+    per sku and month before they meet the catalogue."""
     c = K.canon(spark, sf)
     o = K.realized(c.get("orders"))
-    ln = K.lines_with_product(c.t).join(o.select("order_id", "order_date"), "order_id")
-    p = TS.monthly_panel(ln.filter(F.col(key).isNotNull()), key, value="line_total")
-    return TS.complete_months(p, o)
+    per_sku = TS.monthly_panel(c.get("lines").join(o.select("order_id", "order_date"), "order_id")
+                               .filter(F.col("sku").isNotNull()), "sku", value="line_total")
+    p = TS.complete_months(per_sku, o)
+    if key == "sku":
+        return p
+    prod = K.products(c.t).select(F.col("sku").cast("string").alias("series"), F.col(key).cast("string").alias("_k"))
+    return (p.join(prod, "series").filter(F.col("_k").isNotNull())
+            .groupBy(F.col("_k").alias("series"), "period").agg(F.sum("y").alias("y"), F.sum("orders").alias("orders")))
 
 
 def category_panel(spark, sf):
     return line_panel(spark, sf, "category")
 
 
+def regular(spark, sf, key: str | None = None):
+    """The panel on a full month grid up to the last complete month, written
+    once: every branch of a forecast reads it instead of the facts."""
+    p = line_panel(spark, sf, key) if key in ("category", "sku") else panel(spark, sf, key)
+    cutoff = complete_month_cutoff(_valid(spark, sf).agg(F.max("order_date")).scalar())
+    return write_shared(TS.fill_gaps(p, cutoff), f"panel-{key or 'all'}")
+
+
 def _valid(spark, sf):
     return K.realized(K.canon(spark, sf).get("orders"))
 
@@ -66,9 +94,13 @@ def _valid(spark, sf):
 def panel(spark, sf, key: str | None = None):
     c = K.canon(spark, sf)
     o = K.realized(c.get("orders"))
-    if key is not None:
-        o = K.orders_with_customer(c.t, o)
-    return TS.complete_months(TS.monthly_panel(o, key), o)
+    if key is None:
+        return TS.complete_months(TS.monthly_panel(o), o)
+    # Orders are rolled up per customer and month before they meet the customer dimension.
+    per = TS.complete_months(TS.monthly_panel(o.filter(F.col("customer_id").isNotNull()), "customer_id"), o)
+    dim = K.customer_dim(c.t).select(F.col("customer_id").cast("string").alias("series"), F.col(key).cast("string").alias("_k"))
+    return (per.join(dim, "series").groupBy(F.col("_k").alias("series"), "period")
+            .agg(F.sum("y").alias("y"), F.sum("orders").alias("orders")))
 
 
 @register("monthly_revenue", """
@@ -122,9 +154,9 @@ def growth(spark, sf):
 @register("growth_by_region", """
     SELECT series, period, y::DOUBLE AS y,
            (y::DOUBLE - lag(y) OVER w::DOUBLE) / nullif(lag(y) OVER w::DOUBLE, 0) * 100.0 AS growth_pct
-    FROM panel_region_c WINDOW w AS (PARTITION BY series ORDER BY period)""", "panel_region_c")
+    FROM panel_region_f WINDOW w AS (PARTITION BY series ORDER BY period)""", "panel_region_f")
 def growth_by_region(spark, sf):
-    return TS.growth(panel(spark, sf, "region"))
+    return TS.growth(regular(spark, sf, "region"))
 
 
 @register("log_diff", """
@@ -167,9 +199,9 @@ def decompose_multiplicative(spark, sf):
     return TS.decompose(panel(spark, sf), "multiplicative")
 
 
-@register("decompose_additive_by_region", _decomp_sql("panel_region_c", "additive"), "panel_region_c")
+@register("decompose_additive_by_region", _decomp_sql("panel_region_f", "additive"), "panel_region_f")
 def decompose_additive_by_region(spark, sf):
-    return TS.decompose(panel(spark, sf, "region"), "additive")
+    return TS.decompose(regular(spark, sf, "region"), "additive")
 
 
 def _acf_sql(panel_cte: str) -> str:
@@ -194,9 +226,9 @@ def acf(spark, sf):
     return TS.acf(panel(spark, sf))
 
 
-@register("acf_by_region", _acf_sql("panel_region_c"), "panel_region_c")
+@register("acf_by_region", _acf_sql("panel_region_f"), "panel_region_f")
 def acf_by_region(spark, sf):
-    return TS.acf(panel(spark, sf, "region"))
+    return TS.acf(regular(spark, sf, "region"))
 
 
 # ---------------------------------------------------------------- forecasts
@@ -349,9 +381,18 @@ def _metrics_cte(px: str) -> str:
 
 def _final_sql(panel_cte: str) -> str:
     """Selected model per series (holdout) joined to the refit forecasts."""
-    return f"""WITH {_fit_sql(panel_cte, 'eval', 'e_')},{_metrics_cte('e_')},{_fit_sql(panel_cte, 'final', 'f_')}
-    SELECT fc.series, fc.model, fc.h, fc.period, round(fc.forecast, 4) AS forecast
-    FROM f_fc fc JOIN e_sel USING (series, model)"""
+    return f"""WITH {_chosen_ctes(panel_cte)}
+    SELECT fc.series, fc.model, fc.h, fc.period, round(fc.forecast, 4) AS forecast, fc.model <> e_sel.model AS fallback
+    FROM f_fc fc JOIN used USING (series, model) JOIN e_sel ON e_sel.series = fc.series"""
+
+
+def _chosen_ctes(panel_cte: str) -> str:
+    """Holdout metrics, refit forecasts, and per series the best scored model that the refit could fit."""
+    return f"""{_fit_sql(panel_cte, 'eval', 'e_')},{_metrics_cte('e_')},{_fit_sql(panel_cte, 'final', 'f_')},
+    ok AS (SELECT series, model FROM f_fc GROUP BY 1, 2 HAVING count(forecast) = count(*)),
+    used AS (SELECT series, b.model AS model FROM (
+               SELECT series, arg_min(struct_pack(model := model), struct_pack(mae := mae, r := {_rank_sql('model')})) AS b
+               FROM e_m JOIN ok USING (series, model) GROUP BY 1))"""
 
 
 BASELINE = ["Average", "Naive", "Seasonal Naive", "Drift", "SES", "ARIMA(1,1,0)"]
@@ -373,56 +414,58 @@ def _select_sql(panel_cte: str) -> str:
 
 
 def _eval_frame(spark, sf, key=None):
-    p = line_panel(spark, sf, key) if key in ("category", "product_name") else panel(spark, sf, key)
-    return FC.fit_frame(FC.series_arrays(p), "eval")
+    return FC.fit_frame(FC.series_arrays(regular(spark, sf, key)), "eval")
+
 
+def _final(spark, sf, key=None):
+    arr = FC.series_arrays(regular(spark, sf, key))
+    m = FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval")))
+    return FC.final_forecast(FC.forecasts(FC.fit_frame(arr, "final")), m)
 
-@register("fc_baseline", _fc_sql("panel_all_c"), "panel_all_c")
+
+@register("fc_baseline", _fc_sql("panel_all_f"), "panel_all_f")
 def fc_baseline(spark, sf):
     """Holdout forecasts of the six fold-based models (O-8.7 .. O-8.12 (1,1,0))."""
     return FC.round_fc(FC.forecasts(_eval_frame(spark, sf), BASELINE))
 
 
-@register("fc_baseline_metrics", _metrics_sql("panel_all_c"), "panel_all_c")
+@register("fc_baseline_metrics", _metrics_sql("panel_all_f"), "panel_all_f")
 def fc_baseline_metrics(spark, sf):
     return FC.metrics(FC.forecasts(_eval_frame(spark, sf), BASELINE))
 
 
-@register("fc_baseline_metrics_by_region", _metrics_sql("panel_region_c"), "panel_region_c")
+@register("fc_baseline_metrics_by_region", _metrics_sql("panel_region_f"), "panel_region_f")
 def fc_baseline_metrics_by_region(spark, sf):
     return FC.metrics(FC.forecasts(_eval_frame(spark, sf, "region"), BASELINE))
 
 
-@register("fc_arima_ma", _fc_sql("panel_all_c", ["ARIMA(1,1,1)", "ARIMA(2,1,1)"]), "panel_all_c")
+@register("fc_arima_ma", _fc_sql("panel_all_f", ["ARIMA(1,1,1)", "ARIMA(2,1,1)"]), "panel_all_f")
 def fc_arima_ma(spark, sf):
     """ARIMA(1,1,1) and (2,1,1) holdout forecasts (CSS grid; NumPy per series)."""
     return FC.round_fc(FC.forecasts(_eval_frame(spark, sf), ["ARIMA(1,1,1)", "ARIMA(2,1,1)"]))
 
 
-@register("fc_metrics", _metrics_sql("panel_all_c", rules.MODEL_ORDER), "panel_all_c")
+@register("fc_metrics", _metrics_sql("panel_all_f", rules.MODEL_ORDER), "panel_all_f")
 def fc_metrics(spark, sf):
     """O-8.13 over all eight models."""
     return FC.metrics(FC.forecasts(_eval_frame(spark, sf)))
 
 
-@register("fc_select", _select_sql("panel_all_c"), "panel_all_c")
+@register("fc_select", _select_sql("panel_all_f"), "panel_all_f")
 def fc_select(spark, sf):
     """O-8.14: best model per series."""
     return FC.select_model(FC.metrics(FC.forecasts(_eval_frame(spark, sf))))
 
 
-@register("fc_select_by_region", _select_sql("panel_region_c"), "panel_region_c")
+@register("fc_select_by_region", _select_sql("panel_region_f"), "panel_region_f")
 def fc_select_by_region(spark, sf):
     return FC.select_model(FC.metrics(FC.forecasts(_eval_frame(spark, sf, "region"))))
 
 
-@register("fc_final", _final_sql("panel_all_c"), "panel_all_c")
+@register("fc_final", _final_sql("panel_all_f"), "panel_all_f")
 def fc_final(spark, sf):
     """O-8.15: the selected model refit on all complete months, 3 months ahead."""
-    arr = FC.series_arrays(panel(spark, sf))
-    sel = FC.select_model(FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval"))))
-    fin = FC.forecasts(FC.fit_frame(arr, "final"))
-    return FC.final_forecast(fin, sel)
+    return _final(spark, sf)
 
 
 @register("adf")
@@ -441,7 +484,7 @@ def adf_log_diff(spark, sf):
 @register("adf_by_region")
 def adf_by_region(spark, sf):
     from ..operators import stationarity as ST
-    return ST.adf_panel(FC.series_arrays(panel(spark, sf, "region")))
+    return ST.adf_panel(FC.series_arrays(regular(spark, sf, "region")))
 
 
 def _pacf_sql(panel_cte: str, max_lag: int = 20) -> str:
@@ -474,36 +517,68 @@ def monthly_revenue_by_category(spark, sf):
     return category_panel(spark, sf).select("series", "period", F.col("y").cast("double").alias("revenue"), "orders")
 
 
-@register("fc_baseline_metrics_by_category", _metrics_sql("panel_category_c"), "panel_category_c")
+@register("fc_baseline_metrics_by_category", _metrics_sql("panel_category_f"), "panel_category_f")
 def fc_baseline_metrics_by_category(spark, sf):
     """Declared product forecast, per category: holdout metrics of the fold models."""
     return FC.metrics(FC.forecasts(_eval_frame(spark, sf, "category"), BASELINE))
 
 
-@register("fc_final_by_category", _final_sql("panel_category_c"), "panel_category_c")
+@register("fc_final_by_category", _final_sql("panel_category_f"), "panel_category_f")
 def fc_final_by_category(spark, sf):
     """Declared 3-month product forecast, per category, with model selection."""
-    arr = FC.series_arrays(category_panel(spark, sf))
-    sel = FC.select_model(FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval"))))
-    return FC.final_forecast(FC.forecasts(FC.fit_frame(arr, "final")), sel)
+    return _final(spark, sf, "category")
 
 
-@register("pacf_by_region", _pacf_sql("panel_region_c"), "panel_region_c")
+@register("pacf_by_region", _pacf_sql("panel_region_f"), "panel_region_f")
 def pacf_by_region(spark, sf):
     from ..operators import stationarity as ST
-    out = ST.pacf(TS.acf_raw(panel(spark, sf, "region"), 24), 20)
+    out = ST.pacf(TS.acf_raw(regular(spark, sf, "region"), 24), 20)
     return out.select("series", F.col("k").cast("bigint").alias("k"), round_dp("pacf", 9).alias("pacf"))
 
 
-@register("fc_baseline_metrics_by_product", _metrics_sql("panel_product_c"), "panel_product_c")
+@register("fc_baseline_metrics_by_product", _metrics_sql("panel_product_f"), "panel_product_f")
 def fc_baseline_metrics_by_product(spark, sf):
     """Declared product forecast: holdout metrics per product (fold models)."""
-    return FC.metrics(FC.forecasts(_eval_frame(spark, sf, "product_name"), BASELINE))
+    return FC.metrics(FC.forecasts(_eval_frame(spark, sf, "sku"), BASELINE))
 
 
-@register("fc_final_by_product", _final_sql("panel_product_c"), "panel_product_c")
+@register("fc_final_by_product", _final_sql("panel_product_f"), "panel_product_f")
 def fc_final_by_product(spark, sf):
-    """Declared 3-month forecast per product, with model selection over all eight models."""
-    arr = FC.series_arrays(line_panel(spark, sf, "product_name"))
-    sel = FC.select_model(FC.metrics(FC.forecasts(FC.fit_frame(arr, "eval"))))
-    return FC.final_forecast(FC.forecasts(FC.fit_frame(arr, "final")), sel)
+    """Declared 3-month forecast per product (sku), after the last complete
+    month, with model selection over all eight models; ``fc_exclusions_by_product``
+    says which models could not take part."""
+    return _final(spark, sf, "sku")
+
+
+def _exclusions_sql(panel_cte: str) -> str:
+    arima = "('ARIMA(1,1,0)', 'ARIMA(1,1,1)', 'ARIMA(2,1,1)')"
+    return f"""
+    WITH s AS (SELECT series, count(*) AS n, bool_and(y > 0) AS positive, count(DISTINCT y) AS kinds FROM {panel_cte} GROUP BY 1)
+    SELECT series, model, CASE WHEN n < 5 THEN 'fewer than 5 months'
+                               WHEN model = 'Seasonal Naive' THEN 'a month without an earlier one of its name'
+                               WHEN NOT positive THEN 'a month is not positive' ELSE 'constant' END AS reason
+    FROM s, (SELECT unnest([{", ".join("'" + m + "'" for m in rules.MODEL_ORDER)}]) AS model)
+    WHERE n < 5 OR (model = 'Seasonal Naive' AND n - CAST(floor(n * 0.2) AS INT) < 12)
+       OR (model IN {arima} AND (NOT positive OR kinds = 1))"""
+
+
+@register("fc_exclusions_by_product", _exclusions_sql("panel_product_f"), "panel_product_f")
+def fc_exclusions_by_product(spark, sf):
+    """Per product: the models that cannot be scored or refit, and why."""
+    return FC.exclusions(FC.series_arrays(regular(spark, sf, "sku")))
+
+
+@register("fc_exclusions_by_region", _exclusions_sql("panel_region_f"), "panel_region_f")
+def fc_exclusions_by_region(spark, sf):
+    return FC.exclusions(FC.series_arrays(regular(spark, sf, "region")))
+
+
+@register("series_exclusions_by_region", """
+    WITH s AS (SELECT series, count(*) AS n, bool_and(y > 0) AS positive FROM panel_region_f GROUP BY 1)
+    SELECT series, analysis, reason FROM (
+      SELECT series, 'decomposition' AS analysis, 'fewer than 24 months' AS reason, n < 24 AS out FROM s
+      UNION ALL SELECT series, 'logarithm', 'a month is not positive', NOT positive FROM s
+      UNION ALL SELECT series, 'stationarity', 'fewer than 6 months', n < 6 FROM s) WHERE out""", "panel_region_f")
+def series_exclusions_by_region(spark, sf):
+    """Series that an analysis leaves out, and why."""
+    return TS.exclusions(regular(spark, sf, "region"))
