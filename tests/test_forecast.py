@@ -39,16 +39,45 @@ def test_css_search_is_grid_optimum():
             assert brute_css(z, 1, k1 / 20, 0.0, kt / 20)[0] >= s - 1e-9
 
 
-def test_ses_fold_matches_python(spark):
-    ys = [10.0, 12.0, 9.0, 14.0, 13.0, 15.0]
-    df = spark.createDataFrame([(ys,)], "ys array<double>")
-    for a in (0.1, 0.5, 0.9):
-        st = df.select(FC.ses_level(F.col("ys"), F.lit(a)).alias("s")).first().s
-        lev, sse = ys[0], 0.0
-        for y in ys[1:]:
-            sse += (y - lev) ** 2
-            lev = a * y + (1 - a) * lev
-        assert math.isclose(st.l, lev) and math.isclose(st.sse, sse)
+def test_ses_search_is_the_best_fit():
+    ys = [10.0, 12.0, 9.0, 14.0, 13.0, 15.0, 11.0]
+
+    def sse(alpha, l0):
+        lev, out = l0, 0.0
+        for y in ys:
+            out += (y - lev) ** 2
+            lev += alpha * (y - lev)
+        return out, lev
+    best = min((sse(k / 1000, l0 / 50)[0], k, l0) for k in range(1, 1000, 3) for l0 in range(0, 1000, 5))
+    got = FC.ses_search(ys)
+    assert abs(got - sse(best[1] / 1000, best[2] / 50)[1]) < 0.1
+
+
+def test_adf_gives_a_reason_instead_of_failing():
+    assert ST.adf([5.0] * 30)["reason"] == "exact fit" and ST.adf([float(i) for i in range(30)])["reason"] == "exact fit"
+    assert ST.adf([1.0, 2.0])["reason"] == "fewer than 6 values"
+    assert ST.adf(np.random.default_rng(0).normal(size=60))["reason"] is None
+
+
+def test_gap_is_a_month(spark):
+    """A missing month becomes a zero month: growth compares neighbours in time."""
+    from datetime import date
+
+    from tijara.operators import timeseries as TS
+    p = spark.createDataFrame([("s", date(2024, 1, 1), 10.0, 1), ("s", date(2024, 3, 1), 30.0, 2)], "series string, period date, y double, orders long")
+    full = TS.fill_gaps(p, F.lit(date(2024, 4, 1)))
+    got = {r.period.month: (r.y, r.growth_pct) for r in TS.growth(full).collect()}
+    assert got == {1: (10.0, None), 2: (0.0, -100.0), 3: (30.0, None), 4: (0.0, -100.0)}
+
+
+def test_refit_falls_back_and_says_so(spark):
+    """The best model by holdout cannot be refit: the next scored one is used."""
+    m = spark.createDataFrame([("s", "ARIMA(1,1,0)", 1.0, 1.0), ("s", "Naive", 2.0, 2.0), ("s", "Drift", 3.0, 3.0)],
+                              "series string, model string, mae double, rmse double")
+    fin = spark.createDataFrame([("s", "Naive", h, None, 5.0) for h in (1, 2, 3)] + [("s", "Drift", h, None, 6.0) for h in (1, 2, 3)],
+                                "series string, model string, h long, period date, forecast double")
+    got = FC.final_forecast(fin, m).collect()
+    assert {(r.model, r.fallback) for r in got} == {("Naive", True)} and len(got) == 3
 
 
 def test_forecast_models_on_a_toy_panel(spark):
@@ -107,32 +136,18 @@ def test_levinson_durbin_matches_yule_walker_solve():
         assert math.isclose(p[k], phi[-1], rel_tol=1e-9, abs_tol=1e-12)
 
 
-@pytest.mark.parametrize("n", [500, 5000])
-def test_quantile_sketch_rank_error(spark, n):
-    from tijara.operators import profile as PR
+@pytest.mark.parametrize("n", [1, 2, 500, 20_000])
+def test_quantiles_are_exact_at_every_size(spark, n):
+    from tijara.operators.quantiles import quantiles
     rng = np.random.default_rng(n)
-    vals = rng.normal(size=n).round(4)
-    df = spark.createDataFrame([(float(v),) for v in vals], "quantity double")
-    q = PR.describe_quartiles(df, ["quantity"]).first()
-    s = np.sort(vals)
-    for p, got in zip(PR.QUARTILES, (q.p25, q.p50, q.p75)):
-        rank = np.searchsorted(s, got, side="right")
-        assert abs(rank - math.ceil(p * n)) <= max(1, n / PR.QUANTILE_ACCURACY) + 1
-
-
-def test_ses_initial_level_is_the_sse_minimizer(spark):
-    ys = [10.0, 12.0, 9.0, 14.0, 13.0, 15.0, 11.0, 16.0]
-    df = spark.createDataFrame([(ys,)], "ys array<double>")
-
-    def sse(alpha, l0):
-        lev, s = l0, 0.0
-        for y in ys:
-            s += (y - lev) ** 2
-            lev = alpha * y + (1 - alpha) * lev
-        return s, lev
-    for a in (0.2, 0.6):
-        st = df.select(FC.ses_fit(F.col("ys"), F.lit(a)).alias("s")).first().s
-        grid = np.linspace(0, 30, 30001)
-        best = min(grid, key=lambda l0: sse(a, l0)[0])
-        assert st.sse <= sse(a, best)[0] + 1e-9
-        assert math.isclose(st.sse, sse(a, best)[0], rel_tol=1e-6)
+    x = np.where(rng.random(n) < 0.4, 7.0, rng.normal(size=n).round(3))  # a frequent value
+    df = spark.createDataFrame([("k" if i % 3 else "j", float(v)) for i, v in enumerate(x)] + [("k", None)], "g string, v double")
+    probs = [0.0, 0.2, 0.25, 0.5, 0.9, 1.0]
+    groups = {"k": x[[i for i in range(n) if i % 3]], "j": x[[i for i in range(n) if i % 3 == 0]]}
+    for r in quantiles(df, ["g"], F.col("v"), probs, linear=True).collect():
+        assert np.allclose(r.q, np.quantile(groups[r.g], probs))
+    for r in quantiles(df, ["g"], F.col("v"), probs, linear=False).collect():
+        v = np.sort(groups[r.g])
+        assert r.q == [v[max(math.ceil(p * len(v)) - 1, 0)] for p in probs]
+    whole = quantiles(df, [], F.col("v"), probs, linear=True).first().q
+    assert np.allclose(whole, np.quantile(x, probs))

@@ -2,9 +2,9 @@
 the final 3-month forecast (O-8.6 .. O-8.15).
 
 Every series is one row holding its (bounded, one value per month) history
-as an array.  Models without a search are folds (``aggregate``) over it;
-parameter searches (SES alpha, ARIMA CSS grids) run all grid points of a series
-together in NumPy, series by series inside ``mapInPandas``.  Folds are
+as an array.  The simple models are array expressions; SES and ARIMA run in
+NumPy (all grid points of a series together), series by series inside
+``mapInPandas``.  Folds are
 sequential, so sums do not depend on partitioning.
 
 Deviations from the source's library fits, by design (SURVEY §7.9):
@@ -87,38 +87,6 @@ def fc_drift(f: DataFrame) -> DataFrame:
     return f.select("series", F.lit("Drift").alias("model"), fc.alias("fc"))
 
 
-def ses_level(ys: Column, alpha: Column) -> Column:
-    """Fold with l_1 = y_1 (kept for reference and tests):
-    e_t = y_t - l_{t-1}; l_t = a*y_t + (1-a)*l_{t-1}."""
-    init = F.struct(F.element_at(ys, 1).alias("l"), F.lit(0.0).alias("sse"))
-    return F.aggregate(F.slice(ys, 2, F.size(ys) - 1), init, lambda acc, y: F.struct(
-        (alpha * y + (F.lit(1.0) - alpha) * acc["l"]).alias("l"),
-        (acc["sse"] + (y - acc["l"]) * (y - acc["l"])).alias("sse")))
-
-
-def ses_fit(ys: Column, alpha: Column) -> Column:
-    """SES with an estimated initial level, in one fold.
-
-    With l_0 free, every level is linear in it: l_{t-1} = a_t + b_t * l_0
-    (a_1 = 0, b_1 = 1; a_{t+1} = alpha*y_t + (1-alpha)*a_t, b_{t+1} = (1-alpha)*b_t).
-    The one-step errors e_t = y_t - l_{t-1} give an SSE quadratic in l_0, so
-    the fold carries sum (y-a)^2, sum b*(y-a), sum b^2 and the optimum is closed
-    form: l_0 = Sby / Sbb, SSE = Syy - Sby^2 / Sbb, final level a + b*l_0."""
-    one = F.lit(1.0)
-    init = F.struct(F.lit(0.0).alias("a"), one.alias("b"), F.lit(0.0).alias("syy"),
-                    F.lit(0.0).alias("sby"), F.lit(0.0).alias("sbb"))
-
-    def step(acc, y):
-        d = y - acc["a"]
-        return F.struct((alpha * y + (one - alpha) * acc["a"]).alias("a"), ((one - alpha) * acc["b"]).alias("b"),
-                        (acc["syy"] + d * d).alias("syy"), (acc["sby"] + acc["b"] * d).alias("sby"),
-                        (acc["sbb"] + acc["b"] * acc["b"]).alias("sbb"))
-    st = F.aggregate(ys, init, step)
-    l0 = st["sby"] / st["sbb"]
-    return F.struct((st["syy"] - st["sby"] * st["sby"] / st["sbb"]).alias("sse"),
-                    (st["a"] + st["b"] * l0).alias("l"))
-
-
 def ses_search(ys) -> float:
     """Final level of the best SES fit (NumPy, all alphas together): alpha on a
     0.01 grid, then 0.001 steps around the best; smallest SSE wins, smaller
@@ -150,64 +118,15 @@ def fc_ses(f: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ ARIMA(p,1,q) by CSS
 
-def _log_diffs(f: DataFrame) -> DataFrame:
-    """z_t = ln y_t - ln y_{t-1} on the training window; series with y <= 0
-    cannot be logged and are excluded (with no forecast)."""
-    ok = F.forall("train", lambda y: y > 0)
-    z = F.transform(F.sequence(F.lit(2), F.col("fit_len")),
-                    lambda t: F.log(F.element_at("train", t)) - F.log(F.element_at("train", t - 1)))
-    return f.filter(ok).select("series", "H", "fit_len", F.log(F.element_at("train", -1)).alias("x_n"),
-                               z.alias("z"))
-
-
-def _lag_structs(z: Column, p: int) -> Column:
-    """[(z_t, z_{t-1}, z_{t-2})] for t = p+1 .. m."""
-    return F.transform(F.sequence(F.lit(p + 1), F.size(z)), lambda t: F.struct(
-        F.element_at(z, t).alias("z0"),
-        F.element_at(z, t - 1).alias("z1"),
-        (F.element_at(z, t - 2) if p >= 2 else F.lit(0.0)).alias("z2")))
-
-
-def css_fold(zz: Column, phi1: Column, phi2: Column, theta: Column) -> Column:
-    """e_t = z_t - phi1 z_{t-1} - phi2 z_{t-2} - theta e_{t-1}; returns (e_last, sse)."""
-    init = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("sse"))
-
-    def step(acc, s):
-        e = s["z0"] - phi1 * s["z1"] - phi2 * s["z2"] - theta * acc["e"]
-        return F.struct(e.alias("e"), (acc["sse"] + e * e).alias("sse"))
-    return F.aggregate(zz, init, step)
-
-
-def _arima_forecast(best: DataFrame, name: str) -> DataFrame:
-    """Recursive forecast: z-hat_h = phi1 z_{h-1} + phi2 z_{h-2} (+ theta e_n at h=1);
-    x-hat = x_n + cumulative z-hat; y-hat = exp(x-hat)."""
-    init = F.struct(F.element_at("z", -1).alias("z1"),
-                    F.when(F.size("z") >= 2, F.element_at("z", -2)).otherwise(F.lit(0.0)).alias("z2"),
-                    F.col("x_n").alias("x"), F.array().cast(DOUBLE_ARRAY).alias("out"))
-
-    def step(s, h):
-        zh = F.col("phi1") * s["z1"] + F.col("phi2") * s["z2"] \
-            + F.when(h == 1, F.col("theta") * F.col("e_n")).otherwise(F.lit(0.0))
-        x = s["x"] + zh
-        return F.struct(zh.alias("z1"), s["z1"].alias("z2"), x.alias("x"),
-                        F.concat(s["out"], F.array(F.exp(x))).alias("out"))
-    fc = F.aggregate(F.sequence(F.lit(1), F.col("H")), init, step)["out"]
-    return best.select("series", F.lit(name).alias("model"), fc.alias("fc"))
-
-
-def fc_arima110(f: DataFrame) -> DataFrame:
+def css_110(z) -> float | None:
     """O-8.12 (1,1,0): closed-form CSS phi = sum z_t z_{t-1} / sum z_{t-1}^2."""
-    d = _log_diffs(f).filter(F.size("z") >= 2)
-    zz = _lag_structs(F.col("z"), 1)
-    sums = F.aggregate(zz, F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den")), lambda a, s: F.struct(
-        (a["num"] + s["z0"] * s["z1"]).alias("num"), (a["den"] + s["z1"] * s["z1"]).alias("den")))
-    d = d.withColumn("_s", sums)
-    d = d.select("*", F.try_divide(F.col("_s.num"), F.col("_s.den")).alias("phi1"),
-                 F.lit(0.0).alias("phi2"), F.lit(0.0).alias("theta"), F.lit(0.0).alias("e_n"))
-    return _arima_forecast(d.filter(F.col("phi1").isNotNull()), "ARIMA(1,1,0)")
+    num = den = 0.0
+    for t in range(1, len(z)):
+        num, den = num + z[t] * z[t - 1], den + z[t - 1] * z[t - 1]
+    return num / den if len(z) >= 2 and den else None
 
 
-# SES and ARIMA with a moving-average term: the grid is evaluated per series with
+# With a moving-average term the CSS grid (like that of SES) is evaluated per series with
 # NumPy (all grid points advance together through the series), inside
 # ``mapInPandas`` over the one-row-per-series frame -- no shuffle, one Arrow
 # batch of series per task.
@@ -302,8 +221,10 @@ def _numpy_batches(names: list[str]):
                 # scalar C-library log per value (same rounding as SQL engines)
                 x = np.array([math.log(v) for v in y])
                 z = np.array([x[t] - x[t - 1] for t in range(1, len(x))])
+                if "ARIMA(1,1,0)" in names and (phi := css_110(z)) is not None:
+                    rows.append((series, "ARIMA(1,1,0)", arima_forecast(float(x[-1]), z, phi, 0.0, 0.0, 0.0, int(h))))
                 for name in names:
-                    if name == "SES":
+                    if name not in _ARIMA_SPECS:
                         continue
                     p, half, div, fine = _ARIMA_SPECS[name]
                     if len(z) <= p:
@@ -315,13 +236,16 @@ def _numpy_batches(names: list[str]):
 
 
 def fc_numpy(f: DataFrame, names) -> DataFrame:
-    """The models with a parameter grid: SES, and O-8.12 (1,1,1) and (2,1,1) by a
-    CSS grid (step 0.05 / 0.1 inside the AR(2) stationarity triangle) with one
+    """SES and the ARIMA models; (1,1,1) and (2,1,1) by a CSS grid (step 0.05 / 0.1 inside the AR(2) stationarity triangle) with one
     refinement at 1/5 of the step."""
     return f.select("series", "H", "train").mapInPandas(
         _numpy_batches(list(names)), "series string, model string, fc array<double>")
 
 
+def fc_arima110(f: DataFrame) -> DataFrame:
+    return fc_numpy(f, ("ARIMA(1,1,0)",))
+
+
 def fc_arima111(f: DataFrame) -> DataFrame:
     return fc_numpy(f, ("ARIMA(1,1,1)",))
 
@@ -340,7 +264,7 @@ BASELINE_MODELS = ["Average", "Naive", "Seasonal Naive", "Drift", "SES"]
 def forecasts(f: DataFrame, models=None) -> DataFrame:
     """Long table (series, model, h, period, actual, forecast)."""
     names = list(models or rules.MODEL_ORDER)
-    grid = [n for n in names if n in _ARIMA_SPECS or n == "SES"]
+    grid = [n for n in names if n.startswith("ARIMA") or n == "SES"]
     parts = [MODELS[n](f) for n in names if n not in grid]
     if grid:
         parts.append(fc_numpy(f, tuple(grid)))
