@@ -468,23 +468,91 @@ def fc_final(spark, sf):
     return _final(spark, sf)
 
 
-@register("adf")
-def adf(spark, sf):
-    """O-8.3 on the monthly series (rows-only; unit tests check the statistic)."""
+def _adf_sql(panel_cte: str, log_diff: bool = False) -> str:
+    """ADF by least squares in SQL: columns are made orthogonal one after the
+    other (Gram-Schmidt over lists).  With the constant and the level first, the
+    residual after each further lag is that lag order's; with the level last,
+    its residual gives the coefficient and its standard error."""
+    sub = "list_transform(range(1, len({v}) + 1), lambda i: {v}[i] - list_dot_product({v}, {q}) / list_dot_product({q}, {q}) * {q}[i])"
     from ..operators import stationarity as ST
-    return ST.adf_panel(FC.series_arrays(panel(spark, sf)))
 
+    def poly(coef):
+        return " + ".join(f"({c!r}) * power(adf_stat, {i})" for i, c in enumerate(coef))
 
-@register("adf_log_diff")
-def adf_log_diff(spark, sf):
+    def crit(name):
+        b = ST.ADF_CRIT[name]
+        return f"{b[0]!r} + ({b[1]!r}) / nobs + ({b[2]!r}) / power(nobs, 2) + ({b[3]!r}) / power(nobs, 3)"
+    src = (f"""x0 AS (SELECT series, list(y::DOUBLE ORDER BY period) AS ys, bool_and(y > 0) AS ok FROM {panel_cte} GROUP BY 1),
+    x AS (SELECT series, list_transform(range(2, len(ys) + 1), lambda t: ln(ys[t]) - ln(ys[t - 1])) AS x FROM x0 WHERE ok),"""
+           if log_diff else f"x AS (SELECT series, list(y::DOUBLE ORDER BY period) AS x FROM {panel_cte} GROUP BY 1),")
+    return f"""
+    SELECT * FROM (WITH RECURSIVE {src}
+    d AS (SELECT series, x, list_transform(range(1, len(x)), lambda t: x[t + 1] - x[t]) AS dx,
+                 least(len(x) // 2 - 2, CAST(ceil(12.0 * power(len(x) / 100.0, 0.25)) AS BIGINT)) AS m FROM x WHERE len(x) >= 6),
+    -- Common sample of the search: rows m+1 .. len(dx); columns 1, level, lag 1 .. m.
+    s0 AS (SELECT series, m, len(dx) - m AS n, dx[m + 1:] AS y,
+                  list_concat([list_transform(dx[m + 1:], lambda v: 1.0::DOUBLE), x[m + 1:len(dx)]],
+                              list_transform(range(1, m + 1), lambda k: dx[m + 1 - k:len(dx) - k])) AS cols FROM d),
+    g AS (SELECT series, m, n, cols, y, 0 AS i, []::DOUBLE[][] AS q, NULL::DOUBLE AS ssr FROM s0
+          UNION ALL
+          SELECT series, m, n, cols, {sub.format(v='y', q='v')}, i + 1, list_append(q, v), NULL
+          FROM (SELECT series, m, n, cols, y, i, q, list_reduce(q, lambda a, b: {sub.format(v='a', q='b')}, cols[i + 1]) AS v
+                FROM g WHERE i < len(cols))),
+    aic AS (SELECT series, i - 2 AS lags, n * (ln(2 * pi()) + ln(list_dot_product(y, y) / n) + 1.0) + 2.0 * i AS aic FROM g WHERE i >= 2),
+    best AS (SELECT series, arg_min(lags, struct_pack(a := aic, l := lags)) AS lags FROM aic GROUP BY 1),
+    -- All rows of the chosen order: columns 1, lags, and the level last.
+    f0 AS (SELECT series, lags, len(dx) - lags AS n, dx[lags + 1:] AS y,
+                  list_concat(list_concat([list_transform(dx[lags + 1:], lambda v: 1.0::DOUBLE)],
+                                          list_transform(range(1, lags + 1), lambda k: dx[lags + 1 - k:len(dx) - k])),
+                              [x[lags + 1:len(dx)]]) AS cols FROM d JOIN best USING (series)),
+    f AS (SELECT series, lags, n, cols, y, y AS y1, []::DOUBLE[] AS v1, 0 AS i, []::DOUBLE[][] AS q FROM f0
+          UNION ALL
+          SELECT series, lags, n, cols, {sub.format(v='y', q='v')}, y, v, i + 1, list_append(q, v)
+          FROM (SELECT series, lags, n, cols, y, i, q, list_reduce(q, lambda a, b: {sub.format(v='a', q='b')}, cols[i + 1]) AS v
+                FROM f WHERE i < len(cols))),
+    r AS (SELECT series, lags AS used_lag, n AS nobs,
+                 list_dot_product(y1, v1) / list_dot_product(v1, v1)
+                 / sqrt(list_dot_product(y, y) / (n - len(cols)) / list_dot_product(v1, v1)) AS adf_stat FROM f WHERE i = len(cols))
+    SELECT series, round(adf_stat, 6) AS adf_stat, used_lag, nobs,
+           CASE WHEN adf_stat > {ST.ADF_TAU_MAX} THEN 'none' WHEN adf_stat <= {crit('1%')} THEN '1%'
+                WHEN adf_stat <= {crit('5%')} THEN '5%' WHEN adf_stat <= {crit('10%')} THEN '10%' ELSE 'none' END AS rejected_at,
+           round({crit('1%')}, 6) AS crit_1pct, round({crit('5%')}, 6) AS crit_5pct, round({crit('10%')}, 6) AS crit_10pct,
+           round(CASE WHEN adf_stat <= {ST.ADF_TAU_STAR} THEN {poly(ST.ADF_SMALL_P)} ELSE {poly(ST.ADF_LARGE_P)} END, 6) AS p_score
+    FROM r) z"""
+
+
+def _adf(spark, sf, key=None, log_diff=False):
+    """ADF statistic, order and critical values, with the score whose normal
+    probability is the p-value (SQL has no error function)."""
     from ..operators import stationarity as ST
-    return ST.adf_panel(FC.series_arrays(panel(spark, sf)), log_diff=True)
+    a = ST.adf_panel(FC.series_arrays(regular(spark, sf, key)), log_diff=log_diff).filter(F.col("reason").isNull())
+    stat = F.col("adf_stat")
 
+    def poly(coef):
+        return sum((F.lit(c) * F.pow(stat, F.lit(float(i))) for i, c in enumerate(coef[1:], start=1)), F.lit(coef[0]))
+    at = F.when(stat > ST.ADF_TAU_MAX, "none")
+    for name, col in (("1%", "crit_1pct"), ("5%", "crit_5pct"), ("10%", "crit_10pct")):
+        at = at.when(stat <= F.col(col), name)
+    score = F.when(stat <= ST.ADF_TAU_STAR, poly(ST.ADF_SMALL_P)).otherwise(poly(ST.ADF_LARGE_P))
+    return a.select("series", round_dp(stat, 6).alias("adf_stat"), F.col("used_lag").cast("bigint").alias("used_lag"),
+                    F.col("nobs").cast("bigint").alias("nobs"), at.otherwise("none").alias("rejected_at"),
+                    *[round_dp(c, 6).alias(c) for c in ("crit_1pct", "crit_5pct", "crit_10pct")], round_dp(score, 6).alias("p_score"))
+
+
+@register("adf", _adf_sql("panel_all_f"), "panel_all_f")
+def adf(spark, sf):
+    """O-8.3 on the monthly series."""
+    return _adf(spark, sf)
 
-@register("adf_by_region")
+
+@register("adf_log_diff", _adf_sql("panel_all_f", True), "panel_all_f")
+def adf_log_diff(spark, sf):
+    return _adf(spark, sf, log_diff=True)
+
+
+@register("adf_by_region", _adf_sql("panel_region_f"), "panel_region_f")
 def adf_by_region(spark, sf):
-    from ..operators import stationarity as ST
-    return ST.adf_panel(FC.series_arrays(regular(spark, sf, "region")))
+    return _adf(spark, sf, "region")
 
 
 def _pacf_sql(panel_cte: str, max_lag: int = 20) -> str:
