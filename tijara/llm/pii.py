@@ -10,11 +10,12 @@ the mention is kept.
 A surrogate depends on the key, the kind and the entity alone (an entity is the
 mention in canonical form: lower case, digits only ...), so all mentions of an
 entity read alike in every document, and the parts of a name and the domain of
-an address are entities of their own.  Collision checks work on the table of
-distinct entities: of entities with one surrogate, and of those whose surrogate
-is a real entity, all but the smallest get the next number in their hash, until
-none collide.  Only numbers above zero travel back to the documents that
-mention such an entity.
+an address are entities of their own.  Numbers and local parts go through a
+keyed one-to-one map among strings of their shape, so that different ones stay
+different; names and domains are drawn from a hash.  Collision checks on the
+table of distinct entities then look for any two with one surrogate: all but
+the smallest take their next number until none collide.  Only numbers above
+zero travel back to the documents that mention such an entity.
 
 Cases: null texts stay null and have no mention; empty texts stay empty;
 repeated rows are rewritten alike; whole texts are rewritten whatever their
@@ -46,9 +47,7 @@ NAME = rf"(?<![\p{{L}}])(?:{_ADDRESS})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L
 ANY_KIND = "|".join(f"(?:{p})" for p in (EMAIL, IP, IBAN, CARD, PHONE, NAME))
 #: A text without any of these has no mention.
 HINT = rf"[0-9@]|(?:{_ADDRESS})\.? \p{{Lu}}"
-#: From this number on surrogates of small ranges get more room, and from the
-#: second on a surrogate may be some other real entity's form.
-ROOM, CROWDED = 4, 8
+ROUNDS = 4
 
 # Syllables of invented names.
 LATIN = ("ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "ko", "la", "le", "lo",
@@ -121,11 +120,45 @@ def _number(h: Column, place) -> Column:
     return F.conv(F.substr(h, F.lit(1) + F.lit(7) * place, F.lit(7)), 16, 10).cast("long")
 
 
-def _new_digits(n: Column, h: Column) -> Column:
-    """n digits drawn from a hash (up to 63 of them)."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: (
-        F.conv(F.substr(F.concat(h, F.sha2(h, 256), F.sha2(F.reverse(h), 256)), F.lit(1) + i * 3, F.lit(3)), 16, 10).cast("int") % 10
-    ).cast("string")), "")
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _symbols(text: Column) -> Column:
+    """Characters as (v, m, c): the value v of a digit or letter among m, other characters fixed (m = 1)."""
+    return F.transform(F.split(text, ""), lambda c: F.struct(
+        F.when(c.rlike("[0-9]"), F.ascii(c) - 48).when(c.rlike("[a-z]"), F.ascii(c) - 97).otherwise(0).cast("int").alias("v"),
+        F.when(c.rlike("[0-9]"), 10).when(c.rlike("[a-z]"), 26).otherwise(1).cast("int").alias("m"), c.alias("c")))
+
+
+def _spelled(symbols: Column) -> Column:
+    return F.array_join(F.transform(symbols, lambda e: F.when(e["m"] == 10, e["v"].cast("string")).when(
+        e["m"] == 26, F.chr(e["v"] + 97)).otherwise(e["c"])), "")
+
+
+def _permuted(symbols: Column, salt: Column) -> Column:
+    """A keyed one-to-one map among strings of one shape (a Feistel network):
+    round by round each half is shifted, symbol by symbol within its range, by a
+    hash of the other half."""
+    def turn(state: Column, r: Column) -> Column:
+        half = F.size(state) / 2
+        moves = lambda i: (i < half) == (r % 2 == 0)
+        other = F.array_join(F.transform(F.filter(state, lambda e, i: ~moves(i)), lambda e: F.concat_ws(
+            ",", e["v"].cast("string"), e["m"].cast("string"), F.when(e["m"] == 1, e["c"]))), ";")
+        shape = F.array_join(F.transform(state, lambda e: e["m"].cast("string")), ",")
+        return _let(F.sha2(F.concat_ws("\x1f", salt, r.cast("string"), shape, other), 256), lambda h: F.transform(
+            state, lambda e, i: F.struct(
+                F.when(moves(i), (e["v"] + F.conv(F.substr(h, F.lit(1) + (i % 21) * 3, F.lit(3)), 16, 10).cast("int")) % e["m"])
+                .otherwise(e["v"]).cast("int").alias("v"), e["m"].alias("m"), e["c"].alias("c"))))
+
+    return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), symbols, turn)
+
+
+def _other_text(text: Column, salt: Column) -> Column:
+    """The permuted text; one that the map leaves as it is goes through another map."""
+    return _let(_spelled(_permuted(_symbols(text), salt)), lambda t: F.when(t != text, t).otherwise(
+        _spelled(_permuted(_symbols(text), F.concat(salt, F.lit("again"))))))
 
 
 def _check_digit(digits: Column) -> Column:
@@ -137,14 +170,6 @@ def _check_digit(digits: Column) -> Column:
     return F.concat(digits, ((10 - total % 10) % 10).cast("string"))
 
 
-def _reshaped(shape: Column, h: Column) -> Column:
-    """Letters for letters and digits for digits, drawn from a hash."""
-    long = F.concat(h, F.sha2(h, 256), F.sha2(F.reverse(h), 256), F.sha2(F.upper(h), 256))
-    return F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(
-        c.rlike("[a-z]"), F.chr(97 + F.conv(F.substr(long, F.lit(1) + (i % 83) * 3, F.lit(3)), 16, 10).cast("int") % 26)).when(
-        c.rlike("[0-9]"), (F.conv(F.substr(long, F.lit(1) + (i % 83) * 3, F.lit(3)), 16, 10).cast("int") % 10).cast("string")).otherwise(c)), "")
-
-
 def _invented(entity: Column, h: Column, kind: Column) -> Column:
     """A name of three or four syllables in the entity's script; given names end by gender."""
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
@@ -161,24 +186,26 @@ def _invented(entity: Column, h: Column, kind: Column) -> Column:
 
 def surrogate(kind: Column, entity: Column, nonce: Column, key: str = KEY) -> Column:
     """Canonical surrogate of a canonical entity."""
+    salt = F.concat_ws("\x1f", F.lit(key), kind, nonce.cast("string"))
     h = _hash(kind, entity, nonce, key)
     n = F.length(entity)
-    more = nonce >= ROOM
-    octets = F.array_join(F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: (_number(h, i) % 254 + 1).cast("string")), ".")
-    card = _check_digit(F.concat(F.substring(entity, 1, 6), _new_digits(n - 7, h)))
-    # Country code and area length are unknown in digits alone: the first two digits stay at first.
-    phone = F.when(more, _new_digits(n, h)).otherwise(F.concat(F.substring(entity, 1, 2), _new_digits(n - 2, h)))
-    body = F.upper(_reshaped(F.lower(F.substring(entity, 5, 64)), h))
+    octets = F.transform(F.split(entity, r"\."), lambda o: F.struct(o.cast("int").alias("v"), F.lit(256).alias("m"), o.alias("c")))
+    ip = F.array_join(F.transform(_permuted(octets, salt), lambda e: e["v"].cast("string")), ".")
+    card = _check_digit(F.concat(F.substring(entity, 1, 6), _other_text(F.substr(entity, F.lit(7), n - 7), salt)))
+    # Country code and area length are unknown in digits alone: the first two digits stay.
+    phone = F.concat(F.substring(entity, 1, 2), _other_text(F.substring(entity, 3, 64), salt))
+    body = F.upper(_other_text(F.lower(F.substring(entity, 5, 64)), salt))
     land = F.substring(entity, 1, 2)
     iban = F.concat(land, F.lpad((98 - iban_rest(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
-    # The part before the @; what follows is there so that collisions are sought within one domain.
-    email = F.concat(_reshaped(F.substring_index(entity, "@", 1), h), F.when(more, F.concat(F.lit("-"), F.substring(h, 1, 6))).otherwise(""),
-                     F.lit("@"), F.substring_index(entity, "@", -1))
-    name = F.concat(F.when(more, _invented(entity, F.sha2(h, 256), F.lit(""))).otherwise(""), _invented(entity, h, kind))
+    local = _let(F.substring_index(entity, "@", 1), lambda t: _let(_spelled(_permuted(_symbols(t), salt)), lambda u: F.when(
+        (u != t) & (nonce == 0), u).otherwise(F.concat(u, F.lit("-"), F.substring(h, 1, 6)))))
+    # What follows the @ is there so that collisions are sought within one domain.
+    email = F.concat(local, F.lit("@"), F.substring_index(entity, "@", -1))
+    # From the second number on, names get more syllables.
+    name = F.concat(F.when(nonce > 0, _invented(entity, F.sha2(h, 256), F.lit(""))).otherwise(""), _invented(entity, h, kind))
     return (F.when(kind == "email", email)
-            .when(kind == "domain", F.concat(F.lit("m"), F.substring(h, 1, 10), F.lit(".example.net")))
-            .when(kind == "ip", octets).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban)
-            .otherwise(F.lower(name)))
+            .when(kind == "domain", F.concat(F.lit("m"), F.substring(h, 1, 12), F.lit(".example.net")))
+            .when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).otherwise(name))
 
 
 def _poured(mention: Column, chars: Column, which: str) -> Column:
@@ -223,25 +250,19 @@ def entity_table(docs: DataFrame) -> DataFrame:
 
 
 def numbers(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, entity, nonce) of the entities whose number is not 0.
-
-    Name parts collide within their script; two kinds never share a surrogate.
-    """
-    found = write_shared(found, "entities")
-    state = found.withColumn("nonce", F.lit(0))
+    """(kind, entity, nonce) of the entities whose number is not 0: of the
+    entities of a kind that have one surrogate all but the smallest move on to
+    their next number, until none collide."""
+    state = write_shared(found, "entities").withColumn("nonce", F.lit(0))
     while True:
-        state = write_shared(state.drop("s").withColumn("s", surrogate(F.col("kind"), F.col("entity"), F.col("nonce"), key)), "surrogates")
-        first = state.groupBy("kind", "s").agg(F.min("entity").alias("keeps"), F.count("*").alias("n"))
-        real = found.select(F.col("kind").alias("rk"), F.col("entity").alias("rs"))
-        twice = first.filter("n > 1").select(F.col("kind").alias("ck"), F.col("s").alias("cs"), "keeps")
-        taken = (state.filter(F.col("nonce") < CROWDED)
-                 .join(real, (F.col("kind") == F.col("rk")) & (F.col("s") == F.col("rs"))).select("kind", "entity")
-                 .unionByName(state.join(twice, (F.col("kind") == F.col("ck")) & (F.col("s") == F.col("cs")))
-                              .filter("entity <> keeps").select("kind", "entity")).distinct())
-        taken = write_shared(taken.select(F.col("kind").alias("tk"), F.col("entity").alias("te")), "collisions")
+        state = write_shared(state.withColumn("s", surrogate(F.col("kind"), F.col("entity"), F.col("nonce"), key)), "surrogates")
+        twice = (state.groupBy("kind", "s").agg(F.min("entity").alias("keeps"), F.count("*").alias("n")).filter("n > 1")
+                 .select(F.col("kind").alias("ck"), F.col("s").alias("cs"), "keeps"))
+        taken = write_shared(state.join(twice, (F.col("kind") == F.col("ck")) & (F.col("s") == F.col("cs"))).filter("entity <> keeps")
+                             .select(F.col("kind").alias("tk"), F.col("entity").alias("te")), "collisions")
         if taken.isEmpty():
             return state.filter("nonce > 0").select("kind", "entity", "nonce")
-        state = (state.join(taken, (F.col("kind") == F.col("tk")) & (F.col("entity") == F.col("te")), "left")
+        state = (state.drop("s").join(taken, (F.col("kind") == F.col("tk")) & (F.col("entity") == F.col("te")), "left")
                  .withColumn("nonce", F.col("nonce") + F.col("tk").isNotNull().cast("int")).drop("tk", "te"))
 
 
