@@ -28,6 +28,41 @@ def test_csv_detection_bom_blank_lines(spark):
     assert df.filter(F.col("SKU").isNotNull()).count() == 4
 
 
+def _file(d, name, text):
+    os.makedirs(os.path.join(d, name))
+    with open(os.path.join(d, name, "x.csv"), "w", encoding="utf-8") as fh:
+        fh.write(text)
+
+
+def test_csv_quality_counts_records(spark):
+    """Line breaks and delimiters in quotes are content; only the first line has a BOM."""
+    d = tempfile.mkdtemp(prefix="tijara-test-")
+    _file(d, "a", '\ufeffSKU,"Nom, long",Prix unitaire\n1,"two\nlines",5\n\n2,\ufeffx,6\n"2",\ufeffx,"6"\n')
+    _file(d, "b", 'SKU,Nom,Prix unitaire\n1,"open,5\n2,y,6\n')
+    lines = FS.text_lines(spark, [os.path.join(d, "a"), os.path.join(d, "b")])
+    h = {r.file_path.split("/")[-2]: r.headers for r in FS.file_headers(lines).collect()}
+    assert h["a"] == ["SKU", "Nom, long", "Prix unitaire"]
+    q = {r.folder: r for r in FS.dataset_quality(lines).collect()}
+    assert (q["a"].rows, q["a"].column_count, q["a"].malformed_rows, q["a"].duplicate_rows, q["a"].missing_values, q["a"].unclosed_quotes) == (3, 3, 0, 1, 0, 0)
+    assert q["b"].unclosed_quotes == 1
+
+
+def test_batch_rules(spark):
+    d = tempfile.mkdtemp(prefix="tijara-test-")
+    good = "SKU;Nom;Catégorie\n1;a;b\n"
+    _file(d, "one", good)
+    _file(d, "two", good)
+    _file(d, "odd", "x;y\n1;2\n")
+    _file(d, "bad", "SKU;Nom;Catégorie\n1;a\n")
+
+    def verdict(*names):
+        lines = FS.text_lines(spark, [os.path.join(d, n) for n in names])
+        h = FS.file_headers(lines).select("file_path", "dataset")
+        return FS.validate_batch(h, FS.dataset_quality(lines)).first().error
+    assert verdict("one") is None and verdict("one", "two") == "duplicate_dataset"
+    assert verdict("one", "odd") == "unidentified_file" and verdict("bad") == "malformed_file"
+
+
 def test_web_export_roundtrip(spark):
     d = tempfile.mkdtemp(prefix="tijara-test-")
     rep = spark.createDataFrame([("Organic, Search", 10, 55.5)], "channel string, sessions long, rate double")

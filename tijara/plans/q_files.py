@@ -44,7 +44,7 @@ def _quality_sql() -> str:
         parts.append(f"""SELECT '{folder}' AS folder, count(*) AS rows, {len(cols)} AS column_count,
                count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {cte})) AS duplicate_rows,
                sum({miss})::BIGINT AS missing_values, 0::BIGINT AS malformed_rows, '{sep}' AS delimiter,
-               '{folder}' AS dataset FROM {cte}""")
+               '{folder}' AS dataset, 0::BIGINT AS unclosed_quotes FROM {cte}""")
     return " UNION ALL ".join(parts)
 
 
@@ -55,7 +55,8 @@ def csv_quality(spark, sf):
     return q.select("folder", q["rows"].cast("bigint").alias("rows"), q["column_count"].cast("int").alias("column_count"),
                     F.col("duplicate_rows").cast("bigint").alias("duplicate_rows"),
                     F.col("missing_values").cast("bigint").alias("missing_values"),
-                    F.col("malformed_rows").cast("bigint").alias("malformed_rows"), "delimiter", "dataset")
+                    F.col("malformed_rows").cast("bigint").alias("malformed_rows"), "delimiter", "dataset",
+                    F.col("unclosed_quotes").cast("bigint").alias("unclosed_quotes"))
 
 
 def _py_canonical(h: str) -> str:
@@ -79,9 +80,10 @@ def _header_sql() -> str:
     rows = []
     for folder, cols, sep in [("transactions", RAW_TX_COLS, ";"), ("catalogue", cat, ","), ("orders", ords, ",")]:
         canon = "|".join(_py_canonical(c) for c in cols)
+        # the table ties the expectation to the data: a dataset without rows has no landing file
+        table = {"transactions": "lineitem", "catalogue": "part", "orders": "orders"}[folder]
         rows.append(f"SELECT '{folder}' AS folder, '{sep}' AS delimiter, '{canon}' AS canonical, "
-                    f"'{folder}' AS dataset")
-    # the row counts tie the expectation to the tables: a dataset with no rows has no landing file
+                    f"'{folder}' AS dataset FROM (SELECT count(*) AS n FROM {table}) WHERE n > 0")
     return " UNION ALL ".join(rows)
 
 
@@ -112,6 +114,7 @@ def _batch_sql() -> str:
 def batch_validation(spark, sf):
     """O-1.11 over one folder per dataset kind."""
     lines = FS.text_lines(spark, _dataset_folders(spark, sf))
+    # One upload is one folder; its part files share a header.
     h = FS.file_headers(lines).select(F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1).alias("folder"),
                                       "dataset").distinct()
     return FS.validate_batch(h, FS.dataset_quality(lines))

@@ -13,7 +13,7 @@ import hashlib
 import os
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,14 +80,22 @@ def detect_delimiter(first: Column) -> Column:
 
 
 def text_lines(spark: SparkSession, folders) -> DataFrame:
-    """Lines with file path, split start and a partition-local order id;
-    BOM removed (O-1.8).  ``folders``: one path or a list of paths."""
+    """Physical lines with file path, split start and a partition-local order
+    id; the BOM of a file's first line removed (O-1.8).  ``folders``: one path
+    or a list of paths."""
     paths = [folders] if isinstance(folders, str) else list(folders)
     t = spark.read.option("recursiveFileLookup", True).text(paths)
-    return t.select(F.regexp_replace("value", "^" + BOM, "").alias("line"),
-                    F.col("_metadata.file_path").alias("file_path"),
-                    F.col("_metadata.file_block_start").alias("block_start"),
-                    F.monotonically_increasing_id().alias("pos"))
+    start = F.col("_metadata.file_block_start")
+    # Only a file's first line can begin with one; elsewhere it is content.
+    bom = (start == 0) & F.col("value").startswith(BOM)
+    first = F.col("pos") == F.min("pos").over(Window.partitionBy("file_path", "pos_block"))
+    t = t.select("value", F.col("_metadata.file_path").alias("file_path"), start.alias("block_start"), bom.alias("bom"),
+                 F.monotonically_increasing_id().alias("pos"))
+    # Lines that begin with the mark are rare: only they are looked at together.
+    marked = t.filter("bom").withColumn("pos_block", F.lit(0)).filter("block_start = 0").withColumn("first", first)
+    line = F.when(F.col("bom") & F.col("first"), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    rest = t.filter("not bom").withColumn("first", F.lit(False))
+    return marked.drop("pos_block").unionByName(rest).select(line.alias("line"), "file_path", "block_start", "pos")
 
 
 def first_records(lines: DataFrame) -> DataFrame:
@@ -98,54 +106,66 @@ def first_records(lines: DataFrame) -> DataFrame:
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """Per file: delimiter, raw and canonical headers, dataset kind."""
+    """Per file: delimiter, raw and canonical headers, dataset kind.  A
+    delimiter inside quotes does not split."""
     fr = first_records(lines).withColumn("delimiter", detect_delimiter(F.col("first_line")))
-    raw = F.transform(F.split(F.col("first_line"), F.concat(F.lit("["), F.col("delimiter"), F.lit("]"))),
-                      lambda h: F.trim(F.regexp_replace(h, '^"|"$', "")))
+    outside = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    raw = F.transform(F.split(F.col("first_line"), F.concat(F.lit("["), F.col("delimiter"), F.lit("]" + outside))),
+                      lambda h: F.trim(F.replace(F.regexp_replace(F.trim(h), '^"|"$', ""), F.lit('""'), F.lit('"'))))
     fr = fr.withColumn("headers", raw)
     fr = fr.withColumn("canonical", F.transform("headers", canonical_header))
     return fr.withColumn("dataset", detect_dataset(F.col("canonical")))
 
 
-def _fields(line: Column, delim: Column) -> Column:
-    """Quote-aware field split for counting: quoted spans become a marker
-    (non-blank) or nothing (blank), then split on the delimiter."""
-    marked = F.regexp_replace(line, r'"(?:[^"]|"")*[^"\s](?:[^"]|"")*"', "Q")
-    marked = F.regexp_replace(marked, QUOTED, "")
-    return F.split(marked, F.concat(F.lit("["), delim, F.lit("]")), -1)
-
-
-def dataset_quality(lines: DataFrame, dataset_of_file: Column | None = None) -> DataFrame:
-    """O-2.12 + O-2.3 per dataset folder: data rows (header and blank rows
-    excluded), header width, duplicate rows, blank cells, malformed rows."""
-    hdr = file_headers(lines)
-    key = F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1) if dataset_of_file is None else dataset_of_file
-    h = hdr.select("file_path", "first_pos", "delimiter", F.size("headers").alias("n_cols"), "dataset")
-    body = (lines.join(h, "file_path").filter((F.col("pos") != F.col("first_pos")) & (F.trim("line") != ""))
-            .withColumn("folder", key))
-    f = _fields(F.col("line"), F.col("delimiter"))
-    body = body.withColumn("_f", f)
-    blanks = F.aggregate(F.sequence(F.lit(1), F.col("n_cols")), F.lit(0),
-                         lambda acc, i: acc + F.when(F.trim(F.coalesce(F.try_element_at("_f", i), F.lit(""))) == "", 1)
-                         .otherwise(0))
-    per_line = body.groupBy("folder", "line").agg(F.count("*").alias("_n"), F.first("n_cols").alias("n_cols"),
-                                                  F.first("_f").alias("_f"), F.first("delimiter").alias("delimiter"),
-                                                  F.first("dataset").alias("dataset"))
-    per_line = per_line.withColumn("_b", blanks).withColumn("_bad", F.size("_f") != F.col("n_cols"))
-    return per_line.groupBy("folder").agg(
-        F.sum("_n").alias("rows"), F.max("n_cols").alias("column_count"),
-        F.sum(F.col("_n") - 1).alias("duplicate_rows"),
-        F.sum(F.col("_b") * F.col("_n")).alias("missing_values"),
-        F.sum(F.when(F.col("_bad"), F.col("_n")).otherwise(0)).alias("malformed_rows"),
-        F.max("delimiter").alias("delimiter"), F.max("dataset").alias("dataset"))
+def dataset_quality(lines: DataFrame) -> DataFrame:
+    """O-2.12 + O-2.3 per dataset folder: records (header and blank ones
+    excluded), header width, duplicates and blank cells of the parsed fields,
+    malformed records, and files with a quote that never closes.
+
+    Records come from the CSV reader (quoted line breaks are content), one
+    folder after the other with its own delimiter and width; the headers that
+    reach the driver are one row for each folder."""
+    spark = lines.sparkSession
+    hdr = file_headers(lines).withColumn("path", F.regexp_extract("file_path", r"^(.*)/[^/]+$", 1))
+    heads = (hdr.groupBy("path").agg(F.min_by(F.struct("delimiter", "headers", "dataset"), F.col("file_path")).alias("h"))
+             .select("path", "h.delimiter", F.size("h.headers").alias("width"), "h.dataset").collect())
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    odd = (lines.groupBy("file_path").agg((F.sum(quotes) % 2).alias("odd")).filter("odd = 1")
+           .groupBy(F.regexp_extract("file_path", r"^(.*)/[^/]+$", 1).alias("path")).agg(F.count("*").alias("unclosed_quotes")))
+    out = None
+    for h in heads:
+        names = [f"c{i}" for i in range(h.width)]
+        cells = [F.trim(F.coalesce(F.col(c), F.lit(""))) for c in names]
+        blank = sum((F.when(c == "", 1).otherwise(0) for c in cells), F.lit(0))
+        bad = F.col("_corrupt_record").isNotNull()
+        rec = read_raw_csv(spark, h.path, names, sep=h.delimiter, null_tokens=("",))
+        # Counted per distinct record; a blank one has weight 0 (no filter on
+        # so many derived columns: the optimizer would infer from each of them).
+        per = (rec.groupBy(*names, bad.alias("_bad")).agg(F.count("*").alias("_n"))
+               .select("_n", "_bad", blank.alias("_blank"))
+               .withColumn("_w", F.when((F.col("_blank") < h.width) | F.col("_bad"), F.col("_n")).otherwise(F.lit(0))))
+        more = F.when(F.col("_w") > 0, F.col("_w") - 1).otherwise(0)
+        row = per.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in (
+            (F.col("_w"), "rows"), (more, "duplicate_rows"), (F.col("_blank") * F.col("_w"), "missing_values"),
+            (F.when(F.col("_bad"), F.col("_w")).otherwise(0), "malformed_rows"))])
+        row = row.select(F.lit(h.path).alias("path"), F.regexp_extract(F.lit(h.path), r"([^/]+)$", 1).alias("folder"), "rows",
+                         F.lit(h.width).alias("column_count"), "duplicate_rows", "missing_values", "malformed_rows",
+                         F.lit(h.delimiter).alias("delimiter"), F.lit(h.dataset).alias("dataset"))
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        out = spark.createDataFrame([], "path string, folder string, rows long, column_count int, duplicate_rows long, "
+                                        "missing_values long, malformed_rows long, delimiter string, dataset string")
+    return (out.join(odd, "path", "left").withColumn("unclosed_quotes", F.coalesce("unclosed_quotes", F.lit(0))).drop("path"))
 
 
 def validate_batch(headers: DataFrame, quality: DataFrame) -> DataFrame:
-    """O-1.11: >= 1 file, all identified, <= 1 per dataset kind, none malformed."""
+    """O-1.11: >= 1 file, all identified, <= 1 per dataset kind, none malformed
+    or with an unclosed quote.  ``headers``: one row per uploaded file (a landing
+    folder, whose part files are one upload)."""
     h = headers.agg(F.count("*").alias("files"),
                     F.count_if(F.col("dataset") == rules.NEEDS_IDENTIFICATION).alias("unidentified"),
                     (F.count("*") - F.countDistinct("dataset")).alias("repeated_kinds"))
-    j = h.select("*", quality.agg(F.coalesce(F.sum("malformed_rows"), F.lit(0))).scalar().alias("malformed"))
+    j = h.select("*", quality.agg(F.coalesce(F.sum(F.col("malformed_rows") + F.col("unclosed_quotes")), F.lit(0))).scalar().alias("malformed"))
     err = (F.when(F.col("files") == 0, "no_file").when(F.col("unidentified") > 0, "unidentified_file")
            .when(F.col("repeated_kinds") > 0, "duplicate_dataset").when(F.col("malformed") > 0, "malformed_file"))
     return j.select((err.isNull()).alias("valid"), err.alias("error"), "files")
