@@ -57,12 +57,48 @@ def sales_page(valid_orders: DataFrame, customer_dim: DataFrame, lines: DataFram
     return u.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("bar_share", share)
 
 
-def scope(orders: DataFrame, valid_orders: DataFrame, lines: DataFrame, customers: DataFrame) -> DataFrame:
-    """O-12.11: rows used per dataset (1-row lineage table)."""
-    return orders.agg(F.count("*").alias("orders")).select(
-        "orders", valid_orders.agg(F.count("*")).scalar().alias("realized_orders"),
+def scope(orders: DataFrame, valid_orders: DataFrame, lines: DataFrame, customers: DataFrame, generated_at=None) -> DataFrame:
+    """O-12.11: rows used per dataset, notes, warnings, date and a run id drawn
+    from the content (1-row lineage table)."""
+    s = orders.agg(F.count("*").alias("orders"), F.sum("order_total_amount").alias("_amount")).select(
+        "orders", "_amount", valid_orders.agg(F.count("*")).scalar().alias("realized_orders"),
         lines.agg(F.count("*")).scalar().alias("transactions"),
-        customers.agg(F.count("*")).scalar().alias("customers"))
+        customers.agg(F.count("*")).scalar().alias("customers"),
+        (F.current_timestamp() if generated_at is None else generated_at).alias("generated_at"))
+    content = F.concat_ws("|", *[F.col(c).cast("string") for c in ("orders", "realized_orders", "transactions", "customers",
+                                                                  "_amount", "generated_at")])
+    return s.select("orders", "realized_orders", "transactions", "customers", F.lit("orders|transactions|customers").alias("datasets"),
+                    F.lit("realized orders only in sales results").alias("notes"),
+                    F.when(F.col("realized_orders") == 0, "no realized orders in scope").otherwise("").alias("warnings"),
+                    "generated_at", F.concat(F.lit("run-"), F.substring(F.md5(content), 1, 12)).alias("run_id"))
+
+
+def sales_summary(valid_orders: DataFrame) -> DataFrame:
+    """O-12.3 envelope in one aggregation: totals, basket, growth of the last
+    complete month, period and number of partial months."""
+    cutoff = complete_month_cutoff(valid_orders.agg(F.max("order_date")).scalar())
+    m = C.month_start("order_date")
+    amt = F.col("order_total_amount")
+    row = valid_orders.agg(
+        F.sum(amt).alias("_rev"), F.count("order_id").alias("total_orders"),
+        F.sum(F.when(m == cutoff, amt)).alias("_cur"), F.sum(F.when(m == F.add_months(cutoff, -1), amt)).alias("_prev"),
+        F.min("order_date").cast("date").alias("period_start"), F.max("order_date").cast("date").alias("period_end"),
+        F.countDistinct(F.when(m > cutoff, m)).alias("partial_months"))
+    return row.select(F.coalesce(F.col("_rev"), F.lit(0)).cast("double").alias("total_revenue"), "total_orders",
+                      C.ratio(F.col("_rev"), F.col("total_orders")).alias("average_basket"),
+                      C.growth_pct(F.coalesce("_cur", F.lit(0)), F.coalesce("_prev", F.lit(0))).alias("growth_pct"),
+                      "period_start", "period_end", "partial_months")
+
+
+def table_shapes(frames: dict[str, DataFrame]) -> DataFrame:
+    """O-2.1: one row per dataset column with its type and the dataset's rows."""
+    out = None
+    for name, df in frames.items():
+        cols = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type")) for c, t in df.dtypes])
+        row = (df.agg(F.count("*").alias("rows")).select("rows", F.explode(cols).alias("c"))
+               .select(F.lit(name).alias("dataset"), "c.column", "c.type", "rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def no_data_status(valid_orders: DataFrame) -> DataFrame:
@@ -72,10 +108,16 @@ def no_data_status(valid_orders: DataFrame) -> DataFrame:
                     F.when(F.col("n") == 0, "no realized orders in scope").alias("warning"))
 
 
-def alerts(checks: DataFrame) -> DataFrame:
-    """O-12.10: one row per violated rule.  ``checks`` is the union of
-    (code, severity, title, count) produced by the source checks."""
-    return checks.filter(F.col("count") > 0)
+def issue_message():
+    return F.concat(F.col("title"), F.lit(": "), F.col("count").cast("string"), F.lit(" "), F.col("unit"))
+
+
+def alerts(checks: DataFrame, observed_at) -> DataFrame:
+    """O-12.10: one row per violated rule.  ``checks`` is the union of (code,
+    severity, title, unit, count) produced by the source checks."""
+    return checks.filter(F.col("count") > 0).select(
+        "code", "severity", "title", issue_message().alias("message"), observed_at.alias("observed_at"),
+        F.col("count").cast("double").alias("value"), "unit", "count")
 
 
 def readiness(issue_counts: DataFrame) -> DataFrame:

@@ -138,23 +138,27 @@ def _run_history_sql() -> str:
     prep, cov, rd = (REGISTRY[n][1] for n in ("prep_metrics", "date_coverage", "readiness"))
     return f"""
     WITH p AS ({prep}), c AS ({cov}), r AS ({rd})
-    SELECT 'run-' || CAST(p.received AS VARCHAR) AS run_id, 'transactions|catalogue|orders' AS datasets,
+    SELECT 'run-' || substr(md5(concat_ws('|', p.received, p.retained, p.raw_missing, p.cleaned_missing, c.date_min, c.date_max)), 1, 12)
+             AS run_id, 'transactions|catalogue|orders' AS datasets,
            p.retained AS rows, p.retention_pct AS retention_percentage, c.date_min, c.date_max,
-           r.warnings AS warning_count
+           r.warnings AS warning_count, CAST(c.date_max AS DATE) AS completed_at
     FROM p, c, r"""
 
 
 @register("run_history", _run_history_sql())
 def run_history(spark, sf):
     """O-12.17: the run-history record of a preparation run (``ingest.append_run``
-    appends it with a completion time).  The run id is derived from the data."""
+    appends it with the time of completion; here the data's last date stands
+    for it).  The run id is drawn from the content."""
     from ..operators import ingest as IN
     prep = _prep_metrics_q(spark, sf)
     cov = _coverage_q(spark, sf)
     warn = RS.readiness(_checks(spark, sf))
     rec = IN.run_record("run-", ["transactions", "catalogue", "orders"], prep, cov, warn)
-    rid = prep.select(F.concat(F.lit("run-"), F.col("received").cast("string"))).scalar()
-    return rec.withColumn("run_id", rid).withColumn("datasets", F.concat_ws("|", "datasets"))
+    row = prep.select(F.concat_ws("|", *[F.col(x).cast("string") for x in ("received", "retained", "raw_missing", "cleaned_missing")])).scalar()
+    rid = F.concat(F.lit("run-"), F.substring(F.md5(F.concat_ws("|", row, F.col("date_min").cast("string"), F.col("date_max").cast("string"))), 1, 12))
+    return (rec.withColumn("run_id", rid).withColumn("datasets", F.concat_ws("|", "datasets"))
+            .withColumn("completed_at", F.col("date_max").cast("date")))
 
 
 @register("region_revenue_sql", """

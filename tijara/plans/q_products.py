@@ -55,6 +55,17 @@ def by_category(spark, sf):
     return P.by_category(K.lines_with_product(K.canon(spark, sf).t))
 
 
+@register("by_category_realized", """
+    SELECT category, sum(line_total)::DOUBLE AS revenue, count(DISTINCT order_id) AS orders
+    FROM lines_prod_c SEMI JOIN realized_c USING (order_id) WHERE sku_quality = 'ok' AND category IS NOT NULL GROUP BY 1""",
+          "lines_prod_c", "realized_c")
+def by_category_realized(spark, sf):
+    """D8: product KPIs over the lines of realized orders only."""
+    c = K.canon(spark, sf)
+    v = K.realized(c.get("orders")).select("order_id")
+    return P.by_category(K.lines_with_product(c.t, c.get("lines").join(v, "order_id", "left_semi")))
+
+
 @register("by_subcategory", """
     WITH cat AS (SELECT DISTINCT TRY_CAST("SkU" AS BIGINT) AS sku, categorie AS category,
                         coalesce(trim(string_split("Sous-catégorie", '>')[2]), 'Unknown') AS subcategory

@@ -104,12 +104,14 @@ def describe_text(spark, sf):
 @register("rule_counts", """
     SELECT * FROM (SELECT count_if(quantity < 0) AS negative_quantity, count_if(unit_price < 0) AS negative_unit_price,
                           count_if(line_total < 0) AS negative_line_total,
-                          count_if(order_date > current_timestamp::TIMESTAMP) AS future_order_date
+                          count_if(order_date > (SELECT max(order_date) FROM orders_c)) AS future_order_date
                    FROM clean_tx_c)
     UNPIVOT (violations FOR rule IN (negative_quantity, negative_unit_price, negative_line_total, future_order_date))""",
-          "clean_tx_c")
+          "clean_tx_c", "orders_c")
 def rule_counts(spark, sf):
-    return PR.rule_counts(clean_tx(K.canon(spark, sf)))
+    """Violations as of the latest order in the facts (not the clock)."""
+    c = K.canon(spark, sf)
+    return PR.rule_counts(clean_tx(c), c.get("orders").agg(F.max("order_date")).scalar())
 
 
 @register("value_counts", """
@@ -196,19 +198,28 @@ def date_coverage(spark, sf):
     return both.orderBy("prio").limit(1).drop("prio")
 
 
+CLEAN_TX_COLS = ["sku", "order_id_stage", "customer_id_stage", "order_date", "wilaya_raw", "customer_type_inferred", "product_name",
+                 "category", "subcategory", "sku_quality", "quantity", "unit_price", "line_total", "order_status", "payment_method",
+                 "shipping_method", "order_total_amount", "shipping_cost", "total_weight", "has_negative_price", "free_shipping"]
+
+
 @register("prep_metrics", """
     WITH raw AS (SELECT count(*) AS received,
                         sum(""" + " + ".join(
     f"CASE WHEN {qi(c)} IS NULL OR trim(CAST({qi(c)} AS VARCHAR)) = '' THEN 1 ELSE 0 END" for c in RAW_TX_COLS) + """)
                         ::BIGINT AS raw_missing FROM raw_transactions_c),
          dup AS (SELECT sum(n - 1)::BIGINT AS raw_duplicates FROM (SELECT count(*) AS n FROM raw_transactions_c GROUP BY """ + ", ".join(qi(c) for c in RAW_TX_COLS) + """)),
-         cl AS (SELECT count(*) AS retained FROM clean_tx_c),
+         cl AS (SELECT count(*) AS retained, sum(""" + " + ".join(
+    f"CASE WHEN {c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '' THEN 1 ELSE 0 END" for c in CLEAN_TX_COLS) + """)::BIGINT AS cleaned_missing
+                FROM clean_tx_c),
+         cd AS (SELECT coalesce(sum(n - 1), 0)::BIGINT AS cleaned_duplicates FROM (SELECT count(*) AS n FROM clean_tx_c GROUP BY """ + ", ".join(CLEAN_TX_COLS) + """) z),
          rej AS (SELECT count_if(quantity IS NULL OR unit_price IS NULL OR line_total IS NULL) AS rejected
                  FROM typed_tx_c)
-    SELECT received, retained, greatest(0, received - retained) AS removed, raw_missing, raw_duplicates, rejected,
+    SELECT received, retained, greatest(0, received - retained) AS removed, raw_missing, raw_duplicates, cleaned_missing,
+           cleaned_duplicates, rejected,
            round(retained::DOUBLE / nullif(received, 0)::DOUBLE * 100.0, 1) AS retention_pct,
            round(greatest(0, received - retained)::DOUBLE / nullif(received, 0)::DOUBLE * 100.0, 1) AS removed_pct
-    FROM raw, dup, cl, rej""", "raw_transactions_c", "clean_tx_c", "typed_tx_c")
+    FROM raw, dup, cl, cd, rej""", "raw_transactions_c", "clean_tx_c", "typed_tx_c")
 def prep_metrics(spark, sf):
     """O-2.15: received / retained / removed, missing cells, duplicates and
     rejected rows of a preparation run; percentages to one decimal."""
@@ -216,13 +227,17 @@ def prep_metrics(spark, sf):
     raw = c.get("raw_transactions")
     t = typed_tx(c)
     # one aggregate row; the other counts join it as scalar subqueries
+    ct = clean_tx(c)
     j = raw.agg(F.count("*").alias("received"), F.sum(PR.missing_cells(raw)).alias("raw_missing")).select(
         "received", "raw_missing",
         PR.duplicate_rows(raw).select("duplicate_rows").scalar().alias("raw_duplicates"),
-        clean_tx(c).agg(F.count("*")).scalar().alias("retained"),
+        ct.agg(F.count("*")).scalar().alias("retained"),
+        ct.agg(F.sum(PR.missing_cells(ct))).scalar().alias("cleaned_missing"),
+        PR.duplicate_rows(ct).select("duplicate_rows").scalar().alias("cleaned_duplicates"),
         t.agg(F.count_if(F.col("quantity").isNull() | F.col("unit_price").isNull()
                          | F.col("line_total").isNull())).scalar().alias("rejected"))
     removed = F.greatest(F.lit(0), F.col("received") - F.col("retained"))
-    return j.select("received", "retained", removed.alias("removed"), "raw_missing", "raw_duplicates", "rejected",
+    return j.select("received", "retained", removed.alias("removed"), "raw_missing", "raw_duplicates", "cleaned_missing",
+                    F.coalesce("cleaned_duplicates", F.lit(0)).alias("cleaned_duplicates"), "rejected",
                     PR.percentage(F.col("retained"), F.col("received")).alias("retention_pct"),
                     PR.percentage(removed, F.col("received")).alias("removed_pct"))

@@ -22,6 +22,15 @@ def region_ranking(spark, sf):
     return R.region_ranking(*_orders_dim(spark, sf, realized=False))
 
 
+@register("region_ranking_realized", """
+    SELECT region, sum(order_total_amount)::DOUBLE AS revenue, count(DISTINCT customer_id) AS active_customers,
+           sum(order_total_amount)::DOUBLE / nullif(count(DISTINCT customer_id), 0)::DOUBLE AS avg_revenue_per_customer
+    FROM orders_cust_c WHERE region IS NOT NULL AND status_code IN ('F', 'P') GROUP BY 1""", "orders_cust_c")
+def region_ranking_realized(spark, sf):
+    """D9: the ranking over realized orders only."""
+    return R.region_ranking(*_orders_dim(spark, sf, realized=True))
+
+
 @register("region_decline", """
     WITH mx AS (SELECT max(order_date) AS d FROM orders_cust_c),
     g AS (SELECT region,

@@ -88,12 +88,21 @@ def sales_page(spark, sf):
 
 
 @register("scope", """
-    SELECT (SELECT count(*) FROM orders_c) AS orders, (SELECT count(*) FROM realized_c) AS realized_orders,
-           (SELECT count(*) FROM lines_c) AS transactions, (SELECT count(*) FROM customers_c) AS customers""",
+    WITH s AS (SELECT (SELECT count(*) FROM orders_c) AS orders, (SELECT count(*) FROM realized_c) AS realized_orders,
+                      (SELECT count(*) FROM lines_c) AS transactions, (SELECT count(*) FROM customers_c) AS customers,
+                      (SELECT sum(order_total_amount) FROM orders_c) AS amount,
+                      (SELECT CAST(max(order_date) AS DATE) FROM orders_c) AS generated_at)
+    SELECT orders, realized_orders, transactions, customers, 'orders|transactions|customers' AS datasets,
+           'realized orders only in sales results' AS notes,
+           CASE WHEN realized_orders = 0 THEN 'no realized orders in scope' ELSE '' END AS warnings, generated_at,
+           'run-' || substr(md5(concat_ws('|', orders, realized_orders, transactions, customers, amount, generated_at)), 1, 12) AS run_id
+    FROM s""",
           "orders_c", "realized_c", "lines_c", "customers_c")
 def scope(spark, sf):
+    """O-12.11.  The run id is drawn from the content (counts, amount, last
+    date), so runs of one size but other content differ; the date is the data's."""
     c = K.canon(spark, sf)
-    return RS.scope(c.get("orders"), K.realized(c.get("orders")), c.get("lines"), c.get("customers"))
+    return RS.scope(c.get("orders"), K.realized(c.get("orders")), c.get("lines"), c.get("customers"), _as_of(c).cast("date"))
 
 
 @register("no_data_status", """
@@ -105,6 +114,28 @@ def no_data_status(spark, sf):
 
 # ------------------------------------------------------------------ alerts / readiness
 
+def _as_of(c: K.Canon):
+    """The date a run is judged at: the latest order in the facts (not the clock)."""
+    return c.get("orders").agg(F.max("order_date")).scalar()
+
+
+#: Unit and columns that each check is about.
+CHECK_UNITS = {"negative_price": ("lines", "unit_price"), "future_order_date": ("lines", "order_date"),
+               "incomplete_lines": ("lines", "quantity|unit_price|line_total"), "unknown_customer": ("customers", "customer_id_stage"),
+               "declining_regions": ("regions", "order_total_amount"), "suspicious_traffic": ("countries", "engagement_rate")}
+
+
+def _by_code(part: int):
+    out = None
+    for code, x in CHECK_UNITS.items():
+        out = F.when(F.col("code") == code, x[part]) if out is None else out.when(F.col("code") == code, x[part])
+    return out
+
+
+def _sql_by_code(part: int) -> str:
+    return "CASE code " + " ".join(f"WHEN '{c}' THEN '{x[part]}'" for c, x in CHECK_UNITS.items()) + " END"
+
+
 def _checks(spark, sf):
     c = K.canon(spark, sf)
     ct = clean_tx(c)
@@ -119,8 +150,7 @@ def _checks(spark, sf):
             F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(title).alias("title"), "count")
     parts = [
         one(ct, "negative_price", "warning", "Lines with a negative price", F.count_if("has_negative_price")),
-        one(ct, "future_order_date", "error", "Order dates in the future",
-            F.count_if(F.col("order_date") > F.current_timestamp().cast("timestamp_ntz"))),
+        one(ct, "future_order_date", "error", "Order dates in the future", F.count_if(F.col("order_date") > _as_of(c))),
         one(t, "incomplete_lines", "warning", "Lines missing a measure",
             F.count_if(F.col("quantity").isNull() | F.col("unit_price").isNull() | F.col("line_total").isNull())),
         ref.select(F.lit("unknown_customer").alias("code"), F.lit("error").alias("severity"),
@@ -138,7 +168,7 @@ CHECKS_SQL = """
     SELECT 'negative_price' AS code, 'warning' AS severity, 'Lines with a negative price' AS title,
            count_if(has_negative_price) AS count FROM clean_tx_c
     UNION ALL SELECT 'future_order_date', 'error', 'Order dates in the future',
-           count_if(order_date > current_timestamp::TIMESTAMP) FROM clean_tx_c
+           count_if(order_date > (SELECT max(order_date) FROM orders_c)) FROM clean_tx_c
     UNION ALL SELECT 'incomplete_lines', 'warning', 'Lines missing a measure',
            count_if(quantity IS NULL OR unit_price IS NULL OR line_total IS NULL) FROM typed_tx_c
     UNION ALL SELECT 'unknown_customer', 'error', 'Orders referencing unknown customers',
@@ -152,13 +182,61 @@ CHECKS_SQL = """
     UNION ALL SELECT 'suspicious_traffic', 'warning', 'Countries with engagement below 10 %', count(*) FROM (
            SELECT country FROM sessions_c GROUP BY 1
            HAVING round(count_if(engaged)::DOUBLE / count(*)::DOUBLE * 100.0, 2) < 10.0)"""
-_CHECK_CTES = ("clean_tx_c", "typed_tx_c", "raw_orders_c", "customers_c", "orders_cust_c", "sessions_c")
+_CHECK_CTES = ("orders_c", "clean_tx_c", "typed_tx_c", "raw_orders_c", "customers_c", "orders_cust_c", "sessions_c")
 
 
-@register("alerts", f"SELECT * FROM ({CHECKS_SQL}) WHERE count > 0", *_CHECK_CTES)
+@register("alerts", f"""
+    SELECT code, severity, title, title || ': ' || count::VARCHAR || ' ' || {_sql_by_code(0)} AS message,
+           (SELECT CAST(max(order_date) AS DATE) FROM orders_c) AS observed_at, count::DOUBLE AS value, {_sql_by_code(0)} AS unit,
+           count FROM ({CHECKS_SQL}) WHERE count > 0""", *_CHECK_CTES)
 def alerts(spark, sf):
-    """O-12.10: violated rules with severity and count."""
-    return RS.alerts(_checks(spark, sf))
+    """O-12.10: violated rules with severity, message, date, value and unit."""
+    return RS.alerts(_checks(spark, sf).withColumn("unit", _by_code(0)), _as_of(K.canon(spark, sf)).cast("date"))
+
+
+@register("readiness_issues", f"""
+    SELECT code, title || ': ' || count::VARCHAR || ' ' || {_sql_by_code(0)} AS message, severity, count,
+           {_sql_by_code(1)} AS columns FROM ({CHECKS_SQL}) WHERE count > 0""", *_CHECK_CTES)
+def readiness_issues(spark, sf):
+    """O-12.14: one row per issue with its message, count and columns."""
+    c = _checks(spark, sf).withColumn("unit", _by_code(0)).withColumn("columns", _by_code(1)).filter("count > 0")
+    return c.select("code", RS.issue_message().alias("message"), "severity", "count", "columns")
+
+
+@register("sales_summary", f"""
+    WITH c AS (SELECT {_CUT} AS cm FROM realized_c)
+    SELECT coalesce(sum(order_total_amount), 0)::DOUBLE AS total_revenue, count(order_id) AS total_orders,
+           sum(order_total_amount)::DOUBLE / nullif(count(order_id), 0)::DOUBLE AS average_basket,
+           (coalesce(sum(CASE WHEN CAST(date_trunc('month', order_date) AS DATE) = cm THEN order_total_amount END), 0)::DOUBLE
+            - coalesce(sum(CASE WHEN CAST(date_trunc('month', order_date) AS DATE) = cm - INTERVAL 1 MONTH
+                                THEN order_total_amount END), 0)::DOUBLE)
+           / nullif(coalesce(sum(CASE WHEN CAST(date_trunc('month', order_date) AS DATE) = cm - INTERVAL 1 MONTH
+                                     THEN order_total_amount END), 0)::DOUBLE, 0) * 100.0 AS growth_pct,
+           CAST(min(order_date) AS DATE) AS period_start, CAST(max(order_date) AS DATE) AS period_end,
+           count(DISTINCT CASE WHEN CAST(date_trunc('month', order_date) AS DATE) > cm
+                               THEN CAST(date_trunc('month', order_date) AS DATE) END) AS partial_months
+    FROM realized_c, c""", "realized_c")
+def sales_summary(spark, sf):
+    """O-12.3 envelope: totals, growth, period and partial months (the trend is
+    ``revenue_trend_monthly``, the breakdowns are ``sales_page``)."""
+    return RS.sales_summary(K.realized(K.canon(spark, sf).get("orders")))
+
+
+_RAW_SHAPES = {"transactions": ("raw_transactions", "raw_transactions_c"), "catalogue": ("raw_catalogue", "raw_catalogue_c"),
+               "orders": ("raw_orders", "raw_orders_c")}
+_SHAPE_SQL = " UNION ALL ".join(f"""
+    SELECT '{n}' AS dataset, column_name AS "column", CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE 'int' END AS type,
+           (SELECT count(*) FROM {cte}) AS rows
+    FROM (SELECT unnest(json_keys(j)) AS column_name FROM (SELECT to_json(t) AS j FROM {cte} t LIMIT 1)) k,
+         LATERAL (SELECT CASE WHEN k.column_name = 'ingest_pos' THEN 'INTEGER' ELSE 'VARCHAR' END AS column_type) x"""
+                                for n, (_, cte) in _RAW_SHAPES.items())
+
+
+@register("table_shapes", _SHAPE_SQL, "raw_transactions_c", "raw_catalogue_c", "raw_orders_c")
+def table_shapes(spark, sf):
+    """O-2.1: rows, columns and types of the exports, one row per column."""
+    c = K.canon(spark, sf)
+    return RS.table_shapes({n: c.get(src) for n, (src, _) in _RAW_SHAPES.items()})
 
 
 @register("readiness", f"""
@@ -172,9 +250,25 @@ def readiness(spark, sf):
     return RS.readiness(_checks(spark, sf))
 
 
+#: Label and description of each cleaning rule.
+ACTIONS = {"money_text": ("Money text", "French number text to decimals"), "whitespace": ("White space", "names trimmed, inner runs to one space"),
+           "payment_labels": ("Payment labels", "raw labels to the standard ones"),
+           "shipping_classes": ("Shipping classes", "raw labels to delivery classes"),
+           "duplicates_removed": ("Duplicates", "identical rows removed"),
+           "incomplete_removed": ("Incomplete lines", "rows without quantity, price or total removed")}
+
+
+def _action_sql(part: int) -> str:
+    return "CASE code " + " ".join(f"WHEN '{c}' THEN '{x[part]}'" for c, x in ACTIONS.items()) + " END"
+
+
+def _action(part: int):
+    return F.element_at(C.literal_map({c: x[part] for c, x in ACTIONS.items()}), F.col("code"))
+
+
 @register("cleaning_actions", f"""
     WITH r AS (SELECT * FROM raw_transactions_c)
-    SELECT * FROM (
+    SELECT *, {_action_sql(0)} AS label, {_action_sql(1)} AS description FROM (
       SELECT 'money_text' AS code,
              count_if("Montant total de la commande" IS NOT NULL OR "Montant de l’expédition commande" IS NOT NULL)
                AS affected_rows,
@@ -221,7 +315,7 @@ def cleaning_actions(spark, sf):
                  F.lit("shipping_classes"), F.col("ship"), F.col("ship"),
                  F.lit("duplicates_removed"), F.col("raw_rows") - F.col("typed_rows"), F.lit(0).cast("bigint"),
                  F.lit("incomplete_removed"), F.col("incomplete"), F.lit(0).cast("bigint"))
-    return j.select(st.alias("code", "affected_rows", "affected_cells"))
+    return j.select(st.alias("code", "affected_rows", "affected_cells")).withColumns({"label": _action(0), "description": _action(1)})
 
 
 # ------------------------------------------------------------------ incremental load
