@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import round_dp
 
 from ..functions import cleaning as C
+from ..sources.tables import checked_broadcast
 from .common import customer_rollup
 
+# Distinct raw labels up to which the class table is broadcast.
+MAX_LABELS = 10_000
+
 
 def _money_kpis(amount: str = "order_total_amount", order: str = "order_id",
                 names=("revenue", "orders", "average_basket"), distinct_orders: bool = True) -> list[Column]:
@@ -45,7 +49,13 @@ def orders_by_shipping(valid_orders: DataFrame, lines: DataFrame) -> DataFrame:
 
     The distinct (order, method) set is built as one ``collect_set`` per order
     (bounded by the number of classes), so both join sides are partitioned by
-    order id and the join needs no further exchange of the line side."""
+    order id and the join needs no further exchange of the line side.  Raw
+    labels are classified once per distinct label, not once per line."""
+    if "shipping_label" in lines.columns:
+        labels = lines.select("shipping_label").distinct()
+        classes = checked_broadcast(labels.select(F.col("shipping_label").alias("_label"),
+                                                  C.shipping_class("shipping_label").alias("shipping_method")), MAX_LABELS)
+        lines = lines.select("order_id", "shipping_label").join(classes, F.col("shipping_label").eqNullSafe(F.col("_label")), "left")
     per_order = lines.groupBy("order_id").agg(F.collect_set("shipping_method").alias("_methods"))
     return (valid_orders.join(per_order, "order_id", "left")
             .select("*", F.explode_outer("_methods").alias("shipping_method")).drop("_methods"))

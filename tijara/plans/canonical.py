@@ -21,6 +21,7 @@ Mapping (fixture contract):
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,7 +142,8 @@ def lines(t: Tables) -> DataFrame:
     cents = (price * 100).cast("bigint")
     unit_cents = (cents / F.col("l_quantity").cast("bigint")).cast("bigint")
     raw_ship = C.pick(RAW_SHIPPING_LABELS, _pmod(k + n, len(RAW_SHIPPING_LABELS)))
-    unit_price = _cents_text(unit_cents, returned).cast("decimal(12,2)")
+    signed = F.when(returned, -unit_cents).otherwise(unit_cents)
+    unit_price = (signed.cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast("decimal(12,2)")
     return l.select(
         k.alias("order_id"),
         n.alias("line_number"),
