@@ -52,8 +52,20 @@ def test_held_out_accuracy(spark):
 
 
 TOXIC = "you are a worthless clown"
-ROWS = [(i, f"plain words about topic{i % 7} and more {'of it ' * (i % 5)}" + (TOXIC if i % 4 == 0 else "you are a good friend")) for i in range(240)]
-ROWS += [(900, None), (901, ""), (902, "123 456"), (None, TOXIC), (903, "topic " * 300 + TOXIC), (904, "good " * 60_000 + TOXIC), (4, ROWS[4][1])]
+_R = random.Random(4)
+_VOCAB = ["".join(_R.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)]
+
+
+def _text(i):
+    words = _R.choices(_VOCAB, k=40)
+    for w in ("worthless", "clown") if i % 4 == 0 else ("good", "friend"):
+        words.insert(_R.randrange(len(words)), w)
+    return " ".join(words)
+
+
+ROWS = [(i, _text(i)) for i in range(240)]
+ROWS += [(900, None), (901, ""), (902, "123 456"), (None, TOXIC), (903, " ".join(_VOCAB) + " " + TOXIC),
+         (904, " ".join(_VOCAB * 200) + " " + TOXIC), (4, ROWS[4][1])]
 
 
 def labels_of(spark, rows):
