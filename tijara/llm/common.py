@@ -116,7 +116,8 @@ def keep_decided(docs: DataFrame, decided: DataFrame, key) -> DataFrame:
     p, names = positional(docs)
     p = p.withColumn("key", key(at(names, "text")))
     ident = at(names, "doc_id")
-    left = p.join(gone, ident.eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    # One plan at every size: texts are shuffled by key but never sorted.
+    left = p.join(gone.hint("shuffle_hash"), ident.eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
     if not many.isEmpty():
         on = ident.eqNullSafe(F.col("many_id")) & (F.col("key") == F.col("many_key"))
         once = left.join(many, on, "left_semi").dropDuplicates([f"_c{names.index('doc_id')}", "key"])
