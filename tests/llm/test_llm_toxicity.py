@@ -103,3 +103,15 @@ def test_no_labels_and_empty(spark):
     none = docs_of(spark, [])
     assert T.score_documents(none, T.fit(none, labels_of(spark, []))).count() == 0
     assert T.reject_toxic(none, labels_of(spark, [])).count() == 0
+
+
+def test_every_passage_of_a_long_document_is_found(spark):
+    """A passage of words that stood before, together or scattered, counts like the first."""
+    model = T.fit(docs_of(spark, ROWS), labels_of(spark, [(i, 1, int(i % 4 == 0)) for i in range(240)]))
+    filler = " ".join(_VOCAB * 2)
+    twice = f"{filler} {TOXIC} {filler} {TOXIC} {filler}"
+    one, two = sorted(next(iter(model.score([twice])))[1])
+    assert all("worthless clown" in twice[a:b] for a, b, _ in (one, two)) and one[1] < two[0] and abs(one[2] - two[2]) < 1e-9
+    scattered = f"worthless {filler} clown {filler}"
+    dense = next(iter(model.score([f"{scattered} {TOXIC} {filler}"])))[1]
+    assert any(a > len(scattered) for a, _, _ in dense)

@@ -8,9 +8,8 @@ toxic against other rows under a Dirichlet prior, and the z-value of these
 odds.  Features whose z and odds are both clear make the lexicon; a word scores
 by its clearest feature.
 
-Scoring a text: each word adds its log-odds, where it occurs first, less a small
-drift.  One linear
-pass (Ruzzo and Tompa) finds all maximal scoring segments.  Their scores are
+Scoring a text: each word adds its log-odds, at every place where it stands,
+less a small drift.  One linear pass (Ruzzo and Tompa) finds all maximal scoring segments.  Their scores are
 put on one scale by extreme-value statistics: lambda solves the sum of
 p(word) * exp(lambda * score) = 1 over the background of other rows, K is
 counted on them, and a segment of score S in a text of n words has
@@ -31,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,13 +77,8 @@ class _Scores(dict):
 
 
 def scored(words: list[str], scores: _Scores) -> list[tuple[int, float]]:
-    """(word number, score) of the words that have a score; as the odds are of
-    documents, a word scores where it occurs first."""
-    hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s]
-    if len(hits) < 2:
-        return hits
-    seen: set[str] = set()
-    return [h for h in hits if not ((w := words[h[0]].lower()) in seen or seen.add(w))]
+    """(word number, score) of the words that have a score, at every place where they stand."""
+    return [(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s]
 
 
 def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[float, int, int]]:
@@ -198,19 +193,22 @@ def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
 
 
 def _count_words(batches):
-    """(word, toxic documents, other documents), partial."""
+    """(word, toxic documents, other documents, times in other documents), partial."""
     import pyarrow as pa
 
     def rows(c):
         return pa.RecordBatch.from_arrays(
             [pa.array(list(c), pa.string()), pa.array([v[0] for v in c.values()], pa.int64()),
-             pa.array([v[1] for v in c.values()], pa.int64())], ["word", "t", "c"])
+             pa.array([v[1] for v in c.values()], pa.int64()), pa.array([v[2] for v in c.values()], pa.int64())],
+            ["word", "t", "c", "times"])
 
     counts: dict[str, list[int]] = {}
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for w in set(_WORD.findall((text or "").lower())):
-                counts.setdefault(w, [0, 0])[0 if toxic else 1] += 1
+            for w, times in Counter(_WORD.findall((text or "").lower())).items():
+                v = counts.setdefault(w, [0, 0, 0])
+                v[0 if toxic else 1] += 1
+                v[2] += 0 if toxic else times
         if len(counts) > 200_000:
             yield rows(counts)
             counts = {}
@@ -219,27 +217,27 @@ def _count_words(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     train = _labelled(docs, labels, fit_rows)
-    words = write_shared(train.mapInArrow(_count_words, "word string, t long, c long").groupBy("word")
-                         .agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "word-counts")
-    nt, nc = words.agg(F.sum("t"), F.sum("c")).first()
+    words = write_shared(train.mapInArrow(_count_words, "word string, t long, c long, times long").groupBy("word")
+                         .agg(*[F.sum(n).alias(n) for n in ("t", "c", "times")]), "word-counts")
+    nt, nc, stood = words.agg(F.sum("t"), F.sum("c"), F.sum("times")).first()
     if not nt or not nc:
         n = train.agg(F.avg("toxic")).first()[0]
         return Model({}, 1.0, 1.0, 0.0, 0.0, float(n or 0.0))
     feats = F.array(F.concat(F.lit("="), F.col("word")),
                     *[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in PREFIXES])
-    f = (words.select(F.explode(feats).alias("f"), "t", "c").filter("f is not null").groupBy("f")
-         .agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    f = (words.select(F.explode(feats).alias("f"), "t", "c", "times").filter("f is not null").groupBy("f")
+         .agg(*[F.sum(n).alias(n) for n in ("t", "c", "times")]))
     a, b = F.col("t") + PRIOR, F.col("c") + PRIOR
     odds = F.log(a / (nt + PRIOR - F.col("t"))) - F.log(b / (nc + PRIOR - F.col("c")))
     f = f.filter((F.col("t") <= nt) & (F.col("c") <= nc)).withColumn("odds", F.greatest(F.lit(-MAX_ODDS), F.least(F.lit(MAX_ODDS), odds)))
     f = f.withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b))
     # Learned from at most fit_rows rows, so the lexicon is bounded too.
-    kept = f.filter((F.abs("z") >= MIN_Z) & (F.abs("odds") >= MIN_ODDS)).select("f", "odds", "z", "c").collect()
+    kept = f.filter((F.abs("z") >= MIN_Z) & (F.abs("odds") >= MIN_ODDS)).select("f", "odds", "z", "times").collect()
     lexicon = {r.f: (r.odds, r.z) for r in kept}
     if not lexicon:
         return Model({}, 1.0, 1.0, 0.0, 0.0, float(train.agg(F.avg("toxic")).first()[0]))
-    # Background of the other rows: share of each lexicon word's own count (smoothed), the rest neutral.
-    own = [(r.odds - DRIFT, (r.c + PRIOR) / nc) for r in kept if r.f.startswith("=")]
+    # Background of the other rows: share of the places where each lexicon word stands (smoothed), the rest neutral.
+    own = [(r.odds - DRIFT, (r.times + PRIOR) / stood) for r in kept if r.f.startswith("=")]
     lam = _lambda(own)
 
     def best(batches):
