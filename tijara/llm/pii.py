@@ -39,12 +39,25 @@ ANY = ("Dr", "Prof", "Доктор")
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}"
 IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?!\.?[0-9])"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO EG GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+    33: "RU"}
+_LANDS = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+# A match is as long as its country's IBANs are; other countries have no fixed length.
+IBAN = r"\b(?:" + "|".join(
+    f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, lands in IBAN_LENGTHS.items()) + rf"|(?!{_LANDS})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)\b"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,14}(?![0-9A-Za-z])"
 _ADDRESS = "|".join(MALE + FEMALE + ANY)
 NAME = rf"(?<![\p{{L}}])(?:{_ADDRESS})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 ANY_KIND = "|".join(f"(?:{p})" for p in (EMAIL, IP, IBAN, CARD, PHONE, NAME))
+#: What is sought inside a match that turns out to be of no kind.
+INNER = "|".join(f"(?:{p})" for p in (EMAIL, IP, CARD, PHONE, NAME))
 #: A text without any of these has no mention.
 HINT = rf"[0-9@]|(?:{_ADDRESS})\.? \p{{Lu}}"
 ROUNDS = 4
@@ -77,12 +90,12 @@ def _digits(m: Column) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """Kind of a match of ``ANY_KIND``; null for a number that is no card after all."""
+    """Kind of a match of ``ANY_KIND``; null for a number that is no card or IBAN after all, and for an empty text."""
     full = lambda p: m.rlike(rf"^(?:{p})$")
     return (F.when(F.contains(m, F.lit("@")), "email").when(full(IP.replace("(?<![0-9.])", "").replace(r"(?!\.?[0-9])", "")), "ip")
             .when(m.rlike("^[A-Z]{2}[0-9]{2}[ A-Z0-9]"), F.when(iban_rest(F.regexp_replace(m, " ", "")) == 1, "iban"))
             .when(full("[0-9]{4}(?:[ -]?[0-9]{4}){3}"), F.when(luhn_ok(_digits(m)), "card"))
-            .when(m.rlike("[0-9]"), "phone").otherwise("name"))
+            .when(m.rlike("[0-9]"), "phone").when(m != "", "name"))
 
 
 def _name_parts(m: Column) -> Column:
@@ -236,10 +249,24 @@ def rewritten(m: Column, nonce, key: str = KEY) -> Column:
             .when(kind == "iban", _poured(m, one(1), "[A-Z0-9]")).when((kind == "name") & (F.size(parts) > 0), name).otherwise(m))
 
 
+def pieces(text: Column) -> Column:
+    """A text in order as (before, m): a mention and the text between the last one
+    and it; the last m is empty.  A match of no kind is searched once more for the
+    mentions inside it."""
+    def cut(t: Column, pattern: str) -> Column:
+        return F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda b, m: F.struct(
+            b.alias("before"), F.coalesce(m, F.lit("")).alias("m")))
+
+    again = lambda x: F.transform(cut(x["m"], INNER), lambda y, i: F.struct(
+        F.when(i == 0, F.concat(x["before"], y["before"])).otherwise(y["before"]).alias("before"), y["m"].alias("m")))
+    whole = lambda x: (x["m"] == "") | kind_of(x["m"]).isNotNull()
+    found = F.flatten(F.transform(cut(text, ANY_KIND), lambda x: F.when(whole(x), F.array(x)).otherwise(again(x))))
+    return F.when(text.rlike(HINT), found).otherwise(F.array(F.struct(text.alias("before"), F.lit("").alias("m"))))
+
+
 def mentions(text: Column) -> Column:
-    """All matches of a text, in order."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY_KIND), F.lit(0))).otherwise(none)
+    """All mentions of a text, in order."""
+    return F.filter(F.transform(pieces(text), lambda x: x["m"]), lambda m: m != "")
 
 
 def entity_table(docs: DataFrame) -> DataFrame:
@@ -272,7 +299,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     extra = write_shared(numbers(entity_table(docs), key), "renumbered")
     p, names = positional(docs)
     text = at(names, "text")
-    p = p.withColumn("m", mentions(text))
+    p = p.withColumn("pieces", pieces(text)).withColumn("m", F.transform("pieces", lambda x: x["m"]))
     if extra.isEmpty():
         nonce = lambda kind, entity: F.lit(0)
     else:
@@ -284,12 +311,10 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
                     F.concat_ws("\x1f", "kind", "entity"), "nonce"))).alias("told")).withColumnRenamed("doc", "of"))
         p = p.join(told, F.col("doc") == F.col("of"), "left")
         nonce = lambda kind, entity: F.coalesce(F.get(F.array(F.try_element_at("told", F.concat_ws("\x1f", kind, entity))), F.lit(0)), F.lit(0))
-    between = F.split(text, ANY_KIND, -1)
-    new = F.transform("m", lambda x: rewritten(x, nonce, key))
-    joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    joined = F.array_join(F.transform("pieces", lambda x: F.concat(x["before"], rewritten(x["m"], nonce, key))), "")
     kinds = F.transform("m", lambda x: kind_of(x))
     counts = [F.coalesce(F.size(F.filter("kinds", lambda k: k == n)), F.lit(0)).cast("long").alias(f"n_{n}")
               for n in ("email", "phone", "card", "ip", "iban", "name")]
-    p = p.withColumn("kinds", kinds).withColumn("new", F.when(F.size("m") > 0, joined).otherwise(text))
+    p = p.withColumn("kinds", kinds).withColumn("new", F.when(F.size("m") > 1, joined).otherwise(text))
     out = p.select(*[F.col("new") if n == "text" else F.col(f"_c{i}") for i, n in enumerate(names)], *counts)
     return out.toDF(*names, *[f"n_{n}" for n in ("email", "phone", "card", "ip", "iban", "name")])
