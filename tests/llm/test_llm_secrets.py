@@ -65,3 +65,19 @@ def test_whole_table(spark, documents):
 
 def test_empty(spark):
     assert S.scan(docs_of(spark, [])).count() == 0
+
+
+def test_keys_of_every_alphabet_on_both_sides():
+    """Compressibility decides on each candidate, not its digits or letters."""
+    rnd = random.Random(5)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (upper + "234567", lower + "0123456789", lower, upper, lower + upper, lower + upper + "0123456789"):
+        for n in (16, 20, 26):
+            for _ in range(20):
+                key = "".join(rnd.choices(letters, k=n))
+                for text in (f"our private key {key} is", f'{{"value": "{key}", "type": "api_key"}}'):
+                    a = text.index(key)
+                    assert S.novel_spans(text, S.base_spans(text)) == [("novel", a, a + n)], text
+    for words in ("internationalization", "responsibilities", "/usr/share/images/repository/name", "authentication-service.internal",
+                  "well-established", "http.server.request.handler", "Telecommunications"):
+        assert S.novel_spans(f"the private {words} of the token", []) == []

@@ -2,10 +2,12 @@
 
 Base spans come from three patterns (assignments, access keys, long hex runs).
 The novelty scan looks at runs of key characters in a sensitive context (a word
-such as *token* or *private* within ``REACH`` code points before): zstandard is
+such as *token* or *private* inside or within ``REACH`` code points before or
+behind): zstandard is
 primed with a dictionary of common identifiers and the text around the run, and
 the run's marginal compressed bytes are taken.  Runs that the context and the
-identifiers do not explain, byte for byte, are reported.  Base spans always
+identifiers do not explain, byte for byte, are reported; nothing else rejects a
+run, so a long word that the dictionary lacks may be reported.  Base spans always
 stay; novelty only adds spans that overlap none of them.
 
 Documents that cannot hold any span are told apart on their bytes first (no
@@ -29,12 +31,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
                      re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_.-]{16,}={0,2}")
+# A run adds at most its own bytes, so that a shorter one never has MIN_NOVEL.
+_RUN = re.compile(r"[A-Za-z0-9+/_.-]{12,}={0,2}")
 _SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_-]?key|access[_-]?key|private|credential|bearer|auth|signature|pwd",
                         re.IGNORECASE | re.ASCII)
 #: Bytes (lower case) of which one is in every text that has a keyword of either list.
 _HINTS = (b"pass", b"secret", b"token", b"api", b"access", b"private", b"credential", b"bearer", b"auth", b"signature", b"pwd")
-REACH = 48  # code points before a run in which a sensitive word counts
+REACH = 48  # code points before and behind a run in which a sensitive word counts
 AROUND = 256  # code points of context on each side that prime the compressor
 MIN_NOVEL = 14  # marginal bytes
 MIN_SHARE = 0.8  # marginal bytes by bytes
@@ -51,7 +54,16 @@ IDENTIFIERS = (
     "private static final void string integer boolean object array list dict map value name type key id index path "
     "file directory .json .yaml .yml .toml .env .conf .cfg .ini .xml .html .py .js .ts .java .go .rs .c .cpp .h "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 12345678 xxxxxxxx XXXXXXXX "
-    "1970-01-01T00:00:00Z 127.0.0.1 0.0.0.0 your_token_here changeme placeholder"
+    "1970-01-01T00:00:00Z 127.0.0.1 0.0.0.0 your_token_here changeme placeholder "
+    "/usr/local/lib/python3/site-packages/ /usr/share/ /usr/bin/ /etc/ssl/certs/ /var/log/ /var/lib/ /home/ /opt/ /tmp/ "
+    "/src/main/java/com/ /node_modules/ /include/ /public/ /images/ /api/v1/ /api/v2/ com.example. org.apache. "
+    "service.internal server.request.handler .service.impl controller repository manager provider factory "
+    "international responsibilities telecommunications administration organization information communication "
+    "representative characteristic understanding development environmental government professional relationship "
+    "institutional constitutional recommendation implementation infrastructure transportation pharmaceutical "
+    "well-established self- counter under over inter trans super hyper micro multi electro psycho photo disestablish "
+    "ization isation ational ability ibility fulness lessness ousness iveness mentally atically ically ological "
+    "ologist ography ometer ments tions ities ings ement arianism anti dis non pre pro sub"
 ).encode()
 
 
@@ -73,23 +85,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Runs in sensitive context whose bytes neither identifiers nor context explain."""
-    words = [m.end() for m in _SENSITIVE.finditer(text)]
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
     if not words:
         return []
     covered = sorted((a, b) for _, a, b in taken)
     starts = [a for a, _ in covered]
     reach = np.maximum.accumulate([b for _, b in covered]) if covered else []  # spans of different kinds may overlap
-    far = np.array(words)
+    ends = np.array([b for _, b in words])
     out = []
     for m in _RUN.finditer(text):
         a, b = m.span()
         run = m.group()
-        digits, upper = sum(map(str.isdigit, run)), sum(map(str.isupper, run))
-        letters = sum(map(str.isalpha, run))
-        if not letters or digits < 3 and not (digits and min(upper, letters - upper) >= 4):
-            continue  # words and paths, not keys
-        k = int(np.searchsorted(far, a, side="right")) - 1
-        if k < 0 or a - far[k] > REACH:
+        k = int(np.searchsorted(ends, a - REACH))
+        if k == len(words) or words[k][0] - b > REACH:
             continue
         i = int(np.searchsorted(starts, b))
         if i and reach[i - 1] > a:
