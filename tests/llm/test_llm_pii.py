@@ -158,3 +158,30 @@ def test_iban_ends_where_its_country_says(spark):
             assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
         else:
             assert r.n_card == 1 and r.n_iban == 0 and r.text.startswith("ref DE00 4539 57") and "5787" not in r.text and r.text.endswith(" 0000 99 and 4 names")
+
+
+@pytest.fixture(scope="module")
+def forms(spark):
+    phones = ["+33 1 23 45 67 89", "+49 30 12345678", "0171 2345678", "+7 495 123-45-67", "5551234567", "555-1234", "01 23 45 67 89", "(030) 12345678",
+              "030/1234567", "91 123 45 67", "+44 (0) 20 7946 0958", "0049 30 12345678", "+34 612 345 678", "+1 (743) 555-3824", "020 555 1234", "+4930123456"]
+    cards = ["378282246310005", "3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "4222222222222", "4539 5787 6362 1486"]
+    cards.append(next(c for c in (f"6212 3456 7890 1234 5{i:02d}" for i in range(100)) if luhn(c.replace(" ", ""))))
+    rest = ["on 2020-01-01 12:30 and 01.02.2021, 1990-2005", "31/12/1999 12 3", "#1234567 v3.4", "0.1234567 and 3.14159265", "10 20 30 40 items", "12345678 rows",
+            "4222222222223 stays", "3782 822463 10006 stays"]
+    rows = [(i, f"a {x} b") for i, x in enumerate(phones + cards + rest)]
+    _, got = run(spark, rows)
+    return phones, cards, rest, {r.doc_id: r for r in got}
+
+
+def test_forms_of_numbers(forms):
+    phones, cards, rest, got = forms
+    bad = []
+    for i, x in enumerate(phones + cards + rest):
+        r, kind = got[i], "phone" if i < len(phones) else "card" if i < len(phones + cards) else None
+        shape = re.sub("[0-9]", "d", r.text) == re.sub("[0-9]", "d", f"a {x} b")
+        counts = {k: r[f"n_{k}"] for k in ("phone", "card") if r[f"n_{k}"]}
+        if not shape or counts != ({kind: 1} if kind else {}) or (x in r.text) == bool(kind):
+            bad.append((x, r.text, counts))
+        if kind == "card" and not luhn(re.sub("[^0-9]", "", r.text)):
+            bad.append((x, r.text))
+    assert not bad

@@ -17,6 +17,15 @@ table of distinct entities then look for any two with one surrogate: all but
 the smallest take their next number until none collide.  Only numbers above
 zero travel back to the documents that mention such an entity.
 
+Telephone numbers are detected by form: + or 00 and a country code; a leading
+zero and 9 to 12 digits; an area in brackets; three to five groups of 9 to 11 digits;
+three groups of 2-4, 3-4 and 3-4; ddd-dddd; 10 or 11 digits unbroken.  Cards have
+13 to 19 digits, unbroken, in fours (and 4-4-4-4-3), 4-6-5 or 4-6-4.  Not detected:
+shorter unbroken numbers, two groups without a zero, + or brackets (but 3-4),
+pairs of digits only without a leading zero, numbers behind # or written in
+words, extensions; a number with its country code and the same one without are
+two entities.
+
 Cases: null texts stay null and have no mention; empty texts stay empty;
 repeated rows are rewritten alike; whole texts are rewritten whatever their
 length; mentions do not overlap (the leftmost counts; at one place the kinds
@@ -51,11 +60,31 @@ _LANDS = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
 IBAN = r"\b(?:" + "|".join(
     f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
     for n, lands in IBAN_LENGTHS.items()) + rf"|(?!{_LANDS})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)\b"
-CARD = r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,14}(?![0-9A-Za-z])"
+_CARD = r"[0-9]{4}(?:[ -]?[0-9]{4}){3}|3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4,5}|[0-9]{13,19}"
+_LONG = r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}"
+CARD = rf"(?<![0-9A-Za-z])(?:{_CARD})(?![0-9A-Za-z])"
+LONG_CARD = rf"(?<![0-9A-Za-z])(?:{_LONG})(?![0-9A-Za-z])"
+_SEP = r"[   ()./-]{0,2}"
+_GAP = r"[   .-]"
+_YEAR = r"(?:1[5-9]|20)[0-9]{2}"
+# No telephone number begins with a date, a year and a second one, or behind a digit and a dot, dash or slash.
+_PLAIN = rf"(?<![0-9A-Za-z#+])(?<![0-9][./-])(?!{_YEAR}[ ./-][01]?[0-9][ ./-][0-3]?[0-9](?![0-9])|[0-3]?[0-9][ ./-][0-3]?[0-9][ ./-]{_YEAR}(?![0-9])|{_YEAR}[ ./-]{_YEAR}(?![0-9]))"
+_PHONES = (
+    # North America; any country code; 00 as such.
+    r"(?<![0-9A-Za-z+])\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}",
+    rf"(?<![0-9A-Za-z+])\+[0-9](?:{_SEP}[0-9]){{6,14}}",
+    rf"{_PLAIN}00[1-9](?:{_SEP}[0-9]){{7,13}}",
+    # A leading zero; an area in brackets; groups of 9 to 11 digits; 3-4; 10 or 11 digits unbroken.
+    rf"{_PLAIN}\(?0[1-9](?:{_SEP}[0-9]){{7,10}}",
+    rf"{_PLAIN}\((?!{_YEAR}\))(?=[0-9]{{2,5}}\)(?:{_GAP}?[0-9]){{5,10}}(?!{_GAP}?[0-9]))[0-9]{{2,5}}\) ?[0-9]{{2,8}}(?:{_GAP}[0-9]{{2,8}}){{0,4}}",
+    rf"{_PLAIN}(?=[0-9](?:{_GAP}?[0-9]){{8,10}}(?!{_GAP}?[0-9]))(?=[0-9 .-]*[0-9]{{3}})[0-9]{{2,5}}(?:{_GAP}[0-9]{{2,8}}){{2,4}}",
+    rf"{_PLAIN}[0-9]{{3}}-[0-9]{{4}}(?![./-][0-9])",
+    rf"{_PLAIN}[0-9]{{10,11}}(?![.,/-][0-9])",
+    r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}")
+PHONE = f"(?:{'|'.join(_PHONES)})(?![0-9A-Za-z])"
 _ADDRESS = "|".join(MALE + FEMALE + ANY)
 NAME = rf"(?<![\p{{L}}])(?:{_ADDRESS})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-ANY_KIND = "|".join(f"(?:{p})" for p in (EMAIL, IP, IBAN, CARD, PHONE, NAME))
+ANY_KIND = "|".join(f"(?:{p})" for p in (EMAIL, IP, IBAN, LONG_CARD, CARD, PHONE, NAME))
 #: What is sought inside a match that turns out to be of no kind.
 INNER = "|".join(f"(?:{p})" for p in (EMAIL, IP, CARD, PHONE, NAME))
 #: A text without any of these has no mention.
@@ -94,7 +123,7 @@ def kind_of(m: Column) -> Column:
     full = lambda p: m.rlike(rf"^(?:{p})$")
     return (F.when(F.contains(m, F.lit("@")), "email").when(full(IP.replace("(?<![0-9.])", "").replace(r"(?!\.?[0-9])", "")), "ip")
             .when(m.rlike("^[A-Z]{2}[0-9]{2}[ A-Z0-9]"), F.when(iban_rest(F.regexp_replace(m, " ", "")) == 1, "iban"))
-            .when(full("[0-9]{4}(?:[ -]?[0-9]{4}){3}"), F.when(luhn_ok(_digits(m)), "card"))
+            .when(full(_LONG) | full(_CARD), F.when(luhn_ok(_digits(m)), "card").when(full(PHONE), "phone"))
             .when(m.rlike("[0-9]"), "phone").when(m != "", "name"))
 
 
