@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lcp, mixing, packing, pii, secrets_scan, simhash, suffix_dedup, toxicity, url_filters
+from . import exact_dedup, fim, lcp, mixing, packing, pii, secrets_scan, simhash, suffix_dedup, toxicity, url_filters
 from .common import SPACE, WORD, read
 
 
@@ -165,3 +165,10 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data, and what was replaced."""
     r = pii.replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return r
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, form and digests of every rewritten document and of its restoration."""
+    t = fim.transform(read(spark, sf_dir, "documents"))
+    return t.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                    F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))

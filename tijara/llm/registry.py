@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_surrogates": Q.op8_pii_surrogates,
     "op9_secret_scan": Q.op9_secret_scan,
     "op10_toxicity": Q.op10_toxicity,
+    "op11_fill_in_middle": Q.op11_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op2_mix_sources": Q.OP2_SQL,
