@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fim, lcp, mixing, packing, pii, secrets_scan, simhash, suffix_dedup, toxicity, url_filters
+from . import exact_dedup, fim, lcp, license_scan, mixing, packing, pii, secrets_scan, simhash, suffix_dedup, toxicity, url_filters
 from .common import SPACE, WORD, read
 
 
@@ -172,3 +172,58 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fim.transform(read(spark, sf_dir, "documents"))
     return t.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                     F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases and labels of license texts, for every document."""
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def _sql_templates() -> str:
+    rows = []
+    for i, label, phrase, w in license_scan.templates():
+        rows.append(f"({i}, '{label}', {phrase}, {license_scan.gap(len(w))}, string_split('{' '.join(w)}', ' '))")
+    return ",\n    ".join(rows)
+
+
+OP12_SQL = f"""
+WITH t(template, label, phrase, gap, w) AS (VALUES
+    {_sql_templates()}),
+tg AS (SELECT template, unnest(w) AS w0, unnest(w[2:]) AS w1, unnest(w[3:]) AS w2, unnest(range(len(w))) AS tpos FROM t),
+d AS (
+  SELECT ROW_NUMBER() OVER () AS uid, doc_id,
+         regexp_extract_all(translate(COALESCE(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS w
+  FROM documents),
+g AS (SELECT uid, unnest(w) AS w0, unnest(w[2:]) AS w1, unnest(w[3:]) AS w2, unnest(range(len(w))) AS pos FROM d),
+hit AS (
+  SELECT uid, template, pos, tpos, pos - tpos AS diagonal
+  FROM g JOIN tg ON g.w0 = tg.w0 AND g.w1 = tg.w1 AND g.w2 = tg.w2),
+dia AS (
+  SELECT uid, template, diagonal, COUNT(*) AS votes, MIN(pos) AS lo, MAX(pos) AS hi FROM hit GROUP BY uid, template, diagonal),
+step AS (
+  SELECT dia.*, t.gap, CASE WHEN diagonal - LAG(diagonal) OVER o <= t.gap THEN 0 ELSE 1 END AS new
+  FROM dia JOIN t USING (template) WINDOW o AS (PARTITION BY uid, template ORDER BY diagonal)),
+isle AS (SELECT *, SUM(new) OVER (PARTITION BY uid, template ORDER BY diagonal) AS island FROM step),
+found AS (
+  SELECT i.uid, i.template, i.island, COUNT(DISTINCT h.tpos) AS found
+  FROM isle i JOIN hit h ON h.uid = i.uid AND h.template = i.template AND h.diagonal = i.diagonal GROUP BY 1, 2, 3),
+span AS (
+  SELECT uid, template, island, MIN(lo) AS lo, MAX(hi) + {license_scan.K} AS hi, MAX(votes) AS best FROM isle GROUP BY 1, 2, 3),
+v AS (
+  SELECT s.uid, t.label, (CASE WHEN s.hi - s.lo <= GREATEST(len(t.w) * {license_scan.STRETCH}, len(t.w) + t.gap) THEN f.found
+                               ELSE s.best END) / (len(t.w) - {license_scan.K - 1})::DOUBLE AS coverage
+  FROM span s JOIN found f ON s.uid = f.uid AND s.template = f.template AND s.island = f.island JOIN t ON t.template = s.template),
+base AS (
+  SELECT uid, COUNT(*) AS n_base, MIN(diagonal) AS first_word, MAX(diagonal) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM dia JOIN t USING (template) WHERE phrase AND votes = len(w) - {license_scan.K - 1} GROUP BY uid),
+named AS (
+  SELECT uid, label FROM v WHERE coverage >= {license_scan.MIN_COVERAGE}
+  UNION SELECT uid, label FROM dia JOIN t USING (template) WHERE phrase AND votes = len(w) - {license_scan.K - 1}),
+labels AS (SELECT uid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM named GROUP BY uid),
+top AS (SELECT uid, MAX(coverage) AS score FROM v GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels,
+       COALESCE(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (uid) LEFT JOIN labels USING (uid) LEFT JOIN top USING (uid)
+"""

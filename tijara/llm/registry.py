@@ -20,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": Q.op9_secret_scan,
     "op10_toxicity": Q.op10_toxicity,
     "op11_fill_in_middle": Q.op11_fill_in_middle,
+    "op12_license_scan": Q.op12_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op2_mix_sources": Q.OP2_SQL,
     "op3_url_filters": Q.OP3_SQL,
     "op6_exact_dedup": Q.OP6_SQL,
+    "op12_license_scan": Q.OP12_SQL,
 }
