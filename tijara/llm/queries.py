@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fim, lcp, license_scan, mixing, packing, pii, secrets_scan, simhash, suffix_dedup, toxicity, url_filters
+from . import (conversation_repair, exact_dedup, fim, lcp, license_scan, mixing, packing, pii, secrets_scan, simhash,
+               suffix_dedup, toxicity, url_filters)
 from .common import SPACE, WORD, read
 
 
@@ -227,3 +228,8 @@ SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_base, 0)::BIGINT AS n_base,
        COALESCE(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN base USING (uid) LEFT JOIN labels USING (uid) LEFT JOIN top USING (uid)
 """
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired rows, for every conversation after damage."""
+    return conversation_repair.repair(conversation_repair.damage(read(spark, sf_dir, "conversations"))).audits()

@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": Q.op10_toxicity,
     "op11_fill_in_middle": Q.op11_fill_in_middle,
     "op12_license_scan": Q.op12_license_scan,
+    "op13_conversation_repair": Q.op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op2_mix_sources": Q.OP2_SQL,
