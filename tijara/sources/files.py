@@ -15,11 +15,11 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import cleaning as C
 from ..functions import rules
 from ..session import shared_path
+from .csv_scan import csv_records
 
 BOM = "﻿"
 QUOTED = r'"(?:[^"]|"")*"'
@@ -179,13 +179,12 @@ PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 def read_raw_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",",
                  null_tokens=PANDAS_NA_TOKENS) -> DataFrame:
     """O-1.1: all-string CSV scan with header, quotes, permissive mode and a
-    corrupt-record column; pandas-like null tokens become null."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
-                          + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
-          .option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+    corrupt-record column; pandas-like null tokens become null.  A large file is
+    many tasks, whatever line breaks its cells hold (:mod:`.csv_scan`)."""
+    schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in [*columns, "_corrupt_record"])
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "columnNameOfCorruptRecord": "_corrupt_record"}
+    df = csv_records(spark, path).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
     # pandas compares the whole cell (no trimming) with the token list
     return df.withColumns({c: F.when(F.col(f"`{c}`").isin(*null_tokens), F.lit(None))
                            .otherwise(F.col(f"`{c}`")) for c in columns})
