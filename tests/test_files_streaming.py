@@ -135,3 +135,21 @@ def test_ingest_stream_refuses_a_missing_batch(spark):
     shutil.copy(os.path.join(land, [f for f in os.listdir(land) if f.endswith(".csv")][0]), os.path.join(land, "more.csv"))
     with pytest.raises(StreamingQueryException):
         _loaded(spark, land, d, 4)
+
+
+def test_ingest_batch_does_not_read_earlier_batches(spark):
+    """What earlier batches stored comes from keyed state: their folders may be
+    empty, and a file that repeats every key is still rejected as a whole."""
+    import shutil
+    d, land = _orders_landing(spark)
+    first = _loaded(spark, land, d, 1)
+    for i in range(5):
+        os.rename(os.path.join(d, "snap", f"batch={i}"), os.path.join(d, f"away-{i}"))
+        os.makedirs(os.path.join(d, "snap", f"batch={i}"))
+    copy = [f for f in os.listdir(land) if f.endswith(".csv")][0]
+    n = spark.read.option("header", True).csv(os.path.join(land, copy)).count()
+    shutil.copy(os.path.join(land, copy), os.path.join(land, "more.csv"))
+    from tijara.streaming import jobs as SJ
+    SJ.ingest_stream(spark, land, os.path.join(d, "snap"), os.path.join(d, "log"), os.path.join(d, "ck"), files_per_batch=1)
+    acts = {r[0]: r[1] for r in spark.read.parquet(os.path.join(d, "log")).groupBy("action").agg(F.sum("records")).collect()}
+    assert acts == {"inserted": dict(first[1])["inserted"], "rejected": dict(first[1])["rejected"] + n}

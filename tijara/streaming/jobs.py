@@ -3,9 +3,9 @@
 * ``daily_revenue_stream``: events -> watermark -> 1-day tumbling windows per
   event type (append mode, state bounded by the watermark).
 * ``ingest_stream``: a landing folder of order CSVs processed with
-  ``trigger(availableNow=True)`` and ``foreachBatch``: each micro-batch writes
-  its first row per key and an action log (idempotent per batch id); the
-  snapshot is their merge.
+  ``trigger(availableNow=True)``: keyed state holds the first row of every key,
+  each micro-batch writes the keys it changed and an action log (idempotent per
+  batch id); the snapshot is their merge.
 
 Sinks and checkpoints live under the session's ``spark.checkpoint.dir``, so
 a restarted query resumes from its offsets (exactly-once file sinks).
@@ -70,6 +70,26 @@ ORDER_FIELDS = ["order_id_stage", "customer_id_stage", "order_date", "order_stat
                 "order_total_amount", "ingest_pos"]
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    """Keep-first state of a stream of order rows, as what a micro-batch changes:
+    ``kind`` 0, a key with its first row so far and the time of the batch that
+    brought the key; ``kind`` 1, the number of rows of a batch, by its time.
+
+    A batch's time is fixed when the batch is planned and kept in the checkpoint,
+    so a replayed batch has the same one."""
+    rest = [c for c in ORDER_FIELDS if c not in ("order_id_stage", "ingest_pos")]
+    first = F.struct("ingest_pos", *rest)
+    t = rows.withColumn("at", F.current_timestamp()).withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1))))
+    t = t.filter((F.col("kind") == 1) | F.col("order_id_stage").isNotNull())
+    key = [F.col("kind"), F.when(F.col("kind") == 0, F.col("order_id_stage")).alias("order_id_stage"),
+           F.when(F.col("kind") == 1, F.col("at")).alias("batch_at")]
+    return t.groupBy(*key).agg(F.min(F.when(F.col("kind") == 0, first)).alias("first"), F.count("*").alias("n"), F.min("at").alias("since"))
+
+
 def ingest_stream(spark: SparkSession, landing: str, snapshot_dir: str, log_dir: str, checkpoint: str,
                   files_per_batch: int = 64) -> None:
     """Incremental order loads from CSV files in ``landing``; each micro-batch
@@ -81,42 +101,45 @@ def ingest_stream(spark: SparkSession, landing: str, snapshot_dir: str, log_dir:
     into micro-batches, nor does the log: the first row of a key to arrive is
     logged as inserted, every other one (and each null key) as rejected.
 
-    A micro-batch writes its own rows only, one per key, into a folder of its
-    own (``batch=n``); nothing stored before is rewritten.  :func:`snapshot`
-    merges the folders.  A replayed batch rebuilds its folder from the folders
-    before it, which must all be there.
+    What earlier batches stored is known from keyed state (one row a key: its
+    first row and when it came), which Spark keeps in the checkpoint and updates
+    by the keys of a batch.  So a batch shuffles its own rows and costs the same
+    however many came before.  It writes the keys it changed into a folder of
+    its own (``batch=n``) and logs from that; nothing stored before is read or
+    rewritten.  :func:`snapshot` merges the folders.  A replayed batch starts
+    from the state of the batch before and rebuilds its folders; a batch whose
+    predecessor's folder is gone is an error.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ORDER_FIELDS])
+    if not spark.conf.get(STATE_STORE, None) or "RocksDB" not in spark.conf.get(STATE_STORE):
+        spark.conf.set(STATE_STORE, ROCKSDB)  # state beyond an executor's memory
     src = (spark.readStream.schema(schema).option("header", True)
            .option("maxFilesPerTrigger", files_per_batch).csv(landing))
+    rows = CL.repair_ids(src).select(
+        "order_id_stage", "customer_id_stage", "order_date", "order_status", "payment_method_group",
+        F.col("order_total_amount").try_cast("decimal(12,2)").alias("order_total_amount"),
+        F.col("ingest_pos").try_cast("int").alias("ingest_pos"))
 
     def load(batch: DataFrame, batch_id: int) -> None:
         bs = batch.sparkSession
-        b = CL.repair_ids(batch).select(
-            "order_id_stage", "customer_id_stage", "order_date", "order_status", "payment_method_group",
-            F.col("order_total_amount").try_cast("decimal(12,2)").alias("order_total_amount"),
-            F.col("ingest_pos").try_cast("int").alias("ingest_pos"))
-        before = [os.path.join(snapshot_dir, f"batch={i}") for i in range(batch_id)]
-        if before and not path_exists(bs, before[-1]):
-            raise FileNotFoundError(f"{before[-1]}: the snapshot lacks the batch before {batch_id}")
-        rows = b.groupBy("order_id_stage").agg(F.count("*").alias("n"))
-        if before:
-            seen = bs.read.schema(b.schema).parquet(*before).select("order_id_stage").distinct().withColumn("seen", F.lit(1))
-            rows = rows.join(seen, "order_id_stage", "left")
-        else:
-            rows = rows.withColumn("seen", F.lit(None).cast("int"))
-        new = F.when(F.col("order_id_stage").isNotNull() & F.col("seen").isNull(), 1).otherwise(0)
-        log = rows.agg(F.coalesce(F.sum(new), F.lit(0)).alias("inserted"), F.coalesce(F.sum(F.col("n") - new), F.lit(0)).alias("rejected"))
+        before = os.path.join(snapshot_dir, f"batch={batch_id - 1}")
+        if batch_id and not path_exists(bs, before):
+            raise FileNotFoundError(f"{before}: the snapshot lacks the batch before {batch_id}")
+        mine = os.path.join(snapshot_dir, f"batch={batch_id}")
+        batch.write.mode("overwrite").parquet(mine)  # evaluated once: it moves the state
+        done = bs.read.schema(batch.schema).parquet(mine)
+        now = done.filter("kind = 1").agg(F.max("batch_at").alias("at"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+        new = done.filter("kind = 0").select("since").join(now, F.col("since") == F.col("at")).agg(F.count("*").alias("inserted"))
+        log = new.select("inserted", (now.select("rows").scalar() - F.col("inserted")).alias("rejected"))
         (log.unpivot([], ["inserted", "rejected"], "action", "records")
          .write.mode("overwrite").parquet(os.path.join(log_dir, f"batch={batch_id}")))
-        IN.accepted(b, "order_id_stage", ["ingest_pos"]).write.mode("overwrite").parquet(
-            os.path.join(snapshot_dir, f"batch={batch_id}"))
 
-    q = (src.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    q = (_changes(rows).writeStream.outputMode("update").foreachBatch(load).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def snapshot(spark: SparkSession, snapshot_dir: str) -> DataFrame:
     """The stored orders: per key the first row over all batches."""
-    return IN.accepted(spark.read.parquet(snapshot_dir).drop("batch"), "order_id_stage", ["ingest_pos"])
+    rows = spark.read.parquet(snapshot_dir).filter("kind = 0").select("order_id_stage", "first.*").select(*ORDER_FIELDS)
+    return IN.accepted(rows, "order_id_stage", ["ingest_pos"])
