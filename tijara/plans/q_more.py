@@ -5,11 +5,14 @@ O-4.9, O-5.10, O-8.16, O-12.2, O-12.9, O-12.17)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import forecast as FC
 from ..operators import results as RS
 from ..operators import timeseries as TS
+from ..session import shared_path, write_shared
 from . import canonical as K
 from .q_cleaning import clean_tx
 from .q_profile import prep_metrics as _prep_metrics_q
@@ -134,31 +137,45 @@ def forecast_history(spark, sf):
     return hist.unionByName(fc).join(reason, "series", "left")
 
 
+#: Hours after the data's last date at which the runs of the history begin; one is reported twice.
+RUN_STARTS = (1, 2, 1)
+
+
 def _run_history_sql() -> str:
     prep, cov, rd = (REGISTRY[n][1] for n in ("prep_metrics", "date_coverage", "readiness"))
+    starts = ", ".join(f"({h})" for h in sorted(set(RUN_STARTS)))
     return f"""
-    WITH p AS ({prep}), c AS ({cov}), r AS ({rd})
-    SELECT 'run-' || substr(md5(concat_ws('|', p.received, p.retained, p.raw_missing, p.cleaned_missing, c.date_min, c.date_max)), 1, 12)
-             AS run_id, 'transactions|catalogue|orders' AS datasets,
-           p.retained AS rows, p.retention_pct AS retention_percentage, c.date_min, c.date_max,
-           r.warnings AS warning_count, CAST(c.date_max AS DATE) AS completed_at
-    FROM p, c, r"""
+    WITH p AS ({prep}), c AS ({cov}), r AS ({rd}),
+    s AS (SELECT *, CAST(CAST(c.date_max AS DATE) AS TIMESTAMP) + h * INTERVAL 1 HOUR AS started_at
+          FROM p, c, r, (VALUES {starts}) v(h))
+    SELECT 'run-' || substr(md5(concat_ws('|', strftime(started_at, '%Y-%m-%d %H:%M:%S.%f'), received, retained, raw_missing,
+                                          cleaned_missing, date_min, date_max)), 1, 12) AS run_id,
+           'transactions|catalogue|orders' AS datasets, retained AS rows, retention_pct AS retention_percentage, date_min, date_max,
+           warnings AS warning_count, started_at, true AS completed
+    FROM s"""
 
 
 @register("run_history", _run_history_sql())
 def run_history(spark, sf):
-    """O-12.17: the run-history record of a preparation run (``ingest.append_run``
-    appends it with the time of completion; here the data's last date stands
-    for it).  The run id is drawn from the content."""
+    """O-12.17: the appended run table.  Two runs on the same data begin at
+    different times and so have ids of their own; the first is reported once
+    more, which adds nothing.  ``completed``: the time of completion is there and
+    not before the start (the time itself differs from call to call)."""
     from ..operators import ingest as IN
+    from ..operators.snapshots import RunLog
     prep = _prep_metrics_q(spark, sf)
     cov = _coverage_q(spark, sf)
     warn = RS.readiness(_checks(spark, sf))
-    rec = IN.run_record("run-", ["transactions", "catalogue", "orders"], prep, cov, warn)
     row = prep.select(F.concat_ws("|", *[F.col(x).cast("string") for x in ("received", "retained", "raw_missing", "cleaned_missing")])).scalar()
-    rid = F.concat(F.lit("run-"), F.substring(F.md5(F.concat_ws("|", row, F.col("date_min").cast("string"), F.col("date_max").cast("string"))), 1, 12))
-    return (rec.withColumn("run_id", rid).withColumn("datasets", F.concat_ws("|", "datasets"))
-            .withColumn("completed_at", F.col("date_max").cast("date")))
+    rec = write_shared(IN.run_record("run-", ["transactions", "catalogue", "orders"], prep, cov, warn).withColumn(
+        "inputs", F.concat_ws("|", row, F.col("date_min").cast("string"), F.col("date_max").cast("string"))), "run-record")
+    log = RunLog(spark, shared_path(spark, "runs", uuid.uuid4().hex[:12]))
+    for h in RUN_STARTS:
+        at = F.col("date_max").cast("date").cast("timestamp") + F.make_interval(hours=F.lit(h))
+        log.append(rec.withColumn("started_at", at).withColumn("run_id", RunLog.run_id(F.col("started_at"), F.col("inputs"))).drop("inputs"))
+    done = F.col("completed_at").isNotNull() & (F.col("completed_at") >= F.col("started_at"))
+    return log.read().select("run_id", F.concat_ws("|", "datasets").alias("datasets"), "rows", "retention_percentage", "date_min", "date_max",
+                             "warning_count", F.col("started_at").cast("timestamp_ntz").alias("started_at"), done.alias("completed"))
 
 
 @register("region_revenue_sql", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import round_dp
@@ -11,7 +13,9 @@ from ..operators import cleaning as CL
 from ..operators import ingest as IN
 from ..operators import regions as R
 from ..operators import results as RS
+from ..operators import snapshots as SN
 from ..operators import traffic as TR
+from ..session import shared_path
 from . import canonical as K
 from .oracle import CTES, payment_label_sql, shipping_class_sql
 from .q_products import norm_sql
@@ -388,10 +392,11 @@ def import_summary(spark, sf):
     WHERE order_id NOT IN (SELECT order_id FROM b)
     UNION ALL SELECT order_id, order_status, order_total_amount::DOUBLE FROM b WHERE nth = 1""", "upsert_s", "upsert_b")
 def upsert_snapshot(spark, sf):
-    """O-12.16 result: the next snapshot version (batch wins by key, every key once)."""
+    """O-12.16 result: the bucketed snapshot after the load (batch wins by key, every key once)."""
     stored, batch = _upsert_frames(K.canon(spark, sf))
-    snap = IN.apply_upsert(stored, batch, "order_id", ["pos"])
-    return snap.select("order_id", "order_status", F.col("order_total_amount").cast("double").alias("order_total_amount"))
+    store = SN.BucketedSnapshot.create(stored, shared_path(spark, "snapshots", "orders-" + uuid.uuid4().hex[:12]), "order_id")
+    store.upsert(batch, "load-1", UPSERT_COLS, ["pos"])
+    return store.read().select("order_id", "order_status", F.col("order_total_amount").cast("double").alias("order_total_amount"))
 
 
 @register("transaction_accounting", """
