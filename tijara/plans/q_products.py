@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions import rules
 from ..operators import cleaning as CL
+from ..operators import crosssell as XS
 from ..operators import products as P
 from . import canonical as K
 from .registry import register
@@ -158,3 +159,38 @@ def clean_catalogue(spark, sf):
     c = K.canon(spark, sf)
     return CL.clean_catalogue(c.get("raw_catalogue"), c.get("lines")).select(
         "sku", "product_name", "category", "subcategory", "unit_price", "stock_status", "short_desc", "ever_sold")
+
+
+def _cross_sql(item: str, share: str) -> str:
+    return f"""
+    WITH b AS (SELECT DISTINCT order_id, {item} AS item FROM lines_prod_c WHERE sku_quality = 'ok' AND order_id IS NOT NULL AND {item} IS NOT NULL),
+    n AS (SELECT count(DISTINCT order_id) AS n FROM b),
+    s AS (SELECT n, greatest(2, ceil({share} * n - 1e-9)) AS least FROM n),
+    i AS (SELECT item, count(*) AS c FROM b GROUP BY 1 HAVING count(*) >= (SELECT least FROM s)),
+    f AS (SELECT b.* FROM b SEMI JOIN i USING (item)),
+    p AS (SELECT x.item AS a, y.item AS b, count(*) AS t FROM f x JOIN f y ON x.order_id = y.order_id AND x.item < y.item
+          GROUP BY 1, 2 HAVING count(*) >= (SELECT least FROM s)),
+    m AS (SELECT p.*, ia.c::DOUBLE AS ca, ib.c::DOUBLE AS cb, n::DOUBLE AS n, t::DOUBLE AS td
+          FROM p JOIN i ia ON ia.item = p.a JOIN i ib ON ib.item = p.b, s)
+    SELECT a AS product_a, b AS product_b, t AS orders, round(td / n * 1e9) / 1e9 AS support, round(td / ca * 1e6) / 1e6 AS confidence_ab,
+           round(td / cb * 1e6) / 1e6 AS confidence_ba, round(td * n / (ca * cb) * 1e6) / 1e6 AS lift FROM m"""
+
+
+def _baskets(c: K.Canon, item: str):
+    return P.reliable(K.lines_with_product(c.t)).select(F.col("order_id").alias("basket"), F.col(item).alias("item"))
+
+
+#: Least shares of orders that hold both, for products and for categories.
+CROSS_SHARE, CROSS_CATEGORY_SHARE = "0.0001", "0.001"
+
+
+@register("cross_selling", _cross_sql("product_name", CROSS_SHARE), "lines_prod_c")
+def cross_selling(spark, sf):
+    """Declared cross-selling: products in at least one of 10,000 orders together (and in two), with support, confidence and lift."""
+    return XS.cross_selling(_baskets(K.canon(spark, sf), "product_name"), min_share=float(CROSS_SHARE))
+
+
+@register("cross_selling_categories", _cross_sql("category", CROSS_CATEGORY_SHARE), "lines_prod_c")
+def cross_selling_categories(spark, sf):
+    """The same for categories in at least one of 1,000 orders together."""
+    return XS.cross_selling(_baskets(K.canon(spark, sf), "category"), min_share=float(CROSS_CATEGORY_SHARE))
