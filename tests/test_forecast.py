@@ -5,38 +5,82 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tijara.operators import arima as AR
 from tijara.operators import forecast as FC
 from tijara.operators import stationarity as ST
 
 
-def brute_css(z, p, phi1, phi2, theta):
-    e_prev, sse = 0.0, 0.0
-    for t in range(p, len(z)):
-        e = z[t] - phi1 * z[t - 1] - (phi2 * z[t - 2] if p >= 2 else 0.0) - theta * e_prev
-        sse += e * e
-        e_prev = e
-    return sse, e_prev
-
-
-def test_css_grid_matches_loop():
-    rng = np.random.default_rng(1)
-    z = rng.normal(size=40)
-    for p in (1, 2):
-        ks, f1, f2, th = FC._grid_points(p, 9, 10.0)
-        sse, e = FC.css_grid(z, p, f1, f2, th)
-        for i in range(0, len(f1), 97):
-            s_ref, e_ref = brute_css(z, p, f1[i], f2[i], th[i])
-            assert math.isclose(sse[i], s_ref, rel_tol=1e-12) and math.isclose(e[i], e_ref, rel_tol=1e-9, abs_tol=1e-12)
-
-
-def test_css_search_is_grid_optimum():
-    rng = np.random.default_rng(2)
-    z = rng.normal(size=50)
-    a1, a2, t, _, s = FC.css_search(z, 1, 19, 20.0, 100.0)
-    # no coarse grid point beats the result
-    for k1 in range(-19, 20):
-        for kt in range(-19, 20):
-            assert brute_css(z, 1, k1 / 20, 0.0, kt / 20)[0] >= s - 1e-9
+NILE = [1120, 1160, 963, 1210, 1160, 1160, 813, 1230, 1370, 1140, 995, 935, 1110, 994, 1020, 960, 1180, 799, 958, 1140,
+        1100, 1210, 1150, 1250, 1260, 1220, 1030, 1100, 774, 840, 874, 694, 940, 833, 701, 916, 692, 1020, 1050, 969, 831,
+        726, 456, 824, 702, 1120, 1100, 832, 764, 821, 768, 845, 864, 862, 698, 845, 744, 796, 1040, 759, 781, 865, 845,
+        944, 984, 897, 822, 1010, 771, 676, 649, 846, 812, 742, 801, 1040, 860, 874, 848, 890, 744, 749, 838, 1050, 918,
+        986, 797, 923, 975, 815, 1020, 906, 901, 1170, 912, 746, 919, 718, 714, 740]
+
+
+def dense_objective(z, phi1, phi2, theta):
+    """-2 log likelihood without constants, from the covariance matrix of the whole series."""
+    n, m = len(z), 4000
+    psi = np.zeros(m)  # moving-average weights
+    psi[0] = 1.0
+    for j in range(1, m):
+        psi[j] = phi1 * psi[j - 1] + (phi2 * psi[j - 2] if j > 1 else 0.0) + (theta if j == 1 else 0.0)
+    acov = np.array([psi[:m - k] @ psi[k:] for k in range(n)])
+    cov = acov[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+    return n * np.log(z @ np.linalg.solve(cov, z) / n) + np.linalg.slogdet(cov)[1]
+
+
+def test_kalman_likelihood_is_that_of_the_covariance_matrix():
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(2, 40))
+    for phi1, phi2, theta in [(0.5, 0.0, 0.3), (-0.8, 0.0, 0.0), (1.2, -0.5, -0.7), (0.1, 0.6, 0.9), (0.0, 0.0, -0.95)]:
+        got, a1, a2 = AR.kalman(z, *(np.array([[v]]) for v in (phi1, phi2, theta)))
+        for i in range(2):
+            assert abs(got[i, 0] - dense_objective(z[i], phi1, phi2, theta)) < 1e-6
+
+
+def test_exact_arima_of_a_published_series():
+    """ARIMA(1,1,1) of the annual flow of the Nile: published exact estimates
+    ar 0.2544, ma -0.8741, innovation variance 19769, log likelihood -630.63."""
+    z = np.diff(np.array(NILE, float))
+    phi1, phi2, theta, _a1, _a2, obj = AR.fit([z], "ARIMA(1,1,1)")[0]
+    assert abs(phi1 - 0.2544) < 1e-4 and phi2 == 0 and abs(theta + 0.8741) < 1e-4
+    n = len(z)
+    assert abs(-0.5 * (obj + n * np.log(2 * np.pi) + n) + 630.63) < 0.01
+
+
+@pytest.mark.parametrize("model", list(AR.SPECS))
+def test_fit_is_the_best_point_around_and_afar(model):
+    rng = np.random.default_rng(7)
+    e = rng.normal(size=(6, 61))
+    zs = [0.6 * np.roll(x, 1)[1:] + x[1:] + 0.2 * np.roll(x, 2)[1:] for x in e] + [np.diff(np.log(np.array(NILE, float))), rng.normal(size=25)]
+    spec = AR.SPECS[model]
+    for z, got in zip(zs, AR.fit(zs, model)):
+        best = got[5]
+        assert abs(dense_objective(z, *got[:3]) - best) < 1e-5
+        for _ in range(60):
+            near = [got[0] + rng.normal() * 3e-4, got[1] + rng.normal() * 3e-4 * (spec.p == 2), got[2] + rng.normal() * 3e-4 * spec.q]
+            far = [rng.uniform(-0.95, 0.95), rng.uniform(-0.9, 0.0) * (spec.p == 2), rng.uniform(-0.95, 0.95) * spec.q]
+            for x in (near, far):
+                if abs(x[0]) < 1 - abs(x[1]) and abs(x[2]) < 1:
+                    assert AR.kalman(z[None], *(np.array([[v]]) for v in x))[0][0, 0] > best - 1e-5
+
+
+def test_series_fitted_together_are_fitted_as_alone():
+    rng = np.random.default_rng(9)
+    zs = [rng.normal(size=n) for n in (30, 30, 12, 47, 30, 2, 1)] + [np.zeros(9)]
+    for model in AR.SPECS:
+        together = AR.fit(zs, model)
+        assert together == [AR.fit([z], model)[0] for z in zs]
+        assert together[6] is None and (together[7] is None) == (model == "ARIMA(1,1,0)")
+
+
+def test_forecast_continues_the_state():
+    """Predictions of the filter are the conditional means: for an AR(2) the recursion itself."""
+    z = np.array([0.3, -0.1, 0.4, 0.2])
+    _, a1, a2 = AR.kalman(z[None], np.array([[0.5]]), np.array([[0.2]]), np.array([[0.0]]))
+    one = 0.5 * 0.2 + 0.2 * 0.4
+    two = 0.5 * one + 0.2 * 0.2
+    assert np.allclose(np.log(AR.forecast(0.0, 0.5, 0.2, a1[0, 0], a2[0, 0], 2)), [one, one + two])
 
 
 def test_ses_search_is_the_best_fit():

@@ -9,8 +9,8 @@ sequential, so sums do not depend on partitioning.
 
 Deviations from the source's library fits, by design (SURVEY §7.9):
 SES searches alpha on a 0.01 grid refined to 0.001 (the initial level is
-estimated exactly for every alpha); ARIMA minimizes the conditional sum of
-squares on a grid plus one refinement round.
+estimated exactly for every alpha).  ARIMA maximizes the exact likelihood
+(Kalman filter) on a grid refined to steps under 1e-4.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import round_dp
 
 from ..functions import rules
+from . import arima as AR
 
 DOUBLE_ARRAY = "array<double>"
 
@@ -116,93 +117,7 @@ def fc_ses(f: DataFrame) -> DataFrame:
     return fc_numpy(f, ("SES",))
 
 
-# ------------------------------------------------------------------ ARIMA(p,1,q) by CSS
-
-def css_110(z) -> float | None:
-    """O-8.12 (1,1,0): closed-form CSS phi = sum z_t z_{t-1} / sum z_{t-1}^2."""
-    num = den = 0.0
-    for t in range(1, len(z)):
-        num, den = num + z[t] * z[t - 1], den + z[t - 1] * z[t - 1]
-    return num / den if len(z) >= 2 and den else None
-
-
-# With a moving-average term the CSS grid (like that of SES) is evaluated per series with
-# NumPy (all grid points advance together through the series), inside
-# ``mapInPandas`` over the one-row-per-series frame -- no shuffle, one Arrow
-# batch of series per task.
-
-def css_grid(z, p: int, phi1, phi2, theta):
-    """Vectorized CSS: returns (sse, e_last) for every grid point."""
-    import numpy as np
-    e_prev = np.zeros_like(phi1)
-    sse = np.zeros_like(phi1)
-    for t in range(p, len(z)):
-        e = z[t] - phi1 * z[t - 1] - (phi2 * z[t - 2] if p >= 2 else 0.0) - theta * e_prev
-        sse = sse + e * e
-        e_prev = e
-    return sse, e_prev
-
-
-def _grid_points(p: int, half: int, div: float, center=None, ratio: int = 1, lim: int | None = None):
-    import itertools
-
-    import numpy as np
-    if center is None:
-        ks = range(-half, half + 1)
-        combos = itertools.product(ks, ks if p >= 2 else [0], ks)
-    else:
-        js = range(-(ratio - 1), ratio)
-        c1, c2, ct = center
-        combos = ((c1 * ratio + a, c2 * ratio + (b if p >= 2 else 0), ct * ratio + c)
-                  for a, b, c in itertools.product(js, js if p >= 2 else [0], js))
-    pts = []
-    for k1, k2, kt in combos:
-        if lim is not None and (abs(k1) > lim or abs(k2) > lim or abs(kt) > lim):
-            continue
-        f1, f2 = k1 / div, k2 / div
-        if p >= 2 and not ((f2 + f1) < 1 and (f2 - f1) < 1 and f2 > -1):
-            continue
-        pts.append((k1, k2, kt))
-    a = np.array(pts, dtype=np.int64).reshape(-1, 3)
-    return a, a[:, 0] / div, a[:, 1] / div, a[:, 2] / div
-
-
-def css_search(z, p: int, half: int, div: float, fine_div: float):
-    """Coarse grid + one refinement round; ties break on smaller parameters.
-    Returns (phi1, phi2, theta, e_last, sse) or None."""
-    import numpy as np
-    best = None
-    ks, f1, f2, th = _grid_points(p, half, div)
-    sse, e = css_grid(z, p, f1, f2, th)
-    order = np.lexsort((th, f2, f1, sse))
-    i = order[0]
-    best = (sse[i], f1[i], f2[i], th[i], e[i])
-    ratio = int(round(fine_div / div))
-    ks2, g1, g2, gt = _grid_points(p, half, fine_div, tuple(ks[i]), ratio, int(round(fine_div)) - 1)
-    if len(ks2):
-        sse2, e2 = css_grid(z, p, g1, g2, gt)
-        j = np.lexsort((gt, g2, g1, sse2))[0]
-        if (sse2[j], g1[j], g2[j], gt[j]) < best[:4]:
-            best = (sse2[j], g1[j], g2[j], gt[j], e2[j])
-    s, a1, a2, t, el = best
-    return float(a1), float(a2), float(t), float(el), float(s)
-
-
-def arima_forecast(x_n: float, z, phi1: float, phi2: float, theta: float, e_n: float, h_max: int):
-    import math
-    z1 = z[-1]
-    z2 = z[-2] if len(z) >= 2 else 0.0
-    x, out = x_n, []
-    for h in range(1, h_max + 1):
-        zh = phi1 * z1 + phi2 * z2 + (theta * e_n if h == 1 else 0.0)
-        x = x + zh
-        out.append(math.exp(x))
-        z1, z2 = zh, z1
-    return out
-
-
-_ARIMA_SPECS = {"ARIMA(1,1,1)": (1, 19, 20.0, 100.0), "ARIMA(2,1,1)": (2, 9, 10.0, 50.0)}
-
+# ------------------------------------------------------------------ ARIMA(p,1,q) by exact likelihood
 
 def _numpy_batches(names: list[str]):
     def run(batches):
@@ -212,6 +127,7 @@ def _numpy_batches(names: list[str]):
         import pandas as pd
         for pdf in batches:
             rows = []
+            fits = []  # (series, horizon, last log, differences)
             for series, h, train in zip(pdf["series"], pdf["H"], pdf["train"]):
                 y = [float(v) for v in train]
                 if "SES" in names:
@@ -220,24 +136,20 @@ def _numpy_batches(names: list[str]):
                     continue
                 # scalar C-library log per value (same rounding as SQL engines)
                 x = np.array([math.log(v) for v in y])
-                z = np.array([x[t] - x[t - 1] for t in range(1, len(x))])
-                if "ARIMA(1,1,0)" in names and (phi := css_110(z)) is not None:
-                    rows.append((series, "ARIMA(1,1,0)", arima_forecast(float(x[-1]), z, phi, 0.0, 0.0, 0.0, int(h))))
-                for name in names:
-                    if name not in _ARIMA_SPECS:
-                        continue
-                    p, half, div, fine = _ARIMA_SPECS[name]
-                    if len(z) <= p:
-                        continue
-                    a1, a2, t, el, _ = css_search(z, p, half, div, fine)
-                    rows.append((series, name, arima_forecast(float(x[-1]), z, a1, a2, t, el, int(h))))
+                fits.append((series, int(h), float(x[-1]), np.array([x[t] - x[t - 1] for t in range(1, len(x))])))
+            for name in names:
+                if name not in AR.SPECS or not fits:
+                    continue
+                for (series, h, last, _z), got in zip(fits, AR.fit([f[3] for f in fits], name)):
+                    if got is not None:
+                        phi1, phi2, _theta, a1, a2, _obj = got
+                        rows.append((series, name, AR.forecast(last, phi1, phi2, a1, a2, h)))
             yield pd.DataFrame(rows, columns=["series", "model", "fc"])
     return run
 
 
 def fc_numpy(f: DataFrame, names) -> DataFrame:
-    """SES and the ARIMA models; (1,1,1) and (2,1,1) by a CSS grid (step 0.05 / 0.1 inside the AR(2) stationarity triangle) with one
-    refinement at 1/5 of the step."""
+    """SES and the ARIMA models (exact likelihood, :mod:`.arima`); all series of an Arrow batch are fitted together."""
     return f.select("series", "H", "train").mapInPandas(
         _numpy_batches(list(names)), "series string, model string, fc array<double>")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.cleaning import round_dp
+from ..operators import arima as AR
 from ..operators import forecast as FC
 from ..operators import timeseries as TS
 from ..operators.regions import complete_month_cutoff
@@ -240,48 +241,48 @@ _SES_FOLD = """list_reduce(train, lambda acc, y: struct_pack(
                struct_pack(a := 0.0::DOUBLE, b := 1.0::DOUBLE, syy := 0.0::DOUBLE, sby := 0.0::DOUBLE,
                            sbb := 0.0::DOUBLE))"""
 
-# (p, coarse half-range, coarse divisor, fine divisor) -- same grids as operators/forecast.py
-_MA = {"ARIMA(1,1,1)": ("a111", 1, 19, 20.0, 100.0), "ARIMA(2,1,1)": ("a211", 2, 9, 10.0, 50.0)}
-
-
-def _ma_sql(px: str, model: str) -> str:
-    tag, p, half, div, fine = _MA[model]
-    ratio, lim = int(round(fine / div)), int(round(fine)) - 1
-    lag2 = "phi2 * z[t - 2]" if p >= 2 else "0.0"
-    err = f"(z[t] - phi1 * z[t - 1] - {lag2} - theta * acc.e)"
-    fold = (f"list_reduce(range({p + 1}, len(z) + 1), lambda acc, t: struct_pack(e := {err}, "
-            f"sse := acc.sse + {err} * {err}), struct_pack(e := 0.0::DOUBLE, sse := 0.0::DOUBLE))")
-    cons = "(phi2 + phi1) < 1 AND (phi2 - phi1) < 1 AND phi2 > -1" if p >= 2 else "TRUE"
-    k2 = f"range(-{half}, {half + 1})" if p >= 2 else "range(0, 1)"
-    j2 = f"range(-{ratio - 1}, {ratio})" if p >= 2 else "range(0, 1)"
-    key = "struct_pack(sse := st.sse, phi1 := phi1, phi2 := phi2, theta := theta)"
-    return f"""
-    {px}{tag}g AS (SELECT * FROM (SELECT series, z, k1, k2, kt, k1::DOUBLE / {div} AS phi1, k2::DOUBLE / {div} AS phi2,
-                                         kt::DOUBLE / {div} AS theta
-                                  FROM {px}z, range(-{half}, {half + 1}) a(k1), {k2} b(k2), range(-{half}, {half + 1}) c(kt)
-                                  WHERE len(z) > {p}) WHERE {cons}),
-    {px}{tag}c AS (SELECT series, arg_min(struct_pack(k1 := k1, k2 := k2, kt := kt), {key}) AS kb
-                   FROM (SELECT *, {fold} AS st FROM {px}{tag}g) GROUP BY 1),
-    {px}{tag}fg AS (SELECT * FROM (
-                     SELECT series, z, k1, k2, kt, k1::DOUBLE / {fine} AS phi1, k2::DOUBLE / {fine} AS phi2,
-                            kt::DOUBLE / {fine} AS theta
-                     FROM (SELECT z0.series, z0.z, kb.k1 * {ratio} + j1 AS k1, kb.k2 * {ratio} + j2 AS k2,
-                                  kb.kt * {ratio} + jt AS kt
-                           FROM {px}z z0 JOIN {px}{tag}c USING (series), range(-{ratio - 1}, {ratio}) a(j1), {j2} b(j2),
-                                range(-{ratio - 1}, {ratio}) c(jt))
-                     WHERE abs(k1) <= {lim} AND abs(k2) <= {lim} AND abs(kt) <= {lim}) WHERE {cons}),
-    {px}{tag}b AS (SELECT series, arg_min(struct_pack(phi1 := phi1, phi2 := phi2, theta := theta, e_n := st.e), {key}) AS b
-                   FROM (SELECT series, phi1, phi2, theta, {fold} AS st FROM {px}{tag}g
-                         UNION ALL SELECT series, phi1, phi2, theta, {fold} AS st FROM {px}{tag}fg) GROUP BY 1),
-    {px}{tag}f AS (SELECT series, list_reduce(range(1, n_test + 1), lambda s, h: struct_pack(
-                       z1 := b.phi1 * s.z1 + b.phi2 * s.z2 + CASE WHEN h = 1 THEN b.theta * b.e_n ELSE 0.0 END,
-                       z2 := s.z1,
-                       x := s.x + (b.phi1 * s.z1 + b.phi2 * s.z2 + CASE WHEN h = 1 THEN b.theta * b.e_n ELSE 0.0 END),
-                       out := list_append(s.out, exp(s.x + (b.phi1 * s.z1 + b.phi2 * s.z2
-                                                             + CASE WHEN h = 1 THEN b.theta * b.e_n ELSE 0.0 END)))),
-                     struct_pack(z1 := z[-1], z2 := CASE WHEN len(z) >= 2 THEN z[-2] ELSE 0.0::DOUBLE END,
-                                 x := x_n, out := []::DOUBLE[])).out AS fc
-                   FROM {px}z JOIN {px}{tag}b USING (series)),"""
+_TAGS = {"ARIMA(1,1,0)": "a110", "ARIMA(1,1,1)": "a111", "ARIMA(2,1,1)": "a211"}
+
+
+def _arima_sql(px: str, model: str) -> str:
+    """Exact likelihood by the Kalman recursion over the list of differences: a grid, rounds of finer grids around the
+    best point, and forecasts from the predicted state."""
+    tag, spec = px + _TAGS[model], AR.SPECS[model]
+    err = "(z[t] - acc.a1)"
+    q = "(1.0 - phi2)"
+    p11 = f"(((1.0 + theta * theta) * {q} + 2.0 * phi1 * theta) / ((1.0 + phi2) * ({q} - phi1) * ({q} + phi1)))"
+    fold = f"""list_reduce(range(1, len(z) + 1), lambda acc, t: struct_pack(
+                 a1 := phi1 * z[t] + (acc.a2 + acc.p12 * {err} / acc.f), a2 := phi2 * z[t],
+                 f := 1.0 + (acc.p22 - acc.p12 * acc.p12 / acc.f), p12 := theta, p22 := theta * theta,
+                 sse := acc.sse + {err} * {err} / acc.f, logs := acc.logs + ln(acc.f)),
+               struct_pack(a1 := 0.0::DOUBLE, a2 := 0.0::DOUBLE, f := {p11}, p12 := (phi1 * phi2 * {p11} + theta) / {q},
+                           p22 := phi2 * phi2 * {p11} + theta * theta, sse := 0.0::DOUBLE, logs := 0.0::DOUBLE))"""
+    obj = "len(z)::DOUBLE * ln(greatest(st.sse / len(z)::DOUBLE, 1e-300)) + st.logs"
+
+    def points(div: int, source: str, k1: str, k2: str, kt: str) -> str:
+        l1, l2, lt = spec.limits(div)
+        return f"""(SELECT *, {fold} AS st FROM (
+                     SELECT *, k1::DOUBLE / {float(div)} AS phi1, k2::DOUBLE / {float(div)} AS phi2, kt::DOUBLE / {float(div)} AS theta
+                     FROM (SELECT series, z, {k1} AS k1, {k2} AS k2, {kt} AS kt FROM {source})
+                     WHERE abs(k1) <= {l1} AND abs(k2) <= {l2} AND abs(kt) <= {lt}
+                       AND k2 + k1 < {div} AND k2 - k1 < {div} AND k2 > -{div}))"""
+
+    best = (f"arg_min(struct_pack(k1 := k1, k2 := k2, kt := kt, phi1 := phi1, phi2 := phi2, a1 := st.a1, a2 := st.a2), "
+            f"struct_pack(o := {obj}, k1 := k1, k2 := k2, kt := kt)) AS b")
+    l1, l2, lt = spec.limits(spec.div)
+    least = f"len(z) > {spec.p}" + ("" if spec.q else " AND len(list_filter(z[1:len(z) - 1], lambda v: v <> 0)) > 0")
+    grid = f"{px}z, range(-{l1}, {l1 + 1}) x(i), range(-{l2}, {l2 + 1}) y(j), range(-{lt}, {lt + 1}) w(l) WHERE {least}"
+    out = [f"{tag}r0 AS (SELECT series, any_value(z) AS z, {best} FROM {points(spec.div, grid, 'i', 'j', 'l')} GROUP BY 1)"]
+    win = f"range(-{spec.window}, {spec.window + 1})"
+    for i, div in enumerate(spec.divs()):
+        src = f"{tag}r{i}, {win} x(i), {win if spec.p == 2 else 'range(0, 1)'} y(j), {win if spec.q else 'range(0, 1)'} w(l)"
+        pts = points(div, src, f"b.k1 * {AR.RATIO} + i", f"b.k2 * {AR.RATIO} + j", f"b.kt * {AR.RATIO} + l")
+        out.append(f"{tag}r{i + 1} AS (SELECT series, any_value(z) AS z, {best} FROM {pts} GROUP BY 1)")
+    out.append(f"""{tag}f AS (SELECT series, list_reduce(range(1, n_test + 1), lambda s, h: struct_pack(
+                       a1 := b.phi1 * s.a1 + s.a2, a2 := b.phi2 * s.a1, x := s.x + s.a1, out := list_append(s.out, exp(s.x + s.a1))),
+                     struct_pack(a1 := b.a1, a2 := b.a2, x := x_n, out := []::DOUBLE[])).out AS fc
+                   FROM {px}z JOIN (SELECT series, b FROM {tag}r{spec.rounds}) USING (series))""")
+    return "".join(f"\n    {x}," for x in out)
 
 
 def _fit_sql(panel_cte: str, mode: str = "eval", px: str = "", models=None) -> str:
@@ -328,7 +329,7 @@ def _fit_sql(panel_cte: str, mode: str = "eval", px: str = "", models=None) -> s
              {px}a211f.fc[h] AS forecast
              FROM {px}fh JOIN {px}a211f USING (series)""",
     }
-    ma = "".join(_ma_sql(px, m) for m in models if m in _MA)
+    ma = "".join(_arima_sql(px, m) for m in models if m in _TAGS)
     union = "\n      UNION ALL\n      ".join(parts[m] for m in models)
     return f"""
     {px}arr AS (SELECT series, list(struct_pack(period := period, y := y::DOUBLE) ORDER BY period) AS s,
@@ -347,15 +348,7 @@ def _fit_sql(panel_cte: str, mode: str = "eval", px: str = "", models=None) -> s
             GROUP BY 1),
     {px}z AS (SELECT series, n_test, ln(train[-1]) AS x_n,
                  list_transform(range(2, fit_len + 1), lambda t: ln(train[t]) - ln(train[t - 1])) AS z
-          FROM {px}f WHERE list_bool_and(list_transform(train, lambda y: y > 0))),
-    {px}a110 AS (SELECT series, n_test, x_n, z, sums.num / nullif(sums.den, 0.0) AS phi FROM (
-               SELECT *, list_reduce(range(2, len(z) + 1), lambda a, t: struct_pack(
-                        num := a.num + z[t] * z[t - 1], den := a.den + z[t - 1] * z[t - 1]),
-                      struct_pack(num := 0.0::DOUBLE, den := 0.0::DOUBLE)) AS sums FROM {px}z WHERE len(z) >= 2)),
-    {px}a110f AS (SELECT series, list_reduce(range(1, n_test + 1), lambda s, h: struct_pack(
-                   z1 := phi * s.z1, x := s.x + phi * s.z1, out := list_append(s.out, exp(s.x + phi * s.z1))),
-                 struct_pack(z1 := z[-1], x := x_n, out := []::DOUBLE[])).out AS fc
-              FROM {px}a110 WHERE phi IS NOT NULL),{ma}
+          FROM {px}f WHERE list_bool_and(list_transform(train, lambda y: y > 0))),{ma}
     {px}fc AS (
       {union})"""
 
@@ -441,7 +434,7 @@ def fc_baseline_metrics_by_region(spark, sf):
 
 @register("fc_arima_ma", _fc_sql("panel_all_f", ["ARIMA(1,1,1)", "ARIMA(2,1,1)"]), "panel_all_f")
 def fc_arima_ma(spark, sf):
-    """ARIMA(1,1,1) and (2,1,1) holdout forecasts (CSS grid; NumPy per series)."""
+    """ARIMA(1,1,1) and (2,1,1) holdout forecasts (exact likelihood; NumPy, all series of a batch together)."""
     return FC.round_fc(FC.forecasts(_eval_frame(spark, sf), ["ARIMA(1,1,1)", "ARIMA(2,1,1)"]))
 
 
