@@ -57,9 +57,10 @@ def some(seed):
                    (109, "\t".join(shared[5] + text(20_000)))]
 
 
-@pytest.mark.parametrize("seed,run_rows,parts", [(1, 50_000, "1"), (2, 40, "8"), (3, 5, "3")])
-def test_spans(spark, monkeypatch, seed, run_rows, parts):
+@pytest.mark.parametrize("seed,run_rows,buffer,parts", [(1, 50_000, 50_000, "1"), (2, 40, 30, "8"), (3, 5, 7, "3"), (4, 1, 1, "8"), (5, 10, 50_000, "16")])
+def test_spans(spark, monkeypatch, seed, run_rows, buffer, parts):
     monkeypatch.setattr(S, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(S, "BUFFER_ROWS", buffer)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
@@ -88,3 +89,46 @@ def test_minimisers_cover_every_passage():
 
 def test_empty(spark):
     assert S.passages(docs_of(spark, [])).count() == 0
+
+
+def _counts(spark, monkeypatch, rows, parts, run_rows):
+    """Rows of the context and window tables."""
+    n = {}
+
+    def kept(df, label, write=S.write_shared):
+        out = write(df, label)
+        if label in ("contexts", "windows"):
+            n[label] = out.count()
+            if label == "windows":
+                n["open"] = out.filter("not settled").count()
+        return out
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(S, "write_shared", kept)
+            m.setattr(S, "RUN_ROWS", run_rows)
+            got = S.passages(docs_of(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    return n, {(r.doc_id, r.start_word, r.end_word) for r in got}
+
+
+def test_windows_are_in_proportion_to_contexts(spark, monkeypatch):
+    """A passage that all texts share, near copies with a change each, and pairs."""
+    r = random.Random(12)
+    vocab = [f"v{i}" for i in range(5000)]
+    common, template = r.choices(vocab, k=80), r.choices(vocab, k=150)
+    rows = []
+    for i in range(300):
+        w = r.choices(vocab, k=60) + common + r.choices(vocab, k=60)
+        if i % 3 == 0:
+            w = list(template)
+            w[r.randrange(150)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    for parts in ("1", "8", "64"):
+        n, got = _counts(spark, monkeypatch, rows, parts, S.RUN_ROWS)
+        assert got == want and n["open"] == 0 and n["windows"] <= n["contexts"]
+        n, got = _counts(spark, monkeypatch, rows, parts, 50)  # long runs are cut
+        assert got == want and n["windows"] <= 8 * n["contexts"]

@@ -15,15 +15,23 @@ Equal passages select equal places, and every passage has one among its first
    neighbours are compared: the longest common prefix with a neighbour bounds
    how far any match can reach right.  Within that bound matches are extended
    left and right: a window of LENGTH words around the minimiser counts if
-   another text of the same run has it too.  Runs that a task's rim cuts are
-   settled by one more group-by over the windows still open.
+   another text of the same run has it too.  Range borders lie between runs of
+   equal prefixes, so such a run is settled in one task.  Only runs of more than
+   ``RUN_ROWS`` suffixes are cut, by their next words; a window of theirs that is
+   still lone in its task, and whose right part reaches as far as the row at the
+   task's rim does, is settled by one more group-by.
 4. Overlapping windows of a text join into spans; texts of LENGTH or more words
    that several documents have are spans as a whole, and equal texts take part
    as one, so a group of copies costs no more than one text.
 
 Sizes: a suffix is kept for about every 15 words and weighs 24 bytes; contexts
 (about 240 bytes) exist for repeated prefixes only.  No group is gathered: a
-run longer than ``RUN_ROWS`` is settled like one cut by a task's rim.
+run of more than ``RUN_ROWS`` suffixes is many tasks' work, and what they leave
+open is at most the windows of its rows that no other text of the task has.
+
+Every repeat of the length counts, common phrases, templates, near copies and
+quoted benchmark items alike: a document that is clean otherwise is touched
+where such a stretch stands in it.
 
 Cases: null and short texts have no passage; a passage that repeats only within
 one text is not reported; rows that repeat id and text are one document; null
@@ -46,7 +54,9 @@ WINDOW = 30
 GRAM = 8
 PREFIX = LENGTH - WINDOW + 1
 LEFT, RIGHT = WINDOW - 1, LENGTH - PREFIX  # context beyond the prefix
-RUN_ROWS = 50_000
+RUN_ROWS = 5_000
+BUFFER_ROWS = 50_000
+RUNS_BROADCAST = 100_000
 NO_ID = (1 << 63) - 1  # stands for a null id
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -198,12 +208,15 @@ def _cumulated(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def matches(e: pd.DataFrame, rim: np.ndarray) -> pd.DataFrame:
+def matches(e: pd.DataFrame, cut_first: bool = False, cut_last: bool = False) -> pd.DataFrame:
     """Suffixes in suffix-array order -> windows (settled, dk, a, b, key, other).
 
-    Settled windows are in another text here too.  For rows at the rim (``rim``)
-    the other windows stay open, and two texts that have a settled one speak for
-    it, so that a row in another task can find it.
+    Settled windows are in another text here too.  Where the first or last run
+    goes on in another task (``cut_first``, ``cut_last``), its other windows may
+    have a partner there.  Partners stand in order of their next words, so those
+    of a row share with the row at the rim whatever they share with each other:
+    windows that need more words than that cannot have one.  The rest stay open,
+    and two texts that have a settled one speak for it.
     """
     n = len(e)
     h = e["h"].to_numpy().view(np.uint64)
@@ -214,6 +227,11 @@ def matches(e: pd.DataFrame, rim: np.ndarray) -> pd.DataFrame:
     # Common prefix with the next suffix; the longest on either side bounds any match.
     differ = r[1:] != r[:-1]
     lcp = np.where(h[1:] == h[:-1], np.where(differ.any(1), differ.argmax(1), RIGHT), -1)
+    rim = np.full(n, -1)  # words that a partner beyond the rim can share
+    if cut_first:
+        rim = np.maximum(rim, np.minimum.accumulate(np.insert(lcp, 0, RIGHT)))
+    if cut_last:
+        rim = np.maximum(rim, np.minimum.accumulate(np.append(lcp, RIGHT)[::-1])[::-1])
     lcp = np.minimum(lcp, np.minimum(nr[1:], nr[:-1]))
     reach = np.maximum(np.append(lcp, -1), np.insert(lcp, 0, -1))
     rc, lc = _cumulated(r), _cumulated(l)
@@ -239,12 +257,12 @@ def matches(e: pd.DataFrame, rim: np.ndarray) -> pd.DataFrame:
             low, high = (np.repeat(f.reduceat(x, begin), size) for f in (np.minimum, np.maximum))
             other = np.where(low != x, low, high)
             out.append((True, pick[two], w, key[two], other[two]))
-            lone = ~two & rim[pick]
+            lone = ~two & (rim[pick] >= need)
             ends = np.concatenate([begin[shared], last[shared]])
-            ends = ends[rim[pick[ends]]]
+            ends = ends[rim[pick[ends]] >= need]
             for some in (np.flatnonzero(lone), ends):
                 out.append((False, pick[some], w, key[some], x[some]))
-        alone = np.flatnonzero(fits & (reach < need) & rim)
+        alone = np.flatnonzero(fits & (reach < need) & (rim >= need))
         if len(alone):
             out.append((False, alone, w, keys(alone, w), ident[alone]))
     out = [o for o in out if len(o[1])]
@@ -264,48 +282,59 @@ def _nothing() -> pd.DataFrame:
 _OUT = "settled boolean, dk long, a long, b long, key long, other long"
 
 
-def _scan(frames):
-    """Sorted suffixes -> joined settled windows of each text, and open windows
-    of runs that a rim cuts."""
-    def emit(e: pd.DataFrame, cut_first: bool, cut_last: bool) -> pd.DataFrame:
-        h = e["h"].to_numpy()
-        rim = np.zeros(len(h), bool)
-        if cut_first:
-            rim |= h == h[0]
-        if cut_last:
-            rim |= h == h[-1]
-        got = matches(e, rim)
-        done, still = got[got["settled"]], got[~got["settled"]]
-        if not len(done):
-            return still
-        done = done.sort_values(["dk", "a"], kind="stable")
-        d, a, b = done["dk"].to_numpy(), done["a"].to_numpy(), done["b"].to_numpy()
-        # All windows have one length, so in order of begin they end in order too.
-        at = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (a[1:] > b[:-1]))))
-        last = np.append(at[1:], len(d)) - 1
-        joined = pd.DataFrame({"settled": True, "dk": d[at], "a": a[at], "b": b[last], "key": 0,
-                               "other": np.minimum.reduceat(done["other"].to_numpy(), at)})
-        return pd.concat([joined, still])
-
-    held, rows, cut = [], 0, True  # the first run may have begun in the task before
-    for f in frames:
-        if not len(f):
-            continue
-        held.append(f)
-        rows += len(f)
-        if rows < RUN_ROWS:
-            continue
-        e = pd.concat(held)
-        h = e["h"].to_numpy()
-        tail = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
-        if tail:
-            yield emit(e.iloc[:tail], cut, False)
-            held, rows, cut = [e.iloc[tail:]], len(e) - tail, False
-        else:  # one run fills the buffer: what it leaves open is settled by the group-by
-            yield emit(e, True, True)
-            held, rows, cut = [], 0, True
-    if rows:
-        yield emit(pd.concat(held), cut, True)
+def _joined(got: pd.DataFrame) -> pd.DataFrame:
+    """Settled windows of each text that overlap or touch as one; open ones as they are."""
+    done, still = got[got["settled"]], got[~got["settled"]]
+    if not len(done):
+        return still
+    done = done.sort_values(["dk", "a"], kind="stable")
+    d, a, b = done["dk"].to_numpy(), done["a"].to_numpy(), done["b"].to_numpy()
+    # All windows have one length, so in order of begin they end in order too.
+    at = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (a[1:] > b[:-1]))))
+    last = np.append(at[1:], len(d)) - 1
+    joined = pd.DataFrame({"settled": True, "dk": d[at], "a": a[at], "b": b[last], "key": 0,
+                           "other": np.minimum.reduceat(done["other"].to_numpy(), at)})
+    return pd.concat([joined, still])
+
+
+def _scan(whole: bool, buffer_rows: int):
+    """Sorted suffixes -> joined settled windows of each text, and what stays open.
+    ``whole``: no run goes on in another task."""
+    def run(frames):
+        held, rows, cut = [], 0, not whole  # the first run may have begun in the task before
+        for f in frames:
+            if not len(f):
+                continue
+            held.append(f)
+            rows += len(f)
+            if rows < buffer_rows:
+                continue
+            e = pd.concat(held)
+            h = e["h"].to_numpy()
+            tail = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+            if tail:
+                yield _joined(matches(e.iloc[:tail], cut, False))
+                held, rows, cut = [e.iloc[tail:]], len(e) - tail, False
+            elif not whole:  # one run fills the buffer
+                yield _joined(matches(e, True, True))
+                held, rows, cut = [], 0, True
+        if rows:
+            yield _joined(matches(pd.concat(held), cut, not whole))
+    return run
+
+
+def _windows(ctx: DataFrame, tasks: int) -> DataFrame:
+    """Contexts -> ``_OUT``: whole runs by prefix, long ones cut by their next words."""
+    order = ["h", "r", "dk", "pos"]
+    long = write_shared(ctx.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > RUN_ROWS).select(F.col("h").alias("of")), "long-runs")
+    n = long.count()
+    if not n:
+        return ctx.repartitionByRange(tasks, "h").sortWithinPartitions(*order).mapInPandas(_scan(True, BUFFER_ROWS), _OUT)
+    ids = F.broadcast(long) if n <= RUNS_BROADCAST else long
+    short = ctx.join(ids, F.col("h") == F.col("of"), "left_anti").repartitionByRange(tasks, "h")
+    cut = ctx.join(ids, F.col("h") == F.col("of"), "left_semi").repartitionByRange(tasks, *order)
+    return (short.sortWithinPartitions(*order).mapInPandas(_scan(True, BUFFER_ROWS), _OUT)
+            .unionByName(cut.sortWithinPartitions(*order).mapInPandas(_scan(False, BUFFER_ROWS), _OUT)))
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -323,9 +352,7 @@ def passages(docs: DataFrame) -> DataFrame:
               .mapInPandas(_repeated, "dk long, pos int"))
     places = write_shared(places, "repeated-prefixes")
     ctx = write_shared(contexts(docs, places, texts.select("dk", "id")), "contexts")
-    order = ["h", "r", "dk", "pos"]
-    seen = ctx.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInPandas(_scan, _OUT)
-    seen = write_shared(seen, "windows")
+    seen = write_shared(_windows(ctx, tasks), "windows")
     still = seen.filter("not settled").select("dk", "a", "b", "key", "other")
     both = (still.groupBy("key").agg(F.min("dk").alias("d0"), F.max("dk").alias("d1"), F.min("other").alias("i0"),
                                      F.max("other").alias("i1")).filter("d0 <> d1").select(F.col("key").alias("k"), "i0", "i1"))
