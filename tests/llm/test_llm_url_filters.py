@@ -72,3 +72,9 @@ def test_empty(spark):
     assert [(g.lists, g.n_entries) for g in got] == [("", 0), ("", 0)]
     plan = U.judge(captures_of(spark, [("http://a.org/", D(2024, 1, 1))]), entries_of(spark, []))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_closing_dots_are_no_part_of_a_host(spark):
+    got = U.judge(captures_of(spark, [("http://Bad.com./x", D(2024, 1, 2)), ("http://bad.com../", D(2024, 1, 2))]),
+                  entries_of(spark, [("l", "domain:bad.com", D(2024, 1, 1), "add")])).collect()
+    assert [(r.host, r.lists) for r in got] == [("bad.com", "l")] * 2

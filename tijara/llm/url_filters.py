@@ -28,8 +28,9 @@ from .common import write_shared
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port and closing dot."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    """Lower-case host without user, port and closing dots."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.rtrim(host, F.lit("."))
 
 
 def path_of(url: Column) -> Column:
