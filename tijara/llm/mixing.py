@@ -16,9 +16,10 @@ ranked in one place.
 
 Cases: null text has size 0; a null source is a source of its own and comes
 last; documents of size 0 are never taken; rows that repeat an id follow each
-other by size and text; an empty table gives an empty mix.  The last document
-that a source's demand reaches is taken in part (its first words), so what is
-taken is the target's whole words exactly.
+other by size and text; an empty table gives an empty mix.  Documents are taken
+whole: the last one that a source's demand reaches is taken if that comes nearer
+to the target than leaving it, so what is taken differs from the target by half
+a document at most.
 """
 
 from __future__ import annotations
@@ -89,11 +90,16 @@ def targets(sizes: DataFrame, share: float = 1.5, max_repeats: float = 2.0, cycl
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and a tie-break of every row, in a written table."""
     return write_shared(take(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "measured")
+        "doc_id", "source", words(F.col("text")).alias("size"), _tie(F.col("text")).alias("tie")), "measured")
+
+
+def _tie(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def _keyed(rows: DataFrame, seed: str, buckets: int | None = None) -> DataFrame:
-    rows = rows.withColumn("h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    # The text is in it, so that rows without an id, or with one id, are many buckets.
+    rows = rows.withColumn("h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "tie")))
     if buckets is None:
         return rows
     return rows.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(2.0 ** 32)))
@@ -101,7 +107,7 @@ def _keyed(rows: DataFrame, seed: str, buckets: int | None = None) -> DataFrame:
 
 def assign(rows: DataFrame, slim: DataFrame, share: float = 1.5, max_repeats: int = 2, cycle=CYCLE,
            seed: str = SEED) -> DataFrame:
-    """``rows``: doc_id, source, size, tie (long); other columns pass through.
+    """``rows``: doc_id, source, size, tie (hash of the text); other columns pass through.
     ``slim``: the same rows without those, for the counts (:func:`measured`).
 
     Adds source_size, target, taken (words, repeats counted) and copies: an
@@ -123,10 +129,10 @@ def assign(rows: DataFrame, slim: DataFrame, share: float = 1.5, max_repeats: in
     r = r.join(tot, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("bkt")))
     r = r.join(src, F.col("source").eqNullSafe(F.col("of")))
     at0 = F.col("begin") + F.col("run")
-    whole = F.floor("target")
 
     def got(e: Column) -> Column:
-        return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), whole - (e * F.col("source_size") + at0)))
+        room = F.col("target") - (e * F.col("source_size") + at0)
+        return F.when(room * 2 > F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
 
     def copy(e: Column) -> Column:
         mid = (e * F.col("source_size") + at0 + got(e) / 2.0) / F.greatest(F.col("target"), F.lit(1.0))
@@ -151,24 +157,10 @@ def invert(s: Column, share: Column) -> Column:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents themselves, one row per copy, sorted by position;
-    columns as in ``docs`` (a copy cut by the end of its source's demand keeps
-    its first words, one space apart, and ``n_chars`` follows where there is one)."""
+    """The mixed documents themselves, one row per copy, sorted by position; columns and texts as in ``docs``."""
     p, names = positional(docs)
     text = at(names, "text")
     p = p.select("*", at(names, "doc_id").alias("doc_id"), at(names, "source").alias("source"),
-                 words(text).alias("size"), F.xxhash64(text).alias("tie"))
-    m = assign(p, measured(docs), **how).withColumn("copy", F.explode("copies"))
-    cut = F.col("copy.words") < F.col("size")
-    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int")), " ")
-    cols = []
-    for i, name in enumerate(names):
-        c = F.col(f"_c{i}")
-        if name == "text":
-            c = F.when(cut, F.col("head")).otherwise(c)
-        elif name == "n_chars":
-            c = F.when(cut, F.length("head").cast(docs.schema[i].dataType)).otherwise(c)
-        cols.append(c.alias(f"_c{i}"))
-    m = m.withColumn("head", F.when(cut, head))
-    out = m.select(*cols, F.col("copy.position").alias("position"))
-    return out.repartitionByRange("position").sortWithinPartitions("position").drop("position").toDF(*names)
+                 words(text).alias("size"), _tie(text).alias("tie"))
+    m = assign(p, measured(docs), **how).select(*[f"_c{i}" for i in range(len(names))], F.explode("copies.position").alias("position"))
+    return m.repartitionByRange("position").sortWithinPartitions("position").drop("position").toDF(*names)

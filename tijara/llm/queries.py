@@ -23,7 +23,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-         md5('{mixing.SEED}:' || COALESCE(doc_id::VARCHAR, '')) AS h
+         md5('{mixing.SEED}:' || COALESCE(doc_id::VARCHAR, '') || ':' || md5(COALESCE(text, ''))) AS h
   FROM documents),
 s AS (
   SELECT source, SUM(size)::BIGINT AS source_size, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) AS rk
@@ -45,8 +45,8 @@ r AS (
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS at0
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       (GREATEST(0, LEAST(size, FLOOR(target) - at0))
-        + GREATEST(0, LEAST(size, FLOOR(target) - at0 - source_size)))::BIGINT AS taken
+       (CASE WHEN (target - at0) * 2 > size THEN size ELSE 0 END
+        + CASE WHEN (target - (source_size + at0)) * 2 > size THEN size ELSE 0 END)::BIGINT AS taken
 FROM r
 """
 
@@ -127,7 +127,7 @@ def _sql_day(text: str, first: str, days: int) -> str:
     return f"(DATE '{first}' + (('0x' || substr(md5({text}), 1, 6))::BIGINT % {days})::INTEGER)"
 
 
-_SQL_HOST = r"lower(regexp_extract(COALESCE(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+_SQL_HOST = r"rtrim(lower(regexp_extract(COALESCE(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.')"
 _SQL_PATH = r"regexp_extract(COALESCE(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _SQL_TOPIC = " ".join(f"WHEN regexp_matches(site, '{w}') THEN '{n}'" for n, w in url_filters.TOPICS)
 OP3_SQL = f"""
