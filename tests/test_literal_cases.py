@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from tijara.operators import ingest as IN
 from tijara.operators import timeseries as TS
-from tijara.operators import traffic as TR
+from tijara.operators import journey as JO
 
 
 def test_funnel_needs_order(spark):
@@ -14,7 +14,7 @@ def test_funnel_needs_order(spark):
             (3, "click", t(1)), (4, "view", t(5)), (4, "click", t(5)), (4, "signup", t(6)), (4, "purchase", t(4)), (4, "purchase", t(9)),
             (None, "view", t(1))]
     ev = spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz")
-    assert {r.step: r.users for r in TR.funnel(ev).collect()} == {"view": 3, "click": 3, "signup": 1, "purchase": 1}
+    assert {r.step: r.users for r in JO.funnel(ev).collect()} == {"view": 3, "click": 3, "signup": 1, "purchase": 1}
 
 
 def _orders(spark, rows):

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import drilldown as DD
 from ..operators import forecast as FC
 from ..operators import results as RS
 from ..operators import timeseries as TS
@@ -230,3 +231,52 @@ def drilldown_region_types(spark, sf):
                 F.sum("_rev").cast("double").alias("revenue"), F.sum("_n").alias("orders")))
     first = r.agg(F.min("region")).scalar()
     return RS.drill_down(per.withColumn("_sel", F.col("region") == first), _sel=True).drop("_sel")
+
+
+_GROUPS = ", ".join("(" + ", ".join(x) + ")" for x in DD.SETS)
+_CUBE_SQL = f"""
+    SELECT region, customer_type, payment, month, GROUPING({", ".join(DD.DIMENSIONS)})::INT AS level,
+           sum(amount)::DOUBLE AS revenue, count(order_id) AS orders, count(DISTINCT customer_id) AS clients,
+           sum(amount)::DOUBLE / nullif(count(order_id), 0)::DOUBLE AS average_basket
+    FROM (SELECT region, customer_type, payment_method_group AS payment, CAST(date_trunc('month', order_date) AS DATE) AS month,
+                 order_total_amount AS amount, order_id, customer_id FROM orders_cust_c WHERE status_code IN ('F', 'P'))
+    GROUP BY GROUPING SETS ({_GROUPS})"""
+_cubes: dict[tuple[str, str], object] = {}
+
+
+def _cube(spark, sf):
+    """The drill-down table, written once for a session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _cubes:
+        c = K.canon(spark, sf)
+        _cubes[key] = write_shared(DD.cube(K.realized(c.get("orders")), K.customer_dim(c.t)), "drill-down")
+    return _cubes[key]
+
+
+@register("drilldown_cube", _CUBE_SQL, "orders_cust_c")
+def drilldown_cube(spark, sf):
+    """O-12.18: aggregates for every selection, by grouping sets (one scan of the facts)."""
+    return _cube(spark, sf)
+
+
+def _drill_sql(dim: str) -> str:
+    parts = []
+    for other in DD.DIMENSIONS:
+        dims = (dim,) if other == dim else (dim, other)
+        parts.append(f"""SELECT '{other}' AS "by", CAST({other} AS VARCHAR) AS label, revenue, orders, clients, average_basket
+                         FROM c WHERE level = {DD.level(dims)} AND {dim} = (SELECT pick FROM s)""")
+    pick = f"(SELECT min({dim}) AS pick FROM c WHERE level = {DD.level((dim,))})"
+    return f"WITH c AS ({_CUBE_SQL}), s AS {pick} " + " UNION ALL ".join(parts)
+
+
+def _register_drill(dim: str) -> None:
+    @register(f"drilldown_{dim}", _drill_sql(dim), "orders_cust_c")
+    def run(spark, sf):
+        table = _cube(spark, sf)
+        first = table.filter(F.col("level") == DD.level((dim,))).agg(F.min(dim)).scalar()
+        return DD.drill_down(table, dim, first)
+    run.__doc__ = f"O-12.18: metrics and breakdowns of one selected {dim} (the first by name), a filter on the drill-down table."
+
+
+for _dim in DD.DIMENSIONS:
+    _register_drill(_dim)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import journey as JO
 from ..operators import traffic as TR
 from . import canonical as K
 from .oracle import CTES, pick
@@ -89,4 +90,17 @@ def top_pages(spark, sf):
     SELECT 'view' AS step, count(*) AS users FROM f0 UNION ALL SELECT 'click', count(*) FROM f1
     UNION ALL SELECT 'signup', count(*) FROM f2 UNION ALL SELECT 'purchase', count(*) FROM f3""")
 def funnel(spark, sf):
-    return TR.funnel(K.canon(spark, sf).t.events)
+    return JO.funnel(K.canon(spark, sf).t.events)
+
+
+@register("journey_transitions", """
+    WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_type AS s,
+                      CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 END AS k
+               FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    p AS (SELECT s, k, t, lead(s) OVER w AS s2, lead(t) OVER w AS t2 FROM e WHERE k IS NOT NULL
+          WINDOW w AS (PARTITION BY user_id ORDER BY t, k)),
+    g AS (SELECT s, s2, count(*) AS n, sum(t2 - t)::BIGINT AS gap FROM p WHERE s2 IS NOT NULL GROUP BY 1, 2)
+    SELECT s AS from_step, s2 AS to_step, n AS transitions, n::DOUBLE / sum(n) OVER (PARTITION BY s)::DOUBLE AS share,
+           gap::DOUBLE / n::DOUBLE / 1e6 AS mean_gap_sec FROM g""")
+def journey_transitions(spark, sf):
+    return JO.transitions(K.canon(spark, sf).t.events)
