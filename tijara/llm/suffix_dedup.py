@@ -297,11 +297,11 @@ def _joined(got: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([joined, still])
 
 
-def _scan(whole: bool, buffer_rows: int):
-    """Sorted suffixes -> joined settled windows of each text, and what stays open.
-    ``whole``: no run goes on in another task."""
+def _scan(buffer_rows: int):
+    """Sorted suffixes (``cut``: their run may go on in another task) -> joined
+    settled windows of each text, and what stays open."""
     def run(frames):
-        held, rows, cut = [], 0, not whole  # the first run may have begun in the task before
+        held, rows, begun = [], 0, True  # the first run may have begun in the task before
         for f in frames:
             if not len(f):
                 continue
@@ -310,31 +310,29 @@ def _scan(whole: bool, buffer_rows: int):
             if rows < buffer_rows:
                 continue
             e = pd.concat(held)
-            h = e["h"].to_numpy()
+            h, cut = e["h"].to_numpy(), e["cut"].to_numpy()
             tail = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
             if tail:
-                yield _joined(matches(e.iloc[:tail], cut, False))
-                held, rows, cut = [e.iloc[tail:]], len(e) - tail, False
-            elif not whole:  # one run fills the buffer
+                yield _joined(matches(e.iloc[:tail], begun and cut[0], False))
+                held, rows, begun = [e.iloc[tail:]], len(e) - tail, False
+            elif cut[0]:  # one run fills the buffer
                 yield _joined(matches(e, True, True))
-                held, rows, cut = [], 0, True
+                held, rows, begun = [], 0, True
         if rows:
-            yield _joined(matches(pd.concat(held), cut, not whole))
+            e = pd.concat(held)
+            cut = e["cut"].to_numpy()
+            yield _joined(matches(e, begun and cut[0], cut[-1]))
     return run
 
 
 def _windows(ctx: DataFrame, tasks: int) -> DataFrame:
-    """Contexts -> ``_OUT``: whole runs by prefix, long ones cut by their next words."""
-    order = ["h", "r", "dk", "pos"]
+    """Contexts -> ``_OUT``.  Rows are dealt by prefix alone, those of long runs by their next words too."""
     long = write_shared(ctx.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > RUN_ROWS).select(F.col("h").alias("of")), "long-runs")
-    n = long.count()
-    if not n:
-        return ctx.repartitionByRange(tasks, "h").sortWithinPartitions(*order).mapInPandas(_scan(True, BUFFER_ROWS), _OUT)
-    ids = F.broadcast(long) if n <= RUNS_BROADCAST else long
-    short = ctx.join(ids, F.col("h") == F.col("of"), "left_anti").repartitionByRange(tasks, "h")
-    cut = ctx.join(ids, F.col("h") == F.col("of"), "left_semi").repartitionByRange(tasks, *order)
-    return (short.sortWithinPartitions(*order).mapInPandas(_scan(True, BUFFER_ROWS), _OUT)
-            .unionByName(cut.sortWithinPartitions(*order).mapInPandas(_scan(False, BUFFER_ROWS), _OUT)))
+    ids = F.broadcast(long) if long.count() <= RUNS_BROADCAST else long
+    c = ctx.join(ids, F.col("h") == F.col("of"), "left").withColumn("cut", F.col("of").isNotNull()).drop("of")
+    deal = [F.when(F.col("cut"), F.col(k)) for k in ("r", "dk", "pos")]
+    c = c.repartitionByRange(tasks, "h", *deal).sortWithinPartitions("h", "r", "dk", "pos")
+    return c.mapInPandas(_scan(BUFFER_ROWS), _OUT)
 
 
 def passages(docs: DataFrame) -> DataFrame:
