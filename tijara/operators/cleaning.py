@@ -7,11 +7,12 @@ and the enrichment joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import rules
+from ..session import write_shared
 from .quantiles import quantiles
 
 MONEY_COLUMNS = {"unit_price", "line_total", "order_total_amount", "shipping_cost", "Prix unitaire"}
@@ -135,16 +136,48 @@ def enrich_lines(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     return out.fillna("Unknown", subset=["subcategory", "product_name"])
 
 
-def clean_transactions(raw: DataFrame, catalogue_raw: DataFrame | None = None) -> DataFrame:
+def _raw_metrics() -> list[Column]:
+    """What the rules change in the raw export, as aggregates over it."""
+    money = [F.col("Montant total de la commande"), F.col("Montant de l’expédition commande")]
+    name, pay, ship = F.col("product_name"), F.col("Titre moyen du paiement"), F.col("Titre de la méthode d’expédition")
+    return [F.count("*").alias("raw_rows"), F.count_if(money[0].isNotNull() | money[1].isNotNull()).alias("money_rows"),
+            (F.count(money[0]) + F.count(money[1])).alias("money_cells"), changed_count(name, C.normalize_space(name)).alias("names"),
+            changed_count(pay, C.payment_label(pay)).alias("payments"), changed_count(ship, C.shipping_class(ship)).alias("shipping")]
+
+
+def clean_with_actions(raw: DataFrame, catalogue_raw: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """O-12.13: the clean transactions, written, and what cleaning did: (code,
+    affected_rows, affected_cells).  The counts are observed while the rows pass
+    on their way to the written table, so nothing is read for them.  (A stage
+    that is run again after an executor is lost may be counted again.)"""
+    before, typed = Observation("raw"), Observation("typed")
+    clean = write_shared(clean_transactions(raw, catalogue_raw, before, typed), "clean-transactions")
+    b, t = before.get, typed.get
+    rows = [("money_text", b["money_rows"], b["money_cells"]), ("whitespace", b["names"], b["names"]),
+            ("payment_labels", b["payments"], b["payments"]), ("shipping_classes", b["shipping"], b["shipping"]),
+            ("duplicates_removed", b["raw_rows"] - t["rows"], 0), ("incomplete_removed", t["incomplete"], 0)]
+    return clean, raw.sparkSession.createDataFrame(rows, "code string, affected_rows long, affected_cells long")
+
+
+def clean_transactions(raw: DataFrame, catalogue_raw: DataFrame | None = None, before: Observation | None = None,
+                       typed: Observation | None = None) -> DataFrame:
     """Raw transactions export -> clean transactions, in the documented order:
     rename, money text, typing, payment labels, dedupe, names, incomplete rows,
-    enrichment, shipping flag + class, payment fill."""
+    enrichment, shipping flag + class, payment fill.  ``before`` and ``typed``
+    observe the raw and the typed, deduplicated rows."""
+    if before is not None:
+        raw = raw.observe(before, *_raw_metrics())
     df = raw.drop("payment_method_group")
     df = rename(df, rules.TRANSACTION_RENAMES)
     df = parse_money_columns(df, ["shipping_cost", "order_total_amount"])
     df = cast_typed(df)
     df = df.withColumn("sku", F.col("sku").try_cast("bigint"))
     df = dedupe_rows(df)
+    if typed is not None:
+        bad = None
+        for c in rules.REQUIRED_LINE_MEASURES:
+            bad = F.col(c).isNull() if bad is None else (bad | F.col(c).isNull())
+        df = df.observe(typed, F.count("*").alias("rows"), F.count_if(bad).alias("incomplete"))
     df = normalize_names(df)
     df = drop_incomplete(df)
     if catalogue_raw is not None:

@@ -15,7 +15,9 @@ from ..operators import regions as R
 from ..operators import results as RS
 from ..operators import snapshots as SN
 from ..operators import traffic as TR
-from ..session import shared_path
+from ..session import shared_path, write_shared
+from ..operators.quantiles import quantiles
+from ..functions import rules
 from . import canonical as K
 from .oracle import CTES, payment_label_sql, shipping_class_sql
 from .q_products import norm_sql
@@ -293,33 +295,77 @@ def _action(part: int):
              count_if(quantity IS NULL OR unit_price IS NULL OR line_total IS NULL), 0 FROM typed_tx_c)""",
           "raw_transactions_c", "typed_tx_c")
 def cleaning_actions(spark, sf):
-    """O-12.13: rows / cells each cleaning rule changed or removed."""
+    """O-12.13: rows / cells each cleaning rule changed or removed, observed while the clean table is written."""
     c = K.canon(spark, sf)
-    raw = c.get("raw_transactions")
-    money = [F.col("Montant total de la commande"), F.col("Montant de l’expédition commande")]
-    name = F.col("product_name")
-    pay = F.col("Titre moyen du paiement")
-    ship = F.col("Titre de la méthode d’expédition")
-    wide = raw.agg(
-        F.count_if(money[0].isNotNull() | money[1].isNotNull()).alias("money_rows"),
-        (F.count(money[0]) + F.count(money[1])).alias("money_cells"),
-        CL.changed_count(name, C.normalize_space(name)).alias("ws"),
-        CL.changed_count(pay, C.payment_label(pay)).alias("pay"),
-        CL.changed_count(ship, C.shipping_class(ship)).alias("ship"),
-        F.count("*").alias("raw_rows"))
-    t = typed_tx(c)
-    tt = t.agg(F.struct(F.count("*").alias("typed_rows"),
-                        F.count_if(F.col("quantity").isNull() | F.col("unit_price").isNull()
-                                   | F.col("line_total").isNull()).alias("incomplete"))).scalar()
-    j = wide.select("*", tt["typed_rows"].alias("typed_rows"), tt["incomplete"].alias("incomplete"))
-    st = F.stack(F.lit(6),
-                 F.lit("money_text"), F.col("money_rows"), F.col("money_cells"),
-                 F.lit("whitespace"), F.col("ws"), F.col("ws"),
-                 F.lit("payment_labels"), F.col("pay"), F.col("pay"),
-                 F.lit("shipping_classes"), F.col("ship"), F.col("ship"),
-                 F.lit("duplicates_removed"), F.col("raw_rows") - F.col("typed_rows"), F.lit(0).cast("bigint"),
-                 F.lit("incomplete_removed"), F.col("incomplete"), F.lit(0).cast("bigint"))
-    return j.select(st.alias("code", "affected_rows", "affected_cells")).withColumns({"label": _action(0), "description": _action(1)})
+    _clean, actions = CL.clean_with_actions(c.get("raw_transactions"), c.get("raw_catalogue"))
+    return actions.withColumns({"label": _action(0), "description": _action(1)})
+
+
+#: Rules that cleaning leaves to a confirmation: dataset, rule, by whom, what is counted.
+DEFERRED = [
+    ("transactions", "negative_unit_price", "business"), ("transactions", "unit_price_outlier", "statistical"),
+    ("transactions", "order_not_in_export", "database"), ("orders", "status_not_mapped", "business"),
+    ("orders", "order_total_outlier", "statistical"), ("orders", "customer_not_known", "database"),
+    ("catalogue", "price_missing", "business"), ("catalogue", "sku_repeated", "database")]
+#: An outlier lies more than this many quartile ranges outside the quartiles.
+FENCE = 3.0
+
+
+def _outliers(df, value):
+    """Number of values outside the fences (exact quartiles)."""
+    q = quantiles(df, [], value, [0.25, 0.75], linear=True).select(F.col("q")[0].alias("_a"), F.col("q")[1].alias("_b"))
+    lo, hi = F.col("_a") - FENCE * (F.col("_b") - F.col("_a")), F.col("_b") + FENCE * (F.col("_b") - F.col("_a"))
+    q = q.agg(F.struct(F.max(lo).alias("lo"), F.max(hi).alias("hi"))).scalar()
+    return df.agg(F.count_if((value < q["lo"]) | (value > q["hi"])).alias("rows"))
+
+
+def _fence_sql(value: str, table: str) -> str:
+    return f"""(SELECT count_if(v < a - {FENCE} * (b - a) OR v > b + {FENCE} * (b - a)) FROM (SELECT {value} AS v FROM {table}),
+               (SELECT quantile_cont({value}, 0.25) AS a, quantile_cont({value}, 0.75) AS b FROM {table}))"""
+
+
+_DEFERRED_SQL = {
+    "negative_unit_price": "(SELECT count_if(unit_price < 0) FROM clean_tx_c)",
+    "unit_price_outlier": _fence_sql("unit_price::DOUBLE", "clean_tx_c"),
+    "order_not_in_export": """(SELECT count(*) FROM (SELECT DISTINCT order_id_stage FROM clean_tx_c WHERE order_id_stage IS NOT NULL)
+        ANTI JOIN raw_orders_c USING (order_id_stage))""",
+    "status_not_mapped": f"""(SELECT count(*) FROM raw_orders_c WHERE order_status IS NULL OR order_status NOT IN
+        ({", ".join("'" + s.replace("'", "''") + "'" for s in rules.STATUS_GROUPS)}))""",
+    "order_total_outlier": _fence_sql("TRY_CAST(order_total_amount AS DOUBLE)", "raw_orders_c"),
+    "customer_not_known": """(SELECT count(*) FROM raw_orders_c o WHERE customer_id_stage IS NOT NULL
+        AND customer_id_stage NOT IN (SELECT customer_code FROM customers_c WHERE customer_code IS NOT NULL))""",
+    "price_missing": """(SELECT count(*) FROM raw_catalogue_c WHERE "Prix unitaire" IS NULL)""",
+    "sku_repeated": """(SELECT count(*) FROM (SELECT "SkU" FROM raw_catalogue_c WHERE "SkU" IS NOT NULL GROUP BY 1 HAVING count(*) > 1))""",
+}
+
+
+@register("deferred_rules", " UNION ALL ".join(
+    f"SELECT '{d}' AS dataset, '{r}' AS rule, '{w}' AS confirmation, {_DEFERRED_SQL[r]}::BIGINT AS rows" for d, r, w in DEFERRED),
+    "clean_tx_c", "raw_orders_c", "raw_catalogue_c", "customers_c")
+def deferred_rules(spark, sf):
+    """O-12.14: rules that stay visible because they need a business, statistical or database confirmation, with the rows they concern."""
+    c = K.canon(spark, sf)
+    tx, orders, cat = clean_tx(c), c.get("raw_orders"), c.get("raw_catalogue")
+    tx = write_shared(tx.select("order_id_stage", "unit_price"), "deferred-lines")
+    known = c.get("customers").select(F.col("customer_code").alias("customer_id_stage")).filter("customer_id_stage IS NOT NULL").distinct()
+    total = F.col("order_total_amount").try_cast("double")
+    n = F.count("*").alias("rows")
+    found = {
+        "negative_unit_price": tx.agg(F.count_if(F.col("unit_price") < 0).alias("rows")),
+        "unit_price_outlier": _outliers(tx, F.col("unit_price").cast("double")),
+        "order_not_in_export": tx.select("order_id_stage").filter("order_id_stage IS NOT NULL").distinct().join(
+            orders.select("order_id_stage").distinct(), "order_id_stage", "left_anti").agg(n),
+        "status_not_mapped": orders.filter(F.col("order_status").isNull() | ~F.col("order_status").isin(list(rules.STATUS_GROUPS))).agg(n),
+        "order_total_outlier": _outliers(orders, total),
+        "customer_not_known": orders.filter("customer_id_stage IS NOT NULL").join(known, "customer_id_stage", "left_anti").agg(n),
+        "price_missing": cat.filter(F.col("Prix unitaire").isNull()).agg(n),
+        "sku_repeated": cat.filter(F.col("SkU").isNotNull()).groupBy("SkU").count().filter("count > 1").agg(n),
+    }
+    out = None
+    for d, r, w in DEFERRED:
+        row = found[r].select(F.lit(d).alias("dataset"), F.lit(r).alias("rule"), F.lit(w).alias("confirmation"), F.col("rows").cast("bigint").alias("rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # ------------------------------------------------------------------ incremental load
