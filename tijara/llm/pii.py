@@ -8,14 +8,26 @@ digits and a valid check digit, names keep gender and script, and the case of
 the mention is kept.
 
 A surrogate depends on the key, the kind and the entity alone (an entity is the
-mention in canonical form: lower case, digits only ...), so all mentions of an
-entity read alike in every document, and the parts of a name and the domain of
-an address are entities of their own.  Numbers and local parts go through a
-keyed one-to-one map among strings of their shape, so that different ones stay
-different; names and domains are drawn from a hash.  Collision checks on the
-table of distinct entities then look for any two with one surrogate: all but
-the smallest take their next number until none collide.  Only numbers above
-zero travel back to the documents that mention such an entity.
+mention in canonical form: lower case, digits only, a telephone number without
+country code and leading zero ...), so all mentions of an entity read alike in
+every document, and the parts of a name and the domain of an address are
+entities of their own.  The gender of a given name is that of its forms of
+address, in any document; one met as both, or as neither, has none.  A name
+found in a document is replaced where its words (three letters and more, spelt
+alike) stand alone in that document, too.
+
+Numbers and local parts go through a keyed one-to-one map among strings of their
+shape, so that different ones stay different; names and domains are drawn from a
+hash.  Collision checks on the table of distinct entities then look for any two
+with one surrogate, and for surrogates that are an entity of the table: all but
+the smallest of the former and all of the latter take their next number, until
+none collide (a surrogate that is an entity is accepted after ``ORIGINALS``
+rounds, where a shape is nearly used up).  Only numbers above zero, and genders
+that documents disagree on, travel back to the documents concerned.
+
+Texts are searched once: the pieces of texts with mentions are written to the
+shared folder, entities are taken from there and the pieces are put together
+again with their surrogates.
 
 Telephone numbers are detected by form: + or 00 and a country code; a leading
 zero and 9 to 12 digits; an area in brackets; three to five groups of 9 to 11 digits;
@@ -23,8 +35,7 @@ three groups of 2-4, 3-4 and 3-4; ddd-dddd; 10 or 11 digits unbroken.  Cards hav
 13 to 19 digits, unbroken, in fours (and 4-4-4-4-3), 4-6-5 or 4-6-4.  Not detected:
 shorter unbroken numbers, two groups without a zero, + or brackets (but 3-4),
 pairs of digits only without a leading zero, numbers behind # or written in
-words, extensions; a number with its country code and the same one without are
-two entities.
+words, extensions.
 
 Cases: null texts stay null and have no mention; empty texts stay empty;
 repeated rows are rewritten alike; whole texts are rewritten whatever their
@@ -46,7 +57,10 @@ MALE = ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Sr", "Señor", "Don", "Г
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Sra", "Señora", "Doña", "Госпожа")
 ANY = ("Dr", "Prof", "Доктор")
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}"
+_LOCAL = "A-Za-z0-9._%+-"
+# A local part begins at the first letter or digit of a run of its characters, so a run without an @ is walked once.
+EMAIL = (rf"(?:(?<![{_LOCAL}])|(?<=[._%+-])(?<![A-Za-z0-9][._%+-]{{1,255}}))[A-Za-z0-9][{_LOCAL}]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+         r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){0,126}\.[A-Za-z]{2,24}")
 IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?!\.?[0-9])"
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
@@ -90,6 +104,11 @@ INNER = "|".join(f"(?:{p})" for p in (EMAIL, IP, CARD, PHONE, NAME))
 #: A text without any of these has no mention.
 HINT = rf"[0-9@]|(?:{_ADDRESS})\.? \p{{Lu}}"
 ROUNDS = 4
+ORIGINALS = 8
+#: Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGITS = ("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98").split()
+#: Stands between a text's mentions while it is cut.
+MARK = "\x01"
 
 # Syllables of invented names.
 LATIN = ("ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "ko", "la", "le", "lo",
@@ -137,20 +156,38 @@ def gender(m: Column) -> Column:
     return F.when(any_of(FEMALE), "f").when(any_of(MALE), "m").otherwise("u")
 
 
-def entities(m: Column) -> Column:
-    """Entities of a mention: array of (kind, canonical form)."""
-    e = lambda k, c: F.struct(F.lit(k).alias("kind"), c.alias("entity"))
-    kind = kind_of(m)
-    parts = _name_parts(m)
-    given = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda w: F.struct(
-        F.concat(F.lit("given-"), gender(m)).alias("kind"), F.lower(w).alias("entity")))
-    family = F.transform(F.slice(parts, F.size(parts), 1), lambda w: F.struct(F.lit("family").alias("kind"), F.lower(w).alias("entity")))
-    none = F.array().cast("array<struct<kind:string,entity:string>>")
-    return (F.when(kind == "email", F.array(e("email", F.lower(m)), e("domain", F.lower(F.substring_index(m, "@", -1)))))
-            .when(kind == "iban", F.array(e("iban", F.regexp_replace(m, " ", ""))))
-            .when(kind == "ip", F.array(e("ip", m)))
-            .when(kind == "card", F.array(e("card", _digits(m)))).when(kind == "phone", F.array(e("phone", _digits(m))))
-            .when((kind == "name") & (F.size(parts) > 0), F.concat(given, family)).otherwise(none))
+def national(m: Column) -> Column:
+    """Digits of a telephone number without country code and trunk zero."""
+    d = _digits(m)
+    rest = F.when(m.startswith("+"), d).when(d.startswith("00"), F.substr(d, F.lit(3)))
+    code = F.when(rest.rlike("^[17]"), 1).when(F.substring(rest, 1, 2).isin(TWO_DIGITS), 2).otherwise(3)
+    own = F.coalesce(F.substr(rest, code + 1), d)
+    return F.when(own.startswith("0"), F.substr(own, F.lit(2))).otherwise(own)
+
+
+#: Parts of a text: what stands before a mention, the mention, and for a name's word that stands alone its kind.
+PIECE = "struct<before:string,m:string,part:string>"
+
+
+def entities(m: Column, part: Column, genders: Column) -> Column:
+    """Entities of a mention: array of (kind, canonical form, gender).  ``genders``: of the document's given names, a map."""
+    e = lambda k, c: F.struct(F.lit(k).alias("kind"), c.alias("entity"), F.lit("").alias("gender"))
+
+    def word(w: Column, k) -> Column:
+        k = F.lit(k) if isinstance(k, str) else k
+        return F.struct(k.alias("kind"), F.lower(w).alias("entity"),
+                        F.when(k == "given", F.coalesce(F.try_element_at(genders, F.lower(w)), F.lit("u"))).otherwise("").alias("gender"))
+
+    name = _let(_name_parts(m), lambda parts: F.transform(parts, lambda w, i: _let(
+        F.when(i < F.size(parts) - 1, "given").otherwise("family"), lambda k: word(w, k))))
+    none = F.array().cast("array<struct<kind:string,entity:string,gender:string>>")
+    # Bound once each: the trees below are large.
+    return F.when(part != "", F.array(word(m, part))).otherwise(_let(kind_of(m), lambda kind: (
+        F.when(kind == "email", F.array(e("email", F.lower(m)), e("domain", F.lower(F.substring_index(m, "@", -1)))))
+        .when(kind == "iban", F.array(e("iban", F.regexp_replace(m, " ", ""))))
+        .when(kind == "ip", F.array(e("ip", m)))
+        .when(kind == "card", F.array(e("card", _digits(m)))).when(kind == "phone", F.array(e("phone", national(m))))
+        .when(kind == "name", name).otherwise(none))))
 
 
 def _hash(kind: Column, entity: Column, nonce: Column, key: str) -> Column:
@@ -212,7 +249,7 @@ def _check_digit(digits: Column) -> Column:
     return F.concat(digits, ((10 - total % 10) % 10).cast("string"))
 
 
-def _invented(entity: Column, h: Column, kind: Column) -> Column:
+def _invented(entity: Column, h: Column, kind: Column, sex: Column) -> Column:
     """A name of three or four syllables in the entity's script; given names end by gender."""
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
 
@@ -220,22 +257,21 @@ def _invented(entity: Column, h: Column, kind: Column) -> Column:
         s = F.array(*[F.lit(x) for x in syllables])
         pick = lambda i: F.element_at(s, (_number(h, F.lit(i)) % len(syllables)).cast("int") + 1)
         body = F.concat(pick(0), pick(1), pick(2), F.when(_number(h, F.lit(4)) % 2 == 0, pick(5)).otherwise(F.lit("")))
-        return F.concat(body, F.when(kind == "given-f", ends[0]).when(kind == "given-m", ends[1]).when(
-            kind == "family", ends[2]).otherwise(""))
+        return F.concat(body, F.when(sex == "f", ends[0]).when(sex == "m", ends[1]).when(kind == "family", ends[2]).otherwise(""))
 
     return F.when(cyrillic, built(CYRILLIC, ("ня", "н", "шко"))).otherwise(built(LATIN, ("na", "n", "ner")))
 
 
-def surrogate(kind: Column, entity: Column, nonce: Column, key: str = KEY) -> Column:
-    """Canonical surrogate of a canonical entity."""
+def surrogate(kind: Column, entity: Column, sex: Column, nonce: Column, key: str = KEY) -> Column:
+    """Canonical surrogate of a canonical entity (``sex``: gender of a given name)."""
     salt = F.concat_ws("\x1f", F.lit(key), kind, nonce.cast("string"))
     h = _hash(kind, entity, nonce, key)
     n = F.length(entity)
     octets = F.transform(F.split(entity, r"\."), lambda o: F.struct(o.cast("int").alias("v"), F.lit(256).alias("m"), o.alias("c")))
     ip = F.array_join(F.transform(_permuted(octets, salt), lambda e: e["v"].cast("string")), ".")
     card = _check_digit(F.concat(F.substring(entity, 1, 6), _other_text(F.substr(entity, F.lit(7), n - 7), salt)))
-    # Country code and area length are unknown in digits alone: the first two digits stay.
-    phone = F.concat(F.substring(entity, 1, 2), _other_text(F.substring(entity, 3, 64), salt))
+    # The first digit stays, so that no number begins with a zero that had none.
+    phone = F.concat(F.substring(entity, 1, 1), _other_text(F.substring(entity, 2, 64), salt))
     body = F.upper(_other_text(F.lower(F.substring(entity, 5, 64)), salt))
     land = F.substring(entity, 1, 2)
     iban = F.concat(land, F.lpad((98 - iban_rest(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
@@ -244,7 +280,7 @@ def surrogate(kind: Column, entity: Column, nonce: Column, key: str = KEY) -> Co
     # What follows the @ is there so that collisions are sought within one domain.
     email = F.concat(local, F.lit("@"), F.substring_index(entity, "@", -1))
     # From the second number on, names get more syllables.
-    name = F.concat(F.when(nonce > 0, _invented(entity, F.sha2(h, 256), F.lit(""))).otherwise(""), _invented(entity, h, kind))
+    name = F.concat(F.when(nonce > 0, _invented(entity, F.sha2(h, 256), F.lit(""), F.lit(""))).otherwise(""), _invented(entity, h, kind, sex))
     return (F.when(kind == "email", email)
             .when(kind == "domain", F.concat(F.lit("m"), F.substring(h, 1, 12), F.lit(".example.net")))
             .when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).otherwise(name))
@@ -264,86 +300,149 @@ def _cased(like: Column, word: Column) -> Column:
     ).otherwise(word)
 
 
-def rewritten(m: Column, nonce, key: str = KEY) -> Column:
-    """What a mention is replaced by.  ``nonce(kind, entity)``: its number."""
-    kind, canon = kind_of(m), entities(m)
-    s = lambda e: surrogate(e["kind"], e["entity"], nonce(e["kind"], e["entity"]), key)
-    one = lambda i: F.element_at(F.transform(canon, s), i)
-    parts = _name_parts(m)
-    address = F.regexp_extract(m, rf"^(?:{_ADDRESS})\.? ", 0)
-    name = F.concat(address, F.array_join(F.zip_with(parts, F.transform(canon, s), _cased), " "))
-    email = F.concat(F.substring_index(one(1), "@", 1), F.lit("@"), one(2))
-    return (F.when(kind == "email", F.when((F.upper(m) == m) & m.rlike("[A-Z]"), F.upper(email)).otherwise(email))
-            .when(kind == "ip", one(1)).when(kind.isin("card", "phone"), _poured(m, one(1), "[0-9]"))
-            .when(kind == "iban", _poured(m, one(1), "[A-Z0-9]")).when((kind == "name") & (F.size(parts) > 0), name).otherwise(m))
+def rewritten(m: Column, part: Column, genders: Column, told, key: str = KEY) -> Column:
+    """What a mention is replaced by.  ``told(kind, entity)``: (nonce, gender) of an entity, null where the document's own hold."""
+    def s(e: Column) -> Column:
+        return _let(told(e["kind"], e["entity"]), lambda t: surrogate(
+            e["kind"], e["entity"], F.coalesce(t["gender"], e["gender"]), F.coalesce(t["nonce"], F.lit(0)), key))
+
+    def written(kind: Column, subs: Column) -> Column:
+        one = lambda i: F.element_at(subs, i)
+        address = F.regexp_extract(m, rf"^(?:{_ADDRESS})\.? ", 0)
+        name = F.concat(address, F.array_join(F.zip_with(_name_parts(m), subs, _cased), " "))
+        email = F.concat(F.substring_index(one(1), "@", 1), F.lit("@"), one(2))
+        d = _digits(m)
+        phone = F.concat(F.substr(d, F.lit(1), F.length(d) - F.length(national(m))), one(1))
+        digits = F.when(kind == "phone", phone).otherwise(one(1))
+        return (F.when(part != "", _cased(m, one(1)))
+                .when(kind == "email", F.when((F.upper(m) == m) & m.rlike("[A-Z]"), F.upper(email)).otherwise(email))
+                .when(kind == "ip", one(1)).when(kind.isin("card", "phone"), _poured(m, digits, "[0-9]"))
+                .when(kind == "iban", _poured(m, one(1), "[A-Z0-9]")).when((kind == "name") & (F.size(subs) > 0), name).otherwise(m))
+
+    return _let(F.transform(entities(m, part, genders), s), lambda subs: _let(kind_of(m), lambda kind: written(kind, subs)))
+
+
+def _cut(t: Column, pattern) -> Column:
+    """Array of (before, m): every match and the text between the last one and it; the last m is empty."""
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    marked = F.split(F.regexp_replace(t, F.concat(F.lit("("), p, F.lit(")")), F.lit(MARK + "$1" + MARK)), MARK, -1)
+    once = _let(marked, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(2)), lambda i: F.struct(
+        F.get(x, i).alias("before"), F.coalesce(F.get(x, i + 1), F.lit("")).alias("m"))))
+    # A text that holds the mark itself is searched twice instead.
+    twice = F.zip_with(F.split(t, p, -1), F.regexp_extract_all(t, p, F.lit(0)), lambda b, m: F.struct(
+        b.alias("before"), F.coalesce(m, F.lit("")).alias("m")))
+    return F.when(F.contains(t, F.lit(MARK)), twice).otherwise(once)
 
 
 def pieces(text: Column) -> Column:
-    """A text in order as (before, m): a mention and the text between the last one
-    and it; the last m is empty.  A match of no kind is searched once more for the
-    mentions inside it."""
-    def cut(t: Column, pattern: str) -> Column:
-        return F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda b, m: F.struct(
-            b.alias("before"), F.coalesce(m, F.lit("")).alias("m")))
-
-    again = lambda x: F.transform(cut(x["m"], INNER), lambda y, i: F.struct(
+    """A text in order as (before, m).  A match of no kind is searched once more for the mentions inside it."""
+    again = lambda x: F.transform(_cut(x["m"], INNER), lambda y, i: F.struct(
         F.when(i == 0, F.concat(x["before"], y["before"])).otherwise(y["before"]).alias("before"), y["m"].alias("m")))
     whole = lambda x: (x["m"] == "") | kind_of(x["m"]).isNotNull()
-    found = F.flatten(F.transform(cut(text, ANY_KIND), lambda x: F.when(whole(x), F.array(x)).otherwise(again(x))))
+    found = F.flatten(F.transform(_cut(text, ANY_KIND), lambda x: F.when(whole(x), F.array(x)).otherwise(again(x))))
     return F.when(text.rlike(HINT), found).otherwise(F.array(F.struct(text.alias("before"), F.lit("").alias("m"))))
 
 
-def mentions(text: Column) -> Column:
-    """All mentions of a text, in order."""
-    return F.filter(F.transform(pieces(text), lambda x: x["m"]), lambda m: m != "")
+def _of_names(p: DataFrame) -> DataFrame:
+    """``pieces`` with the words of the document's names cut out where they stand alone, and ``genders`` of its given names."""
+    names = F.filter(F.transform("pieces", lambda x: x["m"]), lambda m: kind_of(m) == "name")
+    p = p.withColumn("names", F.when(F.size("pieces") > 1, names).otherwise(F.array().cast("array<string>")))
+    each = F.flatten(F.transform("names", lambda m: _let(_name_parts(m), lambda w: F.transform(
+        w, lambda x, i: F.struct(x.alias("word"), (i < F.size(w) - 1).alias("given"), gender(m).alias("sex"))))))
+    p = p.withColumn("words", each)
+    given = F.filter("words", lambda x: x["given"])
+    sexes = lambda w, k: F.exists(given, lambda x: (F.lower(x["word"]) == w) & (x["sex"] == k))
+    p = p.withColumn("genders", F.map_from_entries(F.transform(
+        F.array_distinct(F.transform(given, lambda x: F.lower(x["word"]))), lambda w: F.struct(w, F.when(
+            sexes(w, "f") & ~sexes(w, "m"), "f").when(sexes(w, "m") & ~sexes(w, "f"), "m").otherwise("u")))))
+    alone = F.array_sort(F.array_distinct(F.transform(F.filter("words", lambda x: F.length(x["word"]) >= 3), lambda x: F.struct(
+        -F.length(x["word"]), x["word"].alias("word")))))  # longer words first
+    # Words are letters, apostrophes and dashes only.
+    p = p.withColumn("pattern", F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(alone, lambda x: x["word"]), "|"),
+                                         F.lit(r")(?![\p{L}\p{N}])")))
+    part = lambda w: F.when(F.map_contains_key("genders", F.lower(w)), "given").otherwise("family")
+    plain = F.transform("pieces", lambda x: F.struct(x["before"].alias("before"), x["m"].alias("m"), F.lit("").alias("part")))
+    cut = F.flatten(F.transform("pieces", lambda x: F.transform(_cut(x["before"], F.col("pattern")), lambda y: F.struct(
+        y["before"].alias("before"), F.when(y["m"] == "", x["m"]).otherwise(y["m"]).alias("m"),
+        F.when(y["m"] == "", "").otherwise(part(y["m"])).alias("part")))))
+    return p.withColumn("pieces", F.when(F.size(alone) > 0, cut).otherwise(plain)).drop("names", "words", "pattern")
+
+
+def searched(docs: DataFrame) -> DataFrame:
+    """Positional columns, ``pieces`` and ``genders``, in a written table; a text with mentions is there as its pieces only."""
+    p, names = positional(docs)
+    text = at(names, "text")
+    p = _of_names(p.withColumn("pieces", pieces(text)))
+    some = F.size("pieces") > 1
+    cols = [F.when(~some | text.isNull(), text).alias(f"_c{i}") if n == "text" else F.col(f"_c{i}") for i, n in enumerate(names)]
+    return write_shared(p.select(*cols, F.when(some, F.col("pieces")).alias("pieces"), F.when(some, F.col("genders")).alias("genders")), "pii-pieces")
 
 
-def entity_table(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, entity) of all documents; repeats are summed up map-side."""
-    p, names = positional(docs)
-    m = p.select(F.explode(mentions(at(names, "text"))).alias("m")).groupBy("m").count()
-    return m.select(F.explode(entities(F.col("m"))).alias("e")).select("e.kind", "e.entity").distinct()
+def _mentioned(found: DataFrame, *more) -> DataFrame:
+    """(more, kind, entity, gender) of every mention."""
+    m = found.filter("pieces is not null").select(*more, F.explode("pieces").alias("x"), "genders").filter("x.m <> ''")
+    return (m.select(*more, F.explode(entities(F.col("x.m"), F.col("x.part"), F.col("genders"))).alias("e")).select(*more, "e.kind", "e.entity", "e.gender"))
+
+
+def entity_table(found: DataFrame) -> DataFrame:
+    """Distinct (kind, entity) of :func:`searched` documents, the gender over all of them and whether they disagree."""
+    g = _mentioned(found).groupBy("kind", "entity").agg(F.max(F.col("gender") == "f").alias("f"), F.max(F.col("gender") == "m").alias("m"),
+                                                        F.min("gender").alias("g0"), F.max("gender").alias("g1"))
+    sex = F.when(F.col("kind") != "given", "").when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("u")
+    return g.select("kind", "entity", sex.alias("gender"), (F.col("g0") != F.col("g1")).alias("mixed"))
 
 
 def numbers(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, entity, nonce) of the entities whose number is not 0: of the
-    entities of a kind that have one surrogate all but the smallest move on to
+    """(kind, entity, nonce, gender) of the entities whose number is not 0 or whose gender documents disagree on.  Of the
+    entities of a kind that have one surrogate all but the smallest, and those whose surrogate is an entity, move on to
     their next number, until none collide."""
-    state = write_shared(found, "entities").withColumn("nonce", F.lit(0))
+    state = write_shared(found, "entities")
+    known = state.select(F.col("kind").alias("ok"), F.col("entity").alias("oe"))
+    state = state.withColumn("nonce", F.lit(0))
+    turn = 0
     while True:
-        state = write_shared(state.withColumn("s", surrogate(F.col("kind"), F.col("entity"), F.col("nonce"), key)), "surrogates")
+        state = write_shared(state.withColumn("s", surrogate(F.col("kind"), F.col("entity"), F.col("gender"), F.col("nonce"), key)), "surrogates")
         twice = (state.groupBy("kind", "s").agg(F.min("entity").alias("keeps"), F.count("*").alias("n")).filter("n > 1")
                  .select(F.col("kind").alias("ck"), F.col("s").alias("cs"), "keeps"))
-        taken = write_shared(state.join(twice, (F.col("kind") == F.col("ck")) & (F.col("s") == F.col("cs"))).filter("entity <> keeps")
-                             .select(F.col("kind").alias("tk"), F.col("entity").alias("te")), "collisions")
+        taken = (state.join(twice, (F.col("kind") == F.col("ck")) & (F.col("s") == F.col("cs"))).filter("entity <> keeps")
+                 .select(F.col("kind").alias("tk"), F.col("entity").alias("te")))
+        if turn < ORIGINALS:
+            same = state.join(known, (F.col("kind") == F.col("ok")) & (F.col("s") == F.col("oe")))
+            taken = taken.unionByName(same.select(F.col("kind").alias("tk"), F.col("entity").alias("te"))).distinct()
+        taken = write_shared(taken, "collisions")
         if taken.isEmpty():
-            return state.filter("nonce > 0").select("kind", "entity", "nonce")
+            return state.filter("nonce > 0 or mixed").select("kind", "entity", "nonce", "gender")
         state = (state.drop("s").join(taken, (F.col("kind") == F.col("tk")) & (F.col("entity") == F.col("te")), "left")
                  .withColumn("nonce", F.col("nonce") + F.col("tk").isNotNull().cast("int")).drop("tk", "te"))
+        turn += 1
+
+
+COUNTED = ("email", "phone", "card", "ip", "iban", "name")
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and n_email, n_phone, n_card, n_ip,
-    n_iban, n_name (mentions replaced) after the input's columns."""
-    extra = write_shared(numbers(entity_table(docs), key), "renumbered")
-    p, names = positional(docs)
-    text = at(names, "text")
-    p = p.withColumn("pieces", pieces(text)).withColumn("m", F.transform("pieces", lambda x: x["m"]))
+    n_iban, n_name (mentions replaced, words of names standing alone included) after the input's columns."""
+    names = docs.columns
+    found = searched(docs)
+    extra = write_shared(numbers(entity_table(found), key), "renumbered")
+    none = F.lit(None).cast("map<string,struct<nonce:int,gender:string>>")
     if extra.isEmpty():
-        nonce = lambda kind, entity: F.lit(0)
+        p = found.withColumn("told", none)
     else:
-        # Only documents that mention a renumbered entity get a map of numbers.
-        p = p.withColumn("doc", F.xxhash64(text))
-        told = (p.select("doc", F.explode("m").alias("m")).distinct().select("doc", F.explode(entities(F.col("m"))).alias("e"))
-                .select("doc", "e.kind", "e.entity").distinct().join(extra, ["kind", "entity"])
+        # Only documents that mention such an entity get a map.
+        p = found.withColumn("doc", F.when(F.col("pieces").isNotNull(), F.xxhash64("pieces")))
+        told = (_mentioned(p, "doc").select("doc", "kind", "entity").distinct().join(extra, ["kind", "entity"])
                 .groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct(
-                    F.concat_ws("\x1f", "kind", "entity"), "nonce"))).alias("told")).withColumnRenamed("doc", "of"))
+                    F.concat_ws("\x1f", "kind", "entity"), F.struct("nonce", "gender")))).alias("told")).withColumnRenamed("doc", "of"))
         p = p.join(told, F.col("doc") == F.col("of"), "left")
-        nonce = lambda kind, entity: F.coalesce(F.get(F.array(F.try_element_at("told", F.concat_ws("\x1f", kind, entity))), F.lit(0)), F.lit(0))
-    joined = F.array_join(F.transform("pieces", lambda x: F.concat(x["before"], rewritten(x["m"], nonce, key))), "")
-    kinds = F.transform("m", lambda x: kind_of(x))
-    counts = [F.coalesce(F.size(F.filter("kinds", lambda k: k == n)), F.lit(0)).cast("long").alias(f"n_{n}")
-              for n in ("email", "phone", "card", "ip", "iban", "name")]
-    p = p.withColumn("kinds", kinds).withColumn("new", F.when(F.size("m") > 1, joined).otherwise(text))
+    told_of = lambda kind, entity: F.try_element_at("told", F.concat_ws("\x1f", kind, entity))
+    joined = F.array_join(F.transform("pieces", lambda x: F.concat(x["before"], F.when(x["m"] == "", "").otherwise(
+        rewritten(x["m"], x["part"], F.col("genders"), told_of, key)))), "")
+    kinds = F.transform("pieces", lambda x: F.when(x["part"] != "", "name").otherwise(kind_of(x["m"])))
+    counts = [F.coalesce(F.size(F.filter("kinds", lambda k: k == n)), F.lit(0)).cast("long").alias(f"n_{n}") for n in COUNTED]
+    p = p.withColumn("kinds", F.coalesce(kinds, F.array().cast("array<string>")))
+    text = f"_c{names.index('text')}"
+    p = p.withColumn("new", F.when(F.col("pieces").isNotNull(), joined).otherwise(F.col(text)))
     out = p.select(*[F.col("new") if n == "text" else F.col(f"_c{i}") for i, n in enumerate(names)], *counts)
-    return out.toDF(*names, *[f"n_{n}" for n in ("email", "phone", "card", "ip", "iban", "name")])
+    return out.toDF(*names, *[f"n_{n}" for n in COUNTED])
