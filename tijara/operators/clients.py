@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_shared
 from .common import customer_rollup
 from .quantiles import quantiles
 
@@ -61,7 +62,7 @@ def rfm_segments(customers: DataFrame, orders: DataFrame | None = None) -> DataF
     """O-7.3 (declared; thresholds ours, SURVEY §7.6): quintile scores from
     exact thresholds (distributed ranks), then a ``when`` chain.
     Champions R>=4,F>=4,M>=4; At Risk R<=2,F>=3; Lost R=1,F<=2; else Others."""
-    x = rfm_inputs(customers, orders)
+    x = write_shared(rfm_inputs(customers, orders), "rfm-inputs")  # read for the thresholds and for the scores
     fields = ["recency_days", "frequency", "monetary"]
     q = quantiles(x.select(*[F.col(c).cast("double") for c in fields]).unpivot([], fields, "field", "value"),
                   ["field"], F.col("value"), QUINTILES, linear=False)
