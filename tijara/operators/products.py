@@ -2,8 +2,7 @@
 
 ``lines`` carries sku, product_name, category, line_total, quantity,
 unit_price, order_id and sku_quality.  Only reliable catalogue matches
-(``sku_quality = 'ok'``) count; ``realized_only`` restricts to realized orders
-(D8: the source computes products over every status).
+(``sku_quality = 'ok'``) count, over orders of every status (D8, as the source).
 """
 
 from __future__ import annotations

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import round_dp
 
 from ..operators import profile as PR
+from ..operators import sketches as SK
+from ..session import shared_path
 from . import canonical as K
 from .oracle import CTES
 from .q_cleaning import clean_tx, typed_tx
@@ -241,3 +245,20 @@ def prep_metrics(spark, sf):
                     F.coalesce("cleaned_duplicates", F.lit(0)).alias("cleaned_duplicates"), "rejected",
                     PR.percentage(F.col("retained"), F.col("received")).alias("retention_pct"),
                     PR.percentage(removed, F.col("received")).alias("removed_pct"))
+
+
+@register("incremental_profile", """
+    SELECT "column", count(*)::BIGINT AS rows, count_if(value IS NULL)::BIGINT AS missing, true AS distinct_within_error,
+           min(x) AS low, max(x) AS high, count(x)::BIGINT AS n_numbers
+    FROM (SELECT *, TRY_CAST(value AS DOUBLE) AS x FROM raw_tx_long_c) GROUP BY 1""", "raw_tx_long_c")
+def incremental_profile(spark, sf):
+    """O-2.13 by sketches: the raw transactions profiled load by load (their order year) and merged on read; the estimate of
+    distinct values is held against the exact number."""
+    raw = K.canon(spark, sf).get("raw_transactions")
+    path = shared_path(spark, "profiles", uuid.uuid4().hex[:12])
+    SK.append(raw, path, F.substring("order_date", 1, 4))
+    m = SK.merged(SK.read(spark, path))
+    exact = PR.distinct_counts(raw).withColumnRenamed("column", "_c").withColumnRenamed("distinct_values", "_exact")
+    off = F.abs(F.col("distinct_values") - F.col("_exact"))
+    return m.join(exact, F.col("column") == F.col("_c")).select(
+        "column", "rows", "missing", (off <= F.col("_exact") * SK.DISTINCT_ERROR + 0.5).alias("distinct_within_error"), "low", "high", "n_numbers")
