@@ -199,7 +199,9 @@ def test_one_person_has_one_name_in_a_document(spark):
     assert {r.doc_id: r.n_name for r in got} == {1: 5, 2: 2, 3: 0}
 
 
-def test_a_name_of_both_genders_has_none(spark):
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_a_name_of_both_genders_has_none(spark, monkeypatch, bound):
+    monkeypatch.setattr(P, "TOLD_ROWS", bound)  # by broadcast and by shuffle
     _, got = run(spark, [(1, "Mr Kim Long met"), (2, "Mrs Kim Short met"), (3, "Dr Kim Other met")])
     names = {r.text.split()[1] for r in got}
     assert len(names) == 1 and "Kim" not in names

@@ -105,6 +105,7 @@ INNER = "|".join(f"(?:{p})" for p in (EMAIL, IP, CARD, PHONE, NAME))
 HINT = rf"[0-9@]|(?:{_ADDRESS})\.? \p{{Lu}}"
 ROUNDS = 4
 ORIGINALS = 8
+TOLD_ROWS = 50_000  # documents (and ten times as many entities) whose renumbered entities are broadcast
 #: Country codes of two digits; 1 and 7 have one, all others three.
 TWO_DIGITS = ("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98").split()
 #: Stands between a text's mentions while it is cut.
@@ -435,6 +436,10 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
         told = (_mentioned(p, "doc").select("doc", "kind", "entity").distinct().join(extra, ["kind", "entity"])
                 .groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct(
                     F.concat_ws("\x1f", "kind", "entity"), F.struct("nonce", "gender")))).alias("told")).withColumnRenamed("doc", "of"))
+        told = write_shared(told, "told")
+        n = told.agg(F.count("*"), F.coalesce(F.sum(F.size("told")), F.lit(0))).first()
+        # Texts travel only where the table is too large for a broadcast; they are never sorted.
+        told = F.broadcast(told) if n[0] <= TOLD_ROWS and n[1] <= 10 * TOLD_ROWS else told.hint("shuffle_hash")
         p = p.join(told, F.col("doc") == F.col("of"), "left")
     told_of = lambda kind, entity: F.try_element_at("told", F.concat_ws("\x1f", kind, entity))
     joined = F.array_join(F.transform("pieces", lambda x: F.concat(x["before"], F.when(x["m"] == "", "").otherwise(
