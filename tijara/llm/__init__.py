@@ -1,4 +1,4 @@
-"""Training-data operators: ten document-scale Spark jobs and their queries.
+"""Training-data operators: thirteen document-scale Spark jobs and their queries.
 
 Nothing outside this subpackage imports it.
 """
