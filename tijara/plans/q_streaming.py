@@ -40,7 +40,7 @@ def stream_daily_revenue(spark, sf):
 def stream_ingest_orders(spark, sf):
     """Landing order files loaded micro-batch by micro-batch: the action log
     summed over batches, and the number of keys in the merged snapshot."""
-    landing = os.path.join(_landing(spark, sf), "orders")
+    landing = os.path.join(_landing(spark, sf, ["orders"]), "orders")
     root = SJ.stream_root(spark, "ingest_orders", _tag(sf))
     snap, log = os.path.join(root, "snapshot"), os.path.join(root, "log")
     SJ.ingest_stream(spark, landing, snap, log, os.path.join(root, "checkpoint"))

@@ -190,9 +190,17 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[str], sep: str =
                            .otherwise(F.col(f"`{c}`")) for c in columns})
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """O-1.5 CSV sink (header, overwrite)."""
-    (df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", "")
+#: Records of one compressed landing file: it is read back by one task.
+FILE_RECORDS = 500_000
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",", compression: str = "none") -> None:
+    """O-1.5 CSV sink (header, overwrite).  A compressed file cannot be read in
+    splits, so it holds at most ``FILE_RECORDS`` records."""
+    out = df.write.mode("overwrite")
+    if compression != "none":
+        out = out.option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS)
+    (out.option("header", True).option("sep", sep).option("nullValue", "")
      .option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
 
@@ -223,7 +231,7 @@ def write_web_export(df: DataFrame, path: str, title: str, preamble: int = rules
     allrows.coalesce(1).sortWithinPartitions("_o", "_k").select("value").write.mode("overwrite").text(path)
 
 
-_landing: dict[tuple[str, str], str] = {}
+_landing: set[tuple[str, str, str]] = set()
 _lock = __import__("threading").Lock()
 
 
@@ -234,13 +242,15 @@ def landing_folder(spark: SparkSession, sf_dir: str) -> str:
     return shared_path(spark, "landing", tag)
 
 
-def ensure_landing(spark: SparkSession, sf_dir: str, frames: dict[str, tuple[DataFrame, str]]) -> str:
-    """Write each raw export once per session (dataset -> (frame, sep))."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def ensure_landing(spark: SparkSession, sf_dir: str, frames: dict) -> str:
+    """Write each raw export once per session, gzipped (dataset -> (function that
+    gives the frame, sep)); an export that no query asked for is neither derived
+    nor written."""
+    folder = landing_folder(spark, sf_dir)
     with _lock:
-        if key not in _landing:
-            folder = landing_folder(spark, sf_dir)
-            for name, (df, sep) in frames.items():
-                write_csv(df, os.path.join(folder, name), sep)
-            _landing[key] = folder
-    return _landing[key]
+        for name, (frame, sep) in frames.items():
+            key = (spark.sparkContext.applicationId, sf_dir, name)
+            if key not in _landing:
+                write_csv(frame(), os.path.join(folder, name), sep, "gzip")
+                _landing.add(key)
+    return folder
