@@ -139,10 +139,11 @@ def dataset_quality(lines: DataFrame) -> DataFrame:
         blank = sum((F.when(c == "", 1).otherwise(0) for c in cells), F.lit(0))
         bad = F.col("_corrupt_record").isNotNull()
         rec = read_raw_csv(spark, h.path, names, sep=h.delimiter, null_tokens=("",))
-        # Counted per distinct record; a blank one has weight 0 (no filter on
-        # so many derived columns: the optimizer would infer from each of them).
-        per = (rec.groupBy(*names, bad.alias("_bad")).agg(F.count("*").alias("_n"))
-               .select("_n", "_bad", blank.alias("_blank"))
+        # Counted per distinct record, by a digest of it; a blank one has weight 0
+        # (no filter on so many derived columns: the optimizer would infer from each of them).
+        key = C.row_key(rec.select(*names))
+        per = (rec.groupBy(*key, bad.alias("_bad"), blank.alias("_blank")).agg(F.count("*").alias("_n"))
+               .select("_n", "_bad", "_blank")
                .withColumn("_w", F.when((F.col("_blank") < h.width) | F.col("_bad"), F.col("_n")).otherwise(F.lit(0))))
         more = F.when(F.col("_w") > 0, F.col("_w") - 1).otherwise(0)
         row = per.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in (
