@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tijara.operators import cleaning as CL
+from tijara.operators import profile as PR
 from tijara.sources import files as FS
 
 
@@ -37,3 +39,42 @@ def test_landing_is_compressed_in_bounded_files(spark, monkeypatch):
     assert len(files) == 2
     back = FS.read_raw_csv(spark, os.path.join(root, "orders"), ["a", "b"], sep=";")
     assert sorted(r["a"] for r in back.collect()) == [f'orders;{i}' for i in range(3)]
+
+
+def _odd(spark):
+    return spark.createDataFrame([("1", "x"), ("1", "x"), ("NaN", None), (" 0x1p3 ", "a:1"), ("-Infinity", ""), (None, None), (None, None), ("1e3f", "2020-01-01 00:00:00")],
+                                 "a string, b string")
+
+
+def test_column_profile_parses_values_not_cells(spark):
+    df = _odd(spark)
+    got = {r["name"]: tuple(r)[1:] for r in PR.column_profile(df).collect()}
+    assert got == {"a": ("number", 6, 2, 5), "b": ("string", 5, 3, 4)}
+    assert PR.column_profile(df.filter("false")).count() == 0
+    dates = spark.createDataFrame([("2020-01-01 00:00:00",), ("+12020-01-01 00:00:00",), (None,)], "d string")
+    assert PR.column_profile(dates).first()["inferred_type"] == "datetime"
+    # No unpivot: a cell is not a row of its own on the way to the shuffle.
+    assert "Expand" not in PR.column_profile(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_told_apart_by_a_digest(spark):
+    rows = [("1:a", "b", 0.0), ("1:a", "b", -0.0), ("1:", "ab", 0.0), (None, "b", 0.0), ("-", "b", 0.0), ("", "b", None), ("-", "b", float("nan")), ("-", "b", float("nan"))]
+    df = spark.createDataFrame(rows, "a string, b string, x double")
+    assert PR.duplicate_rows(df).first()["duplicate_rows"] == 2
+    assert CL.dedupe_rows(df).count() == df.dropDuplicates().count() == 6
+    assert sorted(map(str, CL.dedupe_rows(df).collect())) == sorted(map(str, df.dropDuplicates().collect()))
+    # What is not read after the dedupe is not moved.
+    plan = CL.dedupe_rows(df).agg(F.count("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(a" not in plan and "sha2" in plan
+
+
+def test_copies_only_are_moved(spark):
+    df = _odd(spark).repartition(3)
+    got = sorted((r["a"] or "", r["occurrence"]) for r in PR.duplicate_occurrences(df, []).collect())
+    assert got == [("", 2), ("1", 2)]
+    assert "_of" in PR.duplicate_occurrences(df, [])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quality_of_a_table_in_one_pass(spark):
+    assert tuple(PR.table_quality(_odd(spark)).first()) == (8, 6, 2)
+    assert tuple(PR.table_quality(_odd(spark).filter("false")).first()) == (0, None, None)
