@@ -195,3 +195,34 @@ def test_quantiles_are_exact_at_every_size(spark, n):
         assert r.q == [v[max(math.ceil(p * len(v)) - 1, 0)] for p in probs]
     whole = quantiles(df, [], F.col("v"), probs, linear=True).first().q
     assert np.allclose(whole, np.quantile(x, probs))
+
+
+def test_the_scan_of_a_fit_finds_the_least_objective_of_the_filter():
+    rng = np.random.default_rng(9)
+    zs = np.stack([*rng.normal(0, 0.5, (6, 24)), np.zeros(24), np.full(24, 0.1), np.round(rng.normal(0, 1, 24), 1)])
+    for spec in AR.SPECS.values():
+        for centre, around, div in ((None, AR._coarse(spec), spec.div), (np.zeros((len(zs), 3), int), AR._fine(spec), spec.div * AR.RATIO)):
+            k, obj, _a1, _a2 = AR._best(zs, centre, around, spec, div)
+            some = around[AR._valid(around, spec, div)]
+            every, _, _ = AR.kalman(zs, *(some[None, :, i] / float(div) for i in range(3)))
+            assert np.array_equal(obj, every.min(axis=1))
+            assert np.array_equal(k, some[every.argmin(axis=1)])
+
+
+def test_ses_of_many_series_is_that_of_each():
+    rng = np.random.default_rng(4)
+    many = [list(rng.normal(50, 9, n)) for n in (5, 9, 9, 5, 30)] + [[0.0, 0.0], [7.0]]
+    assert FC.ses_levels(many) == [FC.ses_search(y) for y in many]
+
+
+def test_forecasts_of_many_series_are_made_once_and_without_a_shuffle(spark):
+    from tijara.plans.q_time import _final
+
+    arrays = spark.sql("SELECT cast(s AS string) AS series, transform(sequence(0, 17), i -> add_months(date'2020-01-01', i)) AS periods, "
+                       "transform(sequence(0, 17), i -> cast(100 + (i * i * (s + 3)) % 17 AS double)) AS ys, 18 AS n FROM range(4) t(s)")
+    arrays = arrays.withColumn("_s", F.expr("transform(arrays_zip(periods, ys), x -> struct(x.periods AS period, x.ys AS y))"))
+    rows = FC.forecast_rows(FC.fit_frame(arrays, "eval"))
+    assert not any(x in rows._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Join"))
+    assert sorted(FC.row_metrics(rows).collect()) == sorted(FC.metrics(FC.long_rows(rows)).collect())
+    # The refits are joined twice: they are read, not fitted again.
+    assert "InArrow" not in _final(spark, "/root/testdata/sf0.001", "category")._jdf.queryExecution().executedPlan().toString()
