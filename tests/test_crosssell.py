@@ -81,3 +81,32 @@ def test_measures(spark):
 
 def test_empty(spark):
     assert X.cross_selling(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def _batches(rows, times=1):
+    import pyarrow as pa
+    b = pa.RecordBatch.from_pydict({"own": pa.array(rows, pa.list_(pa.int64())), "other": pa.array([None] * len(rows), pa.list_(pa.int64()))})
+    return [b] * times
+
+
+def test_counting_holds_and_hands_on_no_more_than_there_is(monkeypatch):
+    """Repeated pairs are summed before they are held; buckets without a pair are not sent."""
+    monkeypatch.setattr(X, "BLOCK", 50)
+    every = np.ones(1 << 20, bool)
+    got = list(X._count_pairs(every, 1 << 20)(_batches([[1, 2, 3]] * 40, 30)))
+    assert sum(b.num_rows for b in got) == 3 and {c for b in got for c in b["n"].to_pylist()} == {1200}
+    sent = list(X._count_buckets(1 << 20)(_batches([[1, 2, 3]] * 40, 30)))
+    assert sum(b.nbytes for b in sent) < 1000
+    assert X.PIECE * 10 * 10_000 < 1 << 27  # a full Arrow batch of pieces
+
+
+def test_pairs_that_differ_go_on_in_parts(monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 50)
+    rng = random.Random(1)
+    rows = [sorted(rng.sample(range(40), 5)) for _ in range(300)]
+    total = Counter()
+    for b in X._count_pairs(np.ones(1 << 20, bool), 1 << 20)(_batches(rows, 2)):
+        assert b.num_rows <= 50 * 6
+        for a, c, n in zip(*b.to_pydict().values()):
+            total[a, c] += n
+    assert total == Counter({p: 2 * n for p, n in Counter(p for r in rows for p in itertools.combinations(r, 2)).items()})

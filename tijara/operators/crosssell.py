@@ -38,8 +38,8 @@ from ..sources.tables import checked_broadcast
 BUCKETS = 1 << 20
 TILE = 4_096
 DIRECT = 2_000_000  # pairs of one row that are summed one by one; beyond, by convolution
-BLOCK = 2_000_000  # pairs held at once
-PIECE = 1 << 14  # buckets a row
+BLOCK = 1 << 18  # pairs, or counted pairs, held at once
+PIECE = 1 << 10  # buckets a row: an Arrow batch of 10,000 rows stays under 100 MB
 
 
 def _codes(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -111,14 +111,17 @@ def bucket_counts(left: np.ndarray, loff: np.ndarray, right: np.ndarray, roff: n
 
 def _count_buckets(buckets: int):
     def run(batches):
+        """(piece, places in it, their counts), buckets without a pair left out."""
         import pyarrow as pa
         total = np.zeros(buckets, np.int64)
         for b in batches:
             total += bucket_counts(*_rows(b.column(0)), *_rows(b.column(1)), buckets)
-        if total.any():
-            cut = range(0, buckets, PIECE)
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(list(range(len(cut))), pa.int32()),
-                                              "counts": pa.array([total[k:k + PIECE].tobytes() for k in cut], pa.binary())})
+        for k in range(0, buckets, PIECE):
+            at = np.flatnonzero(total[k:k + PIECE])
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([k // PIECE], pa.int32()),
+                                                  "places": pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
+                                                  "counts": pa.array([total[k + at].tobytes()], pa.binary())})
     return run
 
 
@@ -128,25 +131,32 @@ def _frequent_buckets(support: int):
         import pyarrow as pa
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for piece, counts in zip(b.column(0).to_pylist(), b.column(1)):
-                add = np.frombuffer(counts.as_buffer(), np.int64)
-                total[piece] = total[piece] + add if piece in total else add.copy()
+            for piece, places, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if piece not in total:
+                    total[piece] = np.zeros(PIECE, np.int64)
+                total[piece][np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.int64)
         if total:
             yield pa.RecordBatch.from_pydict({"piece": pa.array(list(total), pa.int32()),
                                               "bits": pa.array([np.packbits(t >= support).tobytes() for t in total.values()], pa.binary())})
     return run
 
 
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with the sum of its counts."""
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[first], b[first], np.add.reduceat(n, first)
+
+
 def _count_pairs(bits: np.ndarray, buckets: int):
     def run(batches):
         import pyarrow as pa
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # counted pairs, in parts of different ones
         n = 0
 
-        def emit():
-            p = np.concatenate(held, axis=1)
-            p, count = np.unique(p, axis=1, return_counts=True)
-            return pa.RecordBatch.from_pydict({"a": p[0], "b": p[1], "n": count.astype(np.int64)})
+        def batch_of(p):
+            return pa.RecordBatch.from_pydict({"a": p[0], "b": p[1], "n": p[2]})
 
         for batch in batches:
             left, loff = _rows(batch.column(0))
@@ -157,13 +167,16 @@ def _count_pairs(bits: np.ndarray, buckets: int):
                 if not len(k):
                     continue
                 a, b = left[x[k]], (left if own else right)[y[k]]
-                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-                n += len(k)
+                held.append(_summed(np.minimum(a, b), np.maximum(a, b), np.ones(len(k), np.int64)))
+                n += len(held[-1][0])
                 if n > BLOCK:
-                    yield emit()
-                    held, n = [], 0
+                    held = [_summed(*(np.concatenate(c) for c in zip(*held)))]
+                    n = len(held[0][0])
+                    if n > BLOCK // 2:  # mostly different pairs: they go on
+                        yield batch_of(held[0])
+                        held, n = [], 0
         if held:
-            yield emit()
+            yield batch_of(_summed(*(np.concatenate(c) for c in zip(*held))))
     return run
 
 
@@ -196,7 +209,7 @@ def frequent_pairs(baskets: DataFrame, min_share: float = 0.001, min_baskets: in
                          .withColumn("id", F.monotonically_increasing_id()), "frequent-items")
     slim = b.join(items.select("item", "id"), "item").select("basket", "id")
     tiles = write_shared(_tiles(slim, tile).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "basket-tiles")
-    counts = tiles.mapInArrow(_count_buckets(buckets), "piece int, counts binary").repartition("piece")
+    counts = tiles.mapInArrow(_count_buckets(buckets), "piece int, places binary, counts binary").repartition("piece")
     bits = np.zeros(buckets, bool)
     for r in counts.mapInArrow(_frequent_buckets(support), "piece int, bits binary").collect():
         at = r["piece"] * PIECE
