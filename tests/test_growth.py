@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tijara.operators import cleaning as CL
+from tijara.operators import ingest as IN
 from tijara.operators import profile as PR
 from tijara.sources import files as FS
 
@@ -78,3 +79,35 @@ def test_copies_only_are_moved(spark):
 def test_quality_of_a_table_in_one_pass(spark):
     assert tuple(PR.table_quality(_odd(spark)).first()) == (8, 6, 2)
     assert tuple(PR.table_quality(_odd(spark).filter("false")).first()) == (0, None, None)
+
+
+def _loads(spark):
+    """Stored keys 0 to 599 (some without a key); batch keys 300 to 899, each tenth twice, and 50 rows without a key."""
+    stored = spark.range(0, 600).select(F.col("id").alias("k"), F.lit(0).alias("v")).unionByName(
+        spark.range(3).select(F.lit(None).cast("bigint").alias("k"), F.lit(9).alias("v")))
+    k = F.col("id")
+    batch = spark.range(300, 900).select(k.alias("k"), (k % 2).cast("int").alias("v"), F.lit(0).alias("pos"))
+    again = batch.filter("k % 10 = 0").select("k", F.lit(7).alias("v"), F.lit(1).alias("pos"))
+    return stored, batch.unionByName(again).unionByName(spark.range(50).select(F.lit(None).cast("bigint").alias("k"), F.lit(1).alias("v"), F.lit(0).alias("pos")))
+
+
+def _most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_tasks_of_a_load_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(IN, "TASK_ROWS", 10)
+    stored, batch = _loads(spark)
+    acts = IN.classify_upsert(stored, batch, "k", ["v"], ["pos"])
+    got = {(r["action"], r["none"]): r["count"] for r in acts.groupBy("action", F.col("k").isNull().alias("none")).count().collect()}
+    assert got == {("stored_only", False): 300, ("unchanged", False): 150, ("updated", False): 150, ("inserted", False): 300,
+                   ("rejected", False): 60, ("rejected", True): 50}
+    # 71 tasks for 710 rows: not put together again, and rows without a key are not in one of them.
+    assert _most_in_a_task(acts.filter("k IS NOT NULL")) <= 40
+    # Rows without a key are not moved at all.
+    assert _most_in_a_task(acts.filter("k IS NULL")) < 50
+    snap = IN.apply_upsert(stored, batch, "k", ["pos"])
+    rows = {tuple(r) for r in snap.collect()}
+    assert rows == {(None, 9)} | {(i, 0) for i in range(300)} | {(i, i % 2) for i in range(300, 900)} and snap.count() == 903
+    assert _most_in_a_task(snap.filter("k IS NOT NULL")) <= 40
+    assert _most_in_a_task(IN.accepted(batch, "k", ["pos"])) <= 40
