@@ -111,3 +111,13 @@ def test_tasks_of_a_load_grow_with_its_rows(spark, monkeypatch):
     assert rows == {(None, 9)} | {(i, 0) for i in range(300)} | {(i, i % 2) for i in range(300, 900)} and snap.count() == 903
     assert _most_in_a_task(snap.filter("k IS NOT NULL")) <= 40
     assert _most_in_a_task(IN.accepted(batch, "k", ["pos"])) <= 40
+
+
+def test_profile_looks_at_a_cell_once(spark):
+    from tijara.operators import sketches as SK
+    cells = ["1", " -2.5e1 ", "+.5", "9", ":1", "A1", "1 kg", "", "\t4\n", "-", "NaN", "é1", None]
+    df = spark.createDataFrame([(c,) for c in cells], "a string")
+    r = SK.merged(SK.profile(df, F.lit("x"))).first()
+    assert (r["rows"], r["missing"], r["n_numbers"], r["low"], r["high"]) == (13, 1, 5, -25.0, 9.0)
+    plan = SK.profile(df, F.lit("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("try_cast") + plan.count("cast(") <= 2

@@ -26,6 +26,8 @@ DISTINCT_ERROR = 0.05
 RANK_ERROR = 0.0165
 #: Digits with an optional sign, point and exponent; names of infinities and NaN are no numbers.
 NUMBER = r"^\s*[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+#: A number begins with white space, a sign, a point or a digit; all of them sort before this.
+AFTER_NUMBERS = ":"
 
 SCHEMA = ("column string, load string, rows long, missing long, low double, high double, n_numbers long, "
           "distinct_sketch binary, rank_sketch binary")
@@ -34,14 +36,16 @@ SCHEMA = ("column string, load string, rows long, missing long, low double, high
 def profile(df: DataFrame, load: Column, columns: list[str] | None = None) -> DataFrame:
     """One row for each load and column of ``df`` (``load``: names the load of a row; null counts as empty)."""
     cols = columns or df.columns
-    aggs = []
+    cells, aggs = [], []
     for i, c in enumerate(cols):
-        v = F.col(f"`{c}`").cast("string")
+        text, v, x = F.col(f"`{c}`").cast("string"), F.col(f"v{i}"), F.col(f"x{i}")
         # Only what looks like a number is cast: a failed cast costs an exception a cell.
-        x = F.when(v.rlike(NUMBER), v.try_cast("double"))
+        # A cell is looked at once, in a projection before the aggregates that share it;
+        # what begins with a letter is known by one comparison.
+        cells += [text.alias(f"v{i}"), F.when((text < AFTER_NUMBERS) & text.rlike(NUMBER), text.try_cast("double")).alias(f"x{i}")]
         aggs += [F.count_if(v.isNull()).alias(f"m{i}"), F.hll_sketch_agg(v, F.lit(REGISTERS)).alias(f"d{i}"), F.min(x).alias(f"a{i}"),
                  F.max(x).alias(f"b{i}"), F.count(x).alias(f"n{i}"), F.kll_sketch_agg_double(x).alias(f"q{i}")]
-    g = df.groupBy(F.coalesce(load.cast("string"), F.lit("")).alias("load")).agg(F.count("*").alias("rows"), *aggs)
+    g = df.select(F.coalesce(load.cast("string"), F.lit("")).alias("load"), *cells).groupBy("load").agg(F.count("*").alias("rows"), *aggs)
     each = F.array(*[F.struct(F.lit(c).alias("column"), "load", "rows", F.col(f"m{i}").alias("missing"), F.col(f"a{i}").alias("low"), F.col(f"b{i}").alias("high"),
                               F.col(f"n{i}").alias("n_numbers"), F.col(f"d{i}").alias("distinct_sketch"), F.col(f"q{i}").alias("rank_sketch"))
                      for i, c in enumerate(cols)])
